@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import chat, mixing, tokens
+from . import chat, decontaminate, language, mixing, tokens
 
-MODULES = (chat, mixing, tokens)
+MODULES = (chat, decontaminate, language, mixing, tokens)
 
 
 def queries() -> dict:
