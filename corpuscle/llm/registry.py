@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, html_text, language, mixing, tokens
+from . import chat, decontaminate, html_text, language, mixing, neighbours, tokens
 
-MODULES = (chat, decontaminate, html_text, language, mixing, tokens)
+MODULES = (chat, decontaminate, html_text, language, mixing, neighbours, tokens)
 
 
 def queries() -> dict:
