@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, html_text, language, mixing, neighbours, suffix_dedup, tokens
+from . import chat, decontaminate, html_text, language, mixing, neighbours, ngram_join, suffix_dedup, tokens
 
-MODULES = (chat, decontaminate, html_text, language, mixing, neighbours, suffix_dedup, tokens)
+MODULES = (chat, decontaminate, html_text, language, mixing, neighbours, ngram_join, suffix_dedup, tokens)
 
 
 def queries() -> dict:
