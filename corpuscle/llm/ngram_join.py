@@ -109,7 +109,25 @@ def needed(size, percent: int = PERCENT):
     return (percent * size + 99) // 100
 
 
-_SIGNED = "doc_id long, n long, c1 long, c2 long, p1 long, prefix array<long>, bits array<long>"
+_SIGNED = "doc_id long, n long, c1 long, c2 long, p1 long, prefix array<long>, bits array<long>, wide binary"
+
+
+def wide_bitmaps(token: np.ndarray, size: np.ndarray) -> list[bytes]:
+    """A parity bitmap of each set, of the power of two bits from half its size on, so that long sets don't fill it."""
+    width = np.maximum(BITS, 1 << np.ceil(np.log2(np.maximum(size / 2, 1))).astype(np.int64))
+    begin = np.concatenate([[0], np.cumsum(width)])
+    row = np.repeat(np.arange(len(size)), size)
+    at = begin[row] + (mix(token) & (width[row] - 1).astype(np.uint64)).astype(np.int64)
+    data = np.packbits((np.bincount(at, minlength=begin[-1]) & 1).astype(np.uint8)).tobytes()
+    return [data[a // 8 : b // 8] for a, b in zip(begin[:-1].tolist(), begin[1:].tolist())]
+
+
+def parity_distance(a: bytes, b: bytes) -> int:
+    """Bits in which two bitmaps differ; the longer one is folded to the shorter one's width."""
+    x, y = (np.frombuffer(z, np.uint8) for z in ((a, b) if len(a) >= len(b) else (b, a)))
+    while len(x) > len(y):
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
 
 
 def signatures(docs: DataFrame, levels: np.ndarray, n: int = N, percent: int = PERCENT) -> DataFrame:
@@ -144,7 +162,8 @@ def signatures(docs: DataFrame, levels: np.ndarray, n: int = N, percent: int = P
                 arrays = [pa.array(ids[i:j], pa.int64()), pa.array(size)] + [pa.array(x.view(np.int64)) for x in (*sums, p1)]
                 arrays.append(pa.ListArray.from_arrays(pa.array(p_off, pa.int32()), pa.array(parts.view(np.int64))))
                 arrays.append(pa.ListArray.from_arrays(pa.array(np.arange(0, len(bits) + 1, BITS // 64), pa.int32()), pa.array(bits)))
-                yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n", "c1", "c2", "p1", "prefix", "bits"])
+                arrays.append(pa.array(wide_bitmaps(token, size), pa.binary()))
+                yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n", "c1", "c2", "p1", "prefix", "bits", "wide"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").where("doc_id IS NOT NULL").mapInArrow(run, _SIGNED)
 
@@ -214,11 +233,11 @@ def linked(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
     signed = stored(signatures(docs, levels, n, percent), "signatures")
 
     # classes of equal sets, represented by their smallest doc_id
-    classes = signed.where("n > 0").groupBy("n", "c1", "c2").agg(F.min_by(F.struct("p1", "prefix", "bits"), "doc_id").alias("x"), F.min("doc_id").alias("node"))
+    classes = signed.where("n > 0").groupBy("n", "c1", "c2").agg(F.min_by(F.struct("p1", "prefix", "bits", "wide"), "doc_id").alias("x"), F.min("doc_id").alias("node"))
     classes = stored(classes.select("n", "c1", "c2", "node", "x.*"), "classes")
     # groups of identical prefix and size; each class knows its group
     groups = classes.groupBy("n", "p1").agg(F.min("node").alias("group"), F.count("*").alias("members"))
-    members = classes.select("node", "n", "p1", "bits").join(groups, ["n", "p1"]).select("node", "group", "n", "bits", "members")
+    members = classes.select("node", "n", "p1", "bits", "wide").join(groups, ["n", "p1"]).select("node", "group", "n", "bits", "wide", "members")
     members = stored(members, "members")
     heads = classes.join(members.where("node = group").select("node", "members"), "node")
     postings = heads.select(F.col("node").alias("group"), "n", F.posexplode("prefix").alias("place", "token"))
@@ -232,12 +251,18 @@ def linked(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
     firsts = [lists.select(F.col(f"{x}.group").alias("a"), F.col(f"{x}.n").alias("na"), F.col("group").alias("b"), F.col("n").alias("nb")) for x in ("least", "other")]
     stars = firsts[0].unionByName(firsts[1]).where((F.col("a") != F.col("b")) & _fits("na", "nb", percent)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     own = members.where("node <> group").select(F.col("group").alias("a"), F.col("node").alias("b"))
-    info = members.select("node", "n", "bits")
+    info = members.select("node", "n", "wide")
+
+    def near(batches):
+        for batch in batches:
+            x = batch.to_pydict()
+            keep = [parity_distance(p, q) * (100 + percent) <= (m + k) * (100 - percent) for p, q, m, k in zip(x["widea"], x["wideb"], x["na"], x["nb"])]
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     def filtered(pairs: DataFrame) -> DataFrame:
         one, two = (info.select(*[F.col(c).alias(c + k) for c in info.columns]) for k in "ab")
         joined = pairs.join(one, pairs["a"] == one["nodea"]).join(two, F.col("b") == two["nodeb"])
-        return joined.where(_fits("na", "nb", percent) & _bits_fit("bitsa", "bitsb", "na", "nb", percent)).select("a", "b")
+        return joined.where(_fits("na", "nb", percent)).select("a", "b", "na", "nb", "widea", "wideb").mapInArrow(near, "a long, b long")
 
     tried = stored(filtered(stars.unionByName(own)), "star-pairs")
     links = stored(verified(docs, tried, levels, n, percent), "star-links")
