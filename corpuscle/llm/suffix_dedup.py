@@ -8,8 +8,9 @@ least hash is its anchor, so equal passages have equal anchors, and all passages
    fills several ranges, its suffixes are dealt over them by hash. In a bucket they are sorted by the anchor's fingerprint and the run's. Runs
    whose anchor occurs in one document only end here. Of equal runs (96 bits of fingerprint in common) all but the
    smallest doc_id's are removed. Before anything is shuffled, each task does the same among its own rows.
-2. Edges. An anchor that occurs with different runs may still share some of its passages. The first of each such run is sent
-   as bytes to the bucket of its anchor; there all passages are sorted as suffixes by multikey quicksort on eight-byte
+2. Edges. An anchor that occurs with different runs may still share some of its passages, though only with a run that has the
+   same 17 bytes before or the same 17 after the anchor, since a passage reaches that far on one side; a fingerprint of each side
+   tells the others apart. The first of each such run is sent as bytes to the bucket of its anchor; there all passages are sorted as suffixes by multikey quicksort on eight-byte
    words, and neighbours are compared exactly. Equal passages share their anchor, hence their bucket, so no match crosses a boundary; anchors so
    common in the sample that they would fill a bucket are dealt by run in step 1 and by passage in step 2.
 3. The removed spans meet their documents again by doc_id.
@@ -32,6 +33,8 @@ from pyspark.sql import types as T
 from .common import PIECE_BYTES, bounded_batches, covered, mix, pieces, prefix_hash, read, span_hash, stored, utf8
 
 MATCH, GRAM = 50, 16
+#: A passage reaches at least so far beyond its anchor on one side.
+SIDE = (MATCH - GRAM + 1) // 2
 #: Text bytes to a bucket; anchors gathered before a task sorts and sends them; bytes of a long text taken at once.
 BUCKET_BYTES, GATHERED, CHUNK = 16 << 20, 1_500_000, 8 << 20
 #: Documents whose anchors give the splitters.
@@ -39,6 +42,7 @@ SAMPLED = 2000
 NO_ID = (1 << 63) - 1
 _A, _B = np.uint64(0x9FB21C651E98DF25), np.uint64(0xC2B2AE3D27D4EB4F)
 _HIGH = np.uint64((1 << 64) - (1 << 24))
+_GRAM = np.uint64((1 << 64) - (1 << 32))
 _LOW = np.uint64((1 << 24) - 1)
 
 
@@ -48,7 +52,9 @@ def be_words(buf: np.ndarray) -> np.ndarray:
 
 
 def runs_of(buf: np.ndarray, off: np.ndarray):
-    """Runs of passages with one anchor: row, first passage, number of passages, anchor fingerprint, leading token, run fingerprint."""
+    """Runs of passages with one anchor: row, first passage, number of passages, anchor fingerprint, leading token, run
+    fingerprint (48 bits) with a byte for what stands before and a byte for what stands after the anchor (0: the run doesn't reach
+    so far)."""
     n = len(buf)
     if n < MATCH:
         e = np.zeros(0, np.uint64)
@@ -73,8 +79,14 @@ def runs_of(buf: np.ndarray, off: np.ndarray):
     last[:-1] &= bad[1:] | differs
     s0, s1 = np.flatnonzero(first), np.flatnonzero(last)
     p = anchor[s0]
-    run = span_hash(prefix_hash(buf), s0, s1 + MATCH)
-    run = mix(run + (p - s0).astype(np.uint64) * _A + (s1 - s0).astype(np.uint64) * _B)
+    hashed = prefix_hash(buf)
+    run = span_hash(hashed, s0, s1 + MATCH)
+    run = mix(run + (p - s0).astype(np.uint64) * _A + (s1 - s0).astype(np.uint64) * _B) & ~np.uint64(0xFFFF)
+    far = p - s0 >= SIDE
+    before = np.where(far, span_hash(hashed, np.where(far, p - SIDE, p), p) % np.uint64(255) + np.uint64(1), np.uint64(0))
+    far = s1 + MATCH - p - GRAM >= SIDE
+    after = np.where(far, span_hash(hashed, p + GRAM, np.where(far, p + GRAM + SIDE, p + GRAM)) % np.uint64(255) + np.uint64(1), np.uint64(0))
+    run |= before << np.uint64(8) | after
     return np.searchsorted(off, s0, "right") - 1, s0, s1 - s0 + 1, gram[p], lead[p], run
 
 
@@ -106,7 +118,7 @@ class Ranges:
         lo, hi = np.searchsorted(self.splitters, lead, "left"), np.searchsorted(self.splitters, lead, "right")
         out = lo + (gram % (hi - lo + 1).astype(np.uint64)).astype(np.int64)
         common = np.isin(gram >> np.uint64(24), self.common)
-        out[common] = self.buckets + (run[common] % np.uint64(self.buckets)).astype(np.int64)
+        out[common] = self.buckets + ((run[common] >> np.uint64(16)) % np.uint64(self.buckets)).astype(np.int64)
         return out
 
 
@@ -164,14 +176,14 @@ def _earliest(start: np.ndarray, ids: np.ndarray) -> np.ndarray:
 
 
 _SENT = "bucket long, data binary"
-_FOUND = "doc_id long, mark int, edge boolean, s0 int, n int, bucket long, gram long"
+_FOUND = "doc_id long, mark int, edge boolean, s0 int, n int, bucket long"
 
 
-def _found(ids, marks, edge: bool, s0, n, bucket: int = -1, gram=None) -> pa.RecordBatch:
+def _found(ids, marks, edge: bool, s0, n, bucket: int = -1) -> pa.RecordBatch:
     k = len(ids)
     return pa.RecordBatch.from_arrays(
-        [pa.array(ids, pa.int64()), pa.array(marks, pa.int32()), pa.array(np.full(k, edge)), pa.array(np.asarray(s0).astype(np.int32)), pa.array(np.asarray(n).astype(np.int32)), pa.array(np.full(k, bucket, np.int64)), pa.array(np.zeros(k, np.int64) if gram is None else gram.view(np.int64))],
-        names=["doc_id", "mark", "edge", "s0", "n", "bucket", "gram"],
+        [pa.array(ids, pa.int64()), pa.array(marks, pa.int32()), pa.array(np.full(k, edge)), pa.array(np.asarray(s0).astype(np.int32)), pa.array(np.asarray(n).astype(np.int32)), pa.array(np.full(k, bucket, np.int64))],
+        names=["doc_id", "mark", "edge", "s0", "n", "bucket"],
     )
 
 
@@ -188,11 +200,11 @@ def _send(ranges: Ranges):
             nonlocal docs, size
             if held:
                 doc, s0, n, gram, lead, own = (np.concatenate(x) for x in zip(*held))
-                key = (gram & _HIGH) | (own >> np.uint64(40))
+                key = (gram & _GRAM) | (own >> np.uint64(32))
                 of, mark = np.concatenate(ids), np.concatenate(marks)
                 bucket = ranges.bucket(lead, gram, own)
                 order = np.argsort(key, kind="stable")
-                low = (own >> np.uint64(8)).astype(np.uint32)
+                low = own.astype(np.uint32)
                 start = _groups(key[order], low[order])
                 settled = of[doc[order]] > _earliest(start, of[doc[order]])
                 done = order[settled]
@@ -238,44 +250,50 @@ def _settle(buckets: int):
             return pa.Table.from_batches([_found(x["id"], x["mark"], False, x["s0"], x["n"])])
         order = np.lexsort((x["low"], x["key"]))
         x = {c: v[order] for c, v in x.items()}
-        gram = x["key"] & _HIGH
-        first = _earliest(_groups(x["key"], x["low"]), x["id"])
-        later = x["id"] > first
-        by_gram = _groups(gram)
+        later = x["id"] > _earliest(_groups(x["key"], x["low"]), x["id"])
+        edge = ~later
         if bucket < buckets:
-            least = _earliest(by_gram, x["id"])
-            most = -_earliest(by_gram, -x["id"])
-            # several runs of one anchor: the least and the greatest differ
-            several = np.zeros(len(gram), bool)
-            ends = np.append(by_gram[1:], len(gram)) - 1
-            kinds = (x["key"][by_gram] != x["key"][ends]) | (x["low"][by_gram] != x["low"][ends])
-            several = np.repeat(kinds, np.diff(np.append(by_gram, len(gram)))) if len(gram) else several
-            edge = several & (least != most) & ~later
-        else:
-            edge = ~later
+            # of the first runs, those that have a side in common with a run of another document
+            here = np.flatnonzero(edge)
+            edge = np.zeros(len(later), bool)
+            at, side = [], []
+            for shift, tag in ((8, 1), (0, 2)):
+                byte = (x["low"][here] >> np.uint32(shift)) & np.uint32(255)
+                at.append(here[byte > 0])
+                side.append((x["key"][here] & _GRAM)[byte > 0] | (byte[byte > 0].astype(np.uint64) << np.uint64(2)) | np.uint64(tag))
+            at, side = np.concatenate(at), np.concatenate(side)
+            order = np.argsort(side, kind="stable")
+            at, start = at[order], _groups(side[order])
+            ids = x["id"][at]
+            edge[at[_earliest(start, ids) != -_earliest(start, -ids)]] = True
         return pa.Table.from_batches([
             _found(x["id"][later], x["mark"][later], False, x["s0"][later], x["n"][later]),
-            _found(x["id"][edge], x["mark"][edge], True, x["s0"][edge], x["n"][edge], bucket, gram[edge]),
+            _found(x["id"][edge], x["mark"][edge], True, x["s0"][edge], x["n"][edge], bucket),
         ])
 
     return run
 
 
-def multikey_sort(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sort rows of words by the first word, then only rows still tied by the next one, and so on.
-    The order, and where each group of equal rows begins in it."""
-    order = np.argsort(words[:, 0], kind="stable")
-    new = np.ones(len(order), bool)
-    new[1:] = words[order[1:], 0] != words[order[:-1], 0]
-    for k in range(1, words.shape[1]):
-        group = np.cumsum(new) - 1
-        tied = np.flatnonzero(np.bincount(group)[group] > 1)
+def multikey_sort(buf: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sort the passages that start at `at` by their first eight bytes, then only those still tied by the next eight, and so on.
+    The order, and where each group of equal passages begins in it."""
+    word = np.ndarray((len(buf) - 7,), ">u8", np.ascontiguousarray(buf), strides=(1,))
+    column = word[at].astype(np.uint64)
+    order = np.argsort(column, kind="stable")
+    column = column[order]
+    new = np.append(True, column[1:] != column[:-1])
+    # the last word overlaps the one before, so that the words are just the passage
+    for k in (*range(8, MATCH - 8, 8), MATCH - 8):
+        size = np.diff(np.append(np.flatnonzero(new), len(new)))
+        tied = np.flatnonzero(np.repeat(size > 1, size))
         if not len(tied):
             break
-        column = words[order[tied], k]
-        inner = np.lexsort((column, group[tied]))
+        group = np.cumsum(new[tied])
+        column = word[at[order[tied]] + k].astype(np.uint64)
+        inner = np.argsort(column, kind="stable")
+        inner = inner[np.argsort(group[inner], kind="stable")]
         order[tied] = order[tied[inner]]
-        column, group = column[inner], group[tied]
+        column = column[inner]
         new[tied[1:]] |= (column[1:] != column[:-1]) & (group[1:] == group[:-1])
     return order, np.flatnonzero(new)
 
@@ -284,21 +302,38 @@ def _edge_bytes(buckets: int):
     """From documents with their edges: the bytes of each edge for its bucket; passages one by one where the anchor is common."""
     import zstandard
 
+    def rows(bucket, ids, marks, s0, data, off) -> pa.RecordBatch:
+        text = pa.BinaryArray.from_buffers(pa.binary(), len(off) - 1, [None, pa.py_buffer(off.astype(np.int32)), pa.py_buffer(data)])
+        return pa.RecordBatch.from_arrays([pa.array(bucket, pa.int64()), pa.array(ids, pa.int64()), pa.array(marks, pa.int32()), pa.array(s0.astype(np.int32)), text], names=["bucket", "doc_id", "mark", "s0", "data"])
+
     def run(batches):
         unzip = zstandard.ZstdDecompressor()
         for b in batches:
-            out: dict[str, list] = {c: [] for c in ("bucket", "doc_id", "mark", "s0", "data")}
-            for r in b.select(["doc_id", "mark", "zipped", "edges"]).to_pylist():
-                text = unzip.decompress(r["zipped"]) if r["zipped"] else b""
-                for e in r["edges"]:
-                    s0, n = e["s0"], e["n"]
-                    spans = [(e["bucket"], s0, n)]
-                    if e["bucket"] >= buckets:
-                        spans = [(buckets + int.from_bytes(hashlib.blake2b(text[s : s + MATCH], digest_size=6).digest(), "big") % buckets, s, 1) for s in range(s0, s0 + n)]
-                    for bucket, s, k in spans:
-                        for c, v in zip(out, (bucket, r["doc_id"], r["mark"], s, text[s : s + k + MATCH - 1])):
-                            out[c].append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(out["bucket"], pa.int64()), pa.array(out["doc_id"], pa.int64()), pa.array(out["mark"], pa.int32()), pa.array(out["s0"], pa.int32()), pa.array(out["data"], pa.binary())], names=list(out))
+            held: list = []
+            size = 0
+            for i in range(b.num_rows):
+                text = np.frombuffer(unzip.decompress(b.column("zipped")[i].as_py()), np.uint8)
+                edges = b.column("edges")[i].values
+                s0, n, bucket = (edges.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("s0", "n", "bucket"))
+                common = bucket >= buckets
+                if common.any():  # one by one
+                    each = np.repeat(s0[common], n[common]) + np.concatenate([np.arange(k) for k in n[common]])
+                    own = mix(span_hash(prefix_hash(text), each, each + MATCH))
+                    s0, n = np.append(s0[~common], each), np.append(n[~common], np.ones(len(each), np.int64))
+                    bucket = np.append(bucket[~common], buckets + (own % np.uint64(buckets)).astype(np.int64))
+                for lo in range(0, len(s0), 50_000):
+                    a, k = s0[lo : lo + 50_000], n[lo : lo + 50_000] + MATCH - 1
+                    end = np.cumsum(k)
+                    data = text[np.arange(end[-1]) + np.repeat(a - end + k, k)]
+                    held.append((bucket[lo : lo + 50_000], np.full(len(a), b.column("doc_id")[i].as_py()), np.full(len(a), b.column("mark")[i].as_py(), np.int32), a, data, k))
+                    size += len(data)
+                    if size > 4 << 20:
+                        *x, k = (np.concatenate(y) for y in zip(*held))
+                        yield rows(*x, np.append(0, np.cumsum(k)))
+                        held, size = [], 0
+            if held:
+                *x, k = (np.concatenate(y) for y in zip(*held))
+                yield rows(*x, np.append(0, np.cumsum(k)))
 
     return run
 
@@ -312,10 +347,7 @@ def _compare(table: pa.Table) -> pa.Table:
     edge = np.repeat(np.arange(len(count)), count)
     inner = np.arange(len(edge)) - np.repeat(np.cumsum(count) - count, count)
     at = off[:-1][edge] + inner
-    view = be_words(buf)
-    # the last word overlaps the one before, so that seven words are the whole passage
-    words = np.stack([view[at + k] for k in (*range(0, MATCH - 8, 8), MATCH - 8)], 1)
-    order, start = multikey_sort(words)
+    order, start = multikey_sort(buf, at)
     hit = np.zeros(len(at), bool)
     of = ids[edge[order]]
     hit[order] = of > _earliest(start, of)
