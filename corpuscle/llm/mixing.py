@@ -27,7 +27,8 @@ def words(text: Column) -> Column:
 def targets(sizes: DataFrame, weights=WEIGHTS, most: int = MOST) -> DataFrame:
     """From (source, source_size): each source's target. There is one row for each source, so one small
     window ranks them. Sources are sorted by the point at which they reach their cap; the first k of them are
-    capped if the level that the rest would then share lies at or below the next one's cap."""
+    capped if the level that the rest would then share lies at or below the next one's cap; from the first such k on, that level
+    only falls, so it is the greatest of them."""
     by_name = Window.orderBy(F.col("source").asc_nulls_last())
     by_cap = Window.orderBy("cap_level", F.col("source").asc_nulls_last())
     whole = Window.partitionBy()
@@ -41,7 +42,7 @@ def targets(sizes: DataFrame, weights=WEIGHTS, most: int = MOST) -> DataFrame:
         .withColumn("total", F.sum("source_size").over(whole))
         .withColumn("left_over", F.col("total") - F.coalesce(F.sum("cap").over(before), F.lit(0)))
         .withColumn("level_here", F.col("left_over") / F.sum("weight").over(after))
-        .withColumn("level", F.min(F.when(F.col("level_here") <= F.col("cap_level"), F.col("level_here"))).over(whole))
+        .withColumn("level", F.max(F.when(F.col("level_here") <= F.col("cap_level"), F.col("level_here"))).over(whole))
     )
     return ranked.select("source", "source_size", F.least(F.col("cap").cast("double"), F.coalesce("level", F.lit(0.0)) * F.col("weight")).alias("target"))
 
@@ -87,7 +88,7 @@ sizes AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY so
 weighed AS (SELECT *, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(weights)} {weight} END AS weight, source_size * {most} AS cap, sum(source_size) OVER () AS total FROM sizes),
 ranked AS (SELECT *, cap / weight AS cap_level, coalesce(sum(cap) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS gone,
   sum(weight) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS weight_left FROM weighed),
-leveled AS (SELECT *, min(CASE WHEN (total - gone)::DOUBLE / weight_left <= cap_level THEN (total - gone)::DOUBLE / weight_left END) OVER () AS level FROM ranked),
+leveled AS (SELECT *, max(CASE WHEN (total - gone)::DOUBLE / weight_left <= cap_level THEN (total - gone)::DOUBLE / weight_left END) OVER () AS level FROM ranked),
 aims AS (SELECT source AS of_source, source_size, least(cap::DOUBLE, coalesce(level, 0.0::DOUBLE) * weight) AS target FROM leveled),
 rated AS (SELECT s.*, a.source_size, a.target, CASE WHEN a.source_size > 0 THEN a.target / a.source_size ELSE 0.0::DOUBLE END AS rate
   FROM sized s JOIN aims a ON s.source IS NOT DISTINCT FROM a.of_source),
