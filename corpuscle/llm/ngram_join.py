@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, NOT_SPACE, bounded_batches, mix, pieces, prefix_hash, read, runs, span_hash, stored, utf8
+from .common import LOWER, NOT_SPACE, bounded_batches, discard, forget, mix, pieces, prefix_hash, read, runs, span_hash, stored, utf8
 from .components import components
 
 N, PERCENT = 3, 90
@@ -113,8 +113,8 @@ _SIGNED = "doc_id long, n long, c1 long, c2 long, p1 long, prefix array<long>, b
 
 
 def wide_bitmaps(token: np.ndarray, size: np.ndarray) -> list[bytes]:
-    """A parity bitmap of each set, of the power of two bits from half its size on, so that long sets don't fill it."""
-    width = np.maximum(BITS, 1 << np.ceil(np.log2(np.maximum(size / 2, 1))).astype(np.int64))
+    """A parity bitmap of each set, of the power of two bits from its size on, so that long sets don't fill it."""
+    width = np.maximum(BITS, 1 << np.ceil(np.log2(np.maximum(size, 1))).astype(np.int64))
     begin = np.concatenate([[0], np.cumsum(width)])
     row = np.repeat(np.arange(len(size)), size)
     at = begin[row] + (mix(token) & (width[row] - 1).astype(np.uint64)).astype(np.int64)
@@ -222,7 +222,9 @@ def verified(docs: DataFrame, pairs: DataFrame, levels: np.ndarray, n: int = N,
                     keep.append(common > 0 and 100 * common >= percent * (len(x) + len(y) - common))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.mapInArrow(check, "a long, b long").distinct()
+    out = stored(both.mapInArrow(check, "a long, b long").distinct(), "links-found")
+    discard(ids, zipped)
+    return out
 
 
 def linked(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
@@ -239,6 +241,7 @@ def linked(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
     groups = classes.groupBy("n", "p1").agg(F.min("node").alias("group"), F.count("*").alias("members"))
     members = classes.select("node", "n", "p1", "bits", "wide").join(groups, ["n", "p1"]).select("node", "group", "n", "bits", "wide", "members")
     members = stored(members, "members")
+    forget(spark)
     heads = classes.join(members.where("node = group").select("node", "members"), "node")
     postings = heads.select(F.col("node").alias("group"), "n", F.posexplode("prefix").alias("place", "token"))
     # of two similar sets the smaller one's shared shingle stands in a shorter prefix
@@ -247,6 +250,8 @@ def linked(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
     by_token = postings.groupBy("token").agg(F.count("*").alias("groups"), F.min(F.struct("n", "group", "early")).alias("least"), F.min(F.struct(F.xxhash64("group").alias("h"), "group", "n", "early")).alias("other")).where("groups > 1")
     lists = stored(postings.join(by_token, "token"), "lists")
 
+    forget(spark)
+
     # a first round: every list against two of its groups, every group's members against the first
     firsts = [lists.select(F.col(f"{x}.group").alias("a"), F.col(f"{x}.n").alias("na"), F.col("group").alias("b"), F.col("n").alias("nb")) for x in ("least", "other")]
     stars = firsts[0].unionByName(firsts[1]).where((F.col("a") != F.col("b")) & _fits("na", "nb", percent)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
@@ -265,8 +270,9 @@ def linked(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
         return joined.where(_fits("na", "nb", percent)).select("a", "b", "na", "nb", "widea", "wideb").mapInArrow(near, "a long, b long")
 
     tried = stored(filtered(stars.unionByName(own)), "star-pairs")
-    links = stored(verified(docs, tried, levels, n, percent), "star-links")
+    links = verified(docs, tried, levels, n, percent)
     label = components(links)
+    forget(spark)
 
     # then whatever is still apart: groups of several components count as one that differs from all
     placed = members.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
@@ -283,8 +289,9 @@ def linked(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
     inside = of_group.where("members > 1 AND lo <> hi").select(F.col("group").alias("ga"), F.col("group").alias("gb"))
     one, two = (placed.select(F.col("group").alias("g" + k), F.col("node").alias(k), F.col("component").alias("c" + k)) for k in "ab")
     expanded = group_pairs.unionByName(inside).join(one, "ga").join(two, "gb").where("a <> b AND ca <> cb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    rest_pairs = filtered(expanded.join(tried, ["a", "b"], "left_anti"))
-    more = verified(docs, stored(rest_pairs, "rest-pairs"), levels, n, percent)
+    rest_pairs = stored(filtered(expanded.join(tried, ["a", "b"], "left_anti")), "rest-pairs")
+    discard(rest, lists)
+    more = verified(docs, rest_pairs, levels, n, percent)
 
     # a doc_id's rows may be of several classes; the classes of equal doc_ids are tied
     tied = signed.where("n > 0").join(classes.select("n", "c1", "c2", "node"), ["n", "c1", "c2"])
@@ -298,7 +305,10 @@ def linked(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
         base = signed.select("doc_id", "n").withColumn("node", F.col("doc_id"))
     else:
         base = signed.where("n = 0").select("doc_id", "n").withColumn("node", F.col("doc_id")).unionByName(tied.select("doc_id", "n", "node"))
-    return base.join(final, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "node").alias("component_id"))
+    out = stored(base.join(final, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "node").alias("component_id")), "linked")
+    discard(signed, classes, members, tried, links, rest_pairs, more)
+    forget(spark)
+    return out
 
 
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
