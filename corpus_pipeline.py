@@ -1,24 +1,70 @@
-"""The corpus pipeline: stages that each call one operator and pass documents on."""
+"""The corpus pipeline: stages that each call one operator and hand documents on.
+
+Each stage reads all that its predecessor kept and returns the columns of documents; the last one returns the mixed corpus, where a
+document occurs as often as it is taken.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from corpuscle.llm import decontaminate, language, mixing, ngram_join, suffix_dedup
+from corpuscle.llm.common import read, stored
+
+#: Near duplicates: words to a shingle, and least similarity in percent.
+SHINGLE, SIMILAR = 5, 80
+
+
+def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that language identification rejects go. The models learn from the documents' own text and lang."""
+    found = language.identify(docs, language.train(docs))
+    return found.where("NOT lid_rejected").select(*docs.columns)
+
 
-from corpuscle.llm import mixing
-from corpuscle.llm.common import stored
+def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents that near-duplicate links connect, the one of the smallest doc_id stays; of rows with one doc_id, one. Rows without
+    doc_id have no links and stay."""
+    groups = ngram_join.linked(docs, SHINGLE, SIMILAR)
+    gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
+    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    if groups.groupBy("doc_id").count().where("count > 1").limit(1).count():
+        kept = kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id IS NULL"))
+    return kept
+
+
+def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages that an earlier document has are cut out; n_chars follows the text."""
+    out = suffix_dedup.remove_repeats(docs)
+    own = {"text": F.col("rep_text"), "n_chars": F.when(F.size("rep_spans") > 0, F.length("rep_text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))}
+    return out.select(*[own.get(c, F.col(c)).alias(c) for c in docs.columns])
+
+
+def keep_clean_of_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark passage go."""
+    found = decontaminate.find_contamination(docs, read(spark, sf_dir, "benchmark"))
+    return found.where(F.size("con_spans") == 0).select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Emit each document as often as its source's target weight asks."""
+    """Each document is emitted as often as its source's target asks."""
     return mixing.mix(docs)
 
 
-STAGES = [("mix_sources", mix_sources)]
+STAGES = [
+    ("language", keep_known_languages),
+    ("near_duplicates", keep_one_of_each_group),
+    ("repeated_passages", remove_repeated_passages),
+    ("benchmarks", keep_clean_of_benchmarks),
+    ("mix", mix_sources),
+]
+
+#: Language models and components over similarities are not SQL; tests compare with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = read(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
