@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that one NumPy pass holds at once; arrays of 8 bytes for each byte follow from it.
-PIECE_BYTES = 2 << 20
+PIECE_BYTES = 1 << 20
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -58,6 +58,30 @@ def forget(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def frugal(run):
+    """Wraps a function over batches: when a task ends, its Python worker, which Spark keeps for later tasks, hands freed memory back."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return wrapped
+
+
+def release() -> None:
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def renamed(df: DataFrame, *names: str) -> DataFrame:
     """Only the named columns, so that extra columns of the input can't clash with an operator's own."""
     return df.select(*[df[n] for n in names])

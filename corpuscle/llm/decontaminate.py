@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, bounded_batches, class_table, covered, mix, pieces, prefix_hash, read, runs, span_hash, utf8
+from .common import LOWER, bounded_batches, class_table, covered, frugal, mix, pieces, prefix_hash, read, runs, span_hash, utf8
 
 WINDOW, BLOCK_BYTES = 10, 16 << 20
 #: Words a lane advances over.
@@ -178,7 +178,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
                 cols = [pa.array(counts), pa.array([[{"first": x, "end": y} for x, y in s.tolist()] for s in spans], span_kind), pa.array([sorted(f) for f in found], pa.list_(pa.string()))]
                 yield pa.RecordBatch.from_arrays([*(b.column(c) for c in own), *cols], names=[*own, *added])
 
-        out = out.mapInArrow(run, schema)
+        out = out.mapInArrow(frugal(run), schema)
     return out
 
 

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, read
+from .common import bounded_batches, frugal, read
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=\"'/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
@@ -271,7 +271,7 @@ def extract_text(pages: DataFrame) -> DataFrame:
             texts = pa.array([main_text(x) for x in b.column("html").to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([*b.columns, texts], names=[*b.schema.names, "main_text"])
 
-    return pages.mapInArrow(run, T.StructType([*pages.schema.fields, T.StructField("main_text", T.StringType())]))
+    return pages.mapInArrow(frugal(run), T.StructType([*pages.schema.fields, T.StructField("main_text", T.StringType())]))
 
 
 def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, bounded_batches, class_table, mix, pieces, prefix_hash, read, runs, span_hash, utf8
+from .common import LOWER, bounded_batches, class_table, frugal, mix, pieces, prefix_hash, read, runs, span_hash, utf8
 
 BUCKETS_BITS, GRAMS, VARIANTS, SAMPLED, SEED = 16, 3, 160, 1500, 7
 #: A variant is confirmed if so much of a template's or of its own n-grams is shared.
@@ -297,7 +297,7 @@ def scan(docs: DataFrame, model: Model) -> DataFrame:
                     found[i + row[k]].append({"line": int(line[k]), "family": names[family[k]], "chance": float(chance[k]), "confirmed": bool(confirmed[k])})
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(count), pa.array(found, kind)], names=[*b.schema.names, "lic_lines", "lic_found"])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("lic_lines", T.LongType()), T.StructField("lic_found", T.ArrayType(item))]))
+    return docs.mapInArrow(frugal(run), T.StructType([*docs.schema.fields, T.StructField("lic_lines", T.LongType()), T.StructField("lic_found", T.ArrayType(item))]))
 
 
 def op1_licences(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, read, stored
+from .common import bounded_batches, frugal, read, stored
 
 PIVOTS, PLACES, RERANKED, NEAREST = 128, 64, 0.2, 20
 #: At least so many vectors of a shard are reranked.
@@ -126,7 +126,7 @@ def nearest_neighbours(vectors: DataFrame, is_query: Column, nearest: int = NEAR
                         x.append(y)
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x) if x else []) for x in out], names=["query_id", "vec_id", "score"])
 
-    found = pairs.mapInArrow(search, "query_id long, vec_id long, score double")
+    found = pairs.mapInArrow(frugal(search), "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= nearest).select("query_id", "rank", "vec_id", "score")
 

@@ -19,10 +19,10 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, NOT_SPACE, bounded_batches, discard, forget, mix, pieces, prefix_hash, read, runs, span_hash, stored, utf8
+from .common import LOWER, NOT_SPACE, bounded_batches, discard, forget, frugal, mix, pieces, prefix_hash, read, runs, span_hash, stored, utf8
 from .components import components
 
 N, PERCENT = 3, 90
@@ -78,7 +78,7 @@ def slot_counts(docs: DataFrame, n: int = N) -> np.ndarray:
                 totals[k] = totals[k] + x if k in totals else x
         yield pa.RecordBatch.from_arrays([pa.array(list(totals), pa.int64()), pa.array([x.tobytes() for x in totals.values()], pa.binary())], names=["block", "counts"])
 
-    rows = docs.select("text").mapInArrow(count, "block long, counts binary").repartition(SLOT_BLOCKS, "block").mapInArrow(add, "block long, counts binary").collect()
+    rows = docs.select("text").mapInArrow(frugal(count), "block long, counts binary").repartition(SLOT_BLOCKS, "block").mapInArrow(frugal(add), "block long, counts binary").collect()
     out = np.zeros((SLOT_BLOCKS, each), np.int64)
     for r in rows:  # SLOT_BLOCKS rows
         out[r["block"]] = np.frombuffer(bytes(r["counts"]), np.int64)
@@ -165,7 +165,7 @@ def signatures(docs: DataFrame, levels: np.ndarray, n: int = N, percent: int = P
                 arrays.append(pa.array(wide_bitmaps(token, size), pa.binary()))
                 yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n", "c1", "c2", "p1", "prefix", "bits", "wide"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").where("doc_id IS NOT NULL").mapInArrow(run, _SIGNED)
+    return docs.select(F.col("doc_id").cast("long"), "text").where("doc_id IS NOT NULL").mapInArrow(frugal(run), _SIGNED)
 
 
 def _fits(a: str, b: str, percent: int = PERCENT):
@@ -195,7 +195,7 @@ def verified(docs: DataFrame, pairs: DataFrame, levels: np.ndarray, n: int = N,
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([zipper.compress((t or "").encode()) for t in b.column("text").to_pylist()], pa.binary())], names=["doc_id", "zipped"])
 
-    zipped = stored(texts.mapInArrow(zip_texts, "doc_id long, zipped binary"), "candidate-texts")
+    zipped = stored(texts.mapInArrow(frugal(zip_texts), "doc_id long, zipped binary"), "candidate-texts")
     both = pairs.join(zipped.select(F.col("doc_id").alias("b"), F.col("zipped").alias("zb")), "b").join(zipped.select(F.col("doc_id").alias("a"), F.col("zipped").alias("za")), "a").select("a", "b", "za", "zb")
 
     def check(batches):
@@ -222,7 +222,7 @@ def verified(docs: DataFrame, pairs: DataFrame, levels: np.ndarray, n: int = N,
                     keep.append(common > 0 and 100 * common >= percent * (len(x) + len(y) - common))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    out = stored(both.mapInArrow(check, "a long, b long").distinct(), "links-found")
+    out = stored(both.mapInArrow(frugal(check), "a long, b long").distinct(), "links-found")
     discard(ids, zipped)
     return out
 
@@ -234,29 +234,36 @@ def linked(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
     levels = levels_of(slot_counts(docs, n))
     signed = stored(signatures(docs, levels, n, percent), "signatures")
 
-    # classes of equal sets, represented by their smallest doc_id
-    classes = signed.where("n > 0").groupBy("n", "c1", "c2").agg(F.min_by(F.struct("p1", "prefix", "bits", "wide"), "doc_id").alias("x"), F.min("doc_id").alias("node"))
-    classes = stored(classes.select("n", "c1", "c2", "node", "x.*"), "classes")
-    # groups of identical prefix and size; each class knows its group
+    # classes of equal sets, represented by their smallest doc_id; groups of identical prefix and size, which hold whole classes
+    slim = signed.where("n > 0").select("doc_id", "n", "c1", "c2", "p1")
+    classes = stored(slim.groupBy("n", "c1", "c2", "p1").agg(F.min("doc_id").alias("node")), "classes")
     groups = classes.groupBy("n", "p1").agg(F.min("node").alias("group"), F.count("*").alias("members"))
-    members = classes.select("node", "n", "p1", "bits", "wide").join(groups, ["n", "p1"]).select("node", "group", "n", "bits", "wide", "members")
-    members = stored(members, "members")
-    forget(spark)
-    heads = classes.join(members.where("node = group").select("node", "members"), "node")
-    postings = heads.select(F.col("node").alias("group"), "n", F.posexplode("prefix").alias("place", "token"))
+    members = stored(classes.join(groups, ["n", "p1"]).select("node", "group", "n", "members"), "members")
+    few = members.count() <= MOST_BROADCAST
+
+    def of_nodes(columns: list[str], nodes: DataFrame) -> DataFrame:
+        """Columns of the signatures for these doc_ids, broadcast if they are few. Rows of one doc_id are told apart by size only, which
+        makes candidates more and never fewer."""
+        return signed.select("doc_id", "n", *columns).join(F.broadcast(nodes) if few else nodes, (F.col("doc_id") == F.col("at")) & (F.col("n") == F.col("size"))).drop("at", "size")
+
+    heads = of_nodes(["prefix"], members.where("node = group").select(F.col("node").alias("at"), F.col("n").alias("size")))
+    postings = heads.select(F.col("doc_id").alias("group"), "n", F.posexplode("prefix").alias("place", "token"))
     # of two similar sets the smaller one's shared shingle stands in a shorter prefix
     shorter = F.col("n") - F.ceil(F.col("n") * (2 * percent) / (100 + percent)) + 1
-    postings = postings.select("token", "group", "n", (F.col("place") < shorter).alias("early"))
-    by_token = postings.groupBy("token").agg(F.count("*").alias("groups"), F.min(F.struct("n", "group", "early")).alias("least"), F.min(F.struct(F.xxhash64("group").alias("h"), "group", "n", "early")).alias("other")).where("groups > 1")
-    lists = stored(postings.join(by_token, "token"), "lists")
-
+    # one shuffle by token brings each list together; most are of one group and end here
+    postings = postings.select("token", "group", (F.col("n") * 2 + (F.col("place") < shorter).cast("long")).alias("size"))
+    of_token = Window.partitionBy("token")
+    lists = postings.withColumn("least", F.min(F.struct("size", "group")).over(of_token)).withColumn("most", F.max(F.struct("size", "group")).over(of_token)).where("least.group <> most.group")
+    lists = lists.select("token", "group", F.shiftright("size", 1).alias("n"), (F.col("size") % 2 == 1).alias("early"), "least", "most", F.min(F.struct(F.xxhash64("group").alias("h"), "group", "size")).over(of_token).alias("other"))
+    lists = stored(lists.select("token", "group", "n", "early", *[F.struct(F.col(f"{x}.group").alias("group"), F.shiftright(F.col(f"{x}.size"), 1).alias("n")).alias(x) for x in ("least", "other")]), "lists")
     forget(spark)
 
     # a first round: every list against two of its groups, every group's members against the first
     firsts = [lists.select(F.col(f"{x}.group").alias("a"), F.col(f"{x}.n").alias("na"), F.col("group").alias("b"), F.col("n").alias("nb")) for x in ("least", "other")]
     stars = firsts[0].unionByName(firsts[1]).where((F.col("a") != F.col("b")) & _fits("na", "nb", percent)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     own = members.where("node <> group").select(F.col("group").alias("a"), F.col("node").alias("b"))
-    info = members.select("node", "n", "wide")
+    info = stored(of_nodes(["wide"], members.select(F.col("node").alias("at"), F.col("n").alias("size"))).select(F.col("doc_id").alias("node"), "n", "wide").dropDuplicates(["node", "n", "wide"]), "bitmaps")
+    narrow = of_nodes(["bits"], members.where("node = group").select(F.col("node").alias("at"), F.col("n").alias("size"))).select(F.col("doc_id").alias("group"), "bits").dropDuplicates(["group", "bits"])
 
     def near(batches):
         for batch in batches:
@@ -267,7 +274,7 @@ def linked(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
     def filtered(pairs: DataFrame) -> DataFrame:
         one, two = (info.select(*[F.col(c).alias(c + k) for c in info.columns]) for k in "ab")
         joined = pairs.join(one, pairs["a"] == one["nodea"]).join(two, F.col("b") == two["nodeb"])
-        return joined.where(_fits("na", "nb", percent)).select("a", "b", "na", "nb", "widea", "wideb").mapInArrow(near, "a long, b long")
+        return joined.where(_fits("na", "nb", percent)).select("a", "b", "na", "nb", "widea", "wideb").mapInArrow(frugal(near), "a long, b long").distinct()
 
     tried = stored(filtered(stars.unionByName(own)), "star-pairs")
     links = verified(docs, tried, levels, n, percent)
@@ -276,10 +283,10 @@ def linked(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
 
     # then whatever is still apart: groups of several components count as one that differs from all
     placed = members.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    of_group = placed.groupBy("group").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.first("bits").alias("bits"), F.first("members").alias("members"))
+    of_group = placed.groupBy("group").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.first("members").alias("members"))
     open_lists = lists.select("token", "group", "n", "early").join(of_group, "group")
     apart = open_lists.groupBy("token").agg(F.min("lo").alias("lo_all"), F.max("hi").alias("hi_all")).where("lo_all <> hi_all").select("token")
-    rest = stored(open_lists.join(apart, "token"), "open-lists")
+    rest = stored(open_lists.join(apart, "token").join(narrow, "group"), "open-lists")
     x, y = (rest.select(*[F.col(c).alias(c + k) for c in rest.columns]) for k in "ab")
     smaller_first = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("groupa") < F.col("groupb")))
     same = (F.col("loa") == F.col("hia")) & (F.col("lob") == F.col("hib")) & (F.col("loa") == F.col("lob"))
@@ -306,7 +313,7 @@ def linked(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
     else:
         base = signed.where("n = 0").select("doc_id", "n").withColumn("node", F.col("doc_id")).unionByName(tied.select("doc_id", "n", "node"))
     out = stored(base.join(final, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "node").alias("component_id")), "linked")
-    discard(signed, classes, members, tried, links, rest_pairs, more)
+    discard(signed, classes, members, info, tried, links, rest_pairs, more)
     forget(spark)
     return out
 

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import PIECE_BYTES, bounded_batches, covered, mix, pieces, prefix_hash, read, span_hash, stored, utf8
+from .common import PIECE_BYTES, bounded_batches, covered, frugal, mix, pieces, prefix_hash, read, release, span_hash, stored, utf8
 
 MATCH, GRAM = 50, 16
 #: A passage reaches at least so far beyond its anchor on one side.
@@ -358,6 +358,7 @@ def _compare(table: pa.Table) -> pa.Table:
     last[:-1] &= ~hit[1:] | (edge[1:] != edge[:-1])
     a, z = np.flatnonzero(first), np.flatnonzero(last)
     e = edge[a]
+    release()
     return pa.table({"doc_id": pa.array(ids[e], pa.int64()), "mark": pa.array(marks[e], pa.int32()), "s0": pa.array((s0[e] + inner[a]).astype(np.int32)), "n": pa.array((z - a + 1).astype(np.int32))})
 
 
@@ -375,7 +376,7 @@ def _zipped(docs: DataFrame) -> DataFrame:
 
     kinds = [T.StructField("rep_key", T.LongType()), T.StructField("rep_mark", T.IntegerType()), T.StructField("rep_zip", T.BinaryType()), T.StructField("rep_null", T.BooleanType()), docs.schema["doc_id"], *(docs.schema[c] for c in others)]
     keyed = docs.select(_key().alias("rep_key"), _mark().alias("rep_mark"), F.col("text").isNull().alias("rep_null"), "text", "doc_id", *others)
-    return keyed.mapInArrow(run, T.StructType(kinds))
+    return keyed.mapInArrow(frugal(run), T.StructType(kinds))
 
 
 def _key():
@@ -402,15 +403,15 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
                 take = mix(gram) % np.uint64(16) == 0 if len(gram) > 4000 else np.ones(len(gram), bool)
                 yield pa.RecordBatch.from_arrays([pa.array([lead[take].tobytes()], pa.binary()), pa.array([gram[take].tobytes()], pa.binary())], names=["lead", "gram"])
 
-    seen = part.select("text").mapInArrow(sampled, "lead binary, gram binary").collect()  # bounded: anchors of 2 * SAMPLED documents, thinned where long
+    seen = part.select("text").mapInArrow(frugal(sampled), "lead binary, gram binary").collect()  # bounded: anchors of 2 * SAMPLED documents, thinned where long
     lead, gram = (np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(bytes(r[c]), np.uint64) for r in seen)]) for c in ("lead", "gram"))
     ranges = Ranges(lead, gram, buckets)
-    sent = texts.mapInArrow(_send(ranges), _SENT)
+    sent = texts.mapInArrow(frugal(_send(ranges)), _SENT)
     found = stored(sent.groupBy("bucket").applyInArrow(_settle(buckets), _FOUND), "suffix-runs")
     edges = found.where("edge").groupBy("doc_id", "mark").agg(F.collect_list(F.struct("s0", "n", "bucket")).alias("edges"))
     zipped = _zipped(docs.select("doc_id", "text")).select(F.col("rep_key").alias("doc_id"), F.col("rep_mark").alias("mark"), F.col("rep_zip").alias("zipped"))
     wanted = zipped.join(edges, ["doc_id", "mark"])
-    passages = wanted.mapInArrow(_edge_bytes(buckets), "bucket long, doc_id long, mark int, s0 int, data binary")
+    passages = wanted.mapInArrow(frugal(_edge_bytes(buckets)), "bucket long, doc_id long, mark int, s0 int, data binary")
     exact = passages.groupBy("bucket").applyInArrow(_compare, "doc_id long, mark int, s0 int, n int")
     return found.where("NOT edge").select("doc_id", "mark", "s0", "n").unionByName(exact)
 
@@ -461,7 +462,7 @@ def remove_repeats(docs: DataFrame, text: bool = True) -> DataFrame:
 
     span = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
     fields = [docs.schema[c] for c in names] + [T.StructField("rep_bytes", T.LongType()), T.StructField("rep_spans", span), T.StructField("rep_sha256", T.StringType())] + ([T.StructField("rep_text", T.StringType())] if text else [])
-    return joined.mapInArrow(run, T.StructType(fields))
+    return joined.mapInArrow(frugal(run), T.StructType(fields))
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

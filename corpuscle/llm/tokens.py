@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from .common import bounded_batches, read
+from .common import bounded_batches, frugal, read
 
 MODEL, LIMIT = "piece_bpe_32k.model", 4096
 #: Entries after which a worker's tables start anew.
@@ -189,7 +189,7 @@ def count_tokens(docs: DataFrame, path: str | None = None, limit: int = LIMIT, c
 
     kinds = {pa.int64(): T.LongType(), pa.bool_(): T.BooleanType()}
     schema = T.StructType([*docs.schema.fields, *(T.StructField(n, kinds[k]) for n, k in added)])
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(frugal(run), schema)
 
 
 def op9_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
