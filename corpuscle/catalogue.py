@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-MODULES: tuple = ()
+from .plans import relational, retrieval, study, texts
+
+MODULES = (retrieval, texts, study, relational)
 FLAGSHIP = "hybrid_search"
 
 
