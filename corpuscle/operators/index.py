@@ -25,11 +25,16 @@ def doc_lengths(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     return docs.select(key, F.size(tokens(F.col(text))).cast("long").alias("len")).where("len > 0")
 
 
+def token_documents(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(token, doc_freq) straight from the texts: each document's distinct tokens are counted before the shuffle, so no posting travels."""
+    return docs.select(F.explode(F.array_distinct(tokens(F.col(text)))).alias("token")).groupBy("token").agg(F.count("*").alias("doc_freq"))
+
+
 def idf_table(frequencies: DataFrame, n_docs: int) -> DataFrame:
     """Inverse document frequencies; negative ones become a share of the mean over all terms."""
     raw = frequencies.withColumn("raw", F.log(F.lit(float(n_docs)) - F.col("doc_freq") + 0.5) - F.log(F.col("doc_freq") + 0.5))
-    mean = raw.agg(F.avg("raw")).first()[0] or 0.0
-    return raw.select("token", "doc_freq", F.when(F.col("raw") < 0, F.lit(EPSILON * mean)).otherwise(F.col("raw")).alias("idf"))
+    mean = raw.agg(F.avg("raw")).scalar()
+    return raw.select("token", "doc_freq", F.when(F.col("raw") < 0, F.lit(EPSILON) * mean).otherwise(F.col("raw")).alias("idf"))
 
 
 def corpus_stats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[int, float]:
@@ -49,13 +54,13 @@ def bm25_scores(docs: DataFrame, queries: DataFrame, key: str = "doc_id", text:
     other tokens never reach a shuffle."""
     n, average = corpus_stats(docs, key, text)
     terms = query_terms(queries)
-    postings = term_frequency(docs, key, text)
-    idf = idf_table(doc_frequency(postings), n)
+    idf = idf_table(token_documents(docs, text), n)
     asked = terms.join(idf, "token").select("query_id", "token", (F.col("times") * F.col("idf")).alias("weight"))
     needed = terms.select("token").distinct()
-    some = docs.select(key, F.explode(tokens(F.col(text))).alias("token")).join(needed, "token", "left_semi").groupBy(key, "token").agg(F.count("*").alias("tf"))
+    ts = docs.select(key, tokens(F.col(text)).alias("ts")).select(key, F.size("ts").cast("long").alias("len"), F.explode("ts").alias("token"))
+    some = ts.join(needed, "token", "left_semi").groupBy(key, "len", "token").agg(F.count("*").alias("tf"))
     norm = F.lit(K1) * (F.lit(1 - B) + F.lit(B) * F.col("len") / F.lit(max(average, 1e-9)))
-    scored = some.join(doc_lengths(docs, key, text), key).select(key, "token", (F.col("tf") * (K1 + 1) / (F.col("tf") + norm)).alias("part"))
+    scored = some.select(key, "token", (F.col("tf") * (K1 + 1) / (F.col("tf") + norm)).alias("part"))
     return scored.join(asked, "token").groupBy("query_id", key).agg(F.sum(F.col("weight") * F.col("part")).alias("score"))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -64,10 +65,11 @@ def grounding_contains(spark, d):
     docs = table(spark, d, "documents").select("doc_id", X.collapsed(F.col("text")).alias("t"))
     # candidates share the item's third to seventh words; a document that holds the item whole shares them
     key = F.array_join(F.slice(F.split("x", " "), 3, 5), " ")
-    ws = F.split("t", " ")
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.size(ws) - 4, F.lit(1))), lambda i: F.array_join(F.slice(ws, i, 5), " "))
+    split = docs.select("doc_id", F.posexplode(F.split("t", " ")).alias("i", "w"))
+    near = Window.partitionBy("doc_id").orderBy("i").rowsBetween(0, 4)
+    grams = split.select("doc_id", F.array_join(F.collect_list("w").over(near), " ").alias("key"))
     # texts stay behind until a candidate needs its own
-    pairs = docs.select("doc_id", F.explode(grams).alias("key")).join(b.withColumn("key", key), "key").select("doc_id", "item_id", "x").distinct().join(docs, "doc_id")
+    pairs = grams.join(b.withColumn("key", key), "key").select("doc_id", "item_id", "x").distinct().join(docs, "doc_id")
     return pairs.where(F.contains("t", "x")).groupBy("item_id").agg(F.count("*").alias("docs"), F.min("doc_id").alias("first"))
 
 
