@@ -164,7 +164,7 @@ g AS (SELECT *, CASE WHEN p_size < 20 THEN 'easy' ELSE 'hard' END AS difficulty,
  WHEN 'fill_blank' THEN CASE WHEN {_NS.format('answer')} <> '' THEN contains({_NS.format('given')}, {_NS.format('answer')}) END
  WHEN 'short_answer' THEN CASE WHEN len({_LW.format('answer')}) > 0 THEN len(list_intersect({_LW.format('answer')}, {_LW.format('given')})) / len({_LW.format('answer')}) >= 0.6::DOUBLE END END AS correct FROM r)"""
 _ALLOC = "a{n} AS (SELECT *, greatest(1, floor({n} * w / sum(w) OVER ()))::BIGINT AS f FROM u), b{n} AS (SELECT *, ({n} - sum(f) OVER ())::BIGINT AS res, count(*) OVER () AS k, row_number() OVER (PARTITION BY f > 1 ORDER BY f DESC, unit_no) AS i, row_number() OVER (ORDER BY w DESC, unit_no) AS j FROM a{n}), c{n} AS (SELECT source, CASE WHEN res < 0 THEN f - (f > 1 AND i <= -res)::INT WHEN res > 0 THEN f + res // k + (j <= res % k)::INT ELSE f END::BIGINT AS n FROM b{n})"
-_CARDS = f"c AS (SELECT user_id AS card, event_type AS quiz_id, max(epoch(ts)::BIGINT) AS last, count(*) AS reviews, count(*) FILTER (value > 50) AS passes FROM events GROUP BY ALL), cards AS (SELECT *, CASE WHEN card % 9 > 0 THEN last + 86400 * (card % 5) END AS due FROM c)"
+_CARDS = f"c AS (SELECT user_id AS card, event_type AS quiz_id, max(floor(epoch(ts))::BIGINT) AS last, count(*) AS reviews, count(*) FILTER (value > 50) AS passes FROM events GROUP BY ALL), cards AS (SELECT *, CASE WHEN card % 9 > 0 THEN last + 86400 * (card % 5) END AS due FROM c)"
 _HIST = "WITH l AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS i FROM conversations), h AS (SELECT conv_id, turn, sum(least(length(text), 2500) + 40) OVER (PARTITION BY conv_id ORDER BY turn {o} ROWS UNBOUNDED PRECEDING) AS used FROM l WHERE i <= 12) SELECT conv_id, turn, used::BIGINT AS used FROM h WHERE used <= 2000"
 _FIRST = r"trim(regexp_replace(arg_min(text, turn) FILTER (role = 'user'), '\s+', ' ', 'g'))"
 
