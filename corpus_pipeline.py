@@ -27,6 +27,8 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     doc_id have no links and stay."""
     groups = ngram_join.linked(docs, SHINGLE, SIMILAR)
     gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
+    if gone.count() <= ngram_join.MOST_BROADCAST:  # 8 bytes each; beyond that, the join shuffles
+        gone = F.broadcast(gone)
     kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
     if groups.groupBy("doc_id").count().where("count > 1").limit(1).count():
         kept = kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id IS NULL"))
