@@ -26,7 +26,7 @@ from .common import read
 class Template:
     """role -> (opening mark, closing mark, loss on its text); moves: state -> roles that may follow ('' starts)."""
 
-    roles: dict = field(default_factory=lambda: {"system": ("[SYS]", "[/SYS]", False), "user": ("[INST]", "[/INST]", False), "assistant": ("[OUT]", "</s>", True)})
+    roles: dict = field(default_factory=lambda: {"system": ("[SYS] ", "[/SYS]", False), "user": ("[INST] ", "[/INST]", False), "assistant": ("[OUT] ", "</s>", True)})
     other: tuple = ("[ROLE ", "[/ROLE]")
     moves: dict = field(default_factory=lambda: {"": ("system", "user"), "system": ("user",), "user": ("assistant",), "assistant": ("user",)})
     last: tuple = ("assistant",)
@@ -71,7 +71,7 @@ def format_chats(rows: DataFrame, t: Template = TEMPLATE) -> DataFrame:
 
     def segments(x: Column) -> Column:
         role = x["role"]
-        opening = _by_role(role, {k: v[0] for k, v in t.roles.items()}, F.concat(F.lit(t.other[0]), escaped(role), F.lit("]")))
+        opening = _by_role(role, {k: v[0] for k, v in t.roles.items()}, F.concat(F.lit(t.other[0]), escaped(role), F.lit("] ")))
         closing = _by_role(role, {k: v[1] for k, v in t.roles.items()}, F.lit(t.other[1]))
         loss = _by_role(role, {k: v[2] for k, v in t.roles.items()}, F.lit(False))
         return F.array(
@@ -92,9 +92,9 @@ def read_back(formatted: Column, t: Template = TEMPLATE) -> Column:
     parts = F.filter(F.split(formatted, f"(?<={quoted})"), lambda p: p != "")
 
     def turn(p: Column) -> Column:
-        head = F.regexp_extract(p, r"^\[(?:[^\[\]<]|[\[\]<]\\)*\]", 0)
+        head = F.regexp_extract(p, r"^\[(?:[^\[\]<]|[\[\]<]\\)*+\] ", 0)
         tail = F.regexp_extract(p, f"(?:{quoted})$", 0)
-        role = unescaped(F.substring(head, len(t.other[0]) + 1, F.length(head) - len(t.other[0]) - 1))
+        role = unescaped(F.substring(head, len(t.other[0]) + 1, F.length(head) - len(t.other[0]) - 2))
         for name, (opening, _, _) in t.roles.items():
             role = F.when(head == opening, F.lit(name)).otherwise(role)
         body = F.substring(p, F.length(head) + 1, F.length(p) - F.length(head) - F.length(tail))
@@ -133,7 +133,7 @@ WITH r AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '')
 o AS (SELECT *, lag(role) OVER w AS before, row_number() OVER w AS i, count(*) OVER (PARTITION BY conv_id) AS n FROM r WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
 m AS (SELECT *, (CASE coalesce(before, '') WHEN '' THEN i = 1 AND role IN ('system', 'user') WHEN 'system' THEN role = 'user' WHEN 'user' THEN role = 'assistant' WHEN 'assistant' THEN role = 'user' ELSE false END)
    AND (i < n OR role = 'assistant') AS good,
-  CASE role WHEN 'system' THEN 11 WHEN 'user' THEN 13 WHEN 'assistant' THEN 9 ELSE 14 + length({_ESC.format('role')}) END + length({_ESC.format('text')}) AS chars FROM o)
+  CASE role WHEN 'system' THEN 12 WHEN 'user' THEN 14 WHEN 'assistant' THEN 10 ELSE 15 + length({_ESC.format('role')}) END + length({_ESC.format('text')}) AS chars FROM o)
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY i)) AS turns_sha256,
   coalesce(sum(CASE WHEN role = 'assistant' THEN length(text) END), 0)::BIGINT AS loss_chars,
   sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY i), '')) AS loss_sha256,

@@ -234,29 +234,30 @@ def main_text(page: str | None) -> str:
         return ""
     root = parse(page)
     weigh(root)
-    best, path = root, [root]
-    todo: list[tuple[Block, tuple]] = [(root, ())]
-    seen_best = ()
+    best, parent = root, {id(root): None}
+    todo = [root]
     while todo:  # in page order, so that the outer and earlier block of equal sums stays
-        b, above = todo.pop()
+        b = todo.pop()
         if b.sum > best.sum:
-            best, seen_best = b, above
-        todo.extend((c, (*above, b)) for c in reversed(b.children))
-    path = list(seen_best)
+            best = b
+        for c in reversed(b.children):
+            parent[id(c)] = b
+            todo.append(c)
+    path: list[Block] = []
+    above = parent[id(best)]
+    while above is not None:
+        path.append(above)
+        above = parent[id(above)]
     threshold = min([best.density, *(b.density for b in path)])
     on_path = {id(b) for b in path}
     out: list[str] = []
-
-    def take(b: Block) -> None:
-        if id(b) not in on_path:
-            if b is best or b.density >= threshold:
-                _written(b, out)
-            return
-        for x in b.parts:
-            if isinstance(x, Block):
-                take(x)
-
-    take(root)
+    waiting = [root]
+    while waiting:
+        b = waiting.pop()
+        if id(b) in on_path:
+            waiting.extend(reversed(b.children))
+        elif b is best or b.density >= threshold:
+            _written(b, out)
     return " ".join("".join(out).split())
 
 

@@ -82,7 +82,8 @@ TEMPLATES = {
     ],
     "mpl": [
         "Licensed under the Mozilla Public License, Version 2.0.",
-        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+        "If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
     ],
     "proprietary": [
         "All rights reserved. No part of this publication may be reproduced without the prior written permission of the publisher.",
