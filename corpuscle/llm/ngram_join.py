@@ -1,13 +1,14 @@
 """Jaccard join over word n-grams by a grouped prefix join, and the components it links.
 
 Shingles are ordered by how common they are and then by hash; two sets can only be similar if their prefixes in that
-order share a shingle. Commonness is a table of SLOTS counts over all documents (a fixed size; a coarse count only makes the order
+order share a shingle. Commonness is a table of counts of hashed shingles over all documents (a fixed size; a coarse count only makes the order
 less selective, it loses nothing). Documents of equal sets are one class; classes with identical prefixes and size are one group.
 
-For the components not every pair must be looked at. First each list of groups under a shingle is compared with two of its own (the
-smallest and the one first by hash), and each group's members with its first. Then only pairs that are still in different
+For the components not every pair must be looked at. First each list of groups under a shingle is compared with a few of its own (the
+smallest, and the first ones by several hashes), and each group's members with its first. Then only pairs that are still in different
 components are left; lists that have become one component drop out, pairs that differ too much in size or in a parity bitmap of
-their sets (which never overstates the difference) are filtered, the rest are expanded and verified on the whole texts. So large groups of
+their sets (which never overstates the difference) are filtered, the rest are expanded and verified on the whole texts, a few of each
+document's first, since these connect most. So large groups of
 near copies cost no quadratic number of pairs, and no link between components is lost.
 
 Defined cases: null, empty and wordless texts have an empty set and are their own component; fewer words than n are one shingle;
@@ -26,7 +27,11 @@ from .common import LOWER, NOT_SPACE, bounded_batches, discard, forget, frugal,
 from .components import components
 
 N, PERCENT = 3, 90
-SLOTS_BITS, SLOT_BLOCKS = 18, 64
+SLOTS_BITS, SLOT_BLOCKS = 23, 64
+#: Groups that each list is compared with in the first round, beside its smallest.
+LEADERS = 4
+#: Rounds in which each document's first SAMPLED_PAIRS open pairs are verified before all that still are open; then few are left.
+ROUNDS, SAMPLED_PAIRS = 3, 3
 #: Up to so many ids of candidate documents are broadcast (8 bytes each); beyond, they are joined by shuffle.
 MOST_BROADCAST = 1_000_000
 BITS = 256
@@ -57,44 +62,48 @@ def shingles(buf: np.ndarray, off: np.ndarray, n: int = N) -> tuple[np.ndarray,
     return np.concatenate(rows), np.concatenate(hashes)
 
 
-def slot_counts(docs: DataFrame, n: int = N) -> np.ndarray:
-    """How often shingles fall into each slot, over all documents. Tasks send fixed-size blocks, which few tasks add up."""
+def slot_levels(docs: DataFrame, n: int = N) -> np.ndarray:
+    """How common shingles of each slot are over all documents, on a logarithmic scale, 0 up to twice the mean. Tasks send small counts,
+    which compress well, in blocks of fixed size; few tasks add them up. One byte for each slot comes back."""
+    import zstandard
+
     each = (1 << SLOTS_BITS) // SLOT_BLOCKS
+    top = np.iinfo(np.uint16).max
 
     def count(batches):
-        total = np.zeros(1 << SLOTS_BITS, np.int64)
+        total = np.zeros(1 << SLOTS_BITS, np.uint16)
         for b in batches:
             buf, off = utf8(b.column("text"))
             for i, j in pieces(off):
                 _, h = shingles(buf[off[i] : off[j]], off[i : j + 1] - off[i], n)
-                total += np.bincount((h >> np.uint64(64 - SLOTS_BITS)).astype(np.int64), minlength=len(total))
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(SLOT_BLOCKS)), pa.array([total[k * each : (k + 1) * each].astype("<u4" if total.max() < 1 << 32 else "<u8").tobytes() for k in range(SLOT_BLOCKS)], pa.binary())], names=["block", "counts"])
+                slot, times = np.unique((h >> np.uint64(64 - SLOTS_BITS)).astype(np.uint32), return_counts=True)
+                total[slot] = np.minimum(total[slot] + times, top).astype(np.uint16)
+        zipper = zstandard.ZstdCompressor(level=1)
+        for k in range(SLOT_BLOCKS):
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([zipper.compress(total[k * each : (k + 1) * each].tobytes())], pa.binary())], names=["block", "counts"])
 
     def add(batches):
+        unzip = zstandard.ZstdDecompressor()
         totals: dict[int, np.ndarray] = {}
         for b in batches:
             for k, data in zip(b.column("block").to_pylist(), b.column("counts").to_pylist()):
-                x = np.frombuffer(data, "<u4" if len(data) == 4 * each else "<u8").astype(np.int64)
-                totals[k] = totals[k] + x if k in totals else x
-        yield pa.RecordBatch.from_arrays([pa.array(list(totals), pa.int64()), pa.array([x.tobytes() for x in totals.values()], pa.binary())], names=["block", "counts"])
+                x = np.frombuffer(unzip.decompress(data), np.uint16)
+                totals[k] = totals[k] + x if k in totals else x.astype(np.int64)
+        # shingles are dealt over blocks by hash, so a block's mean is the mean
+        data = [np.clip(np.log2(np.maximum(x / max(x.mean(), 1.0), 1.0)), 0, 31).astype(np.uint8).tobytes() for x in totals.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(totals), pa.int64()), pa.array(data, pa.binary())], names=["block", "counts"])
 
     rows = docs.select("text").mapInArrow(frugal(count), "block long, counts binary").repartition(SLOT_BLOCKS, "block").mapInArrow(frugal(add), "block long, counts binary").collect()
-    out = np.zeros((SLOT_BLOCKS, each), np.int64)
+    out = np.zeros((SLOT_BLOCKS, each), np.uint8)
     for r in rows:  # SLOT_BLOCKS rows
-        out[r["block"]] = np.frombuffer(bytes(r["counts"]), np.int64)
+        out[r["block"]] = np.frombuffer(bytes(r["counts"]), np.uint8)
     return out.ravel()
 
 
-def levels_of(counts: np.ndarray) -> np.ndarray:
-    """Commonness of each slot on a logarithmic scale, 0 up to twice the mean."""
-    mean = max(counts.mean(), 1.0)
-    return np.clip(np.floor(np.log2(np.maximum(counts / mean, 1.0))), 0, 31).astype(np.uint64)
-
-
 def token_sets(buf: np.ndarray, off: np.ndarray, levels: np.ndarray, n: int = N) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct tokens of all rows one after another, and each row's offset. A token is commonness, then hash."""
     row, h = shingles(buf, off, n)
-    token = (levels[(h >> np.uint64(64 - SLOTS_BITS)).astype(np.int64)] << np.uint64(58)) | (h >> np.uint64(6))
+    token = (levels[(h >> np.uint64(64 - SLOTS_BITS)).astype(np.int64)].astype(np.uint64) << np.uint64(58)) | (h >> np.uint64(6))
     order = np.argsort(token, kind="stable")
     order = order[np.argsort(row[order].astype(np.uint32), kind="stable")]
     row, token = row[order], token[order]
@@ -231,7 +240,7 @@ def linked(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row with a doc_id."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    levels = levels_of(slot_counts(docs, n))
+    levels = slot_levels(docs, n)
     signed = stored(signatures(docs, levels, n, percent), "signatures")
 
     # classes of equal sets, represented by their smallest doc_id; groups of identical prefix and size, which hold whole classes
@@ -254,13 +263,14 @@ def linked(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
     postings = postings.select("token", "group", (F.col("n") * 2 + (F.col("place") < shorter).cast("long")).alias("size"))
     of_token = Window.partitionBy("token")
     lists = postings.withColumn("least", F.min(F.struct("size", "group")).over(of_token)).withColumn("most", F.max(F.struct("size", "group")).over(of_token)).where("least.group <> most.group")
-    lists = lists.select("token", "group", F.shiftright("size", 1).alias("n"), (F.col("size") % 2 == 1).alias("early"), "least", "most", F.min(F.struct(F.xxhash64("group").alias("h"), "group", "size")).over(of_token).alias("other"))
-    lists = stored(lists.select("token", "group", "n", "early", *[F.struct(F.col(f"{x}.group").alias("group"), F.shiftright(F.col(f"{x}.size"), 1).alias("n")).alias(x) for x in ("least", "other")]), "lists")
+    leaders = {"least": F.col("least")} | {f"by{k}": F.min(F.struct(F.xxhash64("group", F.lit(k)).alias("h"), "group", "size")).over(of_token) for k in range(LEADERS)}
+    leaders = {name: F.struct(x["group"].alias("group"), F.shiftright(x["size"], 1).alias("n")).alias(name) for name, x in leaders.items()}
+    lists = stored(lists.select("token", "group", F.shiftright("size", 1).alias("n"), (F.col("size") % 2 == 1).alias("early"), *leaders.values()), "lists")
     forget(spark)
 
     # a first round: every list against two of its groups, every group's members against the first
-    firsts = [lists.select(F.col(f"{x}.group").alias("a"), F.col(f"{x}.n").alias("na"), F.col("group").alias("b"), F.col("n").alias("nb")) for x in ("least", "other")]
-    stars = firsts[0].unionByName(firsts[1]).where((F.col("a") != F.col("b")) & _fits("na", "nb", percent)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    met = lists.select(F.col("group").alias("b"), F.col("n").alias("nb"), F.explode(F.array_distinct(F.array(*leaders))).alias("first"))
+    stars = met.select(F.col("first.group").alias("a"), F.col("first.n").alias("na"), "b", "nb").where((F.col("a") != F.col("b")) & _fits("na", "nb", percent)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     own = members.where("node <> group").select(F.col("group").alias("a"), F.col("node").alias("b"))
     info = stored(of_nodes(["wide"], members.select(F.col("node").alias("at"), F.col("n").alias("size"))).select(F.col("doc_id").alias("node"), "n", "wide").dropDuplicates(["node", "n", "wide"]), "bitmaps")
     narrow = of_nodes(["bits"], members.where("node = group").select(F.col("node").alias("at"), F.col("n").alias("size"))).select(F.col("doc_id").alias("group"), "bits").dropDuplicates(["group", "bits"])
@@ -298,14 +308,33 @@ def linked(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
     expanded = group_pairs.unionByName(inside).join(one, "ga").join(two, "gb").where("a <> b AND ca <> cb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     rest_pairs = stored(filtered(expanded.join(tried, ["a", "b"], "left_anti")), "rest-pairs")
     discard(rest, lists)
-    more = verified(docs, rest_pairs, levels, n, percent)
+    # most open pairs lie between documents that a few of them connect already
+    more, remaining = [], rest_pairs
+    for k in range(ROUNDS):
+        sizes = remaining.agg(F.count("*"), F.countDistinct("a")).first()
+        if sizes[0] <= 2 * SAMPLED_PAIRS * sizes[1]:
+            break
+        of = [F.row_number().over(Window.partitionBy(x).orderBy(F.xxhash64("a", "b", F.lit(k)))) for x in "ab"]
+        sample = remaining.withColumn("i", of[0]).withColumn("j", of[1]).where(F.least("i", "j") <= SAMPLED_PAIRS).select("a", "b")
+        more.append(verified(docs, stored(sample, "sampled-pairs"), levels, n, percent))
+        tied_now = label.select(F.col("node").alias("a"), F.col("component").alias("b"))
+        for m in more:
+            tied_now = tied_now.unionByName(m)
+        now = components(tied_now)
+        ends = [now.select(F.col("node").alias("n" + x), F.col("component").alias("c" + x)) for x in "ab"]
+        joined = remaining.join(ends[0], F.col("a") == F.col("na"), "left").join(ends[1], F.col("b") == F.col("nb"), "left")
+        before, remaining = remaining, stored(joined.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b"), "still-open")
+        discard(before, now)
+    more.append(verified(docs, remaining, levels, n, percent))
 
     # a doc_id's rows may be of several classes; the classes of equal doc_ids are tied
     tied = signed.where("n > 0").join(classes.select("n", "c1", "c2", "node"), ["n", "c1", "c2"])
     ties = tied.where("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
     versions = signed.groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").limit(1)
     # with unique doc_ids a class's members follow their node, which needs no further links
-    whole = label.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)
+    whole = label.select(F.col("node").alias("a"), F.col("component").alias("b"))
+    for m in more:
+        whole = whole.unionByName(m)
     repeated = bool(versions.head(1))
     final = components(whole.unionByName(ties) if repeated else whole)
     if repeated:
@@ -313,7 +342,7 @@ def linked(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
     else:
         base = signed.where("n = 0").select("doc_id", "n").withColumn("node", F.col("doc_id")).unionByName(tied.select("doc_id", "n", "node"))
     out = stored(base.join(final, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "node").alias("component_id")), "linked")
-    discard(signed, classes, members, info, tried, links, rest_pairs, more)
+    discard(signed, classes, members, info, tried, links, remaining, *more)
     forget(spark)
     return out
 
