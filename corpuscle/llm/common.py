@@ -17,9 +17,10 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Arrow batches are bounded by bytes, so that a run of very long texts doesn't fill a worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    """Arrow batches are bounded by bytes, so that a run of very long texts doesn't fill a worker; scans decode few texts at a time."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
+    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", "512")
 
 
 def work_path(spark: SparkSession, name: str) -> str:
@@ -35,7 +36,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write df to the shared folder and read it again."""
     spark = df.sparkSession
     path = work_path(spark, name)
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", 16 << 20).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._work_path = path
     return out
