@@ -14,10 +14,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import read, stored
 
 #: Weights by position of the source, repeating; no source is repeated more than MOST times.
 WEIGHTS, MOST, SEED = (5, 2, 1), 3, "mix-1"
+#: Up to so many sources are broadcast, so that texts needn't be shuffled by source.
+MOST_BROADCAST = 50_000
 
 
 def words(text: Column) -> Column:
@@ -55,8 +57,10 @@ def chance(doc_id: Column, seed: str) -> Column:
 def rates(docs: DataFrame, seed: str = SEED, weights=WEIGHTS, most: int = MOST) -> DataFrame:
     """One row for each document: its own columns in a struct `doc`, its size, its source's size and target, and copies."""
     sized = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"), docs["source"].alias("source"), docs["doc_id"].alias("doc_id"), words(docs["text"]).alias("size"))
-    sizes = docs.select(docs["source"].alias("source"), words(docs["text"]).alias("size")).groupBy("source").agg(F.sum("size").alias("source_size"))
+    sizes = stored(docs.select(docs["source"].alias("source"), words(docs["text"]).alias("size")).groupBy("source").agg(F.sum("size").alias("source_size")), "source-sizes")
     aims = targets(sizes, weights, most).withColumnRenamed("source", "of_source")
+    if sizes.count() <= MOST_BROADCAST:  # beyond that, the join shuffles
+        aims = F.broadcast(aims)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     whole = F.floor("rate")
     extra = (chance(F.col("doc_id"), seed) < F.col("rate") - whole).cast("long")
