@@ -94,19 +94,25 @@ TEMPLATES = {
 LICENCE_WORDS = ("license licensed licence licenced licensing copyright permission redistribution redistribute warranty warranties sublicense proprietary").split()
 
 
-def features(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row and hash of the word n-grams (n from 1 to GRAMS) of every row, and the hashes of single words in that order first."""
+def features(buf: np.ndarray, off: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Row and hash of the word n-grams of every row, for n from 1 to GRAMS, each in order of rows."""
     low = LOWER[buf]
     start, end = runs(IS_WORD[low], off)
     h = span_hash(prefix_hash(low), start, end)
     row = np.searchsorted(off, start, "right") - 1
-    rows, hashes, x = [row], [h], h
+    out, x = [(row, h)], h
     for n in range(2, GRAMS + 1):
         x = mix(x[:-1] * _K + h[n - 1 :]) if len(x) > 1 else x[:0]
         inside = row[: len(x)] == row[n - 1 :][: len(x)]
-        rows.append(row[: len(x)][inside])
-        hashes.append((x * np.uint64(2) + np.uint64(1))[inside])
-    return np.concatenate(rows), np.concatenate(hashes), h
+        out.append((row[: len(x)][inside], (x * np.uint64(2) + np.uint64(1))[inside]))
+    return out
+
+
+def _flat(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """All n-grams in order of rows."""
+    row, h = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
+    order = np.argsort(row, kind="stable")
+    return row[order], h[order]
 
 
 def _columns(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -138,10 +144,8 @@ class Model:
         labels += [len(self.families)] * len(other)
         y = np.array(labels)
         apart = rng.random(len(y)) < 0.2
-        row, h, _ = features(*_columns(texts))
+        row, h = _flat(features(*_columns(texts)))
         column = (h >> np.uint64(64 - BUCKETS_BITS)).astype(np.int64)
-        keep, column = np.unique(row << BUCKETS_BITS | column), None
-        row, column = keep >> BUCKETS_BITS, keep & ((1 << BUCKETS_BITS) - 1)
         size = np.maximum(np.bincount(row, minlength=len(y)), 1)
         value = 1 / np.sqrt(size[row])
         classes = len(self.families) + 1
@@ -175,9 +179,10 @@ class Model:
         self.templates = []
         for k, name in enumerate(self.families):
             for t in TEMPLATES[name]:
-                _, hashes, _ = features(*_columns([t]))
-                self.templates.append((k, np.unique(hashes)))
-        self.words = np.sort(features(*_columns([" ".join(LICENCE_WORDS)]))[2])
+                self.templates.append((k, np.unique(_flat(features(*_columns([t])))[1])))
+        self.words = np.sort(features(*_columns([" ".join(LICENCE_WORDS)]))[0][1])
+        self.lead = np.zeros(1 << 16, bool)
+        self.lead[(self.words >> np.uint64(48)).astype(np.int64)] = True
 
     @staticmethod
     def _variant(text: str, filler: list[str], rng) -> str:
@@ -194,26 +199,27 @@ class Model:
         """Of each row: family index (number of families: none; one more: unknown), probability, and whether a template confirms it."""
         n = len(off) - 1
         none = len(self.families)
-        row, h, words = features(buf, off)
+        parts = features(buf, off)
         family, chance, confirmed = np.full(n, none), np.zeros(n), np.zeros(n, bool)
-        # text without any word that licence text is about is scored all the same; the confirmation looks at few rows
-        column = (h >> np.uint64(64 - BUCKETS_BITS)).astype(np.int64)
-        keep = np.unique(row << BUCKETS_BITS | column)
-        r, c = keep >> BUCKETS_BITS, keep & ((1 << BUCKETS_BITS) - 1)
-        size = np.maximum(np.bincount(r, minlength=n), 1)
-        z = np.zeros((n, none + 1))
-        some = np.flatnonzero(np.bincount(r, minlength=n))
-        if not len(some):
+        z, size = np.zeros((n, none + 1), np.float32), np.zeros(n)
+        for row, h in parts:
+            if len(row):
+                cut = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
+                z[row[cut]] += np.add.reduceat(self.weights[(h >> np.uint64(64 - BUCKETS_BITS)).astype(np.int64)], cut, axis=0)
+                size[row[cut]] += np.diff(np.append(cut, len(row)))
+        if not size.any():
             return family, chance, confirmed
-        cut = np.searchsorted(r, some)
-        z[some] = np.add.reduceat(self.weights[c], cut, axis=0)
-        p = _softmax(z / np.sqrt(size)[:, None] / self.temperature)
-        best = p.argmax(1)
-        of_word = row[: len(words)]
-        about = np.bincount(of_word[np.isin(words, self.words)], minlength=n) > 0
-        for i in np.flatnonzero((best < none) | about).tolist():
+        p = _softmax(z / np.sqrt(np.maximum(size, 1))[:, None] / self.temperature)
+        best = np.where(size > 0, p.argmax(1), none)
+        # words that licence text is about: few of their hashes' leading bytes occur, so most words need no search
+        row, words = parts[0]
+        maybe = np.flatnonzero(self.lead[(words >> np.uint64(48)).astype(np.int64)])
+        about = np.bincount(row[maybe[np.isin(words[maybe], self.words)]], minlength=n) > 0
+        looked = np.flatnonzero((best < none) | about)
+        row, h = _flat(parts) if len(looked) else (row[:0], words[:0])
+        for i in looked.tolist():
             order = np.argsort(-p[i, :none], kind="stable")
-            mine = np.unique(h[row == i]) if n < 50 else np.unique(h[self._rows_of(row, h, i)])
+            mine = np.unique(h[np.searchsorted(row, i) : np.searchsorted(row, i, "right")])
             k, share = self._nearest(mine)
             top = int(order[0])
             if k is not None and share >= CONFIRMED_AT and (k == top or p[i, k] >= self.thresholds[k] / 2 or about[i]):
@@ -224,14 +230,6 @@ class Model:
                 family[i], chance[i] = none + 1, 1 - p[i, none]
         return family, chance, confirmed
 
-    def _rows_of(self, row: np.ndarray, h: np.ndarray, i: int) -> np.ndarray:
-        key = id(row)
-        if getattr(self, "_key", None) != key:
-            self._order = np.argsort(row, kind="stable")
-            self._at = np.searchsorted(row[self._order], np.arange(row.max() + 2))
-            self._key, self._row = key, row
-        return self._order[self._at[i] : self._at[i + 1]]
-
     def _nearest(self, grams: np.ndarray):
         """The family whose template shares most: the share of the template's n-grams that the paragraph holds."""
         best, share = None, 0.0

@@ -112,7 +112,9 @@ def test_op7_targets(spark, sizes):
     _check_targets(spark, sizes)
 
 
-def test_op7_odd_rows(spark, odd, odd_rows, nothing):
+@pytest.mark.parametrize("most", [mixing.MOST_BROADCAST, 0])
+def test_op7_odd_rows(spark, odd, odd_rows, nothing, monkeypatch, most):
+    monkeypatch.setattr(mixing, "MOST_BROADCAST", most)
     r = mixing.rates(odd).collect()
     assert len(r) == len(odd_rows) and all(0 <= x.copies <= 3 for x in r)
     sizes = {}
