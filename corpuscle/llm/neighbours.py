@@ -5,7 +5,7 @@ their id, so no value of a vector can fill one shard; in a shard each pivot has
 its order). A query adds up the footrule distance over the files of its own pivots, takes the RERANKED share of the shard with the
 least distance (LEAST_RERANKED vectors at least), and ranks these by the exact inner product in double precision. The best of all shards are merged.
 
-Pivots are the PIVOTS vectors with the smallest hash of their id (a bounded, documented sample); every vector is indexed.
+Pivots are PIVOTS vectors chosen by hashes of their ids (a bounded, documented sample); every vector is indexed.
 Queries come in blocks, each block meets each shard once; nothing is collected but the pivots.
 
 Defined cases: vectors that are null, zero, or hold null or non-finite components, and rows without an id, take no part; so do
@@ -103,7 +103,9 @@ def nearest_neighbours(vectors: DataFrame, is_query: Column, nearest: int = NEAR
     size = sizes[0]["size"]
     rows = rows.where(F.size("vector") == size)
     n, asked = rows.agg(F.count("*"), F.count_if("asks")).first()
-    sample = rows.select("vec_id", "vector").orderBy(F.xxhash64("vec_id"), "vec_id").limit(pivots).collect()
+    order = F.xxhash64("vec_id")
+    every = max(1, n // (16 * pivots))  # so that tasks send few rows, however many tasks there are
+    sample = rows.where(F.pmod(F.xxhash64(F.lit("pivot"), "vec_id"), F.lit(every)) == 0).select("vec_id", "vector").orderBy(order, "vec_id").limit(pivots).collect()
     table = np.array([r["vector"] for r in sample])
     m = min(places, len(table))
     shards, blocks = -(-n // SHARD_ROWS), max(1, -(-asked // QUERY_ROWS))
