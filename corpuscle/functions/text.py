@@ -145,8 +145,8 @@ def garbage(text: Column) -> Column:
         dry = (F.length(w) >= 2) & ~F.lower(w).rlike("[aeiouy]")
         return signs_mostly | (w.rlike(r"^\p{L}+$") & (lone | dry))
 
-    junk = F.size(F.filter(F.slice(ws, 1, 800), poor)) / F.greatest(F.size(ws), F.lit(1))
-    return F.when(F.size(ws) == 0, 1.0).otherwise(F.least(F.lit(1.0), 0.7 * junk + 0.3 * odd / F.greatest(F.length(text), F.lit(1))))
+    junk = 0.7 * F.size(F.filter(F.slice(ws, 1, 800), poor)) / F.greatest(F.size(ws), F.lit(1))
+    return F.when(F.size(ws) == 0, 1.0).otherwise(F.least(F.lit(1.0), junk + 0.3 * odd / F.greatest(F.length(text), F.lit(1))))
 
 
 def recognition_score(confidence: Column, garbage_ratio: Column) -> Column:
