@@ -1,14 +1,14 @@
 """Language identification by interpolated Kneser-Ney character models, one for each language.
 
 Counting: words of the training texts are reduced to character n-grams in each task and summed over all tasks, so every
-training text counts. A model is a few sorted arrays of 64-bit hashes with probabilities and back-off weights, bounded
-by MOST_GRAMS of the highest order for each language (the most frequent ones), which bounds what is broadcast.
+training text counts. A model is a few sorted arrays of 64-bit hashes with probabilities and back-off weights of all n-grams, so that
+discounts and continuation counts are those of the whole text; it grows with the distinct n-grams and is built one language at a time.
 Words are modelled with the preceding four characters (word starts are padded), so a word's score doesn't depend on its
 neighbours, and each distinct word is scored once in a worker.
 
 A text gets the language of the lowest cross-entropy for each character. Rejection is calibrated on training
-texts kept apart from counting: for each language the spread of their cross-entropy, in deviations that shrink with length; beyond
-REJECT_AT of them, and REJECT_BITS over the mean, a text is rejected.
+texts kept apart from counting, an equal share for each language as far as it has them: for each language the spread of their
+cross-entropy, in deviations that shrink with length; beyond REJECT_AT of them, and REJECT_BITS over the mean, a text is rejected.
 
 Defined cases: null, empty and letterless texts are `und` with score 0 and rejected; equal cross-entropies go to the
 language first by code point; rows of null language don't train; without any training row every text is `und`;
@@ -22,13 +22,13 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import bounded_batches, discard, frugal, mix, read, stored
 
-ORDER, MOST_GRAMS, MOST_LANGUAGES = 5, 300_000, 200
+ORDER, MOST_LANGUAGES = 5, 200
 #: About so many training texts calibrate rejection and don't count.
 CALIBRATION = 20_000
 #: A rejected text lies so many deviations and so many bits a character above its language's mean.
@@ -95,7 +95,8 @@ def gram_counts(docs: DataFrame) -> DataFrame:
 class KneserNey:
     """Interpolated Kneser-Ney over n-grams of one language, as sorted hash arrays for each order."""
 
-    def __init__(self, grams: list[str], counts: np.ndarray):
+    def __init__(self, grams: list[str] | str, counts: np.ndarray):
+        """grams: one after another, or a list of them."""
         points = np.frombuffer("".join(grams).encode("utf-32-le"), np.uint32).reshape(-1, ORDER)
         n = np.asarray(counts, np.float64)
         self.tables, self.weights = [None] * (ORDER + 1), [None] * (ORDER + 1)
@@ -248,29 +249,20 @@ def train(docs: DataFrame, calibration: int = CALIBRATION) -> Identifier:
     """Models from rows of (doc_id, text, lang); rows of null text or lang are left out."""
     bounded_batches(docs.sparkSession)
     rows = docs.select("doc_id", "text", "lang").where("text IS NOT NULL AND lang IS NOT NULL")
-    # every_th: about one in so many rows calibrates
-    every_th = max(8, -(-rows.count() // calibration))
-    apart = F.pmod(F.xxhash64("doc_id", F.lit("calibration")), F.lit(every_th)) == 0
-    grams = stored(gram_counts(rows.where(~apart | F.col("doc_id").isNull())), "grams")
-    languages = [r.lang for r in rows.select("lang").distinct().orderBy("lang").limit(MOST_LANGUAGES + 1).collect()]
-    if len(languages) > MOST_LANGUAGES:
+    number = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy("lang").limit(MOST_LANGUAGES + 1).collect()}
+    if len(number) > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} languages")
-    most = grams.groupBy("lang").count().agg(F.max("count")).first()[0] or 0
-    kept = grams
-    if most > MOST_GRAMS:
-        top = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
-        kept = grams.withColumn("place", F.row_number().over(top)).where(f"place <= {MOST_GRAMS}").drop("place")
-    table = kept.toArrow()  # at most MOST_GRAMS for each language
-    discard(grams)
-    lang, gram, n = (table.column(c).to_pylist() for c in ("lang", "gram", "n"))
-    of: dict[str, tuple[list, list]] = {}
-    for a, b, c in zip(lang, gram, n):
-        of.setdefault(a, ([], []))[0].append(b)
-        of[a][1].append(c)
+    # about one in so many rows of a language calibrates, so that a rare one has its share however many rows others have
+    each = max(1, calibration // max(1, len(number)))
+    every_th = F.create_map(*(F.lit(x) for lang, n in number.items() for x in (lang, max(8, -(-n // each)))))[F.col("lang")] if number else F.lit(8)
+    apart = F.pmod(F.xxhash64("doc_id", F.lit("calibration")), every_th) == 0
+    grams = stored(gram_counts(rows.where(~apart | F.col("doc_id").isNull())), "grams")
     models = {}
-    for name, (g, c) in of.items():
-        o = sorted(range(len(g)), key=g.__getitem__)
-        models[name] = KneserNey([g[i] for i in o], np.array([c[i] for i in o]))
+    for name in number:
+        table = grams.where(F.col("lang") == name).select("gram", "n").toArrow()
+        if len(table):
+            models[name] = KneserNey("".join("".join(c.to_pylist()) for c in table.column("gram").chunks), table.column("n").to_numpy())
+    discard(grams)
     found = Identifier(models)
     if models:
         told = identify(rows.where(apart), found, keep=("lang",)).where("lid_lang = lang AND lid_chars > 0")

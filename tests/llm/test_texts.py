@@ -89,6 +89,38 @@ def test_kneser_ney_is_a_distribution():
         assert total == pytest.approx(1, abs=0.15) and total < 1.0001 + 2**m.unknown
 
 
+def test_op6_keeps_all_grams(spark):
+    """More 5-grams than 300,000, as in text of a large character set without blanks."""
+    import numpy as np
+
+    rng = random.Random(12)
+    texts = ["".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(4500)) for _ in range(90)]
+    df = spark.createDataFrame([(i, t, "zh") for i, t in enumerate(texts)], "doc_id long, text string, lang string").repartition(8)
+    got = language.train(df)
+    apart = {r.doc_id for r in df.where("pmod(xxhash64(doc_id, 'calibration'), 8) = 0").collect()}
+    grams = {}
+    for i, t in enumerate(texts):
+        if i not in apart:
+            s = language._PAD * 4 + t + language._END
+            for k in range(len(s) - 4):
+                grams[s[k : k + 5]] = grams.get(s[k : k + 5], 0) + 1
+    assert apart and len(grams) > 300_000
+    want = language.KneserNey(sorted(grams), np.array([grams[g] for g in sorted(grams)]))
+    (m,) = got.models
+    assert m.unknown == want.unknown
+    for k in range(1, 6):
+        assert all(np.array_equal(a, b) for a, b in zip(m.tables[k], want.tables[k]))
+        assert k == 1 or all(np.array_equal(a, b) for a, b in zip(m.weights[k], want.weights[k]))
+
+
+def test_op6_calibrates_rare_languages(spark):
+    rng = random.Random(13)
+    rows = [(i, " ".join(rng.choice(("abc", "bca", "cab", "aab", "bbc")) for _ in range(20)), "en") for i in range(3000)]
+    rows += [(i, " ".join(rng.choice(("xyz", "yzx", "zxy", "xxy", "yyz")) for _ in range(20)), "fr") for i in range(3000, 3080)]
+    spread = language.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), calibration=40).spread
+    assert set(spread) == {"en", "fr"} and spread["fr"][1] > 0
+
+
 PAGES = [
     (None, ""),
     ("", ""),
