@@ -4,7 +4,8 @@ A tolerant reader builds a tree of block elements; inline elements only count as
 Elements that can't be the article (menus, forms, notices, comments and the like, told by element, role or the words of
 their class and id) are left out with all they hold. For the other blocks the characters for each tag, adjusted for links,
 give the composite density; the block with the largest sum of its children's densities is taken whole, and beside the path
-from it to the body every subtree whose density reaches the lowest on that path.
+from it to the body every subtree whose density reaches the lowest on that path. Texts that stand directly in a block of the
+path are kept as well; only those outside an article or main element that the path passes must reach that density by themselves.
 
 Defined cases: null and empty html give an empty text; a page cut off anywhere is read as far as it goes; text outside any
 block belongs to the body; of equal sums the outer, then the earlier block is taken; repeated pages are treated alike; an
@@ -192,6 +193,18 @@ def _nodes(root: Block) -> list[Block]:
     return out
 
 
+def _density(chars: int, tags: int, link_chars: int, link_tags: int, ratio: float) -> float:
+    base = math.log(chars / max(chars - link_chars, 1) * link_chars + ratio * chars + math.e)
+    inner = chars / max(link_chars, 1) * tags / max(link_tags, 1)
+    return chars / tags * math.log(max(inner, 1.0)) / math.log(max(base, 1.0 + 1e-9)) if base > 1 else chars / tags * math.log(max(inner, 1.0))
+
+
+def _own_density(b: Block, ratio: float) -> float:
+    """The density of the texts that stand directly in a weighed block."""
+    chars, tags, link_chars, link_tags = (getattr(b, k) - sum(getattr(c, k) for c in b.children) for k in ("chars", "tags", "link_chars", "link_tags"))
+    return _density(chars, tags, link_chars, link_tags, ratio) if chars else 0.0
+
+
 def weigh(root: Block) -> None:
     """Composite density of each block and the sum over its children."""
     nodes = _nodes(root)
@@ -205,10 +218,7 @@ def weigh(root: Block) -> None:
     for b in nodes:
         if not b.chars:
             continue
-        plain = b.chars - b.link_chars
-        base = math.log(b.chars / max(plain, 1) * b.link_chars + ratio * b.chars + math.e)
-        inner = b.chars / max(b.link_chars, 1) * b.tags / max(b.link_tags, 1)
-        b.density = b.chars / b.tags * math.log(max(inner, 1.0)) / math.log(max(base, 1.0 + 1e-9)) if base > 1 else b.chars / b.tags * math.log(max(inner, 1.0))
+        b.density = _density(b.chars, b.tags, b.link_chars, b.link_tags, ratio)
     for b in nodes:
         b.sum = sum(c.density for c in b.children)
 
@@ -249,15 +259,28 @@ def main_text(page: str | None) -> str:
         path.append(above)
         above = parent[id(above)]
     threshold = min([best.density, *(b.density for b in path)])
-    on_path = {id(b) for b in path}
+    # path goes outwards: its outermost article or main and what lies in it
+    inside = max((k for k, b in enumerate(path) if b.name in ("article", "main")), default=-1)
+    if inside < 0 and best.name not in ("article", "main"):
+        inside = len(path)
+    ratio = root.link_chars / root.chars if root.chars else 0.0
+    own = {id(b): k <= inside or _own_density(b, ratio) >= threshold for k, b in enumerate(path)}
     out: list[str] = []
-    waiting = [root]
+    waiting: list = [root]
     while waiting:
-        b = waiting.pop()
-        if id(b) in on_path:
-            waiting.extend(reversed(b.children))
-        elif b is best or b.density >= threshold:
-            _written(b, out)
+        x = waiting.pop()
+        if x is None:
+            out.append(" ")
+        elif isinstance(x, str):
+            out.append(x)
+        elif id(x) in own:
+            waiting.append(None)
+            waiting.extend(reversed(x.parts if own[id(x)] else x.children))
+            waiting.append(None)
+        elif x is best or x.density >= threshold:
+            _written(x, out)
+        else:
+            out.append(" ")
     return " ".join("".join(out).split())
 
 

@@ -140,6 +140,26 @@ def test_op8_pages(page, want):
     assert html_text.main_text(page) == want
 
 
+_LEAD, _ITEMS = "lead " * 75, [f"item{k} " + "abcd " * 23 for k in range(5)]
+_LIST = "<ul>" + "".join(f"<li>{x}</li>" for x in _ITEMS) + "</ul>"
+_BESIDE = " ".join(f"{_LEAD} {' '.join(_ITEMS)}".split())
+
+
+@pytest.mark.parametrize(
+    "page,want",
+    [
+        (f"<body><article>{_LEAD}{_LIST}</article></body>", _BESIDE),
+        (f"<body><article>{_LEAD}{_LIST}after <b>the</b> list<br>end</article></body>", _BESIDE + " after the list end"),
+        (f"<body><div><div>{_LEAD[:100]}<br><br>{_LEAD[100:]}{_LIST}</div></div></body>", _BESIDE),
+        (f"<body>{_LEAD}{_LIST}tail</body>", _BESIDE + " tail"),
+        (f"<body>Skip to content<article>{_LEAD}{_LIST}</article>Imprint</body>", _BESIDE),
+        (f"<body>Skip to content<article><p>{_LEAD}</p><p>more</p></article></body>", _LEAD + "more"),
+    ],
+)
+def test_op8_direct_text_beside_blocks(page, want):
+    assert html_text.main_text(page) == want
+
+
 def test_op8_never_fails():
     rng = random.Random(8)
     parts = ["<p>", "</p>", "<div class='x'>", "</div>", "<", ">", "\"", "'", "text ", "&amp;", "&", "<!--", "-->", "<script>", "</script>", "<a href=", "</a>", "<ul>", "<li>", "<article>", "</article>", "<br/>", "<td>", "\x00"]
