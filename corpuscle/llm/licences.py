@@ -1,11 +1,16 @@
 """Licence scans: a trained paragraph classifier over word n-grams, confirmed against templates.
 
-Paragraphs are lines. Their words give unigrams, bigrams and trigrams, hashed into BUCKETS weights of a sparse multinomial logistic regression
+Paragraphs are lines; adjacent lines that hold a hard-wrapped notice together are also judged as one. Their words give unigrams, bigrams and trigrams, hashed into BUCKETS weights of a sparse multinomial logistic regression
 with one class for each licence family and one for other text. It is trained here, on variants of TEMPLATES (words
 dropped, cut or put between other words, with other names, years and versions) and on paragraphs of a bounded sample
 (SAMPLED documents) of the corpus for other text. Probabilities are calibrated by a temperature on variants kept apart;
 a paragraph below the calibrated threshold for its best family is `unknown` if it looks like licence text at all, otherwise it is no
-licence. A family is confirmed if the paragraph holds enough of the word n-grams of one of its templates, or a template's own key phrase.
+licence. A family is confirmed if the paragraph holds enough of the word n-grams of one of its templates, or a template's own key phrase (KEY_PHRASES).
+
+Joined lines: wherever word trigrams of one template stand in more than one line between blank lines, the lines from the first to the last of them
+that lie within about a template's length are taken together. If they hold enough of it, more than each alone, and no two of them do so
+each, they are found as one, confirmed, at their first line, instead of what was found in those lines for the same family or as
+`unknown`; of overlapping ones of several families, the one that holds most of its template.
 
 Defined cases: null and empty texts have no paragraphs; blank lines are none; paragraphs of any length are whole; ties go to the family
 first in order; repeated rows are judged alike; an empty table gives no rows and trains on the templates alone; further columns pass through.
@@ -90,6 +95,20 @@ TEMPLATES = {
         "This software is proprietary and confidential. Unauthorized copying of this file is strictly prohibited.",
     ],
 }
+# Two or three words of the templates that name a single family.
+KEY_PHRASES = {
+    "apache": ["apache license"],
+    "bsd": ["bsd license", "bsd style license", "bsd 3 clause", "bsd 2 clause"],
+    "cc-by": ["cc by 4", "commons attribution 4", "commons attribution license"],
+    "cc-by-nc": ["cc by nc", "commons attribution noncommercial"],
+    "cc-by-sa": ["cc by sa", "commons attribution sharealike"],
+    "cc0": ["cc0 1 0", "creative commons zero"],
+    "gpl": ["gnu general public"],
+    "lgpl": ["lesser general public"],
+    "mit": ["mit license"],
+    "mpl": ["mozilla public license"],
+    "proprietary": ["proprietary and confidential"],
+}
 # Words that licence text of any family is about, for the unknown class.
 LICENCE_WORDS = ("license licensed licence licenced licensing copyright permission redistribution redistribute warranty warranties sublicense proprietary").split()
 
@@ -181,8 +200,20 @@ class Model:
             for t in TEMPLATES[name]:
                 self.templates.append((k, np.unique(_flat(features(*_columns([t])))[1])))
         self.words = np.sort(features(*_columns([" ".join(LICENCE_WORDS)]))[0][1])
-        self.lead = np.zeros(1 << 16, bool)
-        self.lead[(self.words >> np.uint64(48)).astype(np.int64)] = True
+        self.lead = _lead(self.words)
+        self.phrases = {}
+        for k, name in enumerate(self.families):
+            for t in KEY_PHRASES[name]:
+                n = len(t.split())
+                self.phrases.setdefault(n, []).append((int(features(*_columns([t]))[n - 1][1][0]), k))
+        self.phrases = {n: (np.array([h for h, _ in sorted(x)], np.uint64), np.array([k for _, k in sorted(x)])) for n, x in self.phrases.items()}
+        self.phrase_lead = {n: _lead(h) for n, (h, _) in self.phrases.items()}
+        # trigrams of each template, for lines that hold a template together, and its number of words
+        own = [features(*_columns([t])) for name in self.families for t in TEMPLATES[name]]
+        self.lengths = np.array([len(x[0][1]) for x in own])
+        pairs = np.unique(np.array([(int(h), i) for i, x in enumerate(own) for h in x[2][1]], np.uint64), axis=0)
+        self.trigrams, self.trigram_of = pairs[:, 0].copy(), pairs[:, 1].astype(np.int64)
+        self.trigram_lead = _lead(self.trigrams)
 
     @staticmethod
     def _variant(text: str, filler: list[str], rng) -> str:
@@ -195,27 +226,126 @@ class Model:
             around[0] += ["Copyright", "(c)", str(int(rng.integers(1995, 2026)))]
         return " ".join(around[0] + kept + around[1])
 
+    def _phrased(self, parts) -> dict[int, set]:
+        """Families whose key phrase stands in a row, by row."""
+        out: dict[int, set] = {}
+        for n, (hashes, families) in self.phrases.items():
+            row, h = parts[n - 1]
+            maybe = np.flatnonzero(self.phrase_lead[n][(h >> np.uint64(48)).astype(np.int64)])
+            found, i = _at(hashes, h[maybe])
+            for r, k in zip(row[maybe[found]].tolist(), families[i[found]].tolist()):
+                out.setdefault(r, set()).add(k)
+        return out
+
+    def joined(self, buf: np.ndarray, begin: np.ndarray, has: np.ndarray, doc: np.ndarray) -> list[tuple[int, int, int, float]]:
+        """(first row, last row, family, probability) of adjacent rows that together are confirmed. begin: offsets of lines and line breaks; has: rows
+        with words; doc: whose row it is."""
+        # blocks: lines with words of one document, and the single break between two of them
+        n = len(has)
+        line = buf[begin[:-1]] != 10
+        glue = np.zeros(n, bool)
+        glue[1:-1] = ~line[1:-1] & has[:-2] & has[2:] & (doc[:-2] == doc[2:])
+        inside = has | glue
+        goes_on = inside[1:] & inside[:-1] & (doc[1:] == doc[:-1])
+        first, last = np.flatnonzero(inside & ~np.append(False, goes_on)), np.flatnonzero(inside & ~np.append(goes_on, False))
+        several = last > first
+        first, last = first[several], last[several]
+        if not len(first):
+            return []
+        cuts = np.unique(np.concatenate([[0], begin[first], begin[last + 1], [len(buf)]]))
+        wanted = np.isin(cuts[:-1], begin[first])
+        low = LOWER[buf]
+        start, end = runs(IS_WORD[low], cuts)
+        h = span_hash(prefix_hash(low), start, end)
+        if len(h) < 3:
+            return []
+        x = mix(h[:-1] * _K + h[1:])
+        x = mix(x[:-1] * _K + h[2:]) * np.uint64(2) + np.uint64(1)
+        maybe = np.flatnonzero(self.trigram_lead[(x >> np.uint64(48)).astype(np.int64)])
+        maybe = maybe[_at(self.trigrams, x[maybe])[0]]
+        block = np.searchsorted(cuts, start, "right") - 1
+        maybe = maybe[(block[maybe] == block[maybe + 2]) & wanted[block[maybe]]]
+        if not len(maybe):
+            return []
+        left, right = np.searchsorted(self.trigrams, x[maybe]), np.searchsorted(self.trigrams, x[maybe], "right")
+        row = np.searchsorted(begin, start, "right") - 1
+        hits: dict[tuple[int, int], list[int]] = {}
+        for w, i, j in zip(maybe.tolist(), left.tolist(), right.tolist()):
+            for t in self.trigram_of[i:j].tolist():
+                hits.setdefault((int(block[w]), t), []).append(w)
+        windows = set()
+        for (_, t), at in hits.items():
+            span, j, ended = int(self.lengths[t] * 1.5) + 10, 0, -1
+            for i, w in enumerate(at):
+                j = max(j, i)
+                while j + 1 < len(at) and at[j + 1] + 3 - w <= span:
+                    j += 1
+                a, b = int(row[w]), int(row[at[j] + 2])
+                # of windows with the same end the longest is enough
+                if b > a and b > ended:
+                    windows.add((a, b, t))
+                    ended = b
+        if not windows:
+            return []
+        order = sorted(windows, key=lambda w: (w[0], -w[1], w[2]))
+        spans = sorted({(a, b) for a, b, _ in order} | {(r, r) for a, b, _ in order for r in range(a, b + 1) if has[r]})
+        number = {x: i for i, x in enumerate(spans)}
+        off = np.concatenate([[0], np.cumsum([begin[b + 1] - begin[a] for a, b in spans])])
+        parts = features(np.concatenate([buf[begin[a] : begin[b + 1]] for a, b in spans]), off)
+        p, _ = self._probabilities(parts, len(spans))
+        at, h = _flat(parts)
+        bound = np.searchsorted(at, np.arange(len(spans) + 1))
+        grams = [np.unique(h[i:j]) for i, j in zip(bound[:-1], bound[1:])]
+        held: list = []
+        for a, b, t in order:
+            k, wanted_grams = self.templates[t]
+            share, alone = _share(grams[number[a, b]], wanted_grams), [_share(grams[number[r, r]], wanted_grams) for r in range(a, b + 1) if has[r]]
+            if share < CONFIRMED_AT or share <= max(alone) or sum(x >= CONFIRMED_AT for x in alone) > 1:
+                continue
+            held.append((-share, a, b, k, float(p[number[a, b], k])))
+        # of overlapping windows of several families the one that holds most of its template counts
+        out: list = []
+        taken: dict[int, int] = {}
+        for _, a, b, k, chance in sorted(held):
+            if all(taken.get(r, k) == k for r in range(a, b + 1)):
+                taken.update(dict.fromkeys(range(a, b + 1), k))
+                out.append((a, b, k, chance))
+        one: list = []
+        for a, b, k, chance in sorted(out):
+            if one and a <= one[-1][1]:  # one notice that goes on
+                one[-1] = (one[-1][0], max(b, one[-1][1]), k, max(one[-1][3], chance))
+            else:
+                one.append((a, b, k, chance))
+        return one
+
+    def _probabilities(self, parts, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Of each row: the probability of each class, and its number of n-grams."""
+        z, size = np.zeros((n, len(self.families) + 1), np.float32), np.zeros(n)
+        for row, h in parts:
+            if len(row):
+                cut = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
+                z[row[cut]] += np.add.reduceat(self.weights[(h >> np.uint64(64 - BUCKETS_BITS)).astype(np.int64)], cut, axis=0)
+                size[row[cut]] += np.diff(np.append(cut, len(row)))
+        return _softmax(z / np.sqrt(np.maximum(size, 1))[:, None] / self.temperature), size
+
     def judge(self, buf: np.ndarray, off: np.ndarray):
         """Of each row: family index (number of families: none; one more: unknown), probability, and whether a template confirms it."""
         n = len(off) - 1
         none = len(self.families)
         parts = features(buf, off)
         family, chance, confirmed = np.full(n, none), np.zeros(n), np.zeros(n, bool)
-        z, size = np.zeros((n, none + 1), np.float32), np.zeros(n)
-        for row, h in parts:
-            if len(row):
-                cut = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
-                z[row[cut]] += np.add.reduceat(self.weights[(h >> np.uint64(64 - BUCKETS_BITS)).astype(np.int64)], cut, axis=0)
-                size[row[cut]] += np.diff(np.append(cut, len(row)))
+        p, size = self._probabilities(parts, n)
         if not size.any():
             return family, chance, confirmed
-        p = _softmax(z / np.sqrt(np.maximum(size, 1))[:, None] / self.temperature)
         best = np.where(size > 0, p.argmax(1), none)
         # words that licence text is about: few of their hashes' leading bytes occur, so most words need no search
         row, words = parts[0]
         maybe = np.flatnonzero(self.lead[(words >> np.uint64(48)).astype(np.int64)])
         about = np.bincount(row[maybe[np.isin(words[maybe], self.words)]], minlength=n) > 0
-        looked = np.flatnonzero((best < none) | about)
+        phrased = self._phrased(parts)
+        looked = (best < none) | about
+        looked[list(phrased)] = True
+        looked = np.flatnonzero(looked)
         row, h = _flat(parts) if len(looked) else (row[:0], words[:0])
         for i in looked.tolist():
             order = np.argsort(-p[i, :none], kind="stable")
@@ -224,6 +354,9 @@ class Model:
             top = int(order[0])
             if k is not None and share >= CONFIRMED_AT and (k == top or p[i, k] >= self.thresholds[k] / 2 or about[i]):
                 family[i], chance[i], confirmed[i] = k, p[i, k], True
+            elif i in phrased:
+                k = min(phrased[i], key=lambda k: (-p[i, k], k))
+                family[i], chance[i], confirmed[i] = k, p[i, k], True
             elif best[i] < none and p[i, top] >= self.thresholds[top] and about[i]:
                 family[i], chance[i] = (top, p[i, top]) if share >= CONFIRMED_AT / 2 else (none + 1, 1 - p[i, none])
             elif about[i]:
@@ -234,12 +367,29 @@ class Model:
         """The family whose template shares most: the share of the template's n-grams that the paragraph holds."""
         best, share = None, 0.0
         for k, t in self.templates:
-            s = len(np.intersect1d(grams, t, assume_unique=True)) / len(t)
+            s = _share(grams, t)
             if s > share:
                 best, share = k, s
         return best, share
 
 
+def _share(grams: np.ndarray, template: np.ndarray) -> float:
+    return len(np.intersect1d(grams, template, assume_unique=True)) / len(template)
+
+
+def _lead(hashes: np.ndarray) -> np.ndarray:
+    """Which leading 16 bits occur."""
+    out = np.zeros(1 << 16, bool)
+    out[(hashes >> np.uint64(48)).astype(np.int64)] = True
+    return out
+
+
+def _at(keys: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which x are among sorted keys, and where."""
+    i = np.minimum(np.searchsorted(keys, x), len(keys) - 1)
+    return keys[i] == x, i
+
+
 def _softmax(z: np.ndarray) -> np.ndarray:
     e = np.exp(z - z.max(1, keepdims=True))
     return e / e.sum(1, keepdims=True)
@@ -294,6 +444,12 @@ def scan(docs: DataFrame, model: Model) -> DataFrame:
                 has[np.searchsorted(begin, words, "right") - 1] = True
                 count[i:j] += np.bincount(row[has], minlength=j - i)
                 family, chance, confirmed = m.judge(part, begin)
+                for a, z, k, p in m.joined(part, begin, has, row):
+                    same = np.flatnonzero((family[a : z + 1] == k) | (family[a : z + 1] > none)) + a
+                    family[same], confirmed[same] = none, False
+                    free = next((r for r in range(a, z + 1) if has[r] and family[r] == none), None)
+                    if free is not None:
+                        family[free], chance[free], confirmed[free] = k, p, True
                 for k in np.flatnonzero(family != none).tolist():
                     found[i + row[k]].append({"line": int(line[k]), "family": names[family[k]], "chance": float(chance[k]), "confirmed": bool(confirmed[k])})
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(count), pa.array(found, kind)], names=[*b.schema.names, "lic_lines", "lic_found"])

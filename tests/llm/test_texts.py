@@ -239,6 +239,34 @@ def test_op1_families(spark, licence_model):
     assert [out[k].lic_lines for k in (90, 91, 92, 93)] == [0, 0, 0, 1] and not out[93].lic_found
 
 
+def _wrapped(text, width, mark=""):
+    import textwrap
+
+    return "\n".join(mark + x for x in textwrap.wrap(text, width))
+
+
+def test_op1_hard_wrapped_notices(spark, licence_model):
+    cases = [(name, t, width, mark) for name, ts in licences.TEMPLATES.items() for t in ts if len(t.split()) > 14 for width, mark in ((72, ""), (50, " * "))]
+    rows = [(i, f"Plain words before it\n\n{_wrapped(t, width, mark)}\n\nand other words behind it") for i, (_, t, width, mark) in enumerate(cases)]
+    # of two documents beside each other no line is joined, nor across a blank line
+    mit = licences.TEMPLATES["mit"][1].split()
+    rows += [(900, " ".join(mit[:25])), (901, " ".join(mit[25:])), (902, " ".join(mit[:25]) + "\n"), (903, " ".join(mit[25:])), (904, " ".join(mit[:25]) + "\n\n" + " ".join(mit[25:]))]
+    # a notice in one line stays one, and two are two
+    rows += [(910, "Released under the MIT License.\nReleased under the MIT License."), (911, _wrapped(licences.TEMPLATES["gpl"][1], 60) + "\nReleased under the MIT License.")]
+    out = {r.doc_id: r.lic_found for r in licences.scan(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), licence_model).collect()}
+    for i, (name, *_) in enumerate(cases):
+        assert [(f.line, f.family, f.confirmed) for f in out[i]] == [(2, name, True)], cases[i]
+    assert not any(f.confirmed for k in range(900, 905) for f in out[k])
+    assert [(f.line, f.family) for f in out[910]] == [(0, "mit"), (1, "mit")]
+    assert [(f.family, f.confirmed) for f in out[911]] == [("gpl", True), ("mit", True)]
+
+
+@pytest.mark.parametrize("line,want", [("MIT License", "mit"), ("The MIT License (MIT)", "mit"), ("GNU GENERAL PUBLIC LICENSE", "gpl"), ("GNU LESSER GENERAL PUBLIC LICENSE", "lgpl"), ("Apache License", "apache"), ("Mozilla Public License Version 2.0", "mpl"), ("BSD 3-Clause License", "bsd")])
+def test_op1_key_phrases(licence_model, line, want):
+    family, _, confirmed = licence_model.judge(*licences._columns([line]))
+    assert licence_model.families[family[0]] == want and confirmed[0]
+
+
 def test_op1_query(spark, sf):
     rows = licences.op1_licences(spark, sf).collect()
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
