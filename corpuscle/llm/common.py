@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
+import tempfile
 import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Bytes of text that one NumPy pass holds at once; arrays of 8 bytes for each byte follow from it.
 PIECE_BYTES = 1 << 20
@@ -24,11 +30,17 @@ def bounded_batches(spark: SparkSession) -> None:
 
 
 def work_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that driver and executors share."""
+    """A new path in the folder that driver and executors share: spark.checkpoint.dir, or a temporary folder where all of Spark is one process."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         folder = spark.sparkContext._jsc.sc().getCheckpointDir()
-        base = folder.get() if folder.isDefined() else spark.conf.get("spark.sql.warehouse.dir") + "/_work"
+        base = folder.get() if folder.isDefined() else None
+    if not base:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="corpuscle-")
+        atexit.register(shutil.rmtree, base, ignore_errors=True)
+        spark.conf.set("spark.checkpoint.dir", base)
     return f"{base}/{name}-{uuid.uuid4().hex}"
 
 
@@ -83,9 +95,26 @@ def release() -> None:
         pass
 
 
-def renamed(df: DataFrame, *names: str) -> DataFrame:
-    """Only the named columns, so that extra columns of the input can't clash with an operator's own."""
-    return df.select(*[df[n] for n in names])
+def without(df: DataFrame, *names: str) -> DataFrame:
+    """df less the columns that an operator is about to add (names in any case, as Spark takes them): its own columns replace those."""
+    gone = {n.lower() for n in names}
+    return df.select(*[df[f"`{c}`"] for c in df.columns if c.lower() not in gone]) if gone & {c.lower() for c in df.columns} else df
+
+
+def attached(df: DataFrame, fields: list[tuple[str, T.DataType]]) -> T.StructType:
+    """The schema of df with further fields."""
+    return T.StructType([*df.schema.fields, *(T.StructField(n, k) for n, k in fields)])
+
+
+def packed(df: DataFrame, *needed: str, rest: str = "other_columns") -> DataFrame:
+    """The columns an operator needs, and all others in one struct that it passes through, so that no name clashes."""
+    others = [c for c in df.columns if c not in needed]
+    return df.select(*[df[f"`{n}`"] for n in needed], F.struct(*[df[f"`{c}`"] for c in others] or [F.lit(0).alias("none")]).alias(rest))
+
+
+def unpacked(df: DataFrame, columns: list[str], own: dict[str, Column], rest: str = "other_columns") -> DataFrame:
+    """The columns of the table that was packed: those in `own` by their expressions, the others from the struct."""
+    return df.select(*[(own[c] if c in own else F.col(rest)[c]).alias(c) for c in columns])
 
 
 def utf8(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:

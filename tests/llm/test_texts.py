@@ -3,6 +3,7 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -192,27 +193,51 @@ def test_op9_query(spark, sf):
         assert (r.n_bytes, r.n_tokens, r.over_limit) == (len(docs[r.doc_id].encode()), n, n > 4096)
 
 
+def _library():
+    import sentencepiece
+
+    return sentencepiece.SentencePieceProcessor(model_file=tokens.model_path())
+
+
 def test_op9_odd_rows(spark, odd, odd_rows, nothing):
-    c = tokens.PrefixCounter(tokens.model_path())
+    lib = _library()
     got = sorted(((r.doc_id or -1, r.text or "", r.tok_count, r.tok_cut) for r in tokens.count_tokens(odd, limit=50, cut=True).collect()))
-    assert [g[:3] for g in got] == sorted((r[0] or -1, r[1] or "", len(c.lib.encode(r[1] or ""))) for r in odd_rows)
+    assert [g[:3] for g in got] == sorted((r[0] or -1, r[1] or "", len(lib.encode(r[1] or ""))) for r in odd_rows)
     for _, t, n, cut in got:
-        assert cut == len(t) if n <= 50 else len(c.lib.encode(t[:cut])) <= 50
+        assert cut == len(t) if n <= 50 else len(lib.encode(t[:cut])) <= 50
     assert tokens.count_tokens(nothing).count() == 0
-    with pytest.raises(ValueError):
-        tokens.count_tokens(odd.withColumn("tok_count", F.lit(1)))
+    clash = tokens.count_tokens(odd.withColumn("Tok_Count", F.lit("x")))
+    assert [c for c in clash.columns if c.lower() == "tok_count"] == ["tok_count"] and clash.agg(F.min("tok_count")).first()[0] == 0
 
 
 def test_op9_prefixes():
-    c = tokens.PrefixCounter(tokens.model_path(), kept=500)
+    c, lib = tokens.PrefixCounter(tokens.model_path(), kept=500), _library()
     rng = random.Random(6)
-    texts = ["hello  world", " a", "<s>x</s>", "日本語 text", "𝕏\n\nab", "", " ", "a▁b"] + ["".join(rng.choice(" ▁abthe日𝕏é\n\t.,1") for _ in range(25)) for _ in range(300)]
+    texts = ["hello  world", " a", "<s>x</s>", "日本語 text", "𝕏\n\nab", "", " ", "a▁b", "  𝕏", "a" * 700, " " * 40 + "x"] + ["".join(rng.choice(" ▁abthe日𝕏é\n\t.,1") for _ in range(25)) for _ in range(300)]
     for t in texts:
         p = c.prefixes(t)
-        assert p.counts == [len(c.lib.encode(t[:i])) for i in range(len(t) + 1)]
+        assert p.counts.tolist() == [len(lib.encode(t[:i])) for i in range(len(t) + 1)]
         assert c.count(t) == p.at(len(t))
 
 
+def test_op9_random_pieces():
+    c, lib = tokens.PrefixCounter(tokens.model_path(), kept=2000), _library()
+    rng = random.Random(8)
+    texts = ["".join(rng.choice([rng.choice(c.pieces), " ", "  ", rng.choice("ab\né日𝕏\x00.,&")]) for _ in range(rng.randint(1, 40))) for _ in range(3000)]
+    assert c.counts(texts) == [len(lib.encode(t)) for t in texts]
+    a, b = (np.array([rng.randrange(len(c.pieces)) for _ in range(5000)]) for _ in "ab")
+    assert c.pairs_hold(a, b).tolist() == [c.follows(c.pieces[x], c.pieces[y]) for x, y in zip(a, b)]
+
+
+def test_op9_long_blanks_and_words():
+    c, lib = tokens.PrefixCounter(tokens.model_path()), _library()
+    blanks = " " * 1_000_000
+    at = c.prefixes(blanks).within(4096)
+    assert len(lib.encode(blanks[:at])) <= 4096 < len(lib.encode(blanks[: at + 1]))
+    word = "".join(random.Random(2).choice("abcdefghij0123") for _ in range(60_000))
+    assert c.count(word) == len(lib.encode(word))
+
+
 LICENCES = [
     ("This work is licensed under the GNU General Public License, version 3.", "gpl"),
     ("Licensed under CC BY-NC 4.0.", "cc-by-nc"),
