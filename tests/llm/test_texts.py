@@ -161,6 +161,100 @@ def test_op8_direct_text_beside_blocks(page, want):
     assert html_text.main_text(page) == want
 
 
+@pytest.mark.parametrize(
+    "page,want",
+    [
+        ("<div><aside>ads</div><article><p>the text</p><p>and more</p></article>", "the text and more"),
+        ('<div class="post ad-free"><p>article one two</p></div>', "article one two"),
+        ('<div id="search-results"><p>article x y</p></div>', "article x y"),
+        ('<p>hello <a title="x>world</a>', "hello world"),
+        ("<p don't>it <i title='a > b'>is</i> fine</p>", "it is fine"),
+        ("<div><span>a</div>b<table><tr><td>c<td>d</table>", "a b c d"),
+        ("<body><nav><ul><li>x</nav><p>y</p></body>", "y"),
+        ("<p>&copy; &hellip; &notit; &#x41;&#66</p>", "© … ¬it; AB"),
+    ],
+)
+def test_op8_broken_markup(page, want):
+    assert html_text.main_text(page) == want
+
+
+def _plain_page(rng, paragraphs):
+    """No telling element, class or id: boxes of links around a box of text."""
+    words = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 9))) for _ in range(n))
+    texts = [words(rng.randint(40, 120)) for _ in range(paragraphs)]
+    links = lambda n: "".join(f"<div><a href='/{k}'>{words(2)}</a></div>" for k in range(n))
+    page = f"<div>{links(12)}</div><div><div>{links(3)}</div><div>{''.join(f'<p>{t}</p>' for t in texts)}</div></div><div>{links(6)}</div>"
+    return page, " ".join(texts)
+
+
+def test_op8_density_alone():
+    rng = random.Random(4)
+    for k in range(60):
+        page, want = _plain_page(rng, rng.randint(2, 8))
+        assert html_text.main_text(page) == want
+        assert html_text.everything(html_text.parse(page)) != want
+
+
+def test_op8_long_comments():
+    rng = random.Random(5)
+    page, want = _plain_page(rng, 3)
+    said = "".join(f"<div class='comment'><p>{'what a fine text this is ' * 9}</p></div>" for _ in range(12))
+    assert html_text.main_text(f"{page}<div class='comments'>{said}</div>") == want
+    assert html_text.main_text(f"<article><p>{want}</p><p>end of it</p><section id='comments'>{said}</section></article>") == want + " end of it"
+
+
+def test_op8_brute_densities():
+    """Densities, sums and the selection against a plain restatement on nested lists."""
+    import math
+
+    rng = random.Random(3)
+
+    def box(depth):
+        return ["box", *((box(depth - 1) if depth and rng.random() < 0.6 else ["text", "w" * rng.randint(1, 60)] if rng.random() < 0.7 else ["link", "v" * rng.randint(1, 30)]) for _ in range(rng.randint(1, 4)))]
+
+    def written(x):
+        return f"<div>{''.join(map(written, x[1:]))}</div>" if x[0] == "box" else x[1] + " " if x[0] == "text" else f"<a>{x[1]}</a> "
+
+    def measure(x):  # characters, tags, characters and tags of links
+        if x[0] != "box":
+            n = len(x[1])
+            return (n, 0, 0, 0) if x[0] == "text" else (n, 1, n, 1)
+        return tuple(sum(y) + k for y, k in zip(zip(*map(measure, x[1:])), (0, 1, 0, 0)))
+
+    def density(m, ratio):
+        c, t, lc, lt = m
+        return c / t * math.log(max(1, c / max(lc, 1) * t / max(lt, 1))) / math.log(math.log(c / max(c - lc, 1) * lc + ratio * c + math.e**math.e)) if c else 0.0
+
+    for _ in range(300):
+        tree = ["box", *(box(3) for _ in range(3))]
+        whole = measure(tree)
+        ratio = whole[2] / whole[0]
+        density_of = lambda x: density(measure(x), ratio)
+        ranked: list = []
+
+        def visit(x, path):
+            ranked.append((-sum(density_of(y) for y in x[1:] if y[0] == "box"), len(ranked), x, path))
+            for y in x[1:]:
+                if y[0] == "box":
+                    visit(y, path + [x])
+
+        visit(tree, [])
+        total, _, best, path = min(ranked, key=lambda r: r[:2])
+        if not total:
+            best, path = tree, []
+        least = min(map(density_of, [best, *path]))
+
+        def text(x, whole):
+            if x[0] != "box":
+                return x[1]
+            if any(x is y for y in path):  # outside of any article element direct texts stay within the path's boxes
+                return " ".join(text(y, False) for y in x[1:])
+            return " ".join(text(y, True) for y in x[1:]) if whole or x is best or density_of(x) >= least else ""
+
+        want = " ".join(text(tree, False).split())
+        assert html_text.main_text("".join(map(written, tree[1:]))) == want
+
+
 def test_op8_never_fails():
     rng = random.Random(8)
     parts = ["<p>", "</p>", "<div class='x'>", "</div>", "<", ">", "\"", "'", "text ", "&amp;", "&", "<!--", "-->", "<script>", "</script>", "<a href=", "</a>", "<ul>", "<li>", "<article>", "</article>", "<br/>", "<td>", "\x00"]
