@@ -10,7 +10,7 @@ from .common import discard, stored
 
 def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     """From (a, b): (node, component) for every node of a link, the component named by its smallest node.
-    Each round is written to the shared folder, so an executor's loss costs one round at most."""
+    Each round is written to the shared folder, so an executor's loss costs one round at most; the last one lasts until `discard`."""
     pairs = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
     pairs = stored(pairs, "links")
     mark = None
@@ -31,4 +31,6 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     else:
         raise RuntimeError("components did not settle")
     roots = pairs.select(F.col("v").alias("node")).distinct().withColumn("component", F.col("node"))
-    return pairs.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
+    out = pairs.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
+    out._work_path = pairs._work_path
+    return out

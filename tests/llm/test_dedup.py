@@ -87,13 +87,33 @@ def test_op5_odd_rows(spark, odd, odd_rows, n, percent):
     assert got == brute.components([(r[0], r[1]) for r in odd_rows], n, percent)
 
 
-def test_op5_shuffled_candidates(spark, odd, odd_rows, monkeypatch):
-    """Without any broadcast of ids."""
-    monkeypatch.setattr(J, "MOST_BROADCAST", 0)
+def test_op5_rounds(spark, odd, odd_rows, monkeypatch):
+    """With small chunks and key ranges, and further leaders as long as any pair is open."""
+    monkeypatch.setattr(J, "CHUNK_BYTES", 4000)
+    monkeypatch.setattr(J, "RANGE_BYTES", 20_000)
+    monkeypatch.setattr(J, "PAIRS_A_ROW", -1)
     got = sorted(tuple(r) for r in J.linked(odd).collect() if r.doc_id is not None)
     assert got == brute.components([(r[0], r[1]) for r in odd_rows])
 
 
+def test_op5_open_pairs(spark):
+    """Near copies of texts that aren't there: some similar to each other, most not quite."""
+    rng = random.Random(12)
+    rows = []
+    for g in range(4):
+        base = [f"g{g}w{k}" for k in range(150)]
+        for k in range(30):
+            c = list(base)
+            for _ in range(rng.choice((1, 2, 3, 4, 5, 6))):
+                c[rng.randrange(150)] = f"e{g}x{rng.randrange(40)}"
+            rows.append((100 * g + k, " ".join(c)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    for n, percent in ((3, 90), (5, 80)):
+        got = sorted(tuple(r) for r in J.linked(df, n, percent).collect())
+        assert got == brute.components(rows, n, percent)
+        assert 20 < len({r[2] for r in got}) < 115
+
+
 def test_op5_chains(spark):
     """Links in a chain whose ends aren't similar, and copies around a common text."""
     rng = random.Random(9)
