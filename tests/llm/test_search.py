@@ -39,7 +39,7 @@ def test_op3_recall_over_shards(spark, monkeypatch):
     """More shards and a share reranked."""
     monkeypatch.setattr(neighbours, "SHARD_ROWS", 1500)
     monkeypatch.setattr(neighbours, "LEAST_RERANKED", 50)
-    monkeypatch.setattr(neighbours, "QUERY_ROWS", 40)
+    monkeypatch.setattr(neighbours, "PART_QUERIES", 60)
     rng = np.random.default_rng(1)
     x = rng.normal(size=(3000, 64)).astype("float32")
     x[:900] = x[0]  # one very common vector
@@ -59,11 +59,36 @@ def test_op3_odd_rows(spark):
     rows = [(0, v), (1, v), (2, None), (3, [0.0] * 64), (4, [float("nan")] + v[1:]), (5, [None] + v[1:]), (6, [float("inf")] + v[1:]), (None, v), (7, [1.0, 2.0]), (20, [-x for x in v]), (20, v), (8, [])]
     df = spark.createDataFrame([(*r, "own") for r in rows], "vec_id long, embedding array<float>, score string")
     got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in neighbours.nearest_neighbours(df, F.col("vec_id") % 20 == 0).collect())
-    assert [g[:3] for g in got if g[0] == 0] == [(0, 1, 1), (0, 2, 20), (0, 3, 20)]
+    # of the two rows of id 20 the one with the least vector counts, once
+    assert got == [(0, 1, 1, 1.0), (0, 2, 20, -1.0), (20, 1, 0, -1.0), (20, 2, 1, -1.0)]
     assert neighbours.nearest_neighbours(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
     assert neighbours.nearest_neighbours(df.where("vec_id IN (2, 3)"), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_op3_repeated_rows(spark):
+    """Copies of query and candidate rows change nothing."""
+    x = np.random.default_rng(4).normal(size=(200, 64))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    got = {}
+    for k, more in enumerate(([], [rows[20]] * 30 + [rows[7]] * 5)):
+        df = spark.createDataFrame(rows + more, "vec_id long, embedding array<double>")
+        got[k] = sorted(tuple(r) for r in neighbours.nearest_neighbours(df, F.col("vec_id") % 20 == 0).collect())
+    assert got[0] == got[1] and len(got[0]) == 10 * 20
+    assert [r[2] for r in got[0] if r[0] == 20] == _nearest(rows, 20)
+
+
+def test_op3_footrule():
+    """The distance from the files is the one of whole orders, where a missing pivot stands past the last place."""
+    rng = np.random.default_rng(6)
+    x, pivots, m = rng.normal(size=(60, 8)), rng.normal(size=(30, 8)), 12
+    order = neighbours.order_of_pivots(x, pivots, m)
+    got = neighbours.Shard(np.arange(60), x, order, 30).footrule(order)
+    for a in range(60):
+        for b in range(60):
+            at = [{p: k for k, p in enumerate(order[i].tolist())} for i in (a, b)]
+            assert got[a, b] == sum(abs(at[0].get(p, m) - at[1].get(p, m)) for p in range(30))
+
+
 def test_op10_query(spark, sf):
     compare(decontaminate.op10_decontaminate(spark, sf), decontaminate.SQL["op10_decontaminate"], sf)
 
