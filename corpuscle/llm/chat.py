@@ -111,7 +111,8 @@ def loss_text(segments: Column) -> Column:
 def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
-    extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], rows.schema)
+    extra = spark.sql(f"SELECT * FROM VALUES (-7, 0, 'user', '{said}'), (-7, 1, 'assistant', '{said}') AS t(conv_id, turn, role, text)")
+    extra = extra.select(*[F.col(f.name).cast(f.dataType) for f in rows.schema])
     out = format_chats(rows.unionByName(extra)).withColumn("turns", read_back(F.col("formatted"))).withColumn("under_loss", loss_text(F.col("segments")))
     told = F.array_join(F.transform("turns", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), "")
     return out.select(

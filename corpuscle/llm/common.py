@@ -55,9 +55,10 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def discard(*tables: DataFrame) -> None:
-    """Delete tables from `stored` that nothing needs any more."""
+    """Delete tables from `stored` that nothing needs any more, and those that a result was made from."""
     for t in tables:
-        if path := getattr(t, "_work_path", None):
+        paths = getattr(t, "_work_path", None) or []
+        for path in [paths] if isinstance(paths, str) else paths:
             context = t.sparkSession.sparkContext
             at = context._jvm.org.apache.hadoop.fs.Path(path)
             at.getFileSystem(context._jsc.hadoopConfiguration()).delete(at, True)

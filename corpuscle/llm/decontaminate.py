@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, bounded_batches, class_table, covered, frugal, mix, pieces, prefix_hash, read, runs, span_hash, utf8
+from .common import LOWER, bounded_batches, class_table, covered, frugal, mix, pieces, prefix_hash, read, runs, span_hash, utf8, without
 
 WINDOW, BLOCK_BYTES = 10, 16 << 20
 #: Words a lane advances over.
@@ -154,8 +154,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
     spark = docs.sparkSession
     bounded_batches(spark)
     added = ["con_words", "con_spans", "con_items"]
-    if set(added) & set(docs.columns):
-        raise ValueError(f"columns {added} are in use")
+    docs = without(docs, *added)
     items = benchmark.select(F.coalesce(benchmark["item_id"].cast("string"), F.lit("null")).alias("name"), benchmark["text"].alias("text"))
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = -(-total // block_bytes) or 1

@@ -12,7 +12,8 @@ cross-entropy, in deviations that shrink with length; beyond REJECT_AT of them,
 
 Defined cases: null, empty and letterless texts are `und` with score 0 and rejected; equal cross-entropies go to the
 language first by code point; rows of null language don't train; without any training row every text is `und`;
-repeated rows count as often as they occur; any length of text is processed whole; further columns pass through.
+repeated rows count as often as they occur; any length of text is processed whole; further columns pass through, but for those named lid_*, which are replaced; any number of languages
+is told apart, one model each.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from pyspark.sql import types as T
 
 from .common import bounded_batches, discard, frugal, mix, read, stored
 
-ORDER, MOST_LANGUAGES = 5, 200
+ORDER = 5
 #: About so many training texts calibrate rejection and don't count.
 CALIBRATION = 20_000
 #: A rejected text lies so many deviations and so many bits a character above its language's mean.
@@ -249,9 +250,7 @@ def train(docs: DataFrame, calibration: int = CALIBRATION) -> Identifier:
     """Models from rows of (doc_id, text, lang); rows of null text or lang are left out."""
     bounded_batches(docs.sparkSession)
     rows = docs.select("doc_id", "text", "lang").where("text IS NOT NULL AND lang IS NOT NULL")
-    number = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy("lang").limit(MOST_LANGUAGES + 1).collect()}
-    if len(number) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    number = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy("lang").collect()}
     # about one in so many rows of a language calibrates, so that a rare one has its share however many rows others have
     each = max(1, calibration // max(1, len(number)))
     every_th = F.create_map(*(F.lit(x) for lang, n in number.items() for x in (lang, max(8, -(-n // each)))))[F.col("lang")] if number else F.lit(8)
@@ -279,8 +278,8 @@ def identify(docs: DataFrame, identifier: Identifier, keep: tuple | None = None)
     bounded_batches(spark)
     added = [("lid_lang", pa.string(), T.StringType()), ("lid_score", pa.float64(), T.DoubleType()), ("lid_rejected", pa.bool_(), T.BooleanType()), ("lid_entropy", pa.float64(), T.DoubleType()), ("lid_chars", pa.int64(), T.LongType())]
     names = list(docs.columns if keep is None else keep)
-    if {a[0] for a in added} & set(names):
-        raise ValueError("columns lid_* are in use")
+    taken = {a[0] for a in added}
+    names = [n for n in names if n.lower() not in taken]
     shared = spark.sparkContext.broadcast(identifier)
 
     def run(batches):

@@ -1,8 +1,9 @@
 """Mixing sources to target weights, with DataFrame functions only.
 
 Tokens are aggregated for each source; the targets follow by water filling; a document of a source with
-repetition rate r is emitted floor(r) times and once more if its hash, taken as a number in [0, 1), is below
-the fraction of r.
+repetition rate r is emitted floor(r) times and once more if its hash under a seed, taken as a number in [0, 1), is below
+the fraction of r. What sources take under each of DRAWS seeds is summed in one aggregation, and each source uses the seed that comes nearest to its
+target (of equally near ones the first), so that a source of few or very unequal documents doesn't miss it by chance.
 
 Defined cases: null text has size 0; a null source is a source of its own and sorts last; a source without
 tokens has target 0 and is not emitted; equal rows are decided by their doc_id and the seed, so repeated
@@ -14,10 +15,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import read, stored
+from .common import discard, read, stored
 
 #: Weights by position of the source, repeating; no source is repeated more than MOST times.
 WEIGHTS, MOST, SEED = (5, 2, 1), 3, "mix-1"
+#: Seeds that each source chooses from: four numbers of 32 bits from each of so many MD5 sums.
+SUMS = 8
+DRAWS = 4 * SUMS
 #: Up to so many sources are broadcast, so that texts needn't be shuffled by source.
 MOST_BROADCAST = 50_000
 
@@ -49,32 +53,43 @@ def targets(sizes: DataFrame, weights=WEIGHTS, most: int = MOST) -> DataFrame:
     return ranked.select("source", "source_size", F.least(F.col("cap").cast("double"), F.coalesce("level", F.lit(0.0)) * F.col("weight")).alias("target"))
 
 
-def chance(doc_id: Column, seed: str) -> Column:
-    """A number in [0, 1) from the first 52 bits of an MD5."""
-    return F.conv(F.substring(F.md5(F.concat(F.coalesce(doc_id.cast("string"), F.lit("null")), F.lit(":" + seed))), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
+def chances(doc_id: Column, seed: str) -> Column:
+    """DRAWS numbers in [0, 1)."""
+    name = F.coalesce(doc_id.cast("string"), F.lit("null"))
+    sums = [F.md5(F.concat(name, F.lit(f":{seed}:{k}"))) for k in range(SUMS)]
+    return F.array(*[F.conv(F.substring(x, i, 8), 16, 10).cast("double") / F.lit(float(1 << 32)) for x in sums for i in (1, 9, 17, 25)])
+
+
+def _near(rows: DataFrame, aims: DataFrame, few: bool) -> DataFrame:
+    """Rows with their source's row; sources are broadcast where they are few, else joined by a shuffle."""
+    return rows.join(F.broadcast(aims) if few else aims, F.col("source").eqNullSafe(F.col("of_source")), "left")
 
 
 def rates(docs: DataFrame, seed: str = SEED, weights=WEIGHTS, most: int = MOST) -> DataFrame:
     """One row for each document: its own columns in a struct `doc`, its size, its source's size and target, and copies."""
-    sized = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"), docs["source"].alias("source"), docs["doc_id"].alias("doc_id"), words(docs["text"]).alias("size"))
-    sizes = stored(docs.select(docs["source"].alias("source"), words(docs["text"]).alias("size")).groupBy("source").agg(F.sum("size").alias("source_size")), "source-sizes")
-    aims = targets(sizes, weights, most).withColumnRenamed("source", "of_source")
-    if sizes.count() <= MOST_BROADCAST:  # beyond that, the join shuffles
-        aims = F.broadcast(aims)
+    own = [docs["source"].alias("source"), docs["doc_id"].alias("doc_id"), words(docs["text"]).alias("size")]
+    sizes = stored(docs.select(own[0], own[2]).groupBy("source").agg(F.sum("size").alias("source_size")), "source-sizes")
+    few = sizes.count() <= MOST_BROADCAST
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    whole = F.floor("rate")
-    extra = (chance(F.col("doc_id"), seed) < F.col("rate") - whole).cast("long")
-    return (
-        sized.join(aims, F.col("source").eqNullSafe(F.col("of_source")), "left")
-        .withColumn("rate", rate)
-        .withColumn("copies", F.least(whole + extra, F.lit(most).cast("long")))
-    )
+    aims = targets(sizes, weights, most).withColumnRenamed("source", "of_source").withColumn("rate", rate)
+    whole, part = F.floor("rate"), F.col("rate") - F.floor("rate")
+    drawn = _near(docs.select(*own), aims, few).withColumn("c", chances(F.col("doc_id"), seed))
+    takes = drawn.groupBy("of_source").agg(*[F.sum(F.col("size") * F.least(whole + (F.col("c")[k] < part).cast("long"), F.lit(most).cast("long"))).alias(f"t{k}") for k in range(DRAWS)])
+    missed = F.array(*[F.abs(F.col(f"t{k}").cast("double") - F.col("target")) for k in range(DRAWS)])
+    takes = takes.withColumnRenamed("of_source", "by_source").join(aims, F.col("by_source").eqNullSafe(F.col("of_source"))).withColumn("missed", missed)
+    chosen = stored(takes.select("of_source", "source_size", "target", "rate", F.array_position("missed", F.array_min("missed")).cast("int").alias("draw")), "source-draws")
+    discard(sizes)
+    sized = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("doc"), *own)
+    extra = (F.element_at(chances(F.col("doc_id"), seed), F.col("draw")) < part).cast("long")
+    out = _near(sized, chosen, few).withColumn("copies", F.least(whole + extra, F.lit(most).cast("long")))
+    out._work_path = chosen._work_path
+    return out
 
 
 def mix(docs: DataFrame, seed: str = SEED, weights=WEIGHTS, most: int = MOST) -> DataFrame:
     """The mixed corpus: each document as often as it is taken, with the columns of docs."""
     taken = rates(docs, seed, weights, most).where("copies > 0")
-    return taken.select("doc", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy")).select("doc.*")
+    return taken.select("doc", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy")).select(*[F.col("doc")[c].alias(c) for c in docs.columns])
 
 
 def op7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,7 +111,12 @@ leveled AS (SELECT *, max(CASE WHEN (total - gone)::DOUBLE / weight_left <= cap_
 aims AS (SELECT source AS of_source, source_size, least(cap::DOUBLE, coalesce(level, 0.0::DOUBLE) * weight) AS target FROM leveled),
 rated AS (SELECT s.*, a.source_size, a.target, CASE WHEN a.source_size > 0 THEN a.target / a.source_size ELSE 0.0::DOUBLE END AS rate
   FROM sized s JOIN aims a ON s.source IS NOT DISTINCT FROM a.of_source),
-mixed AS (SELECT *, least(floor(rate)::BIGINT + (CASE WHEN ('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null') || ':{seed}'), 1, 13))::BIGINT / {1 << 52}.0::DOUBLE < rate - floor(rate) THEN 1 ELSE 0 END), {most}) AS copies FROM rated)"""
+drawn AS (SELECT source, size, rate, target, doc_id, d, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null') || ':{seed}:' || (d // 4)::VARCHAR), 1 + 8 * (d % 4)::BIGINT, 8))::BIGINT / {1 << 32}.0::DOUBLE AS c
+  FROM rated, range({DRAWS}) AS t(d)),
+takes AS (SELECT source, d, any_value(target) AS target, sum(size * least(floor(rate)::BIGINT + (CASE WHEN c < rate - floor(rate) THEN 1 ELSE 0 END), {most})) AS takes FROM drawn GROUP BY source, d),
+chosen AS (SELECT source AS by_source, d FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY abs(takes::DOUBLE - target), d) AS i FROM takes) WHERE i = 1),
+mixed AS (SELECT r.*, least(floor(rate)::BIGINT + (CASE WHEN ('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null') || ':{seed}:' || (d // 4)::VARCHAR), 1 + 8 * (d % 4)::BIGINT, 8))::BIGINT / {1 << 32}.0::DOUBLE < rate - floor(rate) THEN 1 ELSE 0 END), {most}) AS copies
+  FROM rated r JOIN chosen ON r.source IS NOT DISTINCT FROM by_source)"""
 
 
 SQL = {"op7_mix": f"WITH {mixing_sql()} SELECT doc_id, size, source_size, target, (size * copies)::BIGINT AS taken FROM mixed"}

@@ -94,3 +94,22 @@ def targets(sizes, weights=(5, 2, 1), most=3):
         if not over:
             return {s: most * sizes[s] if s in capped else left * weight[s] / share for s in names}
         capped |= over
+
+
+def copies(rows, aims, sizes, seed, draws):
+    """How often each (doc_id, size, source) is taken: floor of the rate, and once more if its number under its source's nearest seed is below the fraction."""
+    import hashlib
+
+    def number(doc_id, d):
+        name = "null" if doc_id is None else str(doc_id)
+        return int(hashlib.md5(f"{name}:{seed}:{d // 4}".encode()).hexdigest()[8 * (d % 4) : 8 * (d % 4) + 8], 16) / (1 << 32)
+
+    def taken(doc_id, source, d):
+        rate = aims[source] / sizes[source] if sizes[source] else 0.0
+        return min(int(rate) + (number(doc_id, d) < rate - int(rate)), 3)
+
+    nearest = {}
+    for source in sizes:
+        own = [r for r in rows if r[2] == source]
+        nearest[source] = min(range(draws), key=lambda d: (abs(sum(taken(r[0], source, d) * r[1] for r in own) - aims[source]), d))
+    return [taken(r[0], r[2], nearest[r[2]]) for r in rows]

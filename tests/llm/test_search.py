@@ -153,6 +153,26 @@ def test_op7_odd_rows(spark, odd, odd_rows, nothing, monkeypatch, most):
     assert mixing.mix(nothing).count() == 0 and mixing.rates(nothing).count() == 0
 
 
+def test_op7_near_targets(spark, sf):
+    """What sources take comes near their targets; no document is taken more than three times."""
+    took, aims, most = {}, {}, {}
+    for r in mixing.op7_mix(spark, sf).collect():
+        took[r.source_size, r.target] = took.get((r.source_size, r.target), 0) + r.taken
+        most[r.source_size, r.target] = max(most.get((r.source_size, r.target), 0), r["size"])
+        assert r.taken <= 3 * r["size"]
+    # a source can't come nearer than its documents are long
+    assert all(abs(n - k[1]) <= max(0.05 * k[1], most[k] / 4) for k, n in took.items())
+    assert abs(sum(took.values()) / sum(k[1] for k in took) - 1) < 0.02
+    rng = random.Random(3)
+    rows = [(i, " ".join("w" for _ in range(rng.randint(1, 400))), f"s{i % 9}") for i in range(900)]
+    rates = mixing.rates(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    by = {}
+    for r in rates:
+        x = by.setdefault(r.source, [r.target, 0])
+        x[1] += r["size"] * r.copies
+    assert all(abs(n / t - 1) < 0.04 for t, n in by.values())
+
+
 def test_pipeline(spark, sf):
     """Each stage on its predecessor's output, against brute force."""
     docs = spark.read.parquet(f"{sf}/documents.parquet")
@@ -180,24 +200,37 @@ def test_pipeline(spark, sf):
     for r in clean:
         sizes[r[3]] = sizes.get(r[3], 0) + len(r[1].split())
     aims = brute.targets(sizes)
-    want = []
-    for r in clean:
-        rate = aims[r[3]] / sizes[r[3]] if sizes[r[3]] else 0
-        u = int(hashlib.md5(f"{r[0]}:{mixing.SEED}".encode()).hexdigest()[:13], 16) / (1 << 52)
-        want += [r] * min(int(rate) + (u < rate - int(rate)), 3)
-    assert mixed == sorted(want)
+    times = brute.copies([(r[0], len(r[1].split()), r[3]) for r in clean], aims, sizes, mixing.SEED, mixing.DRAWS)
+    assert mixed == sorted(r for r, n in zip(clean, times) for _ in range(n))
     assert sorted(tuple(r) for r in corpus_pipeline.run(spark, sf).collect()) == mixed
 
 
 def test_pipeline_odd_rows(spark, odd_rows, tmp_path):
-    """Nulls, repeated rows and empty tables go through every stage."""
-    schema = "doc_id long, text string, lang string, source string, n_chars long"
-    for k, rows in enumerate(([r[:5] for r in odd_rows], [])):
+    """Nulls, repeated rows, columns with operators' own names, and empty tables go through every stage."""
+    names = "lid_lang string, REP_text string, con_items string, component_id string, other_columns string, copies int, source_size int, doc string"
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + names
+    more = ("own", None, "own", "own", "own", 7, 7, "own")
+    for k, rows in enumerate(([(*r[:5], *more) for r in odd_rows], [])):
         d = str(tmp_path / str(k))
-        spark.createDataFrame(rows, schema).write.parquet(f"{d}/documents.parquet")
+        docs = spark.createDataFrame(rows, schema)
+        docs.write.parquet(f"{d}/documents.parquet")
         spark.createDataFrame([("i", "the very same line in very many documents of this corpus here")], "item_id string, text string").write.parquet(f"{d}/benchmark.parquet")
-        out = corpus_pipeline.run(spark, d).collect()
-        assert bool(out) == bool(rows)
+        at, seen = spark.read.parquet(f"{d}/documents.parquet"), []
+        for _, stage in corpus_pipeline.STAGES:
+            out = stage(spark, at, d)
+            assert out.columns == docs.columns
+            seen.append([tuple(r) for r in out.collect()])
+            assert all(r[5:] == more for r in seen[-1])
+            at = spark.createDataFrame(seen[-1], schema)
+        assert bool(seen[-1]) == bool(rows)
+        known, unique, cut, clean, mixed = seen
+        # texts without letters are of no language
+        assert all(any(c.isalpha() for c in r[1]) for r in known)
+        groups = {(i, c) for i, _, c in brute.components([r[:2] for r in known if r[0] is not None], 5, 80)}
+        stay = {i for i, c in groups if i == c}
+        assert sorted(r[0] for r in unique if r[0] is not None) == sorted(stay)
+        assert sorted(r[1] for r in unique if r[0] is None) == sorted(r[1] for r in known if r[0] is None)
+        assert len(cut) == len(unique) and set(clean) <= set(cut) and set(mixed) <= set(clean)
 
 
 def test_registry():
