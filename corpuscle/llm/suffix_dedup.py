@@ -6,18 +6,21 @@ least hash is its anchor, so equal passages have equal anchors, and all passages
 
 1. Runs. Sampled splitters range-partition the anchored suffixes by their leading eight bytes; where one leading token
    fills several ranges, its suffixes are dealt over them by hash. In a bucket they are sorted by the anchor's fingerprint and the run's. Runs
-   whose anchor occurs in one document only end here. Of equal runs (96 bits of fingerprint in common) all but the
-   smallest doc_id's are removed. Before anything is shuffled, each task does the same among its own rows.
+   whose anchor occurs in one document only end here. Runs whose 96 bits of fingerprint are those of a run in a document of smaller doc_id claim to be
+   equal to it. Before anything is shuffled, each task does the same among its own rows.
 2. Edges. An anchor that occurs with different runs may still share some of its passages, though only with a run that has the
    same 17 bytes before or the same 17 after the anchor, since a passage reaches that far on one side; a fingerprint of each side
    tells the others apart. The first of each such run is sent as bytes to the bucket of its anchor; there all passages are sorted as suffixes by multikey quicksort on eight-byte
    words, and neighbours are compared exactly. Equal passages share their anchor, hence their bucket, so no match crosses a boundary; anchors so
    common in the sample that they would fill a bucket are dealt by run in step 1 and by passage in step 2.
-3. The removed spans meet their documents again by doc_id.
+3. Claims. The claims of a document on one other document are joined to spans, and their bytes are sent to that document and compared with its bytes,
+   all of them. So nothing is removed for a fingerprint alone. If a claim doesn't hold (two texts had one fingerprint), all is done again under
+   other fingerprints.
+4. The removed spans meet their documents again by doc_id.
 
 Defined cases: null text is empty; a null doc_id is larger than all others; rows with equal doc_id don't count as earlier than
 one another; texts under 50 bytes lose nothing; spans are bytes and may cut a character, whose remaining bytes are then dropped from rep_text; an
-empty table gives no rows; any length of text is processed whole, in chunks; further columns pass through.
+empty table gives no rows; any length of text is processed whole, in chunks; further columns pass through, but for those named rep_*, which are replaced.
 """
 
 from __future__ import annotations
@@ -30,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import PIECE_BYTES, bounded_batches, covered, frugal, mix, pieces, prefix_hash, read, release, span_hash, stored, utf8
+from .common import PIECE_BYTES, bounded_batches, covered, discard, frugal, mix, pieces, prefix_hash, read, release, span_hash, stored, utf8, without
 
 MATCH, GRAM = 50, 16
 #: A passage reaches at least so far beyond its anchor on one side.
@@ -51,7 +54,7 @@ def be_words(buf: np.ndarray) -> np.ndarray:
     return np.ndarray((len(buf) - 7,), ">u8", np.ascontiguousarray(buf), strides=(1,)).astype(np.uint64)
 
 
-def runs_of(buf: np.ndarray, off: np.ndarray):
+def runs_of(buf: np.ndarray, off: np.ndarray, salt: int = 0):
     """Runs of passages with one anchor: row, first passage, number of passages, anchor fingerprint, leading token, run
     fingerprint (48 bits) with a byte for what stands before and a byte for what stands after the anchor (0: the run doesn't reach
     so far)."""
@@ -81,7 +84,11 @@ def runs_of(buf: np.ndarray, off: np.ndarray):
     p = anchor[s0]
     hashed = prefix_hash(buf)
     run = span_hash(hashed, s0, s1 + MATCH)
-    run = mix(run + (p - s0).astype(np.uint64) * _A + (s1 - s0).astype(np.uint64) * _B) & ~np.uint64(0xFFFF)
+    run = mix(run + (p - s0).astype(np.uint64) * _A + (s1 - s0).astype(np.uint64) * _B)
+    if salt:  # a hash of other values, not of the first one
+        low = prefix_hash(buf ^ np.uint8(salt))
+        run ^= span_hash(low, s0, s1 + MATCH)
+    run &= ~np.uint64(0xFFFF)
     far = p - s0 >= SIDE
     before = np.where(far, span_hash(hashed, np.where(far, p - SIDE, p), p) % np.uint64(255) + np.uint64(1), np.uint64(0))
     far = s1 + MATCH - p - GRAM >= SIDE
@@ -90,17 +97,17 @@ def runs_of(buf: np.ndarray, off: np.ndarray):
     return np.searchsorted(off, s0, "right") - 1, s0, s1 - s0 + 1, gram[p], lead[p], run
 
 
-def all_runs(col: pa.Array):
+def all_runs(col: pa.Array, salt: int = 0):
     """runs_of over a column in pieces of bounded size; rows are rows of the column, passages count from the row's start."""
     buf, off = utf8(col)
     for i, j in pieces(off, PIECE_BYTES):
         if off[j] - off[i] <= CHUNK:
-            row, s0, n, *rest = runs_of(buf[off[i] : off[j]], off[i : j + 1] - off[i])
+            row, s0, n, *rest = runs_of(buf[off[i] : off[j]], off[i : j + 1] - off[i], salt)
             yield row + i, s0 - (off[i:j] - off[i])[row], n, *rest
             continue
         for at in range(0, int(off[j] - off[i]) - MATCH + 1, CHUNK):
             part = buf[off[i] + at : min(off[j], off[i] + at + CHUNK + MATCH - 1)]
-            row, s0, n, *rest = runs_of(part, np.array([0, len(part)]))
+            row, s0, n, *rest = runs_of(part, np.array([0, len(part)]), salt)
             yield row + i, s0 + at, n, *rest
 
 
@@ -132,30 +139,37 @@ def _joined(data: bytes, kind, n: int) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8, n * size).reshape(size, n).T).view(kind).ravel()
 
 
+#: Suffixes on their way to a bucket; and claims: own document, first passage and number of passages, the other document and its first passage.
 _PARTS = (("key", "<u8"), ("low", "<u4"), ("doc", "<u4"), ("s0", "<u4"), ("n", "<u1"))
+_CLAIM = (("doc", "<u4"), ("s0", "<u4"), ("n", "<u1"), ("of", "<u4"), ("of_s0", "<u4"))
 
 
-def _pack(bucket_rows: dict[str, np.ndarray], ids: np.ndarray, marks: np.ndarray) -> bytes:
+def _pack(rows: dict[str, np.ndarray], ids: np.ndarray, marks: np.ndarray, parts=_PARTS) -> bytes:
     import zstandard
 
-    docs, doc = np.unique(bucket_rows["doc"], return_inverse=True)
-    rows = bucket_rows | {"doc": doc.ravel().astype(np.uint32), "key": np.diff(bucket_rows["key"], prepend=np.uint64(0))}
-    head = np.array([len(doc), len(docs)], "<u4").tobytes()
-    body = b"".join(_split(rows[c].astype(k)) for c, k in _PARTS) + _split(ids[docs].astype("<i8")) + _split(marks[docs].astype("<i4"))
+    n = len(rows["doc"])
+    docs, doc = np.unique(np.concatenate([rows["doc"], rows["of"]]) if "of" in rows else rows["doc"], return_inverse=True)
+    doc = doc.ravel().astype(np.uint32)
+    rows = rows | ({"doc": doc[:n], "of": doc[n:]} if "of" in rows else {"doc": doc, "key": np.diff(rows["key"], prepend=np.uint64(0))})
+    head = np.array([n, len(docs)], "<u4").tobytes()
+    body = b"".join(_split(rows[c].astype(k)) for c, k in parts) + _split(ids[docs].astype("<i8")) + _split(marks[docs].astype("<i4"))
     return head + zstandard.ZstdCompressor(level=1).compress(body)
 
 
-def _unpack(data: bytes):
+def _unpack(data: bytes, parts=_PARTS):
     import zstandard
 
     n, docs = np.frombuffer(data, "<u4", 2).tolist()
     body, at, out = zstandard.ZstdDecompressor().decompress(data[8:]), 0, {}
-    for c, k in _PARTS:
+    for c, k in parts:
         out[c] = _joined(body[at:], k, n)
         at += n * np.dtype(k).itemsize
     ids = _joined(body[at:], "<i8", docs)
     marks = _joined(body[at + 8 * docs :], "<i4", docs)
-    out["key"] = np.cumsum(out["key"], dtype=np.uint64)
+    if "of" in out:
+        out["of_id"], out["of_mark"] = ids[out["of"]], marks[out["of"]]
+    else:
+        out["key"] = np.cumsum(out["key"], dtype=np.uint64)
     out["id"], out["mark"] = ids[out["doc"]], marks[out["doc"]]
     return out
 
@@ -175,20 +189,30 @@ def _earliest(start: np.ndarray, ids: np.ndarray) -> np.ndarray:
     return np.repeat(np.minimum.reduceat(ids, start), np.diff(np.append(start, len(ids)))) if len(ids) else ids
 
 
+def _first(start: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """For each row, where the first row of the least id in its group stands."""
+    if not len(ids):
+        return np.zeros(0, np.int64)
+    at = np.where(ids == _earliest(start, ids), np.arange(len(ids)), len(ids))
+    return np.repeat(np.minimum.reduceat(at, start), np.diff(np.append(start, len(ids))))
+
+
 _SENT = "bucket long, data binary"
-_FOUND = "doc_id long, mark int, edge boolean, s0 int, n int, bucket long"
+#: Claims on another document (of_id is set), and edges with their bucket.
+_FOUND = "doc_id long, mark int, s0 int, n int, bucket long, of_id long, of_mark int, of_s0 int"
 
 
-def _found(ids, marks, edge: bool, s0, n, bucket: int = -1) -> pa.RecordBatch:
+def _found(ids, marks, s0, n, bucket: int = -1, of=None) -> pa.RecordBatch:
     k = len(ids)
+    of = [pa.nulls(k, t) for t in (pa.int64(), pa.int32(), pa.int32())] if of is None else [pa.array(np.asarray(x), t) for x, t in zip(of, (pa.int64(), pa.int32(), pa.int32()))]
     return pa.RecordBatch.from_arrays(
-        [pa.array(ids, pa.int64()), pa.array(marks, pa.int32()), pa.array(np.full(k, edge)), pa.array(np.asarray(s0).astype(np.int32)), pa.array(np.asarray(n).astype(np.int32)), pa.array(np.full(k, bucket, np.int64))],
-        names=["doc_id", "mark", "edge", "s0", "n", "bucket"],
+        [pa.array(ids, pa.int64()), pa.array(marks, pa.int32()), pa.array(np.asarray(s0).astype(np.int32)), pa.array(np.asarray(n).astype(np.int32)), pa.array(np.full(k, bucket, np.int64)), *of],
+        names=["doc_id", "mark", "s0", "n", "bucket", "of_id", "of_mark", "of_s0"],
     )
 
 
-def _send(ranges: Ranges):
-    """Sort a task's own suffixes, settle what it can, and pack the rest by bucket. Spans settled here travel along, in buckets below 0."""
+def _send(ranges: Ranges, salt: int):
+    """Sort a task's own suffixes, claim what it can, and pack the rest by bucket. Claims made here travel along, in buckets below 0."""
 
     def run(batches):
         held: list = []
@@ -206,12 +230,13 @@ def _send(ranges: Ranges):
                 order = np.argsort(key, kind="stable")
                 low = own.astype(np.uint32)
                 start = _groups(key[order], low[order])
-                settled = of[doc[order]] > _earliest(start, of[doc[order]])
-                done = order[settled]
+                first = order[_first(start, of[doc[order]])]
+                settled = of[doc[order]] > of[doc[first]]
+                done, first = order[settled], first[settled]
                 for i in range(0, len(done), 200_000):
-                    part = done[i : i + 200_000]
-                    rows = {"key": np.sort(key[part]) * np.uint64(0), "low": low[part], "doc": doc[part], "s0": s0[part], "n": n[part]}
-                    yield -1 - (int(own[part[0]]) % (2 * ranges.buckets)), _pack(rows, of, mark)
+                    part, one = done[i : i + 200_000], first[i : i + 200_000]
+                    rows = {"doc": doc[part], "s0": s0[part], "n": n[part], "of": doc[one], "of_s0": s0[one]}
+                    yield -1 - (int(own[part[0]]) % (2 * ranges.buckets)), _pack(rows, of, mark, _CLAIM)
                 order = order[~settled]
                 order = order[np.argsort(bucket[order].astype(np.uint32), kind="stable")]
                 cut = _groups(bucket[order])
@@ -228,7 +253,7 @@ def _send(ranges: Ranges):
         for b in batches:
             ids.append(b.column("doc_id").fill_null(NO_ID).to_numpy(zero_copy_only=False))
             marks.append(b.column("mark").to_numpy(zero_copy_only=False))
-            for row, s0, n, gram, lead, own in all_runs(b.column("text")):
+            for row, s0, n, gram, lead, own in all_runs(b.column("text"), salt):
                 held.append(((row + docs).astype(np.uint32), s0.astype(np.uint32), n.astype(np.uint8), gram, lead, own))
                 size += len(row)
             docs += b.num_rows
@@ -240,17 +265,21 @@ def _send(ranges: Ranges):
 
 
 def _settle(buckets: int):
-    """In a bucket: remove equal runs but the first, and name the edges."""
+    """In a bucket: what equal runs but the first claim, and the edges."""
 
     def run(table: pa.Table) -> pa.Table:
         bucket = table.column("bucket")[0].as_py()
+        if bucket < 0:
+            parts = [_unpack(x.as_py(), _CLAIM) for x in table.column("data")]
+            x = {c: np.concatenate([p[c] for p in parts]) for c in ("id", "mark", "s0", "n", "of_id", "of_mark", "of_s0")}
+            return pa.Table.from_batches([_found(x["id"], x["mark"], x["s0"], x["n"], of=(x["of_id"], x["of_mark"], x["of_s0"]))])
         parts = [_unpack(x.as_py()) for x in table.column("data")]
         x = {c: np.concatenate([p[c] for p in parts]) for c in ("key", "low", "id", "mark", "s0", "n")}
-        if bucket < 0:
-            return pa.Table.from_batches([_found(x["id"], x["mark"], False, x["s0"], x["n"])])
         order = np.lexsort((x["low"], x["key"]))
         x = {c: v[order] for c, v in x.items()}
-        later = x["id"] > _earliest(_groups(x["key"], x["low"]), x["id"])
+        first = _first(_groups(x["key"], x["low"]), x["id"])
+        later = x["id"] > x["id"][first]
+        first = first[later]
         edge = ~later
         if bucket < buckets:
             # of the first runs, those that have a side in common with a run of another document
@@ -267,8 +296,8 @@ def _settle(buckets: int):
             ids = x["id"][at]
             edge[at[_earliest(start, ids) != -_earliest(start, -ids)]] = True
         return pa.Table.from_batches([
-            _found(x["id"][later], x["mark"][later], False, x["s0"][later], x["n"][later]),
-            _found(x["id"][edge], x["mark"][edge], True, x["s0"][edge], x["n"][edge], bucket),
+            _found(x["id"][later], x["mark"][later], x["s0"][later], x["n"][later], of=(x["id"][first], x["mark"][first], x["s0"][first])),
+            _found(x["id"][edge], x["mark"][edge], x["s0"][edge], x["n"][edge], bucket),
         ])
 
     return run
@@ -388,14 +417,67 @@ def _mark():
     return F.hash(F.col("text"))
 
 
-def repeated_spans(docs: DataFrame) -> DataFrame:
-    """(doc_id, mark, s0, n): of the document's passages, n from s0 on also start in an earlier document."""
+def _claims(batches):
+    """From documents with their claims: for each document they are on, the joined spans and their bytes, in rows of bounded size."""
+    import zstandard
+
+    zipper, unzip = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+    for b in batches:
+        for i in range(b.num_rows):
+            text = unzip.decompress(b.column("zipped")[i].as_py())
+            x = b.column("claims")[i].values
+            s0, n, of_id, of_mark, of_s0 = (x.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("s0", "n", "of_id", "of_mark", "of_s0"))
+            o = np.lexsort((s0, of_s0 - s0, of_mark, of_id))
+            s0, n, of_id, of_mark, shift = s0[o], n[o], of_id[o], of_mark[o], (of_s0 - s0)[o]
+            end = s0 + n + MATCH - 1
+            other = np.append(True, (of_id[1:] != of_id[:-1]) | (of_mark[1:] != of_mark[:-1]))
+            # spans of one shift that touch are one, of bounded size
+            new = other | np.append(True, (shift[1:] != shift[:-1]) | (s0[1:] > end[:-1]) | (s0[1:] // CHUNK != s0[:-1] // CHUNK))
+            a = np.flatnonzero(new)
+            z = np.append(a[1:], len(s0)) - 1
+            size = np.cumsum(end[z] - s0[a])
+            cut = np.flatnonzero(other[a] | np.append(True, size[1:] // CHUNK != size[:-1] // CHUNK))
+            out: dict[str, list] = {"of_id": [], "of_mark": [], "spans": [], "data": []}
+            for j, k in zip(cut, np.append(cut[1:], len(a))):
+                out["of_id"].append(int(of_id[a[j]]))
+                out["of_mark"].append(int(of_mark[a[j]]))
+                out["spans"].append(np.concatenate([s0[a[j:k]] + shift[a[j:k]], end[z[j:k]] - s0[a[j:k]]]).astype("<i8").tobytes())
+                out["data"].append(zipper.compress(b"".join(text[x:y] for x, y in zip(s0[a[j:k]].tolist(), end[z[j:k]].tolist()))))
+                if sum(map(len, out["data"])) > 1 << 20 or k == len(a):
+                    kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), kinds)], names=list(out))
+                    out = {c: [] for c in out}
+
+
+def _confirm(batches):
+    """How many claims were compared, of how many bytes, and how many don't hold."""
+    import zstandard
+
+    unzip = zstandard.ZstdDecompressor()
+    claims = size = wrong = 0
+    last = text = None
+    for b in batches:
+        zips, spans, data = (b.column(c).to_pylist() for c in ("zipped", "spans", "data"))
+        for z, s, d in zip(zips, spans, data):
+            if z != last:
+                last, text = z, unzip.decompress(z) if z else b""
+            at, length = np.frombuffer(s, "<i8").reshape(2, -1).tolist()
+            there = b"".join(text[x : x + n] for x, n in zip(at, length))
+            own = unzip.decompress(d)
+            claims, size, wrong = claims + len(at), size + len(own), wrong + (own != there)
+    yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in (claims, size, wrong)], names=["claims", "bytes", "wrong"])
+
+
+def repeated_spans(docs: DataFrame, texts: DataFrame | None = None, salts=range(4)) -> DataFrame:
+    """(doc_id, mark, s0, n): of the document's passages, n from s0 on also start in an earlier document. `texts`: the stored result of `_zipped`."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    texts = docs.select(_key().alias("doc_id"), _mark().alias("mark"), "text")
-    total, rows = texts.agg(F.sum(F.octet_length("text")), F.count("*")).first()
+    read_once = texts is None
+    texts = stored(_zipped(docs.select("doc_id", "text")), "texts") if read_once else texts
+    plain = docs.select(_key().alias("doc_id"), _mark().alias("mark"), "text")
+    total, rows = plain.agg(F.sum(F.octet_length("text")), F.count("*")).first()
     buckets = max(1, -(-(total or 0) // BUCKET_BYTES))
-    part = texts.where(F.pmod(F.xxhash64("doc_id", "mark"), F.lit(max(1, rows // SAMPLED))) == 0).limit(2 * SAMPLED)
+    part = plain.where(F.pmod(F.xxhash64("doc_id", "mark"), F.lit(max(1, rows // SAMPLED))) == 0).limit(2 * SAMPLED)
 
     def sampled(batches):
         for b in batches:
@@ -406,25 +488,36 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     seen = part.select("text").mapInArrow(frugal(sampled), "lead binary, gram binary").collect()  # bounded: anchors of 2 * SAMPLED documents, thinned where long
     lead, gram = (np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(bytes(r[c]), np.uint64) for r in seen)]) for c in ("lead", "gram"))
     ranges = Ranges(lead, gram, buckets)
-    sent = texts.mapInArrow(frugal(_send(ranges)), _SENT)
-    found = stored(sent.groupBy("bucket").applyInArrow(_settle(buckets), _FOUND), "suffix-runs")
-    edges = found.where("edge").groupBy("doc_id", "mark").agg(F.collect_list(F.struct("s0", "n", "bucket")).alias("edges"))
-    zipped = _zipped(docs.select("doc_id", "text")).select(F.col("rep_key").alias("doc_id"), F.col("rep_mark").alias("mark"), F.col("rep_zip").alias("zipped"))
+    zipped = texts.select(F.col("rep_key").alias("doc_id"), F.col("rep_mark").alias("mark"), F.col("rep_zip").alias("zipped"))
+    for salt in salts:
+        sent = plain.mapInArrow(frugal(_send(ranges, salt)), _SENT)
+        found = stored(sent.groupBy("bucket").applyInArrow(_settle(buckets), _FOUND), "suffix-runs")
+        claimed = found.where("of_id IS NOT NULL")
+        by_doc = claimed.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("s0", "n", "of_id", "of_mark", "of_s0")).alias("claims"))
+        claims = zipped.join(by_doc, ["doc_id", "mark"]).select("zipped", "claims").mapInArrow(frugal(_claims), "of_id long, of_mark int, spans binary, data binary")
+        there = zipped.select(F.col("doc_id").alias("of_id"), F.col("mark").alias("of_mark"), "zipped").dropDuplicates(["of_id", "of_mark"])
+        told = claims.join(there, ["of_id", "of_mark"], "left").select("zipped", "spans", "data").mapInArrow(frugal(_confirm), "claims long, bytes long, wrong long")
+        if not told.agg(F.sum("wrong")).first()[0]:
+            break
+        discard(found)
+    else:
+        raise RuntimeError("fingerprints of different texts were equal under every salt")
+    edges = found.where("of_id IS NULL").groupBy("doc_id", "mark").agg(F.collect_list(F.struct("s0", "n", "bucket")).alias("edges"))
     wanted = zipped.join(edges, ["doc_id", "mark"])
     passages = wanted.mapInArrow(frugal(_edge_bytes(buckets)), "bucket long, doc_id long, mark int, s0 int, data binary")
     exact = passages.groupBy("bucket").applyInArrow(_compare, "doc_id long, mark int, s0 int, n int")
-    return found.where("NOT edge").select("doc_id", "mark", "s0", "n").unionByName(exact)
+    out = stored(claimed.select("doc_id", "mark", "s0", "n").unionByName(exact), "repeats")
+    discard(found, *[texts] * read_once)
+    return out
 
 
 def remove_repeats(docs: DataFrame, text: bool = True) -> DataFrame:
     """docs with rep_bytes (length of the text), rep_spans array<struct<start, end>> (bytes, maximal), rep_sha256 of the remaining bytes and,
     with `text`, rep_text (the rest, as text). The text column itself is left out."""
-    added = {"rep_key", "rep_mark", "rep_zip", "rep_null", "rep_bytes", "rep_spans", "rep_sha256", "rep_text"} & set(docs.columns)
-    if added:
-        raise ValueError(f"columns {sorted(added)} are in use")
-    spans = repeated_spans(docs)
+    docs = without(docs, "rep_key", "rep_mark", "rep_zip", "rep_null", "rep_bytes", "rep_spans", "rep_sha256", "rep_text")
+    zipped = stored(_zipped(docs), "texts")
+    spans = repeated_spans(docs, zipped)
     by_doc = spans.groupBy(F.col("doc_id").alias("of_key"), F.col("mark").alias("of_mark")).agg(F.collect_list(F.struct("s0", "n")).alias("rep_found"))
-    zipped = _zipped(docs)
     joined = zipped.join(by_doc, (F.col("rep_key") == F.col("of_key")) & (F.col("rep_mark") == F.col("of_mark")), "left").drop("of_key", "of_mark")
     names = [c for c in docs.columns if c != "text"]
     span_kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
@@ -462,7 +555,9 @@ def remove_repeats(docs: DataFrame, text: bool = True) -> DataFrame:
 
     span = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
     fields = [docs.schema[c] for c in names] + [T.StructField("rep_bytes", T.LongType()), T.StructField("rep_spans", span), T.StructField("rep_sha256", T.StringType())] + ([T.StructField("rep_text", T.StringType())] if text else [])
-    return joined.mapInArrow(frugal(run), T.StructType(fields))
+    out = joined.mapInArrow(frugal(run), T.StructType(fields))
+    out._work_path = [zipped._work_path, spans._work_path]
+    return out
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -72,6 +72,34 @@ def test_op4_common_anchors():
     assert len(set(bucket[:500].tolist())) == 16 and bucket[:500].min() >= 16 and bucket[500:].max() < 16
 
 
+def test_op4_claims_are_compared():
+    """Claims are joined to spans, and one of other bytes is found out."""
+    import pyarrow as pa
+    import zstandard
+
+    zipped = zstandard.ZstdCompressor().compress
+    a, b = b"x" * 30 + bytes(range(60, 190)), bytes(range(60, 190)) + b"y" * 9
+    claims = [{"s0": 30 + 20 * k, "n": 20, "of_id": 1, "of_mark": 5, "of_s0": 20 * k} for k in range(4)] + [{"s0": 10, "n": 1, "of_id": 2, "of_mark": 5, "of_s0": 0}]
+    kind = pa.list_(pa.struct([("s0", pa.int32()), ("n", pa.int32()), ("of_id", pa.int64()), ("of_mark", pa.int32()), ("of_s0", pa.int32())]))
+    rows = [r for x in S._claims([pa.RecordBatch.from_arrays([pa.array([zipped(a)], pa.binary()), pa.array([claims], kind)], names=["zipped", "claims"])]) for r in x.to_pylist()]
+    assert [(r["of_id"], len(r["spans"])) for r in rows] == [(1, 16), (2, 16)]
+
+    def told(texts):
+        batch = pa.RecordBatch.from_arrays([pa.array([None if t is None else zipped(t) for t in texts], pa.binary()), *(pa.array([r[c] for r in rows], pa.binary()) for c in ("spans", "data"))], names=["zipped", "spans", "data"])
+        return [tuple(r.values()) for x in S._confirm([batch]) for r in x.to_pylist()]
+
+    assert told([b, a[10:]]) == [(2, 129 + 50, 0)]
+    assert told([b[:100] + b"!" + b[101:], a[10:]]) == [(2, 179, 1)]
+    assert told([b, None]) == [(2, 179, 1)]
+
+
+def test_op4_salts(spark, odd, odd_rows):
+    """Under another fingerprint the same is removed."""
+    got = [sorted((r.doc_id, r.s0, r.n) for r in S.repeated_spans(odd, salts=[k]).collect()) for k in (0, 3)]
+    covered = [{(d, s) for d, s0, n in x for s in range(s0, s0 + n)} for x in got]
+    assert covered[0] == covered[1] and covered[0]
+
+
 def test_op4_empty(spark, nothing):
     assert S.remove_repeats(nothing).count() == 0
 
