@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions import intent, sql
 from .functions import text as X
-from .operators import chunks, evaluation, index, library, rank, review, study, talk
+from .operators import answering, chunks, evaluation, index, library, rank, review, scopes, study, talk
 
 
 class Engine:
@@ -14,6 +15,14 @@ class Engine:
 
     def __init__(self, spark: SparkSession, docs: DataFrame, vectors: DataFrame | None = None):
         self.spark, self.docs, self.vectors = spark, docs, vectors
+        self._statistics: index.Statistics | None = None
+
+    @property
+    def statistics(self) -> index.Statistics:
+        """Counted once, at the first question that needs them."""
+        if self._statistics is None:
+            self._statistics = index.Statistics(self.docs)
+        return self._statistics
 
     def queries(self, *texts: str) -> DataFrame:
         return self.spark.createDataFrame(list(enumerate(texts)), "query_id long, text string")
@@ -25,7 +34,7 @@ class Engine:
             docs = docs.where(F.col("kind") == kind)
         if titles:
             docs = docs.where(F.col("title").isin(*titles))
-        leg = index.top_k(index.bm25_scores(docs, queries), 3 * top)
+        leg = index.top_k(index.bm25_scores(docs, queries, statistics=None if kind or titles else self.statistics), 3 * top)
         if vectors is not None and self.vectors is not None:
             own = self.vectors.join(docs.select(F.col("doc_id").alias("vec_id")), "vec_id", "left_semi")
             dense = rank.cosine_knn(own, vectors, 3 * top).withColumnRenamed("vec_id", "doc_id")
@@ -33,6 +42,46 @@ class Engine:
         hits = leg.join(docs.select("doc_id", "title", F.col("text").alias("document")), "doc_id")
         return rank.within_budget(rank.diversified(hits, limit=top), budget)
 
+    def answer(self, queries: DataFrame, vectors: DataFrame | None = None, parents: DataFrame | None = None, top: int = 8, budget: int = 3000) -> DataFrame:
+        """What answers are built on: works that queries name, fused legs, reranking, parents, thinning out, budget."""
+        dense = None
+        if vectors is not None and self.vectors is not None:
+            dense = rank.cosine_knn(self.vectors, vectors, answering.POOL).withColumnRenamed("vec_id", "doc_id")
+        return answering.grounded(queries, self.docs, parents, dense, self.statistics, top=top, budget=budget)
+
+    def warnings(self, queries: DataFrame, common: list[str] | None = None) -> DataFrame:
+        """Why a query's pool looks off target, or null."""
+        return answering.guarded(queries, answering.pool(queries, self.docs, self.statistics), common or [])
+
+    def intents(self, messages: DataFrame) -> DataFrame:
+        """What messages ask for: the catalogue, a quiz, a summary, one work; topic, kind, number of questions; a reply to a pending plan."""
+        q = F.col("text")
+        return messages.withColumns({"listing": intent.is_listing(q), "quiz": intent.is_quiz(q), "summary": intent.wants_summary(q), "work": intent.is_about_a_work(q), "topic": intent.topic(q), "kind": intent.kind(q), "count": intent.count(q, 10), "reply": intent.reply(q)})
+
+    def catalogue(self, messages: DataFrame) -> DataFrame:
+        return answering.catalogue_answers(messages, self.works())
+
+    def summaries(self, hits: DataFrame, parents: DataFrame, summarise, n: int = 12) -> DataFrame:
+        """Summaries over whole works by a summariser: sections spread evenly, in batches, then the batches' summaries."""
+        return answering.summarised(answering.deep_sections(hits, parents, n), summarise)
+
+    def units(self, topics: DataFrame, depth: str = "balanced", count: int = 10) -> DataFrame:
+        """The sections that fit topics best, as many as a depth keeps."""
+        sections = self.section_texts().select(F.col("parent_id").alias("unit"), "text")
+        return scopes.top_units(answering.ranked_units(topics, sections), depth, count)
+
+    def evaluate_golden(self, golden: DataFrame, k: int = 5) -> DataFrame:
+        """Metrics of golden rows (query_id, query, mode, expected_title, expected_works) over this library."""
+        asks = golden.select("query_id", F.col("query").alias("text"))
+        hits = self.answer(asks, top=k).select("query_id", "title", F.col("place").alias("rank"))
+        works = self.find_works(asks).select("query_id", "title", "rank")
+        topic = golden.where("mode = 'topic'").select("query_id")
+        return answering.evaluated(golden, hits.join(topic, "query_id", "left_anti").unionByName(works.join(topic, "query_id")), k)
+
+    def register_sql(self) -> list[str]:
+        """The scalar functions, for users of SQL."""
+        return sql.register_functions(self.spark)
+
     def context(self, hits: DataFrame) -> DataFrame:
         return rank.context(hits)
 
@@ -44,7 +93,7 @@ class Engine:
 
     def find_works(self, topics: DataFrame, kind: str | None = None, limit: int = 20) -> DataFrame:
         books = self.works() if kind is None else self.works().where(F.col("kind") == kind)
-        scores = index.bm25_scores(self.docs, topics).join(self.docs.select("doc_id", "title"), "doc_id")
+        scores = index.bm25_scores(self.docs, topics, statistics=self.statistics).join(self.docs.select("doc_id", "title"), "doc_id")
         return library.find_works([library.lexical_leg(topics, books), library.bm25_leg(scores)], books, limit)
 
     def sections(self) -> DataFrame:
@@ -69,6 +118,11 @@ class Engine:
     due = staticmethod(review.due_queue)
     review_stats = staticmethod(review.review_stats)
     schedule = staticmethod(review.scheduled)
+    enrol = staticmethod(review.enrolled)
+    withdraw = staticmethod(review.withdrawn)
+    last_attempts = staticmethod(study.latest_attempts)
+    newest = staticmethod(study.newest_first)
+    revise = staticmethod(study.revised)
     history = staticmethod(talk.history)
     conversations = staticmethod(talk.summaries)
     evaluate = staticmethod(evaluation.query_metrics)

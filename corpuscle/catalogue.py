@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import relational, retrieval, study, texts
+from .plans import composites, relational, retrieval, study, texts
 
-MODULES = (retrieval, texts, study, relational)
+MODULES = (retrieval, texts, study, relational, composites)
 FLAGSHIP = "hybrid_search"
 
 

@@ -108,3 +108,9 @@ def _stemmed(lists: pd.Series) -> pd.Series:
 def stems(text: Column) -> Column:
     """Stems of a text's tokens, in order."""
     return F.pandas_udf(_stemmed, "array<string>")(tokens(text))
+
+
+def stem_map(text: Column) -> Column:
+    """The stem of each of a text's tokens, for expressions over arrays, in which no UDF may stand."""
+    words = F.array_distinct(tokens(text))
+    return F.map_from_arrays(words, F.pandas_udf(_stemmed, "array<string>")(words))

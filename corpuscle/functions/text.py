@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+from html.entities import html5
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -113,13 +116,45 @@ def is_heading(line: Column) -> Column:
     return (F.length(s) > 0) & (F.length(s) <= HEADING_LONGEST) & (known | shout)
 
 
+#: Named references of HTML that stand for one character, from the standard library's table; the few with very long names stay as they are.
+REFERENCES = {n[:-1]: c for n, c in html5.items() if n.endswith(";") and len(c) == 1 and len(n) <= 8}
+
+
+def decoded(text: Column) -> Column:
+    """Character references, each decoded once: the text between ampersands is taken apart, so what a reference stands for begins no other one."""
+    table = F.from_json(F.lit(json.dumps(REFERENCES)), "map<string,string>")
+
+    def one(part, i):
+        name = F.regexp_extract(part, "^([A-Za-z][A-Za-z0-9]*|#[0-9]+|#[xX][0-9a-fA-F]+);", 1)
+        number = F.when(F.startswith(name, F.lit("#x")) | F.startswith(name, F.lit("#X")), F.conv(F.substring(name, 3, 8), 16, 10)).when(F.startswith(name, F.lit("#")), F.substring(name, 2, 9)).cast("long")
+        valid = (number > 0) & (number < 0x110000) & ~number.between(0xD800, 0xDFFF)
+        sign = F.when(valid, _character(number)).when(F.startswith(name, F.lit("#")), F.lit("\ufffd")).otherwise(F.try_element_at(table, name))
+        return F.when(i == 0, part).when((name != "") & sign.isNotNull(), F.concat(sign, F.substring(part, F.length(name) + 2, F.length(part)))).otherwise(F.concat(F.lit("&"), part))
+
+    return F.when(F.contains(text, F.lit("&")), F.array_join(F.transform(F.split(text, "&"), one), "")).otherwise(text)
+
+
+def _character(point: Column) -> Column:
+    """The character of a code point, by its bytes in UTF-8."""
+    def byte(x):
+        return F.lpad(F.hex(x.cast("long")), 2, "0")
+
+    six = lambda k: F.lit(128) + F.shiftright(point, k).bitwiseAND(F.lit(63))
+    data = (
+        F.when(point < 0x80, byte(point))
+        .when(point < 0x800, F.concat(byte(F.lit(192) + F.shiftright(point, 6)), byte(six(0))))
+        .when(point < 0x10000, F.concat(byte(F.lit(224) + F.shiftright(point, 12)), byte(six(6)), byte(six(0))))
+        .otherwise(F.concat(byte(F.lit(240) + F.shiftright(point, 18)), byte(six(12)), byte(six(6)), byte(six(0))))
+    )
+    return F.decode(F.unhex(data), "UTF-8")
+
+
 def html_text(html: Column) -> Column:
-    """Paragraphs of a page, separated by blank lines: block tags end a paragraph, other tags vanish."""
+    """Paragraphs of a page, separated by blank lines: block tags end a paragraph, other tags vanish, references are decoded."""
     s = F.regexp_replace(html, r"(?is)<(?:script|style)\b[^>]*>.*?</(?:script|style)\s*>", "")
     s = F.regexp_replace(s, r"(?is)</?(?:p|div|br|h[1-6]|li|tr|section|article|blockquote)(?:\s[^>]*)?/?>", "\n\n")
     s = F.regexp_replace(s, r"(?s)<[^>]*>", "")
-    for name, sign in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", "\u00a0"), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
-        s = F.replace(s, F.lit(name), F.lit(sign))
+    s = decoded(s)
     parts = F.transform(F.split(s, r"\n\s*\n"), lambda p: F.trim(F.regexp_replace(p, r"\s+", " ")))
     return F.array_join(F.filter(parts, lambda p: p != ""), "\n\n")
 
@@ -240,3 +275,9 @@ def titles_agree(a: Column, b: Column) -> Column:
 
 def truth_or_letter(kind: Column, text: Column) -> Column:
     return F.when(kind == "true_false", truth(text).cast("string")).otherwise(answer_letter(text))
+
+
+def remaining_time(done: Column, total: Column, seconds: Column) -> Column:
+    """Minutes and seconds that are left at the rate so far, as mm:ss; null before anything is done."""
+    left = F.when(done > 0, F.round((total - done) * seconds / done).cast("long"))
+    return F.when(left.isNotNull(), F.format_string("%02d:%02d", F.floor(left / 60), left % 60))

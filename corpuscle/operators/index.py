@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
+from ..session import stored
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 
@@ -25,21 +26,28 @@ def doc_lengths(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     return docs.select(key, F.size(tokens(F.col(text))).cast("long").alias("len")).where("len > 0")
 
 
-def token_documents(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(token, doc_freq) straight from the texts: each document's distinct tokens are counted before the shuffle, so no posting travels."""
-    return docs.select(F.explode(F.array_distinct(tokens(F.col(text)))).alias("token")).groupBy("token").agg(F.count("*").alias("doc_freq"))
+class Statistics:
+    """What scoring needs to know of a corpus, counted in one pass over the texts and kept as a small table: documents (those with tokens), their mean
+    length, and for each token its documents. Any number of batches of queries can use one."""
 
+    def __init__(self, docs: DataFrame, text: str = "text"):
+        ts = tokens(F.col(text))
+        # the empty token stands for the document itself and brings its length along
+        each = docs.select(ts.alias("ts")).where(F.size("ts") > 0).select(F.size("ts").cast("long").alias("len"), F.explode(F.concat(F.array(F.lit("")), F.array_distinct("ts"))).alias("token"))
+        counted = each.groupBy("token").agg(F.count("*").alias("doc_freq"), F.sum(F.when(F.col("token") == "", F.col("len"))).alias("len"))
+        self.counted = stored(counted, "token-statistics")
+        n, size = self.counted.where("token = ''").agg(F.sum("doc_freq"), F.sum("len")).first()
+        self.docs, self.average = n or 0, (size or 0) / n if n else 0.0
 
-def idf_table(frequencies: DataFrame, n_docs: int) -> DataFrame:
-    """Inverse document frequencies; negative ones become a share of the mean over all terms."""
-    raw = frequencies.withColumn("raw", F.log(F.lit(float(n_docs)) - F.col("doc_freq") + 0.5) - F.log(F.col("doc_freq") + 0.5))
-    mean = raw.agg(F.avg("raw")).scalar()
-    return raw.select("token", "doc_freq", F.when(F.col("raw") < 0, F.lit(EPSILON) * mean).otherwise(F.col("raw")).alias("idf"))
+    @property
+    def frequencies(self) -> DataFrame:
+        return self.counted.where("token <> ''").select("token", "doc_freq")
 
-
-def corpus_stats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[int, float]:
-    n, average = doc_lengths(docs, key, text).agg(F.count("*"), F.avg("len")).first()
-    return n or 0, average or 0.0
+    def idf(self) -> DataFrame:
+        """Inverse document frequencies; negative ones become a share of the mean over all terms."""
+        raw = self.frequencies.withColumn("raw", F.log(F.lit(float(self.docs)) - F.col("doc_freq") + 0.5) - F.log(F.col("doc_freq") + 0.5))
+        mean = raw.agg(F.avg("raw")).first()[0] or 0.0
+        return raw.select("token", "doc_freq", F.when(F.col("raw") < 0, F.lit(EPSILON * mean)).otherwise(F.col("raw")).alias("idf"))
 
 
 def query_terms(queries: DataFrame, text: str = "text", key: str = "query_id") -> DataFrame:
@@ -47,19 +55,19 @@ def query_terms(queries: DataFrame, text: str = "text", key: str = "query_id") -
     return queries.select(key, F.explode(tokens(F.col(text))).alias("token")).groupBy(key, "token").agg(F.count("*").alias("times"))
 
 
-def bm25_scores(docs: DataFrame, queries: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def bm25_scores(docs: DataFrame, queries: DataFrame, key: str = "doc_id", text: str = "text", statistics: Statistics | None = None) -> DataFrame:
     """(query_id, key, score) for every document that shares a token with a query.
 
     Only tokens of queries are kept right after tokenising (the semi-join is a broadcast when the queries are small), so postings of
-    other tokens never reach a shuffle."""
-    n, average = corpus_stats(docs, key, text)
+    other tokens never reach a shuffle; a document's tokens are counted in place."""
+    statistics = statistics or Statistics(docs, text)
     terms = query_terms(queries)
-    idf = idf_table(token_documents(docs, text), n)
-    asked = terms.join(idf, "token").select("query_id", "token", (F.col("times") * F.col("idf")).alias("weight"))
-    needed = terms.select("token").distinct()
+    asked = terms.join(statistics.idf(), "token").select("query_id", "token", (F.col("times") * F.col("idf")).alias("weight"))
+    asked = stored(asked, "asked-tokens")
+    needed = asked.select("token").distinct()
     ts = docs.select(key, tokens(F.col(text)).alias("ts")).select(key, F.size("ts").cast("long").alias("len"), F.explode("ts").alias("token"))
     some = ts.join(needed, "token", "left_semi").groupBy(key, "len", "token").agg(F.count("*").alias("tf"))
-    norm = F.lit(K1) * (F.lit(1 - B) + F.lit(B) * F.col("len") / F.lit(max(average, 1e-9)))
+    norm = F.lit(K1) * (F.lit(1 - B) + F.lit(B) * F.col("len") / F.lit(max(statistics.average, 1e-9)))
     scored = some.select(key, "token", (F.col("tf") * (K1 + 1) / (F.col("tf") + norm)).alias("part"))
     return scored.join(asked, "token").groupBy("query_id", key).agg(F.sum(F.col("weight") * F.col("part")).alias("score"))
 

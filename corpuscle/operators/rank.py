@@ -13,38 +13,49 @@ RRF_K, TITLE_CAP, PER_PASS = 60, 3, 4096
 
 
 def cosine_knn(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """(query_id, key, score, rank): exact cosine neighbours. Queries are sent to the scan in blocks of at most PER_PASS vectors, each
-    batch keeps its own k best for each query, and only those are shuffled. queries: (query_id, vector)."""
-    n = queries.count()
-    blocks = max(1, -(-n // PER_PASS))
+    """(query_id, key, score, rank): exact cosine neighbours. Blocks of at most PER_PASS queries are one row each; the scan meets them in batches,
+    each batch keeps its own k best for each query, and only those are shuffled. queries: (query_id, vector). Vectors that are null or hold
+    null or non-finite components, or have another length than a query, take no part; the cosine with a zero vector is 0."""
     spark = vectors.sparkSession
+    v = F.col(vector)
+    sound = v.isNotNull() & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    asked = queries.where(sound).select("query_id", v.cast("array<double>").alias("v"))
+    n = asked.count()
     found = None
+    blocks = max(1, -(-n // PER_PASS))
     for b in range(blocks):
-        part = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b) if blocks > 1 else queries
-        rows = part.select("query_id", F.col(vector).cast("array<double>").alias("v")).where("v IS NOT NULL").orderBy("query_id").collect()
-        if not rows:
-            continue
-        ids = np.array([r[0] for r in rows])
-        table = np.array([r[1] for r in rows], np.float64)
-        norm = np.linalg.norm(table, axis=1, keepdims=True)
-        shared = spark.sparkContext.broadcast((ids, table / np.where(norm == 0, 1, norm)))
+        # bounded: a block has about PER_PASS queries
+        rows = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).collect() if n else []
+        by_size: dict[int, list] = {}
+        for r in rows:
+            by_size.setdefault(len(r[1]), []).append(r)
+        tables = {}
+        for size, rs in by_size.items():
+            x = np.array([r[1] for r in rs], np.float64).reshape(len(rs), size)
+            norm = np.linalg.norm(x, axis=1, keepdims=True)
+            tables[size] = (np.array([r[0] for r in rs]), x / np.where(norm == 0, 1, norm))
+        shared = spark.sparkContext.broadcast(tables)
 
         def run(batches, shared=shared):
-            ids, q = shared.value
             for batch in batches:
-                own = batch.column(0).to_numpy(zero_copy_only=False)
-                x = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, q.shape[1])
-                size = np.linalg.norm(x, axis=1, keepdims=True)
-                score = q @ (x / np.where(size == 0, 1, size)).T
-                # of equal scores the smaller key
-                order = np.argsort(own, kind="stable")
-                best = order[np.argsort(-np.round(score[:, order], 9), axis=1, kind="stable")[:, :k]]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, best.shape[1])), pa.array(own[best.ravel()]), pa.array(np.take_along_axis(score, best, 1).ravel())], names=["query_id", key, "score"])
-
-        one = vectors.where(F.col(vector).isNotNull()).select(F.col(key).cast("long"), vector).mapInArrow(run, f"query_id long, {key} long, score double")
+                own, lists = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1)
+                sizes = np.diff(lists.offsets.to_numpy())
+                for size, (ids, q) in shared.value.items():
+                    here = np.flatnonzero(sizes == size)
+                    if not len(here):
+                        continue
+                    part = lists if len(here) == len(own) else lists.take(pa.array(here))
+                    x = part.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(here), size)
+                    norm = np.linalg.norm(x, axis=1, keepdims=True)
+                    score = q @ (x / np.where(norm == 0, 1, norm)).T
+                    keys = own[here]
+                    # of equal scores the smaller key
+                    order = np.argsort(keys, kind="stable")
+                    best = order[np.argsort(-np.round(score[:, order], 9), axis=1, kind="stable")[:, :k]]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, best.shape[1])), pa.array(keys[best.ravel()]), pa.array(np.take_along_axis(score, best, 1).ravel())], names=["query_id", key, "score"])
+
+        one = vectors.where(sound).select(F.col(key).cast("long"), vector).mapInArrow(run, f"query_id long, {key} long, score double")
         found = one if found is None else found.unionByName(one)
-    if found is None:
-        found = spark.createDataFrame([], f"query_id long, {key} long, score double")
     w = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), key)
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
@@ -75,9 +86,9 @@ def reranked(hits: DataFrame, score: Column, top: int = 24) -> DataFrame:
 
 
 def lexical_overlap(query: Column, document: Column) -> Column:
-    """A deterministic stand-in for a cross-encoder: the share of the query's tokens in the first 1,200 characters."""
+    """A deterministic stand-in for a cross-encoder: the share of the query's tokens in the document."""
     q = F.array_distinct(tokens(query))
-    return F.when(F.size(q) == 0, 0.0).otherwise(F.size(F.array_intersect(q, tokens(F.substring(document, 1, 1200)))) / F.size(q))
+    return F.when(F.size(q) == 0, 0.0).otherwise(F.size(F.array_intersect(q, tokens(document))) / F.size(q))
 
 
 def diversified(hits: DataFrame, cap: int = TITLE_CAP, limit: int = 8, per: str = "query_id") -> DataFrame:

@@ -85,3 +85,14 @@ def scheduled(ratings: DataFrame) -> DataFrame:
 
     known = ratings.where(F.col("rating").isin(*RATINGS)).select(F.col("card").cast("string"), "rating", F.col("ts").cast("double"))
     return known.groupBy("card").applyInPandas(fold, SCHEDULED)
+
+
+def enrolled(cards: DataFrame, new: DataFrame) -> DataFrame:
+    """Cards with those of `new` that aren't there yet, which begin without history and are due at once. new: card, quiz_id."""
+    fresh = new.select("card", "quiz_id").dropDuplicates(["card"]).join(cards.select("card"), "card", "left_anti")
+    return cards.unionByName(fresh.withColumn("reviews", F.lit(0).cast("long")), allowMissingColumns=True)
+
+
+def withdrawn(cards: DataFrame, quizzes: DataFrame) -> DataFrame:
+    """Cards less those of deleted quizzes. quizzes: quiz_id."""
+    return cards.join(quizzes.select("quiz_id").distinct(), "quiz_id", "left_anti").select(*cards.columns)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import chunks, evaluation, index, library, rank
+from ..operators import chunks, evaluation, index, library, rank, study
 from ..session import table
 from .texts import _CHUNKS, _KIND, _TF, TOK, WS
 
@@ -14,26 +14,25 @@ def _docs(spark, d):
     return table(spark, d, "documents")
 
 
-def _asks(spark, d, n: int | None = None):
-    b = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    return b.where(F.col("query_id") < n) if n else b
+def _asks(spark, d):
+    return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
 
 def bm25_topk(spark, d):
-    s = index.top_k(index.bm25_scores(_docs(spark, d), _asks(spark, d, 20)), 10)
+    s = index.top_k(index.bm25_scores(_docs(spark, d), _asks(spark, d)), 10)
     return s.select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
 
 
 def bm25_zero_fill(spark, d):
     docs = _docs(spark, d)
-    asks = _asks(spark, d, 20).withColumn("text", F.element_at(X.tokens(F.col("text")), -1))
+    asks = _asks(spark, d)
     s = index.zero_filled(index.bm25_scores(docs, asks), docs, asks, 25)
     return s.select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
 
 
 def bm25_per_title(spark, d):
     docs = _docs(spark, d)
-    s = index.bm25_scores(docs, _asks(spark, d, 20)).join(docs.select("doc_id", F.col("source").alias("title")), "doc_id")
+    s = index.bm25_scores(docs, _asks(spark, d)).join(docs.select("doc_id", F.col("source").alias("title")), "doc_id")
     return library.bm25_leg(s).select("query_id", "title", F.round("score", 4).alias("score"), "rank")
 
 
@@ -41,7 +40,7 @@ def _vectors(spark, d):
     return table(spark, d, "embeddings")
 
 
-def _vector_asks(spark, d, every: int = 25):
+def _vector_asks(spark, d, every: int = 20):
     return _vectors(spark, d).where(F.col("vec_id") % every == 0).select(F.col("vec_id").cast("long").alias("query_id"), "embedding")
 
 
@@ -58,7 +57,7 @@ def cosine_knn_filtered(spark, d):
 
 
 def cosine_per_label(spark, d):
-    x = _knn(spark, d, 50).join(_vectors(spark, d).select("vec_id", F.col("label").cast("string").alias("title")), "vec_id")
+    x = _knn(spark, d, library.LEG).join(_vectors(spark, d).select("vec_id", F.col("label").cast("string").alias("title")), "vec_id")
     return library.dense_leg(x).select("query_id", "title", F.round("best", 6).alias("best"), "hits", "rank")
 
 
@@ -71,8 +70,8 @@ def cosine_pairs(spark, d):
 
 def _legs(spark, d):
     """A dense leg over vectors and a lexical one over documents with the same ids, for queries known by number."""
-    dense = _knn(spark, d, 24).select((F.col("query_id") / 25).cast("long").alias("query_id"), F.col("vec_id").alias("id"), "rank").where("query_id < 20")
-    lexical = index.top_k(index.bm25_scores(_docs(spark, d), _asks(spark, d, 20)), 24).select("query_id", F.col("doc_id").alias("id"), "rank")
+    dense = _knn(spark, d, 24).select((F.col("query_id") / 20).cast("long").alias("query_id"), F.col("vec_id").alias("id"), "rank")
+    lexical = index.top_k(index.bm25_scores(_docs(spark, d), _asks(spark, d)), 24).select("query_id", F.col("doc_id").alias("id"), "rank")
     return dense, lexical
 
 
@@ -88,7 +87,7 @@ def rrf_overlapping(spark, d):
 
 def _hits(spark, d, k=60):
     docs = _docs(spark, d).select("doc_id", F.col("source").alias("title"), F.col("text").alias("document"))
-    return index.top_k(index.bm25_scores(_docs(spark, d), _asks(spark, d, 20)), k).join(docs, "doc_id")
+    return index.top_k(index.bm25_scores(_docs(spark, d), _asks(spark, d)), k).join(docs, "doc_id")
 
 
 def rerank(spark, d):
@@ -106,8 +105,9 @@ def word_budget(spark, d):
 
 
 def parent_collapse(spark, d):
-    hits = _hits(spark, d, 20).withColumn("chunk_id", F.col("doc_id").cast("string")).withColumn("parent_id", F.when(F.col("doc_id") % 4 > 0, F.concat(F.lit("p"), (F.col("doc_id") % 40).cast("string"))))
-    parents = _docs(spark, d).where("doc_id < 30").select(F.concat(F.lit("p"), F.col("doc_id").cast("string")).alias("parent_id"), "text")
+    hits = _hits(spark, d, 20).withColumn("chunk_id", F.col("doc_id").cast("string")).withColumn("parent_id", F.when(F.col("doc_id") % 4 > 0, F.concat(F.lit("p"), F.floor(F.col("doc_id") / 4).cast("string"))))
+    # every fourth document is the parent of those before the next; short ones are no parents
+    parents = _docs(spark, d).where("doc_id % 4 = 0 AND n_chars > 300").select(F.concat(F.lit("p"), F.floor(F.col("doc_id") / 4).cast("string")).alias("parent_id"), "text")
     return rank.with_parents(hits, parents).select("query_id", "chunk_id", "rank", F.sha2("document", 256).alias("document_sha"))
 
 
@@ -126,7 +126,7 @@ def context_blocks(spark, d):
 
 def title_match(spark, d):
     titles = table(spark, d, "part").select(F.col("p_name").alias("title")).distinct()
-    asks = table(spark, d, "part").where("p_partkey % 50 = 0").select(F.col("p_partkey").alias("query_id"), F.concat(F.lit("Summarize "), F.col("p_name"), F.lit(" please")).alias("text"))
+    asks = table(spark, d, "part").select(F.col("p_partkey").alias("query_id"), F.concat(F.lit("Summarize "), F.col("p_name"), F.lit(" please")).alias("text"))
     return rank.matched_titles(asks, titles)
 
 
@@ -157,7 +157,7 @@ def find_works(spark, d):
     books = _books(spark, d)
     topics = books.select(F.regexp_extract("source", r"\d+", 0).cast("long").alias("query_id"), F.concat(F.lit("work "), F.col("source")).alias("text")).distinct()
     docs = _docs(spark, d)
-    scores = index.bm25_scores(docs, _asks(spark, d, 20)).join(docs.select("doc_id", F.concat(F.lit("Work "), F.col("source")).alias("title")), "doc_id")
+    scores = index.bm25_scores(docs, _asks(spark, d)).join(docs.select("doc_id", F.concat(F.lit("Work "), F.col("source")).alias("title")), "doc_id")
     legs = [library.lexical_leg(topics, books), library.bm25_leg(scores)]
     out = library.find_works(legs, books.where("source <> 'src7'"), 10)
     return out.select("query_id", "title", F.round("fused", 9).alias("fused"), "rank")
@@ -168,11 +168,12 @@ def catalog_markdown(spark, d):
 
 
 def hit_metrics(spark, d):
-    """Which benchmark items are found in the documents that hold them word for word."""
+    """Whether benchmark items find the documents that hold them word for word; items that no document holds are left out."""
     docs, asks = _docs(spark, d), _asks(spark, d)
     hits = index.top_k(index.bm25_scores(docs, asks), 10).select("query_id", F.col("doc_id").alias("item"), "rank")
-    wanted = hits.join(docs.select(F.col("doc_id").alias("item"), X.collapsed(F.col("text")).alias("t")), "item").join(asks, "query_id").where(F.contains("t", X.collapsed(F.col("text")))).select("query_id", "item")
-    m = evaluation.query_metrics(hits, wanted, 5)
+    texts = docs.select("doc_id", X.collapsed(F.col("text")).alias("t"))
+    wanted = study.holders(texts, asks.select(F.col("query_id").alias("item_id"), X.collapsed(F.col("text")).alias("x")))
+    m = evaluation.query_metrics(hits, wanted.select(F.col("item_id").alias("query_id"), F.col("doc_id").alias("item")), 5)
     return m.select("query_id", "hit", *[F.round(c, 6).alias(c) for c in ("rr", "recall", "precision")])
 
 
@@ -190,10 +191,9 @@ def _bm25(asks: str) -> str:
     return f"{_TF}, q AS ({asks}), qt AS (SELECT query_id, token, count(*) AS times FROM (SELECT query_id, unnest({TOK.format('text')}) AS token FROM q) GROUP BY ALL), sc AS (SELECT query_id, tf.doc_id, sum(times * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / al))) AS score FROM qt JOIN idf USING (token) JOIN tf USING (token) JOIN lens ON lens.doc_id = tf.doc_id, nd GROUP BY ALL), top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, doc_id) AS rank FROM sc)"
 
 
-_Q20 = "SELECT item_id AS query_id, text FROM benchmark WHERE item_id < 20"
-_B = _bm25(_Q20)
-_V = "va AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id % 25 = 0), vs AS (SELECT query_id, vec_id, label, list_cosine_similarity(q, embedding::DOUBLE[]) AS score FROM va, embeddings {w}), vk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, vec_id) AS rank FROM vs)"
-_LEGS = f"{_B}, {_V.format(w='')}, dense AS (SELECT query_id // 25 AS query_id, vec_id AS id, rank FROM vk WHERE rank <= 24 AND query_id // 25 < 20), lexical AS (SELECT query_id, doc_id AS id, rank FROM top WHERE rank <= 24)"
+_B = _bm25("SELECT item_id AS query_id, text FROM benchmark")
+_V = "va AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id % 20 = 0), vs AS (SELECT query_id, vec_id, label, list_cosine_similarity(q, embedding::DOUBLE[]) AS score FROM va, embeddings {w}), vk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, vec_id) AS rank FROM vs)"
+_LEGS = f"{_B}, {_V.format(w='')}, dense AS (SELECT query_id // 20 AS query_id, vec_id AS id, rank FROM vk WHERE rank <= 24), lexical AS (SELECT query_id, doc_id AS id, rank FROM top WHERE rank <= 24)"
 _FUSE = "f AS (SELECT query_id, id, sum(1.0::DOUBLE / (60 + rank)) AS fused, min(leg * 1000 + rank) AS seen, count(*) AS legs FROM u GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(fused, 12) DESC, seen, id) AS rank FROM f)"
 _HITS = f"{_B}, hits AS (SELECT query_id, top.doc_id, score, rank, source AS title, lang, text AS document FROM top JOIN documents USING (doc_id))"
 _NT = "trim(regexp_replace(lower({}), '[^a-z0-9 ]', ' ', 'g'))"
@@ -204,26 +204,26 @@ _DIV = "d1 AS (SELECT *, row_number() OVER (PARTITION BY query_id, title, docume
 
 SQL = {
     "bm25_topk": f"WITH {_B} SELECT query_id, doc_id, round(score, 6) AS score, rank FROM top WHERE rank <= 10",
-    "bm25_zero_fill": f"WITH {_bm25('SELECT item_id AS query_id, list_last(' + TOK.format('text') + ') AS text FROM benchmark WHERE item_id < 20')}, z AS (SELECT q.query_id, d.doc_id, coalesce(score, 0) AS score FROM q CROSS JOIN documents d LEFT JOIN sc ON sc.query_id = q.query_id AND sc.doc_id = d.doc_id), zr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, doc_id) AS rank FROM z) SELECT query_id, doc_id, round(score, 6) AS score, rank FROM zr WHERE rank <= 25",
+    "bm25_zero_fill": f"WITH {_B}, z AS (SELECT q.query_id, d.doc_id, coalesce(score, 0) AS score FROM q CROSS JOIN documents d LEFT JOIN sc ON sc.query_id = q.query_id AND sc.doc_id = d.doc_id), zr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, doc_id) AS rank FROM z) SELECT query_id, doc_id, round(score, 6) AS score, rank FROM zr WHERE rank <= 25",
     "bm25_per_title": f"WITH {_B}, p AS (SELECT query_id, source AS title, sum(score) AS score FROM sc JOIN documents USING (doc_id) GROUP BY ALL) SELECT query_id, title, round(score, 4) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, title) AS rank FROM p",
     "cosine_knn": f"WITH {_V.format(w='')} SELECT query_id, vec_id, round(score, 6) AS score, rank FROM vk WHERE rank <= 10",
     "cosine_knn_filtered": f"WITH {_V.format(w='WHERE label IN (1, 3, 5)')} SELECT query_id, vec_id, round(score, 6) AS score, rank FROM vk WHERE rank <= 5",
-    "cosine_per_label": f"WITH {_V.format(w='')}, t AS (SELECT query_id, label::VARCHAR AS title, max(score) AS best, count(*) AS hits FROM vk WHERE rank <= 50 GROUP BY ALL) SELECT query_id, title, round(best, 6) AS best, hits, row_number() OVER (PARTITION BY query_id ORDER BY round(best, 9) DESC, hits DESC, title) AS rank FROM t",
+    "cosine_per_label": f"WITH {_V.format(w='')}, t AS (SELECT query_id, label::VARCHAR AS title, max(score) AS best, count(*) AS hits FROM vk WHERE rank <= 500 GROUP BY ALL) SELECT query_id, title, round(best, 6) AS best, hits, row_number() OVER (PARTITION BY query_id ORDER BY round(best, 9) DESC, hits DESC, title) AS rank FROM t",
     "cosine_pairs": "SELECT a.vec_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) + 0.0 AS cosine FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1",
     "hybrid_search": f"WITH {_LEGS}, rest AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS rank FROM lexical WHERE (query_id, id) NOT IN (SELECT (query_id, id) FROM dense)), u AS (SELECT *, 0 AS leg FROM dense UNION ALL SELECT *, 1 FROM rest), {_FUSE} SELECT query_id, id, round(fused, 9) AS fused, rank FROM r WHERE rank <= 40",
     "rrf_overlapping": f"WITH {_LEGS}, u AS (SELECT *, 0 AS leg FROM dense UNION ALL SELECT *, 1 FROM lexical), {_FUSE} SELECT query_id, id, round(fused, 9) AS fused, legs, rank FROM r WHERE rank <= 40",
-    "rerank": f"WITH {_HITS}, s AS (SELECT h.*, len(list_intersect(list_distinct({TOK.format('q.text')}), list_distinct({TOK.format('substr(document, 1, 1200)')}))) / len(list_distinct({TOK.format('q.text')})) AS rs FROM hits h JOIN q USING (query_id) WHERE rank <= 48), n AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rs DESC, rank) AS nr FROM s) SELECT query_id, doc_id, round(rs, 6) AS rerank_score, nr AS rank FROM n WHERE nr <= 24",
+    "rerank": f"WITH {_HITS}, s AS (SELECT h.*, len(list_intersect(list_distinct({TOK.format('q.text')}), list_distinct({TOK.format('document')}))) / len(list_distinct({TOK.format('q.text')})) AS rs FROM hits h JOIN q USING (query_id) WHERE rank <= 48), n AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rs DESC, rank) AS nr FROM s) SELECT query_id, doc_id, round(rs, 6) AS rerank_score, nr AS rank FROM n WHERE nr <= 24",
     "diversify": f"WITH {_HITS}, {_DIV.format(cap=2)} SELECT query_id, doc_id, title, place FROM d3 WHERE place <= 12",
     "word_budget": f"WITH {_HITS}, b AS (SELECT *, sum(len({WS.format('document')})) OVER w AS used, count(*) OVER w AS kept FROM hits WHERE rank <= 10 WINDOW w AS (PARTITION BY query_id ORDER BY rank ROWS UNBOUNDED PRECEDING)) SELECT query_id, doc_id, rank, used::BIGINT AS used FROM b WHERE used <= 1500 OR kept <= 1",
-    "parent_collapse": f"WITH {_HITS}, x AS (SELECT h.query_id, h.doc_id::VARCHAR AS chunk_id, h.rank, coalesce(p.text, h.document) AS document, coalesce('p' || p.doc_id, 'self:' || h.doc_id) AS g FROM hits h LEFT JOIN documents p ON h.doc_id % 4 > 0 AND p.doc_id = h.doc_id % 40 AND p.doc_id < 30 WHERE rank <= 20), y AS (SELECT *, row_number() OVER (PARTITION BY query_id, g ORDER BY rank) AS i FROM x) SELECT query_id, chunk_id, rank, sha256(document) AS document_sha FROM y WHERE i = 1",
+    "parent_collapse": f"WITH {_HITS}, x AS (SELECT h.query_id, h.doc_id::VARCHAR AS chunk_id, h.rank, coalesce(p.text, h.document) AS document, coalesce('p' || p.doc_id // 4, 'self:' || h.doc_id) AS g FROM hits h LEFT JOIN documents p ON h.doc_id % 4 > 0 AND p.doc_id = h.doc_id // 4 * 4 AND p.n_chars > 300 WHERE rank <= 20), y AS (SELECT *, row_number() OVER (PARTITION BY query_id, g ORDER BY rank) AS i FROM x) SELECT query_id, chunk_id, rank, sha256(document) AS document_sha FROM y WHERE i = 1",
     "first_source": f"WITH {_HITS}, x AS (SELECT *, row_number() OVER (PARTITION BY query_id, title, lang ORDER BY rank) AS i FROM hits WHERE rank <= 30) SELECT query_id, title, lang, rank FROM x WHERE i = 1",
     "context_blocks": f"WITH {_HITS}, {_DIV.format(cap=3)}, c AS (SELECT query_id, place, '[' || place || '] ' || title || chr(10) || array_to_string({WS.format('document')}[1:50], ' ') || CASE WHEN len({WS.format('document')}) > 50 THEN ' …[truncated]' ELSE '' END AS t FROM d3 WHERE place <= 4) SELECT query_id, sha256(string_agg(t, chr(10) || chr(10) ORDER BY place)) AS context_sha FROM c GROUP BY query_id",
-    "title_match": f"WITH t AS (SELECT DISTINCT p_name AS title FROM part), a AS (SELECT p_partkey AS query_id, 'Summarize ' || p_name || ' please' AS text FROM part WHERE p_partkey % 50 = 0), n AS (SELECT query_id, title, {_NT.format('text')} AS q, {_NT.format('title')} AS t, {_OWN.format('title')} AS tw, list_intersect({_OWN.format('title')}, {_OWN.format('text')}) AS sh FROM a, t), s AS (SELECT query_id, title, CASE WHEN length(t) < 3 THEN NULL WHEN contains(q, t) OR contains(t, q) THEN 100 + length(t) WHEN len(tw) >= 2 AND len(sh) >= 2 THEN 60 + length(t) WHEN len(sh) = 1 AND length(sh[1]) >= 5 THEN 40 + length(t) END AS score FROM n), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, title) AS rank FROM s WHERE score IS NOT NULL) SELECT * FROM r WHERE rank <= 4",
+    "title_match": f"WITH t AS (SELECT DISTINCT p_name AS title FROM part), a AS (SELECT p_partkey AS query_id, 'Summarize ' || p_name || ' please' AS text FROM part), n AS (SELECT query_id, title, {_NT.format('text')} AS q, {_NT.format('title')} AS t, {_OWN.format('title')} AS tw, list_intersect({_OWN.format('title')}, {_OWN.format('text')}) AS sh FROM a, t), s AS (SELECT query_id, title, CASE WHEN length(t) < 3 THEN NULL WHEN contains(q, t) OR contains(t, q) THEN 100 + length(t) WHEN len(tw) >= 2 AND len(sh) >= 2 THEN 60 + length(t) WHEN len(sh) = 1 AND length(sh[1]) >= 5 THEN 40 + length(t) END AS score FROM n), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, title) AS rank FROM s WHERE score IS NOT NULL) SELECT * FROM r WHERE rank <= 4",
     "distinctive_terms": f"WITH t AS (SELECT {_NT.format('p_name')} AS t FROM (SELECT DISTINCT p_name FROM part)), k AS (SELECT t FROM t WHERE length(t) >= 3), w AS (SELECT unnest(list_distinct(list_filter(string_split(t, ' '), lambda x: x <> ''))) AS word FROM k) SELECT word, count(*) AS titles, count(*) / (SELECT count(*) FROM k) < 0.03 AS rare FROM w GROUP BY word",
     "even_spread_sample": "WITH p AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS pos, count(*) OVER (PARTITION BY source) AS m FROM documents) SELECT source, doc_id, pos FROM p WHERE m <= 7 OR list_contains([(0 * m) // 7, (1 * m) // 7, (2 * m) // 7, (3 * m) // 7, (4 * m) // 7, (5 * m) // 7, (6 * m) // 7], pos)",
     "shuffled_sample": "SELECT doc_id, md5(doc_id || ':42') AS h FROM documents ORDER BY h, doc_id LIMIT 100",
     "find_works": f"WITH {_B}, {_BOOKS}, tp AS (SELECT regexp_extract(source, '\\d+')::BIGINT AS query_id, lower('work ' || source) AS topic FROM books), bt AS (SELECT title, lower(title || ' ' || array_to_string(tags, ' ') || ' ' || source) AS about FROM books), l0 AS (SELECT query_id, title, len(list_intersect(list_distinct({TOK.format('topic')}), list_distinct({TOK.format('about')}))) + CASE WHEN contains(about, topic) THEN 3 ELSE 0 END AS score FROM tp, bt), l1 AS (SELECT query_id, title, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, lower(title), title) AS rank FROM l0 WHERE score > 0), p AS (SELECT query_id, 'Work ' || source AS title, sum(score) AS score FROM sc JOIN documents USING (doc_id) GROUP BY ALL), l2 AS (SELECT query_id, title, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, title) AS rank FROM p), u AS (SELECT query_id, title AS id, rank, 0 AS leg FROM l1 WHERE title <> 'Work src7' UNION ALL SELECT query_id, title, rank, 1 FROM l2 WHERE title <> 'Work src7'), {_FUSE} SELECT query_id, id AS title, round(fused, 9) AS fused, rank FROM r WHERE rank <= 10",
     "catalog_markdown": f"WITH {_BOOKS}, n AS (SELECT *, row_number() OVER (ORDER BY lower(title), source) AS place FROM books) SELECT place, '| ' || place || ' | ' || title || ' | ' || CASE kind WHEN 'fiction' THEN '\U0001f4d6' ELSE '\U0001f4da' END || ' | ' || array_to_string(tags[1:3], ', ') || CASE WHEN len(tags) > 3 THEN ' (+' || (len(tags) - 3) || ')' ELSE '' END || ' | ' || source || ' | ' || kind || ' |' AS line FROM n",
-    "hit_metrics": f"WITH {_bm25('SELECT item_id AS query_id, text FROM benchmark')}, c AS (SELECT doc_id, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS t FROM documents), h AS (SELECT query_id, doc_id, rank FROM top WHERE rank <= 10), w AS (SELECT h.query_id, h.doc_id, h.rank FROM h JOIN c USING (doc_id) JOIN q ON q.query_id = h.query_id WHERE contains(t, lower(trim(regexp_replace(q.text, '\\s+', ' ', 'g'))))), a AS (SELECT query_id, count(*) AS wanted, count(*) FILTER (rank <= 5) AS found, min(rank) FILTER (rank <= 5) AS best FROM w GROUP BY query_id), s AS (SELECT query_id, count(*) AS shown FROM h WHERE rank <= 5 GROUP BY query_id) SELECT query_id, (best IS NOT NULL)::INT AS hit, coalesce(round(1 / best, 6), 0) AS rr, round(found / wanted, 6) AS recall, coalesce(round(found / shown, 6), 0) AS precision FROM a LEFT JOIN s USING (query_id)",
+    "hit_metrics": f"WITH {_B}, c AS (SELECT doc_id, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS t FROM documents), x AS (SELECT query_id, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS x FROM q), w AS (SELECT query_id, doc_id FROM x JOIN c ON contains(t, x)), h AS (SELECT query_id, doc_id, rank FROM top WHERE rank <= 5), a AS (SELECT w.query_id, count(*) AS wanted, count(rank) AS found, min(rank) AS best FROM w LEFT JOIN h USING (query_id, doc_id) GROUP BY w.query_id), s AS (SELECT query_id, count(*) AS shown FROM h GROUP BY query_id) SELECT query_id, (best IS NOT NULL)::INT AS hit, coalesce(round(1 / best, 6), 0) AS rr, round(found / wanted, 6) AS recall, coalesce(round(found / shown, 6), 0) AS precision FROM a LEFT JOIN s USING (query_id)",
     "eval_diff": "WITH v AS (SELECT source AS metric, avg(quality) AS current FROM labels JOIN documents USING (doc_id) GROUP BY source), b AS (SELECT avg(quality) AS baseline FROM labels) SELECT metric, round(current, 6) AS current, round(baseline, 6) AS baseline, current < baseline * (1 - 0.05::DOUBLE) AS regressed FROM v, b",
 }

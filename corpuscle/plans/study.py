@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -60,20 +59,10 @@ def allocate_budget(spark, d):
 
 
 def grounding_contains(spark, d):
-    """Benchmark items against the documents that hold them: long ones against those that share five of their words."""
-    b = table(spark, d, "benchmark").select("item_id", X.collapsed(F.col("text")).alias("x"))
+    """Benchmark items against the documents that hold them."""
+    items = table(spark, d, "benchmark").select("item_id", X.collapsed(F.col("text")).alias("x"))
     docs = table(spark, d, "documents").select("doc_id", X.collapsed(F.col("text")).alias("t"))
-    # candidates share the item's third to seventh words; a document that holds the item whole shares them. The first and last words of an
-    # item may be parts of a document's, so that items of fewer than eight words have no such key and are looked for in every document
-    short = F.size(F.split("x", " ")) < 8
-    key = F.array_join(F.slice(F.split("x", " "), 3, 5), " ")
-    split = docs.select("doc_id", F.posexplode(F.split("t", " ")).alias("i", "w"))
-    near = Window.partitionBy("doc_id").orderBy("i").rowsBetween(0, 4)
-    grams = split.select("doc_id", F.array_join(F.collect_list("w").over(near), " ").alias("key"))
-    # texts stay behind until a candidate needs its own
-    pairs = grams.join(b.where(~short).withColumn("key", key), "key").select("doc_id", "item_id", "x").distinct().join(docs, "doc_id").where(F.contains("t", "x"))
-    whole = docs.join(F.broadcast(b.where(short)), F.contains("t", "x"))
-    return pairs.select("doc_id", "item_id").unionByName(whole.select("doc_id", "item_id")).groupBy("item_id").agg(F.count("*").alias("docs"), F.min("doc_id").alias("first"))
+    return study.holders(docs, items).groupBy("item_id").agg(F.count("*").alias("docs"), F.min("doc_id").alias("first"))
 
 
 def grounding_faults(spark, d):
@@ -86,7 +75,7 @@ def grounding_faults(spark, d):
 
 
 def duplicate_questions(spark, d):
-    q = table(spark, d, "documents").select(F.col("doc_id").alias("qid"), X.trimmed_words(F.col("text"), 40).alias("q"), (F.col("doc_id") % 10).alias("batch"))
+    q = table(spark, d, "documents").select(F.col("doc_id").alias("qid"), F.col("text").alias("q"), (F.col("doc_id") % 10).alias("batch"))
     return study.earlier_duplicates(q)
 
 
@@ -179,7 +168,6 @@ SQL = {
     "weakness_weights": f"WITH {_G}, m AS (SELECT regexp_replace(lower(trim(unit)), '[^a-z0-9]+', '', 'g') AS unit_key, count(*) AS misses FROM g WHERE NOT correct GROUP BY ALL) SELECT unit_key, misses, round(1 + misses / max(misses) OVER (), 6) AS weight FROM m",
     "allocate_budget": f"WITH u AS (SELECT source, regexp_extract(source, '\\d+')::BIGINT AS unit_no, sum(len({WS.format('text')}))::DOUBLE AS w FROM documents GROUP BY source), {_ALLOC.format(n=12)}, {_ALLOC.format(n=107)} SELECT source, c12.n AS few, c107.n AS many FROM c12 JOIN c107 USING (source)",
     "grounding_contains": r"WITH b AS (SELECT item_id, lower(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS x FROM benchmark), t AS (SELECT doc_id, lower(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS t FROM documents) SELECT item_id, count(*) AS docs, min(doc_id) AS first FROM b JOIN t ON contains(t, x) GROUP BY item_id",
-    "duplicate_questions": rf"WITH w AS (SELECT doc_id AS qid, doc_id % 10 AS batch, {WS.format('text')} AS ws FROM documents), q AS (SELECT qid, batch, list_distinct({TOK.format('s')}) AS ts FROM (SELECT *, array_to_string(ws[1:40], ' ') || CASE WHEN len(ws) > 40 THEN ' …[truncated]' ELSE '' END AS s FROM w)), p AS (SELECT a.qid, b.qid AS old FROM q a JOIN q b ON b.batch < a.batch AND len(a.ts) > 0 AND len(b.ts) > 0 AND len(list_intersect(a.ts, b.ts)) >= 0.75::DOUBLE * (len(a.ts) + len(b.ts) - len(list_intersect(a.ts, b.ts)))) SELECT qid, min(old) AS duplicate_of FROM p GROUP BY qid UNION ALL SELECT qid, NULL FROM q WHERE len(ts) = 0",
     "exports": f"WITH {_Q} SELECT qid, '::q' || qid || ':: ' || q || ' {{' || CASE WHEN upper(left(answer, 1)) = 'A' THEN '=' ELSE '~' END || 'A) ' || p_name || ' ' || CASE WHEN upper(left(answer, 1)) = CASE WHEN p_partkey % 5 = 0 THEN 'A' ELSE 'B' END THEN '=' ELSE '~' END || CASE WHEN p_partkey % 5 = 0 THEN 'A) ' ELSE 'B) ' END || p_brand || '}}' AS line FROM q WHERE type = 'mcq'",
     "due_queue": f"WITH {_CARDS} SELECT quiz_id || ':' || card AS card, due FROM cards WHERE due IS NULL OR due <= {NOW} ORDER BY due NULLS FIRST, 1 LIMIT 50",
     "due_per_quiz": f"WITH {_CARDS} SELECT quiz_id, count(*) AS due FROM cards WHERE due IS NULL OR due <= {NOW} GROUP BY quiz_id",

@@ -30,16 +30,13 @@ def doc_frequency(spark, d):
 
 
 def corpus_stats(spark, d):
-    docs = _docs(spark, d)
-    n, average = index.corpus_stats(docs)
-    idf = index.idf_table(index.token_documents(docs), n)
-    return idf.agg(F.lit(n).cast("long").alias("n_docs"), F.round(F.lit(average), 6).alias("avg_len"), F.count("*").alias("n_terms"), F.round(F.avg("idf"), 6).alias("mean_idf"))
+    s = index.Statistics(_docs(spark, d))
+    return s.idf().agg(F.lit(s.docs).cast("long").alias("n_docs"), F.round(F.lit(s.average), 6).alias("avg_len"), F.count("*").alias("n_terms"), F.round(F.avg("idf"), 6).alias("mean_idf"))
 
 
 def common_terms(spark, d):
-    docs = _docs(spark, d)
-    n, _ = index.corpus_stats(docs)
-    return index.common_terms(index.token_documents(docs), n)
+    s = index.Statistics(_docs(spark, d))
+    return index.common_terms(s.frequencies, s.docs)
 
 
 def flat_chunks(spark, d):

@@ -24,7 +24,9 @@ def extension(path: Column) -> Column:
 def scan(spark: SparkSession, folder: str, kinds: tuple = SCANNED, only: str | None = None, exclude: str | None = None) -> DataFrame:
     """path, modificationTime, length and ext of files below a folder, hidden folders left out. Contents aren't read unless selected."""
     x = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).withColumn("ext", extension(F.col("path")))
-    x = x.where(F.col("ext").isin(*kinds) & ~F.col("path").rlike(r"/\.[^/]+"))
+    # hidden folders above the given one don't matter
+    below = F.replace(F.regexp_replace("path", "^[a-z]+:/*", "/"), F.lit(re.sub("^[a-z]+:/*", "/", folder).rstrip("/")), F.lit(""))
+    x = x.where(F.col("ext").isin(*kinds) & ~below.rlike(r"/\.[^/]+"))
     if only:
         x = x.where(F.contains(F.lower("path"), F.lit(only.lower())))
     return x.where(~F.contains(F.lower("path"), F.lit(exclude.lower()))) if exclude else x
@@ -97,7 +99,7 @@ def recognised_pages(texts: DataFrame, key: str = "rel_path") -> DataFrame:
     so_far = Window.partitionBy(key).orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     x = lines.withColumn("mark", F.nullif(mark, F.lit("")).cast("int")).withColumn("page", F.last("mark", ignorenulls=True).over(so_far))
     x = x.where("page IS NOT NULL AND mark IS NULL").groupBy(key, "page").agg(F.array_sort(F.collect_list(F.struct("i", "line"))).alias("l"))
-    return x.select(key, "page", F.trim(F.array_join(F.transform("l", lambda s: s["line"]), "\n")).alias("text"))
+    return x.select(key, "page", F.regexp_replace(F.array_join(F.transform("l", lambda s: s["line"]), "\n"), r"^\s+|\s+$", "").alias("text"))
 
 
 def package_metadata(texts: DataFrame, key: str = "rel_path") -> DataFrame:

@@ -24,8 +24,14 @@ def ingest(spark: SparkSession, folder: str, target: str, checkpoint: str) -> No
     query.awaitTermination()
 
 
-def current_chunks(spark: SparkSession, target: str) -> DataFrame:
-    """The chunks of each file's latest batch."""
+def current_chunks(spark: SparkSession, target: str, folder: str | None = None) -> DataFrame:
+    """The chunks of each file's latest batch; with the `folder`, only of files that are still there, since a stream of arrivals doesn't tell of removals."""
     rows = spark.read.parquet(target)
     latest = rows.groupBy("rel_path").agg(F.max("batch").alias("batch"))
-    return rows.join(latest, ["rel_path", "batch"])
+    now = rows.join(latest, ["rel_path", "batch"])
+    if folder is None:
+        return now
+    there = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path")
+    # paths with and without the slashes of an empty host
+    bare = lambda c: F.regexp_replace(c, "^([a-z]+:)/+", "$1/")
+    return now.join(there.select(bare(F.col("path")).alias("p")).distinct(), bare(F.col("rel_path")) == F.col("p"), "left_semi")

@@ -34,3 +34,17 @@ def test_engine(spark):
     assert e.plan(3).select("allocation").distinct().first()[0] == 3
     assert e.context(e.search(q)).count() == 2
     assert e.matched_titles(e.queries("read book 0 now")).first().title == "Book 0"
+
+
+def test_whole_plans(spark):
+    docs = spark.createDataFrame([(k, f"{t} and the sea, {w} and {w} again. Part {k}", t, f"{t}.txt", "fiction", [w]) for k, (t, w) in enumerate([("Moby Dick", "whales"), ("Moby Dick", "ships"), ("Red Ring", "rings"), ("Law", "courts")])], "doc_id long, text string, title string, source string, kind string, tags array<string>")
+    e = Engine(spark, docs)
+    got = e.answer(e.queries("whales in moby dick", "courts")).collect()
+    assert {(r.query_id, r.title) for r in got} == {(0, "Moby Dick"), (1, "Law")}
+    assert {r.query_id: r.warning for r in e.warnings(e.queries("courts", "Captain Zorro of the courts")).collect()} == {0: None, 1: "proper terms not found in retrieved sources: captain zorro"}
+    told = e.intents(e.queries("list books about whales", "quiz me with 5 on law")).orderBy("query_id").collect()
+    assert (told[0].listing, told[0].topic, told[1].quiz, told[1]["count"]) == (True, "whales", True, 5)
+    assert [r.title for r in e.catalogue(e.queries("list books about whales")).collect()] == ["Moby Dick"]
+    golden = spark.createDataFrame([(0, "whales", "retrieval", "The Moby Dick", None), (1, "rings", "topic", None, ["Red Ring"]), (2, "courts", "retrieval", "Red Ring", None)], "query_id long, query string, mode string, expected_title string, expected_works array<string>")
+    assert {r.query_id: r.hit for r in e.evaluate_golden(golden).collect()} == {0: 1, 1: 1, 2: 0}
+    assert "stemmed" in e.register_sql()

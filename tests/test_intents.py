@@ -22,6 +22,23 @@ def test_intents(spark):
     assert [r[0] for r in w.select(I.is_about_a_work(F.col("q"))).collect()] == [True, True, False]
 
 
+def test_more_messages(spark):
+    q = F.col("q")
+
+    def of(expression, *messages):
+        return [r[0] for r in spark.createDataFrame([(k, m) for k, m in enumerate(messages)], "i int, q string").orderBy("i").select(expression).collect()]
+
+    assert of(I.is_listing(q), "how many books are there", "tell me about whales", "find all 5 novels on ships", "find my keys", "which titles cover law?") == [True, True, True, False, True]
+    assert of(I.is_quiz(q), "the latest contest", "a study guide on law", "make flashcards") == [False, True, True]
+    assert of(I.topic(q), "List works concerning The Law, in the end.", "books about everything in my collection", "browse") == ["Law, in the end", "everything", ""]
+    assert of(I.count(q, 7), "a quiz of 12", "build me up to 30", "chapter 4", "5 of 200 cards", "make 0 questions", "quiz with 18-century facts") == [12, 30, 7, 7, 7, 7]
+    assert of(I.kind(q), "non fiction", "Fiction", "nonfictional") == ["nonfiction", "fiction", None]
+    assert of(I.reply(q)["confirm"], "yes please", "go ahead", "yes but why?", "please") == [True, True, None, None]
+    assert of(I.reply(q)["count"], "9 questions", "unit 3 questions", "8 q, deep") == [9, None, 8]
+    assert of(I.reply(q)["depth"], "9 questions", "make it deep") == [None, "deep"]
+    assert of(I.host_allowed(q), "http://[::1]:80/x", "localhost", "http://localhost.evil.example") == [True, True, False]
+
+
 def test_scopes(spark):
     sections = spark.createDataFrame([("w", k, "" if k == 2 else f"Part {k}", f"p{k}", 10 * k) for k in range(1, 6)] + [("v", 1, "Only", "q1", 5)], "work string, ordinal int, title string, parent_id string, words long")
     outline = spark.createDataFrame([("w", "UNIT 1: Start | SUBTOPICS: a, b,, c\nnoise\nunit 3 - Middle | subtopics: d\nUNIT 9: none | SUBTOPICS: x"), ("v", "nothing")], "work string, text string")

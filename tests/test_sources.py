@@ -65,6 +65,16 @@ def test_incremental_ingest(spark, tmp_path):
     ingest.ingest(spark, str(folder), target, checkpoint)
     got = ingest.current_chunks(spark, target)
     assert got.count() == 3 and got.select("rel_path").distinct().count() == 2
+    (folder / "a.txt").unlink()
+    assert [r.document for r in ingest.current_chunks(spark, target, str(folder)).collect()] == ["only a few words"]
+
+
+def test_hidden_folders_above_do_not_matter(spark, tmp_path):
+    for path in (".above/lib/a.txt", ".above/lib/.git/b.txt", ".above/lib/sub/c.txt"):
+        f = tmp_path / path
+        f.parent.mkdir(parents=True, exist_ok=True)
+        f.write_text("x")
+    assert sorted(r.path.rsplit("/", 1)[1] for r in files.scan(spark, str(tmp_path / ".above/lib")).select("path").collect()) == ["a.txt", "c.txt"]
 
 
 def test_review_stream(spark, tmp_path):
