@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import PIECE_BYTES, bounded_batches, covered, discard, frugal, mix, pieces, prefix_hash, read, release, span_hash, stored, utf8, without
+from .common import PIECE_BYTES, bounded_batches, covered, discard, forget, frugal, mix, pieces, prefix_hash, read, release, span_hash, stored, utf8, without
 
 MATCH, GRAM = 50, 16
 #: A passage reaches at least so far beyond its anchor on one side.
@@ -492,12 +492,17 @@ def repeated_spans(docs: DataFrame, texts: DataFrame | None = None, salts=range(
     for salt in salts:
         sent = plain.mapInArrow(frugal(_send(ranges, salt)), _SENT)
         found = stored(sent.groupBy("bucket").applyInArrow(_settle(buckets), _FOUND), "suffix-runs")
+        del sent
+        forget(spark)
         claimed = found.where("of_id IS NOT NULL")
         by_doc = claimed.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("s0", "n", "of_id", "of_mark", "of_s0")).alias("claims"))
         claims = zipped.join(by_doc, ["doc_id", "mark"]).select("zipped", "claims").mapInArrow(frugal(_claims), "of_id long, of_mark int, spans binary, data binary")
         there = zipped.select(F.col("doc_id").alias("of_id"), F.col("mark").alias("of_mark"), "zipped").dropDuplicates(["of_id", "of_mark"])
         told = claims.join(there, ["of_id", "of_mark"], "left").select("zipped", "spans", "data").mapInArrow(frugal(_confirm), "claims long, bytes long, wrong long")
-        if not told.agg(F.sum("wrong")).first()[0]:
+        wrong = told.agg(F.sum("wrong")).first()[0]
+        del by_doc, claims, there, told
+        forget(spark)
+        if not wrong:
             break
         discard(found)
     else:
@@ -507,7 +512,9 @@ def repeated_spans(docs: DataFrame, texts: DataFrame | None = None, salts=range(
     passages = wanted.mapInArrow(frugal(_edge_bytes(buckets)), "bucket long, doc_id long, mark int, s0 int, data binary")
     exact = passages.groupBy("bucket").applyInArrow(_compare, "doc_id long, mark int, s0 int, n int")
     out = stored(claimed.select("doc_id", "mark", "s0", "n").unionByName(exact), "repeats")
+    del claimed, edges, wanted, passages, exact
     discard(found, *[texts] * read_once)
+    forget(spark)
     return out
 
 
