@@ -2,7 +2,7 @@
 
 Counting: words of the training texts are reduced to character n-grams in each task and summed over all tasks, so every
 training text counts. A model is a few sorted arrays of 64-bit hashes with probabilities and back-off weights of all n-grams, so that
-discounts and continuation counts are those of the whole text; it grows with the distinct n-grams and is built one language at a time.
+discounts and continuation counts are those of the whole text; it grows with the distinct n-grams, and each language's is built in one task.
 Words are modelled with the preceding four characters (word starts are padded), so a word's score doesn't depend on its
 neighbours, and each distinct word is scored once in a worker.
 
@@ -18,6 +18,7 @@ is told apart, one model each.
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections import Counter
 
@@ -27,13 +28,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, discard, frugal, mix, read, stored
+from .common import bounded_batches, frugal, mix, read, release
 
 ORDER = 5
 #: About so many training texts calibrate rejection and don't count.
 CALIBRATION = 20_000
 #: A rejected text lies so many deviations and so many bits a character above its language's mean.
-REJECT_AT, REJECT_BITS, KEPT = 8.0, 1.25, 400_000
+REJECT_AT, REJECT_BITS, KEPT = 8.0, 1.25, 250_000
 UNKNOWN = "und"
 _WORD = re.compile(r"[^\W\d_]+")
 _PAD, _END = "\x02", "\x03"
@@ -255,13 +256,15 @@ def train(docs: DataFrame, calibration: int = CALIBRATION) -> Identifier:
     each = max(1, calibration // max(1, len(number)))
     every_th = F.create_map(*(F.lit(x) for lang, n in number.items() for x in (lang, max(8, -(-n // each)))))[F.col("lang")] if number else F.lit(8)
     apart = F.pmod(F.xxhash64("doc_id", F.lit("calibration")), every_th) == 0
-    grams = stored(gram_counts(rows.where(~apart | F.col("doc_id").isNull())), "grams")
-    models = {}
-    for name in number:
-        table = grams.where(F.col("lang") == name).select("gram", "n").toArrow()
-        if len(table):
-            models[name] = KneserNey("".join("".join(c.to_pylist()) for c in table.column("gram").chunks), table.column("n").to_numpy())
-    discard(grams)
+    def build(table: pa.Table) -> pa.Table:
+        model = KneserNey("".join("".join(c.to_pylist()) for c in table.column("gram").chunks), table.column("n").to_numpy())
+        name = table.column("lang")[0].as_py()
+        release()
+        return pa.table({"lang": pa.array([name], pa.string()), "model": pa.array([pickle.dumps(model)], pa.binary())})
+
+    grams = gram_counts(rows.where(~apart | F.col("doc_id").isNull()))
+    # all n-grams of a language meet in one task; only the finished arrays come to the driver
+    models = {r["lang"]: pickle.loads(r["model"]) for r in grams.groupBy("lang").applyInArrow(build, "lang string, model binary").collect()}
     found = Identifier(models)
     if models:
         told = identify(rows.where(apart), found, keep=("lang",)).where("lid_lang = lang AND lid_chars > 0")

@@ -90,6 +90,44 @@ def test_kneser_ney_is_a_distribution():
         assert total == pytest.approx(1, abs=0.15) and total < 1.0001 + 2**m.unknown
 
 
+def test_op6_brute_kneser_ney():
+    """Word scores from arrays against the textbook recursion on dictionaries."""
+    import math
+
+    rng = random.Random(21)
+    train = ["".join(rng.choice("aab" if rng.random() < 0.6 else "cdeé") for _ in range(rng.randint(1, 9))) for _ in range(400)]
+    n = language.ORDER
+    counts = [None] * n + [{}]
+    for w in train:
+        s = language._PAD * (n - 1) + w + language._END
+        for i in range(len(s) - n + 1):
+            counts[n][s[i : i + n]] = counts[n].get(s[i : i + n], 0) + 1
+    for k in range(n - 1, 0, -1):  # a lower order counts the different characters before
+        counts[k] = {}
+        for g in counts[k + 1]:
+            counts[k][g[1:]] = counts[k].get(g[1:], 0) + 1
+
+    def discount(k):
+        ones, twos = (sum(c == x for c in counts[k].values()) for x in (1, 2))
+        return min(max(ones / (ones + 2 * twos) if ones else 0.5, 0.1), 0.9)
+
+    def p(head, c):
+        k = len(head) + 1
+        lower = 1 / (len(counts[1]) + 1) if k == 1 else p(head[1:], c)
+        follow = {g[-1]: x for g, x in counts[k].items() if g[:-1] == head}
+        if not follow:
+            return lower
+        total = sum(follow.values())
+        return max(follow.get(c, 0) - discount(k), 0) / total + discount(k) * len(follow) / total * lower
+
+    grams = sorted(counts[n])
+    m = language.Identifier({"x": language.KneserNey(grams, np.array([counts[n][g] for g in grams]))})
+    words = train[:30] + ["zzz", "abz", "é", "dedede", "aaaaaaaaaaaa"]
+    for w, got in zip(words, m.word_scores(words)[:, 0]):
+        s = language._PAD * (n - 1) + w + language._END
+        assert got == pytest.approx(sum(math.log2(p(s[i : i + n - 1], s[i + n - 1])) for i in range(len(w) + 1)), abs=1e-3)
+
+
 def test_op6_keeps_all_grams(spark):
     """More 5-grams than 300,000, as in text of a large character set without blanks."""
     import numpy as np
