@@ -2,26 +2,19 @@
 
 from __future__ import annotations
 
-import atexit
-import re
-import shutil
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import table as read  # noqa: F401
+from ..session import work_path
+
 #: Bytes of text that one NumPy pass holds at once; arrays of 8 bytes for each byte follow from it.
 PIECE_BYTES = 1 << 20
 
 
-def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
-
-
 def bounded_batches(spark: SparkSession) -> None:
     """Arrow batches are bounded by bytes, so that a run of very long texts doesn't fill a worker; scans decode few texts at a time."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
@@ -29,21 +22,6 @@ def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", "512")
 
 
-def work_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that driver and executors share: spark.checkpoint.dir, or a temporary folder where all of Spark is one process."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        folder = spark.sparkContext._jsc.sc().getCheckpointDir()
-        base = folder.get() if folder.isDefined() else None
-    if not base:
-        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = tempfile.mkdtemp(prefix="corpuscle-")
-        atexit.register(shutil.rmtree, base, ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base}/{name}-{uuid.uuid4().hex}"
-
-
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write df to the shared folder and read it again."""
     spark = df.sparkSession
