@@ -13,6 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
+#: Splits of a table that may be dealt anew.
+FEW_PARTS = 8
+
 
 def session(name: str = "corpuscle", cpus: str | int = "*", **conf: str) -> SparkSession:
     """A session with adaptive execution, UTC, and as many shuffle partitions as cores; on a cluster the submit's own settings win."""
@@ -30,12 +33,13 @@ def session(name: str = "corpuscle", cpus: str | int = "*", **conf: str) -> Spar
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table; one that would be read by few tasks (files of one row group each) is dealt over all cores, so that work on its texts isn't done by one.
-    A table of many row groups stays as it is."""
+    """A table. A small one of texts that few tasks would read (files of one row group each) is dealt over the cores, so that work on its texts isn't done by
+    one; a table of more than FEW_PARTS splits stays as it is."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    if name in ("documents", "pages") and 2 * df.rdd.getNumPartitions() <= cores:
-        return df.repartition(cores)
+    if name in ("documents", "pages"):
+        cores, parts = spark.sparkContext.defaultParallelism, df.rdd.getNumPartitions()
+        if parts <= FEW_PARTS and 2 * parts <= cores:
+            return df.repartition(min(cores, 8 * FEW_PARTS))
     return df
 
 
