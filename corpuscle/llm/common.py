@@ -12,13 +12,13 @@ from ..session import table as read  # noqa: F401
 from ..session import work_path
 
 #: Bytes of text that one NumPy pass holds at once; arrays of 8 bytes for each byte follow from it.
-PIECE_BYTES = 1 << 20
+PIECE_BYTES = 1 << 19
 
 
 def bounded_batches(spark: SparkSession) -> None:
     """Arrow batches are bounded by bytes, so that a run of very long texts doesn't fill a worker; scans decode few texts at a time."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(2 << 20))
     spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", "512")
 
 

@@ -31,7 +31,7 @@ from .components import components
 
 N, PERCENT = 3, 90
 #: Text bytes to a chunk and to a range of keys.
-CHUNK_BYTES, RANGE_BYTES = 2 << 20, 8 << 20
+CHUNK_BYTES, RANGE_BYTES = 1 << 20, 8 << 20
 #: While open lists make more than so many pairs for each row, their groups are compared with one more of them, in so many rounds at most.
 PAIRS_A_ROW, ROUNDS = 4, 6
 BITS = 256
@@ -323,7 +323,7 @@ def verified(texts: DataFrame, pairs: DataFrame, n: int = N, percent: int = PERC
                     if z is not None:
                         new.append((z, unzip.decompress(z) if z else b""))
                         size += len(new[-1][1])
-                    if new and (z is None or size > 1 << 20):
+                    if new and (z is None or size > 1 << 19):
                         last.update(zip([x for x, _ in new], shingle_sets([t for _, t in new], n)))
                         new, size = [], 0
                 for x, y in zip(za[lo : lo + 100], zb[lo : lo + 100]):

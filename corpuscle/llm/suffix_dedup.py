@@ -39,7 +39,7 @@ MATCH, GRAM = 50, 16
 #: A passage reaches at least so far beyond its anchor on one side.
 SIDE = (MATCH - GRAM + 1) // 2
 #: Text bytes to a bucket; anchors gathered before a task sorts and sends them; bytes of a long text taken at once.
-BUCKET_BYTES, GATHERED, CHUNK = 8 << 20, 250_000, 4 << 20
+BUCKET_BYTES, GATHERED, CHUNK = 8 << 20, 120_000, 1 << 20
 #: Documents whose anchors give the splitters.
 SAMPLED = 2000
 NO_ID = (1 << 63) - 1
