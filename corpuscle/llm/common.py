@@ -43,10 +43,17 @@ def discard(*tables: DataFrame) -> None:
 
 
 def forget(spark: SparkSession) -> None:
-    """Let Spark remove the shuffle files of plans that are no longer referenced."""
+    """Let Spark remove the shuffle files of plans that are no longer referenced. The scheduler refers to its last job until the next one comes, and
+    Python's references are given up by a thread of its own."""
     import gc
+    import time
 
     gc.collect()
+    waiting = getattr(spark.sparkContext._gateway._gateway_client, "finalizer_deque", None)
+    until = time.monotonic() + 3
+    while waiting and time.monotonic() < until:
+        time.sleep(0.05)
+    spark.range(1, numPartitions=1).collect()
     spark.sparkContext._jvm.System.gc()
 
 
