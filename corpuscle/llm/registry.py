@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, html_text, language, licences, mixing, neighbours, ngram_join, suffix_dedup, tokens
+from . import alignment, chat, decontaminate, html_text, language, licences, mixing, neighbours, ngram_join, pieces, suffix_dedup, tokens, variants
 
-MODULES = (licences, chat, neighbours, suffix_dedup, ngram_join, language, mixing, html_text, tokens, decontaminate)
+MODULES = (licences, chat, neighbours, suffix_dedup, ngram_join, language, mixing, html_text, tokens, decontaminate, alignment, variants, pieces)
 
 
 def queries() -> dict:
