@@ -171,9 +171,11 @@ def pair_counts(rows: DataFrame, n_a: int, n_b: int, stripes: int = STRIPES) ->
         return keys, np.bincount(back.ravel(), counts, len(keys)).astype(np.int64)
 
     def told(keys, counts):
-        stripe = keys // n_a % stripes
+        second, first = np.divmod(keys, n_a)
+        stripe = second % stripes
         order = np.argsort(stripe, kind="stable")
-        keys, counts, stripe = keys[order], counts[order], stripe[order]
+        # in a stripe's matrix; a task has met no pair more often than it has gathered pairs
+        keys, counts, stripe = (second // stripes * n_a + first)[order].astype(np.uint32), counts[order], stripe[order]
         cut = np.flatnonzero(np.diff(stripe, prepend=-1, append=-1))
         for a, z in zip(cut, cut[1:]):
             yield int(stripe[a]), keys[a:z], counts[a:z]
@@ -182,7 +184,7 @@ def pair_counts(rows: DataFrame, n_a: int, n_b: int, stripes: int = STRIPES) ->
         keys, counts, new, held = np.zeros(0, np.int64), np.zeros(0, np.int64), [], 0
 
         def rows_of(keys, counts):
-            got = [(s, k.tobytes(), c.tobytes(), int(c.sum())) for s, k, c in told(keys, counts)]
+            got = [(s, k.tobytes(), c.astype(np.uint32).tobytes(), int(c.sum())) for s, k, c in told(keys, counts)]
             return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*got), (pa.int32(), pa.binary(), pa.binary(), pa.int64()))], names=["stripe", "pairs", "counts", "links"])
 
         for b in batches:
@@ -193,7 +195,7 @@ def pair_counts(rows: DataFrame, n_a: int, n_b: int, stripes: int = STRIPES) ->
             if held >= GATHERED:
                 keys, counts = sums(np.concatenate([keys, *new]), np.concatenate([counts, np.ones(held, np.int64)]))
                 new, held = [], 0
-                if len(keys) >= GATHERED:
+                if len(keys) >= GATHERED or counts.sum() >= 1 << 31:
                     yield rows_of(keys, counts)
                     keys, counts = keys[:0], counts[:0]
         if held or len(keys):
@@ -202,9 +204,15 @@ def pair_counts(rows: DataFrame, n_a: int, n_b: int, stripes: int = STRIPES) ->
     return rows.select("al_link_a", "al_link_b").mapInArrow(frugal(run), "stripe int, pairs binary, counts binary, links long")
 
 
+def _row_kind(n_b: int, stripes: int):
+    """Rows of a stripe's matrix as numbers of one byte, if there are few."""
+    return np.uint8 if -(-n_b // stripes) <= 256 else np.uint32
+
+
 def _blocks(rows: DataFrame, n_a: int, n_b: int, stripes: int) -> DataFrame:
     """(stripe, block, rows, a, b): the links of some documents in a stripe, in order of documents."""
     kind_a, kind_b = (np.uint16 if n <= 1 << 16 else np.uint32 for n in (n_a, n_b))
+    kind_of_row = _row_kind(n_b, stripes)
 
     def run(batches):
         for batch in batches:
@@ -214,14 +222,14 @@ def _blocks(rows: DataFrame, n_a: int, n_b: int, stripes: int) -> DataFrame:
             a, size = _joined(batch.column("al_link_a"), kind_a)
             b, _ = _joined(batch.column("al_link_b"), kind_b)
             doc = np.repeat(np.arange(len(ids), dtype=np.uint32), size)
-            stripe = (b % stripes).astype(np.uint16)
+            b, stripe = b // stripes, (b % stripes).astype(np.uint16)
             order = np.argsort(stripe, kind="stable")
             a, b, doc, stripe = a[order], b[order], doc[order], stripe[order].astype(np.int64)
             cut = np.flatnonzero(np.diff(stripe, prepend=-1, append=-1)).tolist()
             out = []
             for p, q in zip(cut, cut[1:]):
                 first = np.flatnonzero(np.diff(doc[p:q].astype(np.int64), prepend=-1))
-                out.append((int(stripe[p]), int(ids[0]), ids[doc[p:q][first]].tobytes(), np.diff(first, append=q - p).astype(np.uint32).tobytes(), a[p:q].tobytes(), b[p:q].tobytes()))
+                out.append((int(stripe[p]), int(ids[0]), ids[doc[p:q][first]].tobytes(), np.diff(first, append=q - p).astype(np.uint32).tobytes(), a[p:q].tobytes(), b[p:q].astype(kind_of_row).tobytes()))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out), (pa.int32(), pa.int64(), *[pa.binary()] * 4))], names=["stripe", "block", "rows", "sizes", "a", "b"])
 
@@ -231,9 +239,11 @@ def _blocks(rows: DataFrame, n_a: int, n_b: int, stripes: int) -> DataFrame:
 def scored(rows: DataFrame, n_a: int, n_b: int, stripes: int = STRIPES, task_bytes: int = TASK_BYTES) -> DataFrame:
     """(al_row, al_best, al_sum) of stored rows of `aligned` that have links: how many of their links are the best of their second id, ties included, and the sum of
     their pairs' counts."""
-    kind_a, kind_b = (np.uint16 if n <= 1 << 16 else np.uint32 for n in (n_a, n_b))
-    width = np.dtype(kind_a).itemsize + np.dtype(kind_b).itemsize + 1
-    counts = stored(pair_counts(rows, n_a, n_b, stripes), "pair-counts")
+    kind_a, kind_of_row = np.uint16 if n_a <= 1 << 16 else np.uint32, _row_kind(n_b, stripes)
+    width = np.dtype(kind_a).itemsize + np.dtype(kind_of_row).itemsize + 1
+    if -(-n_b // stripes) * n_a >= 1 << 32:
+        raise ValueError("a stripe's matrix has too many places; take more stripes")
+    counts = stored(pair_counts(rows, n_a, n_b, stripes), "pair-counts", "zstd")
     # one number for each stripe
     tasks = {r[0]: -(-r[1] * width // task_bytes) for r in counts.groupBy("stripe").agg(F.sum("links")).collect()}
     deals = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for s, n in tasks.items() if n > 1 for x in (s, int(n))]), F.col("stripe")), F.lit(1)) if any(n > 1 for n in tasks.values()) else F.lit(1)
@@ -251,13 +261,12 @@ def scored(rows: DataFrame, n_a: int, n_b: int, stripes: int = STRIPES, task_byt
                     at, matrix, best = (r["stripe"], r["deal"]), None, None
                     matrix = np.zeros((per, n_a), np.int64)
                 if r["kind"] == 0:
-                    pairs = np.frombuffer(r["pairs"], np.int64)
-                    np.add.at(matrix, (pairs // n_a // stripes, pairs % n_a), np.frombuffer(r["counts"], np.int64))
+                    np.add.at(matrix.reshape(-1), np.frombuffer(r["pairs"], np.uint32), np.frombuffer(r["counts"], np.uint32))
                     continue
                 if best is None:
                     best = matrix.max(axis=1)
                 ids, size = np.frombuffer(r["rows"], np.int64), np.frombuffer(r["sizes"], np.uint32).astype(np.int64)
-                mine = np.frombuffer(r["b"], kind_b).astype(np.int64) // stripes
+                mine = np.frombuffer(r["b"], kind_of_row)
                 n = matrix[mine, np.frombuffer(r["a"], kind_a)]
                 start = np.cumsum(size) - size
                 yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.add.reduceat((n == best[mine]).astype(np.int64), start)), pa.array(np.add.reduceat(n, start))], names=["al_row", "al_best", "al_sum"])
@@ -272,7 +281,7 @@ def align_corpus(docs: DataFrame, path_a: str | None = None, path_b: str | None
     """docs with al_a, al_b, al_groups, al_sha256, al_best and al_sum."""
     path_a, path_b = path_a or model_path(RANKS), path_b or model_path(MODEL)
     docs = without(docs, "al_best", "al_sum")
-    rows = stored(aligned(docs, path_a, path_b), "aligned")
+    rows = stored(aligned(docs, path_a, path_b), "aligned", "zstd")
     known = Aligner(path_a, path_b)
     sums = scored(rows, known.n_a, known.n_b)
     plain = rows.drop("al_link_a", "al_link_b")

@@ -22,11 +22,11 @@ def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", "512")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     """Cut the lineage: write df to the shared folder and read it again."""
     spark = df.sparkSession
     path = work_path(spark, name)
-    df.write.option("parquet.block.size", 16 << 20).parquet(path)
+    df.write.option("parquet.block.size", 16 << 20).option("compression", codec).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._work_path = path
     return out
