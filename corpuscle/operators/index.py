@@ -35,7 +35,17 @@ class Statistics:
         # the empty token stands for the document itself and brings its length along
         each = docs.select(ts.alias("ts")).where(F.size("ts") > 0).select(F.size("ts").cast("long").alias("len"), F.explode(F.concat(F.array(F.lit("")), F.array_distinct("ts"))).alias("token"))
         counted = each.groupBy("token").agg(F.count("*").alias("doc_freq"), F.sum(F.when(F.col("token") == "", F.col("len"))).alias("len"))
-        self.counted = stored(counted, "token-statistics")
+        self._take(stored(counted, "token-statistics"))
+
+    @classmethod
+    def of_counts(cls, counted: DataFrame) -> Statistics:
+        """From counts (token, doc_freq, len) that are there already; the row of the empty token counts documents and their length."""
+        out = cls.__new__(cls)
+        out._take(counted)
+        return out
+
+    def _take(self, counted: DataFrame) -> None:
+        self.counted = counted
         n, size = self.counted.where("token = ''").agg(F.sum("doc_freq"), F.sum("len")).first()
         self.docs, self.average = n or 0, (size or 0) / n if n else 0.0
 
@@ -61,14 +71,23 @@ def bm25_scores(docs: DataFrame, queries: DataFrame, key: str = "doc_id", text:
     Only tokens of queries are kept right after tokenising (the semi-join is a broadcast when the queries are small), so postings of
     other tokens never reach a shuffle; a document's tokens are counted in place."""
     statistics = statistics or Statistics(docs, text)
-    terms = query_terms(queries)
-    asked = terms.join(statistics.idf(), "token").select("query_id", "token", (F.col("times") * F.col("idf")).alias("weight"))
-    asked = stored(asked, "asked-tokens")
+    asked = weighted_terms(queries, statistics)
     needed = asked.select("token").distinct()
     ts = docs.select(key, tokens(F.col(text)).alias("ts")).select(key, F.size("ts").cast("long").alias("len"), F.explode("ts").alias("token"))
     some = ts.join(needed, "token", "left_semi").groupBy(key, "len", "token").agg(F.count("*").alias("tf"))
-    norm = F.lit(K1) * (F.lit(1 - B) + F.lit(B) * F.col("len") / F.lit(max(statistics.average, 1e-9)))
-    scored = some.select(key, "token", (F.col("tf") * (K1 + 1) / (F.col("tf") + norm)).alias("part"))
+    return scored_postings(some, asked, statistics.average, key)
+
+
+def weighted_terms(queries: DataFrame, statistics: Statistics) -> DataFrame:
+    """(query_id, token, weight) of the queries' tokens that the corpus has, as a small table."""
+    asked = query_terms(queries).join(statistics.idf(), "token").select("query_id", "token", (F.col("times") * F.col("idf")).alias("weight"))
+    return stored(asked, "asked-tokens")
+
+
+def scored_postings(postings: DataFrame, asked: DataFrame, average: float, key: str = "doc_id") -> DataFrame:
+    """(query_id, key, score) from postings (token, key, tf, len) and weighted terms."""
+    norm = F.lit(K1) * (F.lit(1 - B) + F.lit(B) * F.col("len") / F.lit(max(average, 1e-9)))
+    scored = postings.select(key, "token", (F.col("tf") * (K1 + 1) / (F.col("tf") + norm)).alias("part"))
     return scored.join(asked, "token").groupBy("query_id", key).agg(F.sum(F.col("weight") * F.col("part")).alias("score"))
 
 

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import chunks, evaluation, index, library, rank, study
-from ..session import table
+from ..operators import chunks, evaluation, index, library, postings, rank, study
+from ..session import table, work_path
 from .texts import _CHUNKS, _KIND, _TF, TOK, WS
 
 
@@ -36,6 +36,30 @@ def bm25_per_title(spark, d):
     return library.bm25_leg(s).select("query_id", "title", F.round("score", 4).alias("score"), "rank")
 
 
+def _changed_store(spark, d):
+    """An index of all documents after two batches of changes: texts are changed, documents go, get other ids and come back, and every benchmark item becomes a document."""
+    docs, k = _docs(spark, d).select("doc_id", "text", "lang"), F.col("doc_id") % 7
+    store = postings.PostingStore.create(docs, work_path(spark, "posting-store"))
+    some = docs.where(k.isin(1, 2, 3)).select("doc_id", F.when(k == 1, F.concat_ws(" ", "text", "lang")).alias("text"), F.when(k == 3, F.col("doc_id") + 1_000_000_000).alias("to"))
+    new = table(spark, d, "benchmark").select((F.col("item_id") + 2_000_000_000).alias("doc_id"), "text", F.lit(None).cast("long").alias("to"))
+    store = store.apply(some.unionByName(new), renamed="to")
+    back = docs.where((k == 2) & (F.col("doc_id") % 5 == 0)).select("doc_id", "text")
+    gone = docs.where((k == 3) & (F.col("doc_id") % 3 == 0)).select((F.col("doc_id") + 1_000_000_000).alias("doc_id"), F.lit(None).cast("string").alias("text"))
+    return store.apply(back.unionByName(gone))
+
+
+def frequencies_after_changes(spark, d):
+    """Documents and occurrences of each token, from the sums of signed deltas."""
+    store = _changed_store(spark, d)
+    occurrences = store.postings().groupBy("token").agg(F.sum("tf").alias("occurrences"))
+    return store.statistics().frequencies.join(occurrences, "token").select("token", "doc_freq", "occurrences")
+
+
+def bm25_after_changes(spark, d):
+    s = index.top_k(_changed_store(spark, d).scores(_asks(spark, d)), 10)
+    return s.select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
+
+
 def _vectors(spark, d):
     return table(spark, d, "embeddings")
 
@@ -184,13 +208,15 @@ def eval_diff(spark, d):
     return evaluation.regressions(v, both).select("metric", F.round("current", 6).alias("current"), F.round("baseline", 6).alias("baseline"), "regressed")
 
 
-QUERIES = {f.__name__: f for f in (hybrid_search, bm25_topk, bm25_zero_fill, bm25_per_title, cosine_knn, cosine_knn_filtered, cosine_per_label, cosine_pairs, rrf_overlapping, rerank, diversify, word_budget, parent_collapse, first_source, context_blocks, title_match, distinctive_terms, proper_names, even_spread_sample, shuffled_sample, find_works, catalog_markdown, hit_metrics, eval_diff)}
+QUERIES = {f.__name__: f for f in (hybrid_search, bm25_topk, frequencies_after_changes, bm25_after_changes, bm25_zero_fill, bm25_per_title, cosine_knn, cosine_knn_filtered, cosine_per_label, cosine_pairs, rrf_overlapping, rerank, diversify, word_budget, parent_collapse, first_source, context_blocks, title_match, distinctive_terms, proper_names, even_spread_sample, shuffled_sample, find_works, catalog_markdown, hit_metrics, eval_diff)}
 
 
 def _bm25(asks: str) -> str:
     return f"{_TF}, q AS ({asks}), qt AS (SELECT query_id, token, count(*) AS times FROM (SELECT query_id, unnest({TOK.format('text')}) AS token FROM q) GROUP BY ALL), sc AS (SELECT query_id, tf.doc_id, sum(times * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / al))) AS score FROM qt JOIN idf USING (token) JOIN tf USING (token) JOIN lens ON lens.doc_id = tf.doc_id, nd GROUP BY ALL), top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, doc_id) AS rank FROM sc)"
 
 
+# what the documents are after the changes
+_FINAL = "final AS (SELECT CASE WHEN doc_id % 7 = 3 THEN doc_id + 1000000000 ELSE doc_id END AS doc_id, CASE WHEN doc_id % 7 = 1 THEN concat_ws(' ', text, lang) ELSE text END AS text FROM documents WHERE NOT (doc_id % 7 = 2 AND doc_id % 5 > 0) AND NOT (doc_id % 7 = 3 AND doc_id % 3 = 0) UNION ALL SELECT item_id + 2000000000, text FROM benchmark)"
 _B = _bm25("SELECT item_id AS query_id, text FROM benchmark")
 _V = "va AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id % 20 = 0), vs AS (SELECT query_id, vec_id, label, list_cosine_similarity(q, embedding::DOUBLE[]) AS score FROM va, embeddings {w}), vk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, vec_id) AS rank FROM vs)"
 _LEGS = f"{_B}, {_V.format(w='')}, dense AS (SELECT query_id // 20 AS query_id, vec_id AS id, rank FROM vk WHERE rank <= 24), lexical AS (SELECT query_id, doc_id AS id, rank FROM top WHERE rank <= 24)"
@@ -204,6 +230,8 @@ _DIV = "d1 AS (SELECT *, row_number() OVER (PARTITION BY query_id, title, docume
 
 SQL = {
     "bm25_topk": f"WITH {_B} SELECT query_id, doc_id, round(score, 6) AS score, rank FROM top WHERE rank <= 10",
+    "frequencies_after_changes": f"WITH {_FINAL}, {_TF.replace('FROM documents', 'FROM final')} SELECT token, doc_freq, sum(tf)::BIGINT AS occurrences FROM tf JOIN df USING (token) GROUP BY ALL",
+    "bm25_after_changes": f"WITH {_FINAL}, {_B.replace('FROM documents', 'FROM final')} SELECT query_id, doc_id, round(score, 6) AS score, rank FROM top WHERE rank <= 10",
     "bm25_zero_fill": f"WITH {_B}, z AS (SELECT q.query_id, d.doc_id, coalesce(score, 0) AS score FROM q CROSS JOIN documents d LEFT JOIN sc ON sc.query_id = q.query_id AND sc.doc_id = d.doc_id), zr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, doc_id) AS rank FROM z) SELECT query_id, doc_id, round(score, 6) AS score, rank FROM zr WHERE rank <= 25",
     "bm25_per_title": f"WITH {_B}, p AS (SELECT query_id, source AS title, sum(score) AS score FROM sc JOIN documents USING (doc_id) GROUP BY ALL) SELECT query_id, title, round(score, 4) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, title) AS rank FROM p",
     "cosine_knn": f"WITH {_V.format(w='')} SELECT query_id, vec_id, round(score, 6) AS score, rank FROM vk WHERE rank <= 10",
