@@ -49,9 +49,12 @@ class Engine:
             dense = rank.cosine_knn(self.vectors, vectors, answering.POOL).withColumnRenamed("vec_id", "doc_id")
         return answering.grounded(queries, self.docs, parents, dense, self.statistics, top=top, budget=budget)
 
-    def warnings(self, queries: DataFrame, common: list[str] | None = None) -> DataFrame:
-        """Why a query's pool looks off target, or null."""
-        return answering.guarded(queries, answering.pool(queries, self.docs, self.statistics), common or [])
+    def warnings(self, queries: DataFrame) -> DataFrame:
+        """Why a query's pool looks off target, or null. Names that 1 % of the documents have may be missing from a pool."""
+        common = index.common_terms(self.statistics.frequencies, max(self.statistics.docs, 1))
+        about = [F.concat_ws(" ", c).alias(c) for c in ("source", "tags", "author") if c in self.docs.columns]
+        hits = answering.pool(queries, self.docs, self.statistics).join(self.docs.select("doc_id", *about), "doc_id")
+        return answering.guarded(queries, hits, common)
 
     def intents(self, messages: DataFrame) -> DataFrame:
         """What messages ask for: the catalogue, a quiz, a summary, one work; topic, kind, number of questions; a reply to a pending plan."""

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import norm_title
+
 # The words that messages are told by.
 OPENINGS = "list show find enumerate browse inventory".split()
 LOOSE_OPENINGS = OPENINGS + "display give see what which".split()
@@ -150,10 +152,8 @@ def reply(q: Column) -> Column:
 
 def is_about_a_work(q: Column) -> Column:
     """A word for a summary or the like, or an end such as `the green book`."""
-    ws = _words(q)
-    end = F.size(ws) - 1
-    named = _one_of(F.get(ws, end), SINGLE_WORKS) & _one_of(F.get(ws, end - 2), ("the", "this"))
-    return _any(ws, WORK_WORDS) | F.coalesce(named, F.lit(False))
+    ends = rf"(?U)\b(the|this)\s+\w+\s+({'|'.join(SINGLE_WORKS)})$"
+    return _any(F.split(norm_title(q), " "), WORK_WORDS) | F.lower(q).rlike(ends)
 
 
 def sub_queries(text: Column, most: int = 3) -> Column:

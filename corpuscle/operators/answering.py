@@ -47,13 +47,21 @@ def pool(queries: DataFrame, chunks: DataFrame, statistics: index.Statistics | N
     return found.select("query_id", "doc_id", "title", "document", "rank", "distance")
 
 
-def guarded(queries: DataFrame, hits: DataFrame, common: list[str], threshold: float = 0.8) -> DataFrame:
-    """(query_id, warning): why the pool of a query looks off target, or null. A pool without distances is judged by its words alone."""
-    words = hits.select("query_id", F.explode(F.array_distinct(stems(F.concat_ws(" ", "document", "title")))).alias("stem"), "distance", "rank")
+def guarded(queries: DataFrame, hits: DataFrame, common: DataFrame | None = None, threshold: float = 0.8) -> DataFrame:
+    """(query_id, warning): why the pool of a query looks off target, or null. A pool without distances is judged by its words alone. Hits may have source, tags and author beside title
+    and document. common: (token) of the corpus's common terms, see index.common_terms; names that are among them may be missing."""
+    about = ["document", "title", *(c for c in ("source", "tags", "author") if c in hits.columns)]
+    words = hits.select("query_id", F.explode(F.array_distinct(stems(F.concat_ws(" ", *about)))).alias("stem"), "distance", "rank")
     pools = words.groupBy("query_id").agg(F.collect_set("stem").alias("pool"), F.min_by("distance", "rank").alias("top"))
     x = queries.select("query_id", "text", stem_map(F.col("text")).alias("stem_of")).join(pools, "query_id", "left")
     own = lambda t: F.transform(tokens(t), lambda w: F.coalesce(F.try_element_at("stem_of", w), w))
-    reason = rank.low_relevance(F.col("text"), F.col("pool"), F.coalesce("top", F.lit(0.0)), own, F.lit(common) if common else F.array().cast("array<string>"), threshold)
+    nothing = F.array().cast("array<string>")
+    if common is None:
+        x = x.withColumn("common", nothing)
+    else:  # those of the common terms that a message has as names
+        names = queries.select("query_id", F.explode(F.array_distinct(rank.proper_phrases(F.col("text")))).alias("token")).join(common.select("token"), "token", "left_semi")
+        x = x.join(names.groupBy("query_id").agg(F.collect_set("token").alias("common")), "query_id", "left").withColumn("common", F.coalesce("common", nothing))
+    reason = rank.low_relevance(F.col("text"), F.col("pool"), F.coalesce("top", F.lit(0.0)), own, F.col("common"), threshold)
     return x.select("query_id", reason.alias("warning"))
 
 
@@ -86,10 +94,10 @@ def several_hops(queries: DataFrame, search: Callable[[DataFrame], DataFrame], a
 
 
 def deep_sections(hits: DataFrame, parents: DataFrame, n: int) -> DataFrame:
-    """Sections for a long answer: the distinct parents of a query's hits in order of the work, n of them spread evenly.
+    """Sections for a long answer: the distinct parents of a query's hits in order of place, then title, n of them spread evenly.
     hits: query_id, parent_id; parents: parent_id, title, ordinal, text."""
     own = hits.select("query_id", "parent_id").distinct().join(parents, "parent_id")
-    own = own.withColumn("place_in_works", F.struct("title", "ordinal", "parent_id"))
+    own = own.withColumn("place_in_works", F.struct("ordinal", "title", "parent_id"))
     return rank.even_spread(own, n, "place_in_works", "query_id").drop("place_in_works")
 
 
@@ -114,9 +122,10 @@ def catalogue_answers(messages: DataFrame, books: DataFrame, limit: int = 200) -
     q = F.col("text")
     asks = messages.where(intent.is_listing(q)).select("query_id", intent.topic(q).alias("text"), intent.kind(q).alias("wanted"))
     of_kind = books.select("title", "kind")
-    whole = asks.where("text = ''").join(of_kind, F.col("wanted").isNull() | (F.col("kind") == F.col("wanted")))
-    by_title = Window.partitionBy("query_id").orderBy(F.lower("title"), "title")
-    whole = whole.withColumn("rank", F.row_number().over(by_title)).select("query_id", "title", "rank")
+    # the first works of each kind and of all are ranked once, so no message meets the whole catalogue
+    by_title = Window.partitionBy("wanted").orderBy(F.lower("title"), "title")
+    shelves = of_kind.select("title", F.explode(F.array(F.col("kind"), F.lit(""))).alias("wanted")).distinct().withColumn("rank", F.row_number().over(by_title)).where(F.col("rank") <= limit)
+    whole = asks.where("text = ''").withColumn("wanted", F.coalesce("wanted", F.lit(""))).join(shelves, "wanted").select("query_id", "title", "rank")
     near = library.lexical_leg(asks.where("text <> ''"), books).join(asks.select("query_id", "wanted"), "query_id").join(of_kind.distinct(), "title")
     near = near.where(F.col("wanted").isNull() | (F.col("kind") == F.col("wanted")))
     w = Window.partitionBy("query_id").orderBy("rank")

@@ -7,7 +7,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import intent
 from ..functions.text import TERM_STOP, norm_title, tokens, word_count, words
+from ..session import stored
+from .contain import containing
 
 RRF_K, TITLE_CAP, PER_PASS = 60, 3, 4096
 
@@ -135,33 +138,64 @@ def distinctive(titles: DataFrame, share: float = 0.03) -> DataFrame:
     return t.select(F.explode(F.array_distinct(F.filter(F.split("t", " "), lambda w: w != ""))).alias("word")).groupBy("word").agg(F.count("*").alias("titles")).withColumn("rare", F.col("titles") / F.lit(max(n, 1)) < share)
 
 
-def title_score(query: Column, title: Column) -> Column:
-    """How well a query names a work: one within the other, two words in common, or one long word."""
-    q, t = norm_title(query), norm_title(title)
+# Words of messages and titles that don't tell works apart.
+TITLE_STOP = "the a an and or of to in on for with by from at as is are be was were it its his her their they them what which whose when where how why this that these those book books summarize summary synopsis overview about tell explain give best all any some my your me please can you does do would should".split()
+#: Letters of a word that names a work by itself.
+ONE_WORD = 5
 
-    def own(x):
-        return F.array_distinct(F.filter(F.split(x, " "), lambda w: (w != "") & ~w.isin(*TERM_STOP)))
 
-    shared = F.array_intersect(own(t), own(q))
-    size = F.length(t)
-    return (
-        F.when(size < 3, F.lit(None).cast("int"))
-        .when(F.contains(q, t) | F.contains(t, q), 100 + size)
-        .when((F.size(own(t)) >= 2) & (F.size(shared) >= 2), 60 + size)
-        .when((F.size(shared) == 1) & (F.length(F.element_at(shared, 1)) >= 5), 40 + size)
-    )
+def _own_words(t: Column) -> Column:
+    return F.array_distinct(F.filter(F.split(t, " "), lambda w: (w != "") & ~w.isin(*TITLE_STOP)))
 
 
-def matched_titles(queries: DataFrame, titles: DataFrame, limit: int = 4) -> DataFrame:
-    """(query_id, title, score, rank). Pairs are found by a word they share, so no query meets every title; a title within a query or around it
-    shares its words too."""
-    def by_word(df, text):
-        return df.withColumn("word", F.explode(F.array_distinct(F.filter(F.split(norm_title(F.col(text)), " "), lambda w: w != ""))))
+def _word_pairs(ws: Column) -> Column:
+    return F.flatten(F.transform(ws, lambda a: F.transform(F.filter(ws, lambda b: a < b), lambda b: F.concat_ws(" ", a, b))))
 
-    pairs = by_word(queries, "text").join(by_word(titles, "title"), "word").select("query_id", "text", "title").distinct()
-    scored = pairs.withColumn("score", title_score(F.col("text"), F.col("title"))).where("score IS NOT NULL")
+
+def matched_titles(queries: DataFrame, titles: DataFrame, limit: int = 4) -> DataFrame:
+    """(query_id, title, score, rank): the works that messages name, best first. For each title the first of these counts:
+
+    1. one of title and message holds the other: 100 and the title's length;
+    2. the title has every word of a name of several capitalised words: 60, its length and 10 for each word of the first such name;
+    3. it has capitalised words that stand alone and that less than 3 % of all titles have: 40, its length and 5 for each;
+    4. the message is about a work, and the title shares two words with it (60 and its length), or one of at least five letters (40 and its length).
+
+    Titles of fewer than three characters name nothing, nor do empty messages. Containment comes from an automaton, the others from joins on words. In class 4 common words matter: where a
+    message has no rare name, a title that isn't among the `limit` longest ones with its word, or with its two words, can't be among the first, as those share the same and score as
+    much or more; so only these are met."""
+    t = titles.select("title").distinct().select("title", norm_title(F.col("title")).alias("t")).where("length(t) >= 3")
+    t = stored(t.select("title", "t", F.length("t").alias("size"), _own_words(F.col("t")).alias("own")), "titles")
+    q = queries.where("text IS NOT NULL").select("query_id", norm_title(F.col("text")).alias("q"), proper_phrases(F.col("text")).alias("names"), intent.is_about_a_work(F.col("text")).alias("about"))
+    several = lambda n: F.contains(n, F.lit(" "))
+    q = stored(q.where("q <> ''").select("query_id", "q", F.filter("names", several).alias("long"), F.filter("names", lambda n: ~several(n)).alias("lone"), F.when(F.col("about"), _own_words(F.col("q"))).alias("asked")), "messages")
+
+    held = containing(q.select("query_id", "q"), t.select("title", "t")).union(containing(t.select("title", "t"), q.select("query_id", "q")).select("query_id", "title")).distinct()
+    one = held.join(t.select("title", "size"), "title").select("query_id", "title", F.lit(1).alias("class"), (100 + F.col("size")).alias("score"))
+
+    word = t.select("title", "size", "own", F.explode("own").alias("word"))
+    name = q.select("query_id", F.posexplode("long").alias("i", "name")).select("query_id", "i", F.split("name", " ").alias("ws"))
+    name = name.withColumn("word", F.element_at(F.array_sort("ws", lambda a, b: F.length(b) - F.length(a)), 1))  # the longest is seldom common
+    whole = name.join(word, "word").where(F.size(F.array_except("ws", "own")) == 0)
+    two = whole.groupBy("query_id", "title").agg(F.min_by(F.col("size") + 60 + 10 * F.size("ws"), "i").alias("score")).select("query_id", "title", F.lit(2).alias("class"), "score")
+
+    rare = distinctive(t.select("title")).where("rare").select("word")
+    lone = q.select("query_id", F.explode(F.array_distinct("lone")).alias("word")).join(rare, "word", "left_semi")
+    three = lone.join(word, "word").groupBy("query_id", "title").agg((F.max("size") + 40 + 5 * F.count("*")).alias("score")).select("query_id", "title", F.lit(3).alias("class"), "score")
+
+    # a message's words of which no title has one make no pairs
+    own = q.select("query_id", F.explode("asked").alias("word")).join(word.select("word").distinct(), "word", "left_semi").groupBy("query_id").agg(F.collect_set("word").alias("asked"))
+    own = own.join(lone.select("query_id", F.lit(True).alias("named")).distinct(), "query_id", "left")
+    longest = Window.partitionBy("key").orderBy(F.desc("size"), "title")
+    keys = F.concat(F.filter("own", lambda w: F.length(w) >= ONE_WORD), _word_pairs(F.col("own")))
+    by_key = t.select("title", "size", "own", F.explode(keys).alias("key")).withColumn("i", F.row_number().over(longest))
+    some = own.select("query_id", "named", "asked", F.explode(F.concat("asked", _word_pairs(F.col("asked")))).alias("key"))
+    met = some.join(by_key, "key").where(F.col("named").isNotNull() | (F.col("i") <= limit)).withColumn("shared", F.array_intersect("own", "asked"))
+    score = F.when(F.size("shared") >= 2, 60 + F.col("size")).when(F.length(F.element_at("shared", 1)) >= ONE_WORD, 40 + F.col("size"))
+    four = met.select("query_id", "title", F.lit(4).alias("class"), score.alias("score")).where("score IS NOT NULL")
+
+    first = one.unionByName(two).unionByName(three).unionByName(four).groupBy("query_id", "title").agg(F.min_by("score", "class").alias("score"))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "title")
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit).select("query_id", "title", "score", "rank")
+    return first.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit).select("query_id", "title", F.col("score").cast("int").alias("score"), "rank")
 
 
 # Capitalised words that start questions and name nothing.
@@ -183,12 +217,23 @@ def proper_phrases(query: Column) -> Column:
     return F.aggregate(raw, start, step, lambda a: F.array_distinct(F.when(F.size(a["cur"]) > 0, F.concat(a["phrases"], F.array(F.array_join(a["cur"], " ")))).otherwise(a["phrases"])))
 
 
+# Words that tell nothing of a library's contents.
+GENERIC = "book books author authors about explain describe summarize summary meaning means difference compared comparison example examples character characters novel novels story stories main philosophy training method methods technique techniques write wrote ways way things thing best good great features feature".split()
+
+
+def soft_words(query: Column) -> Column:
+    """The other words of a message that may tell its subject, in order: at least three letters, no stop word, not generic, not a name."""
+    base = F.transform(F.regexp_extract_all(query, F.lit(r"[A-Za-z][A-Za-z\-']*"), F.lit(0)), lambda t: F.regexp_replace(F.lower(t), "'s$", ""))
+    names = proper_phrases(query)
+    return F.array_distinct(F.filter(base, lambda w: (F.length(w) >= 3) & ~w.isin(*TERM_STOP, *GENERIC) & ~F.array_contains(names, w)))
+
+
 def low_relevance(query: Column, pool_stems: Column, top_distance: Column, stems, common: Column, threshold: float = 0.8) -> Column:
     """Why a pool of hits looks off target, or null. In this order: no hits; a phrase of names that the pool lacks; a first hit below
     the threshold; a single rare name that the pool lacks. `stems` maps a text column to its stems."""
     phrases = F.filter(proper_phrases(query), lambda p: F.contains(p, F.lit(" ")))
     missing = F.filter(phrases, lambda p: F.size(F.array_except(stems(p), pool_stems)) > 0)
-    single = F.filter(proper_phrases(query), lambda p: ~F.contains(p, F.lit(" ")) & (F.length(p) >= 3) & (F.size(F.array_intersect(stems(p), pool_stems)) == 0) & ~F.array_contains(common, p))
+    single = F.filter(proper_phrases(query), lambda p: ~F.contains(p, F.lit(" ")) & (F.length(p) >= 3) & ~p.isin(*GENERIC) & (F.size(F.array_intersect(stems(p), pool_stems)) == 0) & ~F.array_contains(common, p))
     return (
         F.when(pool_stems.isNull(), "no matching documents retrieved")
         .when(F.size(missing) > 0, F.concat(F.lit("proper terms not found in retrieved sources: "), F.element_at(missing, 1)))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import intent
 from ..functions import text as X
-from ..operators import answering, chunks, evaluation, index, library, rank, review, scopes, study
+from ..operators import answering, contain, index, library, rank, review, scopes, study
 from ..session import table
 from ..sources import files
 from . import retrieval
@@ -70,7 +70,7 @@ def allowed_hosts(spark, d):
 
 
 def catalogue_requests(spark, d):
-    asks = _messages(spark, d).where("query_id < 10 OR query_id % 10 IN (0, 9)")
+    asks = _messages(spark, d)
     parts = table(spark, d, "part").select(F.col("p_name").alias("title"), F.col("p_brand").alias("source"), X.kind_of(F.array("p_type")).alias("kind"), F.array("p_type").alias("tags"))
     out = answering.catalogue_answers(asks, library.works(parts).dropDuplicates(["title"]).select("title", "source", F.lit("nonfiction").alias("kind"), F.array().cast("array<string>").alias("tags")))
     return out.groupBy("query_id").agg(F.count("*").alias("works"), F.min_by("title", "rank").alias("first"))
@@ -133,9 +133,9 @@ def recognised_pages(spark, d):
 
 
 def preferred_texts(spark, d):
-    docs = _docs(spark, d).select(F.col("doc_id").cast("string").alias("rel_path"), F.substring("text", 1, 40).alias("text"))
+    docs = _docs(spark, d).select(F.col("doc_id").cast("string").alias("rel_path"), "text")
     seen = table(spark, d, "labels").select(F.col("doc_id").cast("string").alias("rel_path"), F.concat(F.lit("ocr "), F.col("quality").cast("string")).alias("ocr_text"))
-    return files.preferring_recognised(docs, seen)
+    return files.preferring_recognised(docs, seen).select("rel_path", F.sha2("text", 256).alias("sha"))
 
 
 def progress_lines(spark, d):
@@ -185,8 +185,7 @@ def remaining_times(spark, d):
 
 def title_pairs(spark, d):
     n = table(spark, d, "nation").select("n_name")
-    a, b = n.select(F.concat(F.lit("The "), F.col("n_name")).alias("cited")), n.select(F.col("n_name").alias("real"))
-    return a.join(b, evaluation.titles_match(F.col("cited"), F.col("real")))
+    return contain.titles_within(n.select(F.concat(F.lit("The "), F.col("n_name")).alias("cited")), n.select(F.col("n_name").alias("real")))
 
 
 def enrolled_cards(spark, d):
@@ -237,11 +236,12 @@ def pool_warnings(spark, d):
     """The guard over the pools of benchmark items, half of them with a name that no document has."""
     docs, _ = _grounded(spark, d)
     asks = retrieval._asks(spark, d).withColumn("text", F.when(F.col("query_id") % 2 == 0, F.concat(F.lit("Zanzibar Quuxington "), F.col("text"))).otherwise(F.lower("text")))
-    return answering.guarded(asks, answering.pool(asks, docs, size=10), [])
+    stats = index.Statistics(docs)
+    return answering.guarded(asks, answering.pool(asks, docs, stats, size=10), index.common_terms(stats.frequencies, max(stats.docs, 1)))
 
 
 def two_hops(spark, d):
-    """Every benchmark item, then the best document found as a question of its own."""
+    """Every benchmark item, then the whole text of the best document found as a question of its own."""
     docs = _docs(spark, d)
     stats = index.Statistics(docs)
 
@@ -250,14 +250,14 @@ def two_hops(spark, d):
 
     def ask(q, found):
         best = found.groupBy("query_id").agg(F.max_by("doc_id", F.struct("score", -F.col("doc_id"))).alias("doc_id"))
-        return best.join(docs.select("doc_id", F.substring_index("text", "\n", 1).alias("text")), "doc_id").select("query_id", "text")
+        return best.join(docs.select("doc_id", "text"), "doc_id").select("query_id", "text")
 
     return answering.several_hops(retrieval._asks(spark, d), search, ask).select("query_id", "doc_id", F.col("hop").cast("long").alias("hop"), F.col("rank").cast("long").alias("rank"))
 
 
 def _sections(spark, d):
     docs = _docs(spark, d)
-    return docs.select(F.col("source").alias("query_id"), F.col("lang").alias("title"), F.col("doc_id").alias("ordinal"), F.col("doc_id").cast("string").alias("parent_id"), F.regexp_extract("text", r"^(\S*)", 1).alias("text"))
+    return docs.select(F.col("source").alias("query_id"), F.col("lang").alias("title"), F.col("doc_id").alias("ordinal"), F.col("doc_id").cast("string").alias("parent_id"), "text")
 
 
 def deep_sections(spark, d):
@@ -272,7 +272,7 @@ def section_summaries(spark, d):
 
 
 def topic_units(spark, d):
-    topics = _docs(spark, d).select(F.regexp_extract("source", r"\d+", 0).cast("long").alias("query_id")).distinct().join(retrieval._asks(spark, d), "query_id")
+    topics = retrieval._asks(spark, d)
     units = _docs(spark, d).select(F.col("doc_id").alias("unit"), "text")
     ranked = answering.ranked_units(topics, units, most=20)
     return scopes.top_units(ranked, "deep", 10).select("query_id", "unit", F.col("rank").cast("long").alias("rank"))
@@ -292,7 +292,7 @@ QUERIES = {f.__name__: f for f in (message_intents, message_scopes, pending_repl
 # what each form of message is, as it was made
 _M = "WITH m AS (SELECT p_partkey AS query_id, p_partkey % 10 AS f, p_name AS name, p_size::BIGINT AS size FROM part)"
 _KEY = "regexp_replace(lower({}), '[^a-z0-9]+', '', 'g')"
-_SEC = "s AS (SELECT source AS query_id, lang AS title, doc_id, regexp_extract(text, '^(\\S*)', 1) AS text, row_number() OVER (PARTITION BY source ORDER BY lang, doc_id) - 1 AS pos, count(*) OVER (PARTITION BY source) AS m FROM documents), ds AS (SELECT * FROM s WHERE m <= 9 OR list_contains(list_transform(range(9), lambda i: (i * m) // 9), pos))"
+_SEC = "s AS (SELECT source AS query_id, lang AS title, doc_id, text, row_number() OVER (PARTITION BY source ORDER BY doc_id, lang) - 1 AS pos, count(*) OVER (PARTITION BY source) AS m FROM documents), ds AS (SELECT * FROM s WHERE m <= 9 OR list_contains(list_transform(range(9), lambda i: (i * m) // 9), pos))"
 
 SQL = {
     "message_intents": f"{_M} SELECT query_id, f IN (0, 3, 9) AS listing, f IN (1) AS quiz, f = 6 AS summary, f IN (0, 6, 7, 8) AS work, f IN (0, 2, 3, 6, 7, 9) AS question FROM m",
@@ -311,7 +311,7 @@ SQL = {
     "index_covers": "SELECT count(*) FILTER (doc_id % 20 < 17) / count(*) >= 0.9::DOUBLE AS some, count(*) FILTER (doc_id % 20 < 18) / count(*) >= 0.9::DOUBLE AS most FROM documents",
     "file_titles": "WITH f AS (SELECT DISTINCT 'shelf/' || CASE WHEN p_partkey % 2 = 0 THEN p_name ELSE p_name || ' vol ' || p_partkey END || '.pdf' AS rel_path, p_name FROM part), b AS (SELECT DISTINCT p_name FROM part WHERE p_size < 40) SELECT rel_path, upper(p_name) AS title FROM f JOIN b USING (p_name)",
     "recognised_pages": "SELECT p_partkey::VARCHAR AS rel_path, 1::BIGINT AS page, p_name || chr(10) || 'line two' AS text FROM part UNION ALL SELECT p_partkey::VARCHAR, 3, p_type FROM part",
-    "preferred_texts": "SELECT doc_id::VARCHAR AS rel_path, coalesce('ocr ' || quality, left(text, 40)) AS text FROM documents LEFT JOIN labels USING (doc_id)",
+    "preferred_texts": "SELECT doc_id::VARCHAR AS rel_path, sha256(coalesce('ocr ' || quality, text)) AS sha FROM documents LEFT JOIN labels USING (doc_id)",
     "progress_lines": "SELECT p_partkey AS i, 2000 AS n, p_size AS done, 1 AS skip, p_partkey % 3 AS err FROM part WHERE p_partkey % 4 > 0",
     "package_metadata": "SELECT p_partkey::VARCHAR AS rel_path, p_name AS title, p_type || '|' || p_brand AS tags FROM part",
     "question_blocks": "SELECT p_partkey::VARCHAR AS doc, 0 AS i, 'What is ' || p_name || '?' AS q, 'B' AS answer, 'easy' AS difficulty, '' AS type, 'A) x|B) ' || p_type AS choices FROM part UNION ALL SELECT p_partkey::VARCHAR, 2, 'again', p_brand, '', 'short_answer', '' FROM part",
@@ -328,6 +328,6 @@ SQL = {
     "cited_sources": f"WITH {retrieval._B}, h AS (SELECT query_id, top.doc_id, rank, source AS title, text AS document FROM top JOIN documents USING (doc_id) WHERE rank <= 40), s AS (SELECT h.*, len(list_intersect(list_distinct({retrieval.TOK.format('q.text')}), list_distinct({retrieval.TOK.format('document')}))) / len(list_distinct({retrieval.TOK.format('q.text')})) AS rs FROM h JOIN q USING (query_id)), n AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rs DESC, rank) AS nr FROM s), d1 AS (SELECT *, row_number() OVER (PARTITION BY query_id, title, document ORDER BY nr) AS i FROM n WHERE nr <= 24), d2 AS (SELECT *, row_number() OVER (PARTITION BY query_id, title ORDER BY nr) AS j FROM d1 WHERE i = 1), d3 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY nr) AS place FROM d2 WHERE j <= 3), b AS (SELECT *, sum(len({retrieval.WS.format('document')})) OVER w AS used, count(*) OVER w AS kept FROM d3 WHERE place <= 8 WINDOW w AS (PARTITION BY query_id ORDER BY place ROWS UNBOUNDED PRECEDING)) SELECT query_id, title, min(place)::BIGINT AS place FROM b WHERE used <= 3000 OR kept <= 1 GROUP BY ALL",
     "deep_sections": f"WITH {_SEC} SELECT query_id, doc_id::VARCHAR AS parent_id, pos FROM ds",
     "section_summaries": f"WITH {_SEC}, b AS (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY pos) - 1) // 6 AS batch FROM ds), g AS (SELECT query_id, batch, 'n=' || length(string_agg('## ' || title || chr(10) || text, chr(10) || chr(10) ORDER BY pos)) AS said FROM b GROUP BY ALL) SELECT query_id, 'n=' || length(string_agg(said, chr(10) || chr(10) ORDER BY batch)) AS summary FROM g GROUP BY query_id",
-    "topic_units": f"WITH {retrieval._bm25('SELECT item_id AS query_id, text FROM benchmark WHERE item_id IN (SELECT regexp_extract(source, ' + chr(39) + chr(92) + 'd+' + chr(39) + ')::BIGINT FROM documents)')} SELECT query_id, doc_id AS unit, rank FROM top WHERE rank <= 4",
+    "topic_units": f"WITH {retrieval._B} SELECT query_id, doc_id AS unit, rank FROM top WHERE rank <= 4",
     "golden_metrics": "WITH h AS (SELECT p_partkey AS query_id, p_partkey % 3 = 0 AS topic, p_size % 8 AS good, least(p_size % 7 + 1, 5) AS shown FROM part) SELECT query_id, CASE WHEN topic THEN 'topic' ELSE 'retrieval' END AS mode, (good BETWEEN 1 AND shown)::INT AS hit, CASE WHEN good BETWEEN 1 AND shown THEN round(1 / good, 6) ELSE 0 END AS rr, CASE WHEN good BETWEEN 1 AND shown THEN CASE WHEN topic THEN 0.5 ELSE 1 END ELSE 0 END::DOUBLE AS recall, CASE WHEN good BETWEEN 1 AND shown THEN round(1 / shown, 6) ELSE 0 END AS precision FROM h",
 }

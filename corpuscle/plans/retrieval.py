@@ -148,10 +148,32 @@ def context_blocks(spark, d):
     return rank.context(hits, 50).select("query_id", F.sha2("context", 256).alias("context_sha"))
 
 
+def _titles(spark, d):
+    """Works by the names of parts, nations and regions."""
+    return table(spark, d, "part").select(F.col("p_name").alias("title")).union(table(spark, d, "nation").select("n_name")).union(table(spark, d, "region").select("r_name")).distinct()
+
+
+def _title_asks(spark, d):
+    """Messages that name works in one of eight ways: within the text, as a part of a word, as names in capitals, by words in another order, with and without a word such as
+    `summary`, or by a part of a title."""
+    p = table(spark, d, "part").join(F.broadcast(table(spark, d, "nation")), F.col("n_nationkey") == F.col("p_partkey") % 25)  # 25 nations
+    name, nation, ws = F.col("p_name"), F.initcap("n_name"), F.split("p_name", " ")
+    a, b = F.get(ws, F.lit(0)), F.get(ws, F.lit(1))
+    forms = [
+        F.concat(F.lit("Summarize "), name, F.lit(" please")),
+        F.concat(F.lit("Who buys in "), nation, F.lit("'s harbours?")),
+        F.concat(F.lit("which "), F.initcap(b), F.lit(" "), F.initcap(a), F.lit(" is best?")),
+        F.concat(F.lit("a summary of the "), b, F.lit(" or "), a, F.lit(" for "), nation),
+        F.concat(F.lit("sell the "), b, F.lit(" or "), a),
+        F.concat(F.lit("overview for "), a),
+        F.concat(F.lit("zz"), name, F.lit("zz and The "), nation, F.lit(" series")),
+        F.substring("p_name", 2, 5),
+    ]
+    return p.select(F.col("p_partkey").alias("query_id"), F.element_at(F.array(*forms), (F.col("p_partkey") % 8 + 1).cast("int")).alias("text"))
+
+
 def title_match(spark, d):
-    titles = table(spark, d, "part").select(F.col("p_name").alias("title")).distinct()
-    asks = table(spark, d, "part").select(F.col("p_partkey").alias("query_id"), F.concat(F.lit("Summarize "), F.col("p_name"), F.lit(" please")).alias("text"))
-    return rank.matched_titles(asks, titles)
+    return rank.matched_titles(_title_asks(spark, d), _titles(spark, d))
 
 
 def distinctive_terms(spark, d):
@@ -228,6 +250,33 @@ _OWN = "list_distinct(list_filter(string_split(" + _NT + f", ' '), lambda w: w <
 _BOOKS = f"books AS (SELECT 'Work ' || source AS title, source, min({_KIND}) AS kind, list_sort(list_distinct(flatten(list([lang, source])))) AS tags FROM documents GROUP BY source)"
 _DIV = "d1 AS (SELECT *, row_number() OVER (PARTITION BY query_id, title, document ORDER BY rank) AS i FROM hits WHERE rank <= 60), d2 AS (SELECT *, row_number() OVER (PARTITION BY query_id, title ORDER BY rank) AS j FROM d1 WHERE i = 1), d3 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS place FROM d2 WHERE j <= {cap})"
 
+_NOT_PROPER = ", ".join(f"'{w}'" for w in rank.NOT_PROPER)
+_TSTOP = ", ".join(f"'{w}'" for w in rank.TITLE_STOP)
+_TOWN = "list_distinct(list_filter(string_split({}, ' '), lambda w: w <> '' AND w NOT IN (" + _TSTOP + ")))"
+_CAP = "upper({0}[1]) || lower({0}[2:])"
+_RAW = r"regexp_extract_all(text, '[A-Za-z][A-Za-z\-'']*')"
+# the rules of routing over every message and every title
+_TITLES = rf"""
+WITH t0 AS (SELECT p_name AS title FROM part UNION SELECT n_name FROM nation UNION SELECT r_name FROM region),
+p AS (SELECT p_partkey AS query_id, p_partkey % 8 AS f, p_name AS n, string_split(p_name, ' ')[1] AS a, string_split(p_name, ' ')[2] AS b,
+    array_to_string(list_transform(string_split(n_name, ' '), lambda w: {_CAP.format('w')}), ' ') AS c FROM part JOIN nation ON n_nationkey = p_partkey % 25),
+m AS (SELECT query_id, CASE f WHEN 0 THEN 'Summarize ' || n || ' please' WHEN 1 THEN 'Who buys in ' || c || '''s harbours?' WHEN 2 THEN 'which ' || {_CAP.format('b')} || ' ' || {_CAP.format('a')} || ' is best?'
+    WHEN 3 THEN 'a summary of the ' || b || ' or ' || a || ' for ' || c WHEN 4 THEN 'sell the ' || b || ' or ' || a WHEN 5 THEN 'overview for ' || a WHEN 6 THEN 'zz' || n || 'zz and The ' || c || ' series' ELSE substring(n, 2, 5) END AS text FROM p),
+q AS (SELECT query_id, text, {_NT.format('text')} AS q FROM m),
+k AS (SELECT query_id, i, w, regexp_replace(lower(w), '''s$', '') AS base FROM (SELECT query_id, unnest({_RAW}) AS w, generate_subscripts({_RAW}, 1) AS i FROM q)),
+r AS (SELECT *, i - row_number() OVER (PARTITION BY query_id ORDER BY i) AS run FROM k WHERE regexp_matches(w, '^[A-Z]') AND length(base) >= 2 AND base NOT IN ({_NOT_PROPER})),
+ph AS (SELECT query_id, min(i) AS i, string_agg(base, ' ' ORDER BY i) AS name FROM r GROUP BY query_id, run),
+t AS (SELECT title, {_NT.format('title')} AS t, {_TOWN.format(_NT.format('title'))} AS own FROM t0 WHERE length({_NT.format('title')}) >= 3),
+lone AS (SELECT DISTINCT query_id, name FROM ph WHERE NOT contains(name, ' ') AND (SELECT count(*) FROM t WHERE list_contains(string_split(t, ' '), name)) / (SELECT count(*) FROM t) < 0.03),
+g AS (SELECT query_id, q, {_TOWN.format('q')} AS asked, len(list_intersect(string_split(q, ' '), ['summarize', 'summary', 'synopsis', 'overview', 'recap', 'about', 'spoiler', 'review', 'contents', 'chapters', 'compare'])) > 0 OR regexp_matches(lower(text), '\b(the|this)\s+\w+\s+(book|novel|series)$') AS about FROM q),
+long AS (SELECT query_id, title, min_by(len(string_split(name, ' ')), i) AS n FROM ph, t WHERE contains(name, ' ') AND list_has_all(own, string_split(name, ' ')) GROUP BY ALL),
+lo AS (SELECT query_id, title, count(*) AS n FROM lone, t WHERE list_contains(own, name) GROUP BY ALL),
+s AS (SELECT g.query_id, t.title, CASE WHEN contains(q, t) OR contains(t, q) THEN 100 + length(t) WHEN long.n IS NOT NULL THEN 60 + length(t) + 10 * long.n WHEN lo.n IS NOT NULL THEN 40 + length(t) + 5 * lo.n
+    WHEN NOT about THEN NULL WHEN len(own) >= 2 AND len(list_intersect(own, asked)) >= 2 THEN 60 + length(t) WHEN len(list_intersect(own, asked)) = 1 AND length(list_intersect(own, asked)[1]) >= 5 THEN 40 + length(t) END AS score
+    FROM g CROSS JOIN t LEFT JOIN long ON long.query_id = g.query_id AND long.title = t.title LEFT JOIN lo ON lo.query_id = g.query_id AND lo.title = t.title),
+o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, title) AS rank FROM s WHERE score IS NOT NULL)
+SELECT query_id, title, score, rank FROM o WHERE rank <= 4"""
+
 SQL = {
     "bm25_topk": f"WITH {_B} SELECT query_id, doc_id, round(score, 6) AS score, rank FROM top WHERE rank <= 10",
     "frequencies_after_changes": f"WITH {_FINAL}, {_TF.replace('FROM documents', 'FROM final')} SELECT token, doc_freq, sum(tf)::BIGINT AS occurrences FROM tf JOIN df USING (token) GROUP BY ALL",
@@ -246,7 +295,7 @@ SQL = {
     "parent_collapse": f"WITH {_HITS}, x AS (SELECT h.query_id, h.doc_id::VARCHAR AS chunk_id, h.rank, coalesce(p.text, h.document) AS document, coalesce('p' || p.doc_id // 4, 'self:' || h.doc_id) AS g FROM hits h LEFT JOIN documents p ON h.doc_id % 4 > 0 AND p.doc_id = h.doc_id // 4 * 4 AND p.n_chars > 300 WHERE rank <= 20), y AS (SELECT *, row_number() OVER (PARTITION BY query_id, g ORDER BY rank) AS i FROM x) SELECT query_id, chunk_id, rank, sha256(document) AS document_sha FROM y WHERE i = 1",
     "first_source": f"WITH {_HITS}, x AS (SELECT *, row_number() OVER (PARTITION BY query_id, title, lang ORDER BY rank) AS i FROM hits WHERE rank <= 30) SELECT query_id, title, lang, rank FROM x WHERE i = 1",
     "context_blocks": f"WITH {_HITS}, {_DIV.format(cap=3)}, c AS (SELECT query_id, place, '[' || place || '] ' || title || chr(10) || array_to_string({WS.format('document')}[1:50], ' ') || CASE WHEN len({WS.format('document')}) > 50 THEN ' …[truncated]' ELSE '' END AS t FROM d3 WHERE place <= 4) SELECT query_id, sha256(string_agg(t, chr(10) || chr(10) ORDER BY place)) AS context_sha FROM c GROUP BY query_id",
-    "title_match": f"WITH t AS (SELECT DISTINCT p_name AS title FROM part), a AS (SELECT p_partkey AS query_id, 'Summarize ' || p_name || ' please' AS text FROM part), n AS (SELECT query_id, title, {_NT.format('text')} AS q, {_NT.format('title')} AS t, {_OWN.format('title')} AS tw, list_intersect({_OWN.format('title')}, {_OWN.format('text')}) AS sh FROM a, t), s AS (SELECT query_id, title, CASE WHEN length(t) < 3 THEN NULL WHEN contains(q, t) OR contains(t, q) THEN 100 + length(t) WHEN len(tw) >= 2 AND len(sh) >= 2 THEN 60 + length(t) WHEN len(sh) = 1 AND length(sh[1]) >= 5 THEN 40 + length(t) END AS score FROM n), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, title) AS rank FROM s WHERE score IS NOT NULL) SELECT * FROM r WHERE rank <= 4",
+    "title_match": _TITLES,
     "distinctive_terms": f"WITH t AS (SELECT {_NT.format('p_name')} AS t FROM (SELECT DISTINCT p_name FROM part)), k AS (SELECT t FROM t WHERE length(t) >= 3), w AS (SELECT unnest(list_distinct(list_filter(string_split(t, ' '), lambda x: x <> ''))) AS word FROM k) SELECT word, count(*) AS titles, count(*) / (SELECT count(*) FROM k) < 0.03 AS rare FROM w GROUP BY word",
     "even_spread_sample": "WITH p AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS pos, count(*) OVER (PARTITION BY source) AS m FROM documents) SELECT source, doc_id, pos FROM p WHERE m <= 7 OR list_contains([(0 * m) // 7, (1 * m) // 7, (2 * m) // 7, (3 * m) // 7, (4 * m) // 7, (5 * m) // 7, (6 * m) // 7], pos)",
     "shuffled_sample": "SELECT doc_id, md5(doc_id || ':42') AS h FROM documents ORDER BY h, doc_id LIMIT 100",
