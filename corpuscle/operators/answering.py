@@ -11,9 +11,12 @@ from pyspark.sql import functions as F
 from ..functions import intent
 from ..functions.stem import stem_map, stems
 from ..functions.text import tokens
+from ..session import stored
 from . import evaluation, index, library, rank
 
 POOL, TOP, BUDGET = 40, 8, 3000
+#: Passages of each work that a query names.
+NAMED_CAP = 8
 #: Sections that one call of a summariser gets.
 BATCH = 6
 
@@ -24,27 +27,31 @@ def routed(queries: DataFrame, chunks: DataFrame) -> DataFrame:
 
 
 def within_titles(hits: DataFrame, routes: DataFrame) -> DataFrame:
-    """Hits of queries that name works are limited to these works. hits: query_id, title."""
-    named = routes.select("query_id").distinct().withColumn("named", F.lit(True))
-    kept = hits.join(named, "query_id", "left").join(routes.withColumn("routed", F.lit(True)), ["query_id", "title"], "left")
-    return kept.where(F.col("named").isNull() | F.col("routed").isNotNull()).drop("named", "routed")
+    """The hits of queries that name works, in these works alone. hits: query_id, title."""
+    return hits.join(routes.select("query_id", "title"), ["query_id", "title"], "left_semi")
 
 
 def pool(queries: DataFrame, chunks: DataFrame, statistics: index.Statistics | None = None, dense: DataFrame | None = None, size: int = POOL) -> DataFrame:
-    """(query_id, doc_id, title, document, rank, distance): the best of the fused legs, of the named works where there are any.
-    chunks: doc_id, title, text. dense: (query_id, doc_id, score, rank) of a vector index; without it distances are null."""
-    routes = routed(queries, chunks)
+    """(query_id, doc_id, title, document, rank, distance, named). A query that names works gets the best of these works alone, by the vector index where there is one and without fusion (named);
+    if they have no hit, or it names none, it gets the best of the fused legs. chunks: doc_id, title, text. dense: (query_id, doc_id, score, rank) of a vector index; without it
+    distances are null."""
     titles = chunks.select("doc_id", "title")
-    scores = within_titles(index.bm25_scores(chunks, queries, statistics=statistics).join(titles, "doc_id"), routes)
-    legs = index.top_k(scores.select("query_id", "doc_id", "score"), size)
+    routes = stored(routed(queries, chunks), "routes")
+    scores = stored(index.bm25_scores(chunks, queries, statistics=statistics), "scores")
+    leg = scores if dense is None else dense.select("query_id", "doc_id", "score")
+    inside = index.top_k(within_titles(leg.join(routes.select("query_id").distinct(), "query_id", "left_semi").join(titles, "doc_id"), routes).select("query_id", "doc_id", "score"), size).select("query_id", "doc_id", "rank")
+    inside = stored(inside, "named")
+    named = inside.select("query_id").distinct()
+    legs = index.top_k(scores.join(named, "query_id", "left_anti"), size)
     if dense is not None:
-        near = within_titles(dense.join(titles, "doc_id"), routes)
-        legs = rank.hybrid(near.select("query_id", "doc_id", "rank"), legs, "doc_id")
-        legs = legs.join(dense.select("query_id", "doc_id", (1 - F.col("score")).alias("distance")), ["query_id", "doc_id"], "left")
+        legs = rank.hybrid(dense.select("query_id", "doc_id", "rank").join(named, "query_id", "left_anti"), legs, "doc_id")
+    both = legs.where(F.col("rank") <= size).select("query_id", "doc_id", "rank", F.lit(False).alias("named")).unionByName(inside.withColumn("named", F.lit(True)))
+    if dense is not None:
+        both = both.join(dense.select("query_id", "doc_id", (1 - F.col("score")).alias("distance")), ["query_id", "doc_id"], "left")
     else:
-        legs = legs.withColumn("distance", F.lit(None).cast("double"))
-    found = legs.where(F.col("rank") <= size).join(chunks.select("doc_id", "title", F.col("text").alias("document")), "doc_id")
-    return found.select("query_id", "doc_id", "title", "document", "rank", "distance")
+        both = both.withColumn("distance", F.lit(None).cast("double"))
+    found = both.join(chunks.select("doc_id", "title", F.col("text").alias("document")), "doc_id")
+    return found.select("query_id", "doc_id", "title", "document", "rank", "distance", "named")
 
 
 def guarded(queries: DataFrame, hits: DataFrame, common: DataFrame | None = None, threshold: float = 0.8) -> DataFrame:
@@ -67,14 +74,16 @@ def guarded(queries: DataFrame, hits: DataFrame, common: DataFrame | None = None
 
 def grounded(queries: DataFrame, chunks: DataFrame, parents: DataFrame | None = None, dense: DataFrame | None = None, statistics: index.Statistics | None = None, reranker: Callable[[Column, Column], Column] = rank.lexical_overlap, top: int = TOP, budget: int = BUDGET) -> DataFrame:
     """(query_id, doc_id, title, document, place, used): what an answer is built on. The pool is reranked, children give way to their parents
-    (parents: parent_id, text; chunks then have parent_id), equal texts and crowded titles thin out, and the words stay within the budget."""
+    (parents: parent_id, text; chunks then have parent_id), equal texts and crowded titles thin out, and the words stay within the budget; with parents the first hit stays in any case. Hits of
+    named works aren't reranked, and up to eight of each work stay, however many works there are."""
     hits = pool(queries, chunks, statistics, dense).join(queries.select("query_id", F.col("text").alias("query")), "query_id")
-    hits = rank.reranked(hits, reranker(F.col("query"), F.col("document")))
+    own = hits.where("named").withColumn("rerank_score", F.lit(None).cast("double"))
+    hits = rank.reranked(hits.where("NOT named"), reranker(F.col("query"), F.col("document"))).unionByName(own)
     if parents is not None:
         hits = hits.join(chunks.select("doc_id", "parent_id"), "doc_id").withColumn("chunk_id", F.col("doc_id").cast("string"))
         hits = rank.with_parents(hits, parents)
-    best = rank.diversified(hits, limit=top).drop("rank").withColumnRenamed("place", "rank")
-    return rank.within_budget(best, budget).select("query_id", "doc_id", "title", "document", F.col("rank").alias("place"), "used")
+    best = rank.diversified(hits.where("NOT named"), limit=top).unionByName(rank.diversified(hits.where("named"), cap=NAMED_CAP, limit=POOL)).drop("rank").withColumnRenamed("place", "rank")
+    return rank.within_budget(best, budget, 0 if parents is None else 1).select("query_id", "doc_id", "title", "document", F.col("rank").alias("place"), "used")
 
 
 def sources(answers: DataFrame) -> DataFrame:

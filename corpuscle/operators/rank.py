@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,56 +9,15 @@ from ..functions import intent
 from ..functions.text import TERM_STOP, norm_title, tokens, word_count, words
 from ..session import stored
 from .contain import containing
+from .nearest import neighbours
+from .places import placed
 
-RRF_K, TITLE_CAP, PER_PASS = 60, 3, 4096
-
-
-def cosine_knn(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """(query_id, key, score, rank): exact cosine neighbours. Blocks of at most PER_PASS queries are one row each; the scan meets them in batches,
-    each batch keeps its own k best for each query, and only those are shuffled. queries: (query_id, vector). Vectors that are null or hold
-    null or non-finite components, or have another length than a query, take no part; the cosine with a zero vector is 0."""
-    spark = vectors.sparkSession
-    v = F.col(vector)
-    sound = v.isNotNull() & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    asked = queries.where(sound).select("query_id", v.cast("array<double>").alias("v"))
-    n = asked.count()
-    found = None
-    blocks = max(1, -(-n // PER_PASS))
-    for b in range(blocks):
-        # bounded: a block has about PER_PASS queries
-        rows = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).collect() if n else []
-        by_size: dict[int, list] = {}
-        for r in rows:
-            by_size.setdefault(len(r[1]), []).append(r)
-        tables = {}
-        for size, rs in by_size.items():
-            x = np.array([r[1] for r in rs], np.float64).reshape(len(rs), size)
-            norm = np.linalg.norm(x, axis=1, keepdims=True)
-            tables[size] = (np.array([r[0] for r in rs]), x / np.where(norm == 0, 1, norm))
-        shared = spark.sparkContext.broadcast(tables)
-
-        def run(batches, shared=shared):
-            for batch in batches:
-                own, lists = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1)
-                sizes = np.diff(lists.offsets.to_numpy())
-                for size, (ids, q) in shared.value.items():
-                    here = np.flatnonzero(sizes == size)
-                    if not len(here):
-                        continue
-                    part = lists if len(here) == len(own) else lists.take(pa.array(here))
-                    x = part.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(here), size)
-                    norm = np.linalg.norm(x, axis=1, keepdims=True)
-                    score = q @ (x / np.where(norm == 0, 1, norm)).T
-                    keys = own[here]
-                    # of equal scores the smaller key
-                    order = np.argsort(keys, kind="stable")
-                    best = order[np.argsort(-np.round(score[:, order], 9), axis=1, kind="stable")[:, :k]]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, best.shape[1])), pa.array(keys[best.ravel()]), pa.array(np.take_along_axis(score, best, 1).ravel())], names=["query_id", key, "score"])
-
-        one = vectors.where(sound).select(F.col(key).cast("long"), vector).mapInArrow(run, f"query_id long, {key} long, score double")
-        found = one if found is None else found.unionByName(one)
-    w = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), key)
-    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+RRF_K, TITLE_CAP = 60, 3
+
+
+def cosine_knn(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", centres: int = 0) -> DataFrame:
+    """(query_id, key, score, rank): exact cosine neighbours, in blocks of vectors and queries; with `centres`, only in parts that may hold one. See nearest.neighbours."""
+    return neighbours(vectors, queries, k, key, vector, centres)
 
 
 def fused(*legs: DataFrame, key: str, k: int = RRF_K) -> DataFrame:
@@ -121,10 +78,11 @@ def with_parents(hits: DataFrame, parents: DataFrame, per: str = "query_id") ->
 
 def even_spread(rows: DataFrame, n: int, order: str, per: str | None = None) -> DataFrame:
     """n rows spread evenly: of m rows in order, those at floor(i * m / n)."""
-    keys = [per] if per else []
-    w = Window.partitionBy(*keys).orderBy(order) if keys else Window.orderBy(order)
-    whole = Window.partitionBy(*keys)
-    x = rows.withColumn("pos", F.row_number().over(w) - 1).withColumn("m", F.count("*").over(whole))
+    if per:
+        x = rows.withColumn("pos", F.row_number().over(Window.partitionBy(per).orderBy(order)) - 1).withColumn("m", F.count("*").over(Window.partitionBy(per)))
+    else:
+        x, m = placed(rows, order, name="pos")
+        x = x.withColumn("pos", F.col("pos") - 1).withColumn("m", F.lit(m))
     # pos is floor(i * m / n) for some i < n
     i = F.ceil(F.col("pos") * F.lit(n) / F.col("m"))
     hit = (F.floor(i * F.col("m") / F.lit(n)) == F.col("pos")) & (i < n)

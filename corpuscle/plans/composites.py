@@ -325,7 +325,7 @@ SQL = {
     "latest_attempts": "SELECT o_custkey AS quiz_id, o_orderkey AS attempt_id, floor(epoch(o_orderdate))::BIGINT AS finished, o_totalprice AS score FROM orders WHERE o_orderstatus <> 'O' QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1",
     "newest_orders": "SELECT o_orderkey, floor(epoch(o_orderdate))::BIGINT AS at FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 200",
     "answered_points": "SELECT o_orderkey AS point_id, 'q' || CASE WHEN o_orderkey % 2 = 0 THEN o_orderkey % 60 ELSE o_orderkey % 50 END AS qid FROM orders WHERE CASE WHEN o_orderkey % 2 = 0 THEN o_orderkey % 60 ELSE o_orderkey % 50 END < (SELECT count(*) FROM part)",
-    "cited_sources": f"WITH {retrieval._B}, h AS (SELECT query_id, top.doc_id, rank, source AS title, text AS document FROM top JOIN documents USING (doc_id) WHERE rank <= 40), s AS (SELECT h.*, len(list_intersect(list_distinct({retrieval.TOK.format('q.text')}), list_distinct({retrieval.TOK.format('document')}))) / len(list_distinct({retrieval.TOK.format('q.text')})) AS rs FROM h JOIN q USING (query_id)), n AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rs DESC, rank) AS nr FROM s), d1 AS (SELECT *, row_number() OVER (PARTITION BY query_id, title, document ORDER BY nr) AS i FROM n WHERE nr <= 24), d2 AS (SELECT *, row_number() OVER (PARTITION BY query_id, title ORDER BY nr) AS j FROM d1 WHERE i = 1), d3 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY nr) AS place FROM d2 WHERE j <= 3), b AS (SELECT *, sum(len({retrieval.WS.format('document')})) OVER w AS used, count(*) OVER w AS kept FROM d3 WHERE place <= 8 WINDOW w AS (PARTITION BY query_id ORDER BY place ROWS UNBOUNDED PRECEDING)) SELECT query_id, title, min(place)::BIGINT AS place FROM b WHERE used <= 3000 OR kept <= 1 GROUP BY ALL",
+    "cited_sources": f"WITH {retrieval._B}, h AS (SELECT query_id, top.doc_id, rank, source AS title, text AS document FROM top JOIN documents USING (doc_id) WHERE rank <= 40), s AS (SELECT h.*, len(list_intersect(list_distinct({retrieval.TOK.format('q.text')}), list_distinct({retrieval.TOK.format('document')}))) / len(list_distinct({retrieval.TOK.format('q.text')})) AS rs FROM h JOIN q USING (query_id)), n AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rs DESC, rank) AS nr FROM s), d1 AS (SELECT *, row_number() OVER (PARTITION BY query_id, title, document ORDER BY nr) AS i FROM n WHERE nr <= 24), d2 AS (SELECT *, row_number() OVER (PARTITION BY query_id, title ORDER BY nr) AS j FROM d1 WHERE i = 1), d3 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY nr) AS place FROM d2 WHERE j <= 3), b AS (SELECT *, sum(len({retrieval.WS.format('document')})) OVER w AS used, count(*) OVER w AS kept FROM d3 WHERE place <= 8 WINDOW w AS (PARTITION BY query_id ORDER BY place ROWS UNBOUNDED PRECEDING)) SELECT query_id, title, min(place)::BIGINT AS place FROM b WHERE used <= 3000 GROUP BY ALL",
     "deep_sections": f"WITH {_SEC} SELECT query_id, doc_id::VARCHAR AS parent_id, pos FROM ds",
     "section_summaries": f"WITH {_SEC}, b AS (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY pos) - 1) // 6 AS batch FROM ds), g AS (SELECT query_id, batch, 'n=' || length(string_agg('## ' || title || chr(10) || text, chr(10) || chr(10) ORDER BY pos)) AS said FROM b GROUP BY ALL) SELECT query_id, 'n=' || length(string_agg(said, chr(10) || chr(10) ORDER BY batch)) AS summary FROM g GROUP BY query_id",
     "topic_units": f"WITH {retrieval._B} SELECT query_id, doc_id AS unit, rank FROM top WHERE rank <= 4",

@@ -76,6 +76,12 @@ def cosine_knn(spark, d):
     return _knn(spark, d).select("query_id", "vec_id", F.round(F.col("score"), 6).alias("score"), "rank")
 
 
+def cosine_knn_parts(spark, d):
+    """The same by parts of space; each query visits only those that may hold a neighbour."""
+    found = rank.cosine_knn(_vectors(spark, d), _vector_asks(spark, d), 10, centres=64)
+    return found.select("query_id", "vec_id", F.round(F.col("score"), 6).alias("score"), "rank")
+
+
 def cosine_knn_filtered(spark, d):
     return _knn(spark, d, 5, "label IN (1, 3, 5)").select("query_id", "vec_id", F.round(F.col("score"), 6).alias("score"), "rank")
 
@@ -230,7 +236,7 @@ def eval_diff(spark, d):
     return evaluation.regressions(v, both).select("metric", F.round("current", 6).alias("current"), F.round("baseline", 6).alias("baseline"), "regressed")
 
 
-QUERIES = {f.__name__: f for f in (hybrid_search, bm25_topk, frequencies_after_changes, bm25_after_changes, bm25_zero_fill, bm25_per_title, cosine_knn, cosine_knn_filtered, cosine_per_label, cosine_pairs, rrf_overlapping, rerank, diversify, word_budget, parent_collapse, first_source, context_blocks, title_match, distinctive_terms, proper_names, even_spread_sample, shuffled_sample, find_works, catalog_markdown, hit_metrics, eval_diff)}
+QUERIES = {f.__name__: f for f in (hybrid_search, bm25_topk, frequencies_after_changes, bm25_after_changes, bm25_zero_fill, bm25_per_title, cosine_knn, cosine_knn_parts, cosine_knn_filtered, cosine_per_label, cosine_pairs, rrf_overlapping, rerank, diversify, word_budget, parent_collapse, first_source, context_blocks, title_match, distinctive_terms, proper_names, even_spread_sample, shuffled_sample, find_works, catalog_markdown, hit_metrics, eval_diff)}
 
 
 def _bm25(asks: str) -> str:
@@ -284,6 +290,7 @@ SQL = {
     "bm25_zero_fill": f"WITH {_B}, z AS (SELECT q.query_id, d.doc_id, coalesce(score, 0) AS score FROM q CROSS JOIN documents d LEFT JOIN sc ON sc.query_id = q.query_id AND sc.doc_id = d.doc_id), zr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, doc_id) AS rank FROM z) SELECT query_id, doc_id, round(score, 6) AS score, rank FROM zr WHERE rank <= 25",
     "bm25_per_title": f"WITH {_B}, p AS (SELECT query_id, source AS title, sum(score) AS score FROM sc JOIN documents USING (doc_id) GROUP BY ALL) SELECT query_id, title, round(score, 4) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, title) AS rank FROM p",
     "cosine_knn": f"WITH {_V.format(w='')} SELECT query_id, vec_id, round(score, 6) AS score, rank FROM vk WHERE rank <= 10",
+    "cosine_knn_parts": f"WITH {_V.format(w='')} SELECT query_id, vec_id, round(score, 6) AS score, rank FROM vk WHERE rank <= 10",
     "cosine_knn_filtered": f"WITH {_V.format(w='WHERE label IN (1, 3, 5)')} SELECT query_id, vec_id, round(score, 6) AS score, rank FROM vk WHERE rank <= 5",
     "cosine_per_label": f"WITH {_V.format(w='')}, t AS (SELECT query_id, label::VARCHAR AS title, max(score) AS best, count(*) AS hits FROM vk WHERE rank <= 500 GROUP BY ALL) SELECT query_id, title, round(best, 6) AS best, hits, row_number() OVER (PARTITION BY query_id ORDER BY round(best, 9) DESC, hits DESC, title) AS rank FROM t",
     "cosine_pairs": "SELECT a.vec_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) + 0.0 AS cosine FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import chunks, index, manifest
+from ..operators import chunks, index, manifest, marks
 from ..session import table
 
 WS = r"list_filter(regexp_split_to_array({}, '\s+'), lambda x: x <> '')"
@@ -71,6 +71,28 @@ def section_map(spark, d):
     return x.select("doc_id", "title", F.col("ordinal").cast("long").alias("ordinal"), "start_char", "end_char")
 
 
+def _pages_and_marks(spark, d):
+    """Every line of a document as a page, and bookmarks: one for every third page, a second one on some of them, and one of a page that isn't there."""
+    docs = _docs(spark, d)
+    pages = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("page", "text")).withColumn("page", F.col("page") + 1)
+    mine = pages.where("page % 3 = 0").select("doc_id", (F.col("page") * 2).alias("seq"), (F.col("page") % 4 + 1).alias("level"), F.col("text").alias("title"), "page")
+    twice = pages.where("page % 6 = 0").select("doc_id", (F.col("page") * 2 + 1).alias("seq"), F.lit(1).alias("level"), F.lit("Again").alias("title"), "page")
+    gone = docs.select("doc_id", F.lit(0).alias("seq"), F.lit(1).alias("level"), F.lit("Gone").alias("title"), F.lit(0).alias("page"))
+    return marks.page_offsets(pages), mine.unionByName(twice).unionByName(gone)
+
+
+def bookmark_sections(spark, d):
+    pages, own = _pages_and_marks(spark, d)
+    return marks.marked_sections(own, pages).select("doc_id", F.col("ordinal").cast("long").alias("ordinal"), F.sha2("title", 256).alias("title_sha"), "level", "parent", "start_char", "end_char")
+
+
+def pages_in_sections(spark, d):
+    """The section that holds each page, found by its last character."""
+    pages, own = _pages_and_marks(spark, d)
+    at = pages.withColumn("last_char", F.greatest(F.col("end_char") - 1, F.col("start_char")))
+    return marks.sections_at(at, marks.marked_sections(own, pages), at="last_char").select("doc_id", "page", "section")
+
+
 def html_text(spark, d):
     t = X.html_text(F.col("html"))
     return table(spark, d, "pages").select("page_id", F.length(t).cast("long").alias("n_chars"), F.size(F.split(t, "\n\n")).cast("long").alias("n_paragraphs"), F.sha2(t, 256).alias("text_sha"))
@@ -177,7 +199,7 @@ def section_words(spark, d):
     return _docs(spark, d).groupBy("source").agg(F.sum(X.word_count(F.col("text"))).alias("words"), F.count("*").alias("sections"))
 
 
-QUERIES = {f.__name__: f for f in (tokenize_docs, term_frequency, doc_frequency, corpus_stats, common_terms, flat_chunks, chunk_metadata, line_offsets, heading_lines, repeated_lines, section_map, html_text, html_headings, sentence_counts, parent_child_chunks, parent_text, garbage_ratio, classify_kind, scan_stats, ocr_needed, junk_chunks, normalised_titles, change_detect, stale_files, upsert_rows, rename_set, calibre_tags, tag_lists, clamped_fields, exact_texts, section_words)}
+QUERIES = {f.__name__: f for f in (bookmark_sections, pages_in_sections, tokenize_docs, term_frequency, doc_frequency, corpus_stats, common_terms, flat_chunks, chunk_metadata, line_offsets, heading_lines, repeated_lines, section_map, html_text, html_headings, sentence_counts, parent_child_chunks, parent_text, garbage_ratio, classify_kind, scan_stats, ocr_needed, junk_chunks, normalised_titles, change_detect, stale_files, upsert_rows, rename_set, calibre_tags, tag_lists, clamped_fields, exact_texts, section_words)}
 
 _TF = f"tf AS (SELECT doc_id, token, count(*) AS tf FROM (SELECT doc_id, unnest({TOK.format('text')}) AS token FROM documents) GROUP BY ALL), lens AS (SELECT doc_id, len({TOK.format('text')}) AS len FROM documents WHERE len({TOK.format('text')}) > 0), nd AS (SELECT count(*) AS n, avg(len) AS al FROM lens), df AS (SELECT token, count(*) AS doc_freq FROM tf GROUP BY token), raw AS (SELECT token, doc_freq, ln(n - doc_freq + 0.5) - ln(doc_freq + 0.5) AS raw FROM df, nd), idf AS (SELECT token, doc_freq, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM raw) ELSE raw END AS idf FROM raw)"
 _CHUNKS = f"w AS (SELECT *, {WS.format('text')} AS ws FROM documents), chunks AS (SELECT *, array_to_string(ws[s + 1 : s + 330], ' ') AS document, s // 270 AS chunk_index, ((len(ws) - 1) // 270) + 1 AS total_chunks FROM w, unnest(range(0, len(ws), 270)) AS t(s))"
@@ -192,7 +214,17 @@ _PARAS = rf"list_filter(list_transform(regexp_split_to_array({_HTML}, '\n\s*\n')
 _NAME = "(p_name || ' / ' || p_brand || '''s')"
 _CLEAN = "".join("\\" + c if c in "[]\\^-&" else c for c in X.CLEAN_SIGNS).replace("'", "''")
 
+_MARKS = r"""pg AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) AS page FROM documents),
+po AS (SELECT doc_id, page, text, coalesce(sum(length(text) + 2) OVER w, 0)::BIGINT AS a FROM pg WINDOW w AS (PARTITION BY doc_id ORDER BY page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+mk AS (SELECT doc_id, page * 2 AS seq, page % 4 + 1 AS level, left(trim(regexp_replace(text, '\s+', ' ', 'g')), 120) AS title, page FROM pg WHERE page % 3 = 0 UNION ALL SELECT doc_id, page * 2 + 1, 1, 'Again', page FROM pg WHERE page % 6 = 0),
+mo AS (SELECT mk.*, a, count(*) OVER (PARTITION BY doc_id) AS n FROM mk JOIN po USING (doc_id, page) WHERE title <> ''),
+m1 AS (SELECT * FROM mo WHERE n >= 2 QUALIFY row_number() OVER (PARTITION BY doc_id, a ORDER BY seq) = 1),
+tot AS (SELECT doc_id, max(a + length(text)) AS total FROM po GROUP BY doc_id),
+sx AS (SELECT doc_id, row_number() OVER w - 1 AS ordinal, title, level, a, coalesce(lead(a) OVER w, total) AS z FROM m1 JOIN tot USING (doc_id) WINDOW w AS (PARTITION BY doc_id ORDER BY a))"""
+
 SQL = {
+    "bookmark_sections": f"WITH {_MARKS} SELECT s.doc_id, s.ordinal, sha256(s.title) AS title_sha, s.level, (SELECT max(t.ordinal) FROM sx t WHERE t.doc_id = s.doc_id AND t.ordinal < s.ordinal AND t.level < s.level) AS parent, s.a AS start_char, s.z AS end_char FROM sx s",
+    "pages_in_sections": f"WITH {_MARKS} SELECT po.doc_id, po.page, (SELECT max(ordinal) FROM sx WHERE sx.doc_id = po.doc_id AND sx.a <= greatest(po.a + length(po.text) - 1, po.a)) AS section FROM po",
     "tokenize_docs": f"SELECT doc_id, len({TOK.format('text')})::BIGINT AS n_tokens, len(list_distinct({TOK.format('text')}))::BIGINT AS n_distinct, array_to_string({TOK.format('text')}[1:5], ' ') AS head FROM documents",
     "term_frequency": f"WITH {_TF} SELECT * FROM tf",
     "doc_frequency": f"WITH {_TF} SELECT * FROM df",

@@ -55,11 +55,11 @@ def work_path(spark: SparkSession, name: str) -> str:
     return f"{base}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder and read again, for results that several steps read."""
+def stored(df: DataFrame, name: str, *by: str) -> DataFrame:
+    """df written to the shared folder and read again, for results that several steps read; in a folder for each value of the columns `by`."""
     path = work_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    df.write.partitionBy(*by).parquet(path) if by else df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)
 
 
 def register(spark: SparkSession, sf_dir: str) -> None:

@@ -79,3 +79,35 @@ def test_functions_for_sql(spark):
     assert "corpus_tokens" in sql.register_functions(spark)
     r = spark.sql("SELECT corpus_tokens('Ab c-1') a, stemmed(corpus_tokens('running horses')) b, corpus_jaccard(array('a', 'b'), array('b')) c, corpus_cosine(array(3D, 4D), array(0D, 0D)) d, corpus_title_key('The  Ring!') e").first()
     assert tuple(r) == (["ab", "c", "1"], ["run", "hors"], 0.5, 0.0, "thering")
+
+
+def test_named_works_have_their_own_rules(spark):
+    """Up to eight passages of each, not reranked; a work without a hit leaves the ordinary way; only with parents the first hit stays beyond the budget."""
+    rows = [(k, "Moby Dick", f"whales and ships {'whales ' * k}") for k in range(12)] + [(20 + k, f"Book {k}", f"whales {'sea ' * k}") for k in range(9)] + [(40, "Silence", "nothing")]
+    docs = spark.createDataFrame(rows, "doc_id long, title string, text string")
+    asks = spark.createDataFrame([(1, "ships in Moby Dick"), (2, "whales"), (3, "whales of Silence")], "query_id long, text string")
+    hits = {}
+    for r in answering.pool(asks, docs).collect():
+        hits.setdefault(r.query_id, set()).add((r.title, r.named))
+    assert hits[1] == {("Moby Dick", True)} and len(hits[2]) == 10 and all(not n for _, n in hits[3])
+    got = {}
+    for r in answering.grounded(asks, docs, budget=10_000).collect():
+        got.setdefault(r.query_id, []).append(r.title)
+    assert len(got[1]) == 8 and len(got[2]) == 8 and got[2].count("Moby Dick") <= 3
+    assert answering.grounded(asks, docs, budget=0).count() == 0
+    chunks = docs.withColumn("parent_id", F.lit(None).cast("string"))
+    assert answering.grounded(asks, chunks, spark.createDataFrame([], "parent_id string, text string"), budget=0).count() == 3
+
+
+def test_places_of_a_whole_table(spark):
+    from corpuscle.operators import library, places
+
+    df = spark.range(1000, numPartitions=7).select(F.col("id"), F.pmod(F.xxhash64("id"), F.lit(97)).alias("x"), F.lit("own").alias("range"))
+    out, n = places.placed(df, "x", F.col("id"))
+    assert n == 1000 and [r.id for r in out.orderBy("place").collect()] == [r.id for r in df.orderBy("x", "id").collect()]
+    assert sorted(r.place for r in out.collect()) == list(range(1, 1001))
+    assert places.placed(df.limit(0), "id")[1] == 0 and places.placed(df.limit(0), "id")[0].count() == 0
+    spread = rank.even_spread(df, 7, "id").orderBy("pos").collect()
+    assert [r.id for r in spread] == [i * 1000 // 7 for i in range(7)]
+    page = library.clarify(out, 200, 20).collect()
+    assert sorted(r.place for r in page) == list(range(1, 21)) and all(r.clarify for r in page)
