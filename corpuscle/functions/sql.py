@@ -1,4 +1,4 @@
-"""The scalar functions for users of SQL: temporary functions of a session. Those that are plain expressions stay expressions, so the optimiser sees through them."""
+"""The functions for users of SQL: temporary functions of a session; those that give tables are in `tables`. Those that are plain expressions stay expressions, so the optimiser sees through them."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from .stem import _stemmed
+from .tables import register_tables
 
 PLAIN = {
     "corpus_tokens(text STRING) RETURNS ARRAY<STRING>": r"regexp_extract_all(lower(text), '[a-z0-9]+', 0)",
@@ -23,4 +24,4 @@ def register_functions(spark: SparkSession) -> list[str]:
     for head, body in PLAIN.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {head} RETURN {body}")
     spark.udf.register("stemmed", F.pandas_udf(_stemmed, "array<string>"))
-    return [h.split("(")[0] for h in PLAIN] + ["stemmed"]
+    return [h.split("(")[0] for h in PLAIN] + ["stemmed", *register_tables(spark)]

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import sql
 from ..functions import text as X
 from ..operators import chunks, evaluation, index, library, postings, rank, study
-from ..session import table, work_path
+from ..session import register, table, work_path
 from .texts import _CHUNKS, _KIND, _TF, TOK, WS
 
 
@@ -60,6 +61,36 @@ def bm25_after_changes(spark, d):
     return s.select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
 
 
+def _sql_session(spark, d):
+    """Views of the tables and the functions for SQL."""
+    register(spark, d)
+    sql.register_functions(spark)
+
+
+def sql_search(spark, d):
+    """Ingestion and search in SQL alone: postings, statistics and BM25 over views, the best by a table function."""
+    _sql_session(spark, d)
+    return spark.sql("""
+        WITH texts AS (SELECT doc_id, corpus_tokens(text) AS ts FROM documents),
+        lens AS (SELECT doc_id, size(ts) AS len FROM texts WHERE size(ts) > 0),
+        totals AS (SELECT count(*) AS n, avg(len) AS mean_len FROM lens),
+        postings AS (SELECT doc_id, token, count(*) AS tf FROM (SELECT doc_id, explode(ts) AS token FROM texts) GROUP BY doc_id, token),
+        raw AS (SELECT token, ln(n - df + 0.5D) - ln(df + 0.5D) AS raw FROM (SELECT token, count(*) AS df FROM postings GROUP BY token) CROSS JOIN totals),
+        idf AS (SELECT token, IF(raw < 0, 0.25D * (SELECT avg(raw) FROM raw), raw) AS idf FROM raw),
+        asked AS (SELECT item_id AS query_id, token, count(*) AS times FROM (SELECT item_id, explode(ts) AS token FROM (SELECT item_id, corpus_tokens(text) AS ts FROM benchmark)) GROUP BY item_id, token),
+        scores AS (SELECT query_id, doc_id, round(sum(times * idf * tf * 2.5D / (tf + 1.5D * (0.25D + 0.75D * len / mean_len))), 6) AS score
+            FROM asked JOIN idf USING (token) JOIN postings USING (token) JOIN lens USING (doc_id) CROSS JOIN totals GROUP BY query_id, doc_id)
+        SELECT query_id, doc_id, score, rank FROM corpus_top(TABLE(SELECT * FROM scores) PARTITION BY query_id ORDER BY (score DESC, doc_id), 10)""")
+
+
+def sql_packed_chunks(spark, d):
+    """Chunks of all documents by one table function, and those of each source that fit a budget of words by another."""
+    _sql_session(spark, d)
+    return spark.sql("""
+        WITH chunks AS (SELECT source, doc_id, c.chunk_index, c.total_chunks, c.n_words, sha2(c.document, 256) AS document_sha FROM documents, LATERAL corpus_chunks(text, 330, 60) c)
+        SELECT source, doc_id, chunk_index, total_chunks, document_sha, used FROM corpus_budget(TABLE(SELECT * FROM chunks) PARTITION BY source ORDER BY (doc_id, chunk_index), 'n_words', 20000, 1)""")
+
+
 def _vectors(spark, d):
     return table(spark, d, "embeddings")
 
@@ -236,7 +267,7 @@ def eval_diff(spark, d):
     return evaluation.regressions(v, both).select("metric", F.round("current", 6).alias("current"), F.round("baseline", 6).alias("baseline"), "regressed")
 
 
-QUERIES = {f.__name__: f for f in (hybrid_search, bm25_topk, frequencies_after_changes, bm25_after_changes, bm25_zero_fill, bm25_per_title, cosine_knn, cosine_knn_parts, cosine_knn_filtered, cosine_per_label, cosine_pairs, rrf_overlapping, rerank, diversify, word_budget, parent_collapse, first_source, context_blocks, title_match, distinctive_terms, proper_names, even_spread_sample, shuffled_sample, find_works, catalog_markdown, hit_metrics, eval_diff)}
+QUERIES = {f.__name__: f for f in (hybrid_search, bm25_topk, frequencies_after_changes, bm25_after_changes, sql_search, sql_packed_chunks, bm25_zero_fill, bm25_per_title, cosine_knn, cosine_knn_parts, cosine_knn_filtered, cosine_per_label, cosine_pairs, rrf_overlapping, rerank, diversify, word_budget, parent_collapse, first_source, context_blocks, title_match, distinctive_terms, proper_names, even_spread_sample, shuffled_sample, find_works, catalog_markdown, hit_metrics, eval_diff)}
 
 
 def _bm25(asks: str) -> str:
@@ -285,6 +316,8 @@ SELECT query_id, title, score, rank FROM o WHERE rank <= 4"""
 
 SQL = {
     "bm25_topk": f"WITH {_B} SELECT query_id, doc_id, round(score, 6) AS score, rank FROM top WHERE rank <= 10",
+    "sql_search": f"WITH {_B}, r AS (SELECT query_id, doc_id, round(score, 6) AS score FROM sc), o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM r) SELECT query_id, doc_id, score, rank FROM o WHERE rank <= 10",
+    "sql_packed_chunks": f"WITH {_CHUNKS}, n AS (SELECT doc_id, source, chunk_index, total_chunks, document, len({WS.format('document')}) AS n_words FROM chunks), b AS (SELECT *, (sum(n_words) OVER w)::BIGINT AS used, count(*) OVER w AS i FROM n WINDOW w AS (PARTITION BY source ORDER BY doc_id, chunk_index ROWS UNBOUNDED PRECEDING)) SELECT source, doc_id, chunk_index, total_chunks, sha256(document) AS document_sha, used FROM b WHERE used <= 20000 OR i <= 1",
     "frequencies_after_changes": f"WITH {_FINAL}, {_TF.replace('FROM documents', 'FROM final')} SELECT token, doc_freq, sum(tf)::BIGINT AS occurrences FROM tf JOIN df USING (token) GROUP BY ALL",
     "bm25_after_changes": f"WITH {_FINAL}, {_B.replace('FROM documents', 'FROM final')} SELECT query_id, doc_id, round(score, 6) AS score, rank FROM top WHERE rank <= 10",
     "bm25_zero_fill": f"WITH {_B}, z AS (SELECT q.query_id, d.doc_id, coalesce(score, 0) AS score FROM q CROSS JOIN documents d LEFT JOIN sc ON sc.query_id = q.query_id AND sc.doc_id = d.doc_id), zr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, doc_id) AS rank FROM z) SELECT query_id, doc_id, round(score, 6) AS score, rank FROM zr WHERE rank <= 25",
