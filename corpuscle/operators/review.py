@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import math
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -73,18 +72,37 @@ def interval_days(stability: float, retention: float = RETENTION) -> int:
 SCHEDULED = "card string, stability double, difficulty double, last double, due double, reviews long"
 
 
+def _stepped(state: Column, rating: Column, ts: Column) -> Column:
+    """`next_state` as an expression. state: s, d, last, of which s is null before the first rating."""
+    w = [F.lit(x) for x in WEIGHTS]
+
+    def clamp(d: Column) -> Column:
+        return F.least(F.greatest(d, F.lit(1.0)), F.lit(10.0))
+
+    first_difficulty = clamp(w[4] - F.exp(w[5] * (rating - 1)) + 1)
+    s, d = state["s"], state["d"]
+    days = F.greatest((ts - state["last"]) / 86400, F.lit(0.0))
+    recall = F.pow(1 + FACTOR * days / s, F.lit(DECAY))
+    same_day = s * F.exp(w[17] * (rating - 3 + w[18]))
+    forgot = F.least(w[11] * F.pow(d, -w[12]) * (F.pow(s + 1, w[13]) - 1) * F.exp(w[14] * (1 - recall)), s)
+    bonus = F.when(rating == 2, w[15]).otherwise(1.0) * F.when(rating == 4, w[16]).otherwise(1.0)
+    grown = s * (1 + F.exp(w[8]) * (11 - d) * F.pow(s, -w[9]) * (F.exp(w[10] * (1 - recall)) - 1) * bonus)
+    stable = F.when(s.isNull(), F.element_at(F.array(*w[:4]), rating)).when(days < 1, same_day).when(rating == 1, forgot).otherwise(grown)
+    moved = d + (10 - d) * (-w[6] * (rating - 3)) / 9
+    easy = clamp(w[4] - F.exp(w[5] * 3) + 1)
+    return F.struct(F.greatest(stable, F.lit(0.001)).alias("s"), F.when(s.isNull(), first_difficulty).otherwise(clamp(w[7] * easy + (1 - w[7]) * moved)).alias("d"), ts.alias("last"))
+
+
 def scheduled(ratings: DataFrame) -> DataFrame:
-    """Each card's state after all its ratings in order of time. ratings: card, rating, ts (epoch seconds). A card's ratings are one group,
-    which is as long as the card's own history."""
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        state = None
-        for r, t in pdf.sort_values(["ts", "rating"], kind="stable")[["rating", "ts"]].itertuples(index=False):
-            state = next_state(state, RATINGS[r], float(t))
-        s, d, last = state
-        return pd.DataFrame([(pdf["card"].iloc[0], s, d, last, last + 86400 * interval_days(s), len(pdf))], columns=["card", "stability", "difficulty", "last", "due", "reviews"])
-
-    known = ratings.where(F.col("rating").isin(*RATINGS)).select(F.col("card").cast("string"), "rating", F.col("ts").cast("double"))
-    return known.groupBy("card").applyInPandas(fold, SCHEDULED)
+    """Each card's state after all its ratings in order of time, as a fold over the card's sorted history (a time and a number for each rating). ratings: card, rating, ts (epoch seconds)."""
+    number = F.element_at(F.create_map(*[F.lit(x) for r in RATINGS.items() for x in r]), F.col("rating"))
+    known = ratings.where(F.col("rating").isin(*RATINGS)).select(F.col("card").cast("string").alias("card"), F.struct(F.col("ts").cast("double").alias("ts"), "rating", number.alias("number")).alias("one"))
+    none = F.lit(None).cast("double")
+    start = F.struct(none.alias("s"), none.alias("d"), none.alias("last"))
+    cards = known.groupBy("card").agg(F.array_sort(F.collect_list("one")).alias("history"))
+    x = cards.select("card", F.size("history").cast("long").alias("reviews"), F.aggregate("history", start, lambda a, r: _stepped(a, r["number"], r["ts"])).alias("now"))
+    days = F.greatest(F.bround(F.col("now.s") / FACTOR * (RETENTION ** (1 / DECAY) - 1)), F.lit(1.0))
+    return x.select("card", F.col("now.s").alias("stability"), F.col("now.d").alias("difficulty"), F.col("now.last").alias("last"), (F.col("now.last") + 86400 * days).alias("due"), "reviews")
 
 
 def enrolled(cards: DataFrame, new: DataFrame) -> DataFrame:

@@ -98,3 +98,16 @@ def by_file_name(files: DataFrame, books: DataFrame, loose: bool = False) -> Dat
     near = parts.join(books.withColumn("word", word), "word").where(F.contains("name", "stem"))
     first = near.groupBy("rel_path").agg(F.min_by("title", "stem").alias("title"))
     return exact.unionByName(first)
+
+
+def sampled_chunks(chunks: DataFrame, most: int = 50, order: str = "place", key_chars: int = 200) -> DataFrame:
+    """(work, chunk_id, document, pos): chunks for a work without sections, evenly spread: of those that aren't junk every stride-th, the stride being the n-th part of `most`, each beginning of
+    `key_chars` characters once, at most `most`. chunks: work, chunk_id, document, and a column of order. Null documents are junk."""
+    from ..functions.text import is_junk
+
+    good = chunks.where(~is_junk(F.coalesce("document", F.lit("")))).select("work", "chunk_id", order, F.trim("document").alias("document"))
+    x = good.withColumn("pos", F.row_number().over(Window.partitionBy("work").orderBy(order, "chunk_id")) - 1).withColumn("n", F.count("*").over(Window.partitionBy("work")))
+    x = x.where(F.col("pos") % F.greatest(F.lit(1), F.floor(F.col("n") / most)) == 0)
+    x = x.withColumn("i", F.row_number().over(Window.partitionBy("work", F.substring("document", 1, key_chars)).orderBy("pos"))).where("i = 1")
+    x = x.withColumn("i", F.row_number().over(Window.partitionBy("work").orderBy("pos"))).where(F.col("i") <= most)
+    return x.select("work", "chunk_id", "document", "pos")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import chunks, index, manifest, marks
+from ..operators import chunks, index, manifest, marks, scopes
 from ..session import table
 
 WS = r"list_filter(regexp_split_to_array({}, '\s+'), lambda x: x <> '')"
@@ -142,6 +142,14 @@ def junk_chunks(spark, d):
     return chunks.flat_chunks(_docs(spark, d)).groupBy(X.is_junk(F.col("document")).alias("junk")).agg(F.count("*").alias("chunks"))
 
 
+def sampled_passages(spark, d):
+    """Chunks of each source, evenly spread."""
+    docs = _docs(spark, d)
+    c = chunks.flat_chunks(docs).join(docs.select("doc_id", F.col("source").alias("work")), "doc_id")
+    x = scopes.sampled_chunks(c.withColumn("place", F.struct("doc_id", "chunk_index")), 20)
+    return x.select("work", "chunk_id", F.col("pos").cast("long").alias("pos"), F.sha2("document", 256).alias("document_sha"))
+
+
 def normalised_titles(spark, d):
     n = F.concat(F.col("p_name"), F.lit(" / "), F.col("p_brand"), F.lit("'s"))
     return table(spark, d, "part").select("p_partkey", X.norm_spaced(n).alias("spaced"), X.norm_title(n).alias("title"), X.title_key(n).alias("key"), X.collapsed(n).alias("collapsed"), X.slug(n).alias("slug"), X.safe_name(n).alias("safe"), X.without_possessive(n).alias("word"), X.markdown_cell(F.replace(n, F.lit("/"), F.lit("|"))).alias("cell"), X.gift_escaped(F.concat(F.lit("{"), n, F.lit("}"))).alias("gift"), X.is_store_id(F.substring(F.sha2(n, 256), 1, 12)).alias("is_id"))
@@ -199,7 +207,7 @@ def section_words(spark, d):
     return _docs(spark, d).groupBy("source").agg(F.sum(X.word_count(F.col("text"))).alias("words"), F.count("*").alias("sections"))
 
 
-QUERIES = {f.__name__: f for f in (bookmark_sections, pages_in_sections, tokenize_docs, term_frequency, doc_frequency, corpus_stats, common_terms, flat_chunks, chunk_metadata, line_offsets, heading_lines, repeated_lines, section_map, html_text, html_headings, sentence_counts, parent_child_chunks, parent_text, garbage_ratio, classify_kind, scan_stats, ocr_needed, junk_chunks, normalised_titles, change_detect, stale_files, upsert_rows, rename_set, calibre_tags, tag_lists, clamped_fields, exact_texts, section_words)}
+QUERIES = {f.__name__: f for f in (sampled_passages, bookmark_sections, pages_in_sections, tokenize_docs, term_frequency, doc_frequency, corpus_stats, common_terms, flat_chunks, chunk_metadata, line_offsets, heading_lines, repeated_lines, section_map, html_text, html_headings, sentence_counts, parent_child_chunks, parent_text, garbage_ratio, classify_kind, scan_stats, ocr_needed, junk_chunks, normalised_titles, change_detect, stale_files, upsert_rows, rename_set, calibre_tags, tag_lists, clamped_fields, exact_texts, section_words)}
 
 _TF = f"tf AS (SELECT doc_id, token, count(*) AS tf FROM (SELECT doc_id, unnest({TOK.format('text')}) AS token FROM documents) GROUP BY ALL), lens AS (SELECT doc_id, len({TOK.format('text')}) AS len FROM documents WHERE len({TOK.format('text')}) > 0), nd AS (SELECT count(*) AS n, avg(len) AS al FROM lens), df AS (SELECT token, count(*) AS doc_freq FROM tf GROUP BY token), raw AS (SELECT token, doc_freq, ln(n - doc_freq + 0.5) - ln(doc_freq + 0.5) AS raw FROM df, nd), idf AS (SELECT token, doc_freq, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM raw) ELSE raw END AS idf FROM raw)"
 _CHUNKS = f"w AS (SELECT *, {WS.format('text')} AS ws FROM documents), chunks AS (SELECT *, array_to_string(ws[s + 1 : s + 330], ' ') AS document, s // 270 AS chunk_index, ((len(ws) - 1) // 270) + 1 AS total_chunks FROM w, unnest(range(0, len(ws), 270)) AS t(s))"
@@ -223,6 +231,7 @@ tot AS (SELECT doc_id, max(a + length(text)) AS total FROM po GROUP BY doc_id),
 sx AS (SELECT doc_id, row_number() OVER w - 1 AS ordinal, title, level, a, coalesce(lead(a) OVER w, total) AS z FROM m1 JOIN tot USING (doc_id) WINDOW w AS (PARTITION BY doc_id ORDER BY a))"""
 
 SQL = {
+    "sampled_passages": f"WITH {_CHUNKS}, g AS (SELECT source AS work, doc_id, chunk_index, trim(document) AS document FROM chunks WHERE NOT regexp_matches(lower(document), 'isbn|bf575|to my wife|contents') AND len({WS.format('document')}) >= 30), x AS (SELECT *, row_number() OVER (PARTITION BY work ORDER BY doc_id, chunk_index) - 1 AS pos, count(*) OVER (PARTITION BY work) AS n FROM g), y AS (SELECT * FROM x WHERE pos % greatest(1, n // 20) = 0), z AS (SELECT *, row_number() OVER (PARTITION BY work, left(document, 200) ORDER BY pos) AS i FROM y), o AS (SELECT *, row_number() OVER (PARTITION BY work ORDER BY pos) AS j FROM z WHERE i = 1) SELECT work, substr(sha256(doc_id || ':' || chunk_index), 1, 16) AS chunk_id, pos, sha256(document) AS document_sha FROM o WHERE j <= 20",
     "bookmark_sections": f"WITH {_MARKS} SELECT s.doc_id, s.ordinal, sha256(s.title) AS title_sha, s.level, (SELECT max(t.ordinal) FROM sx t WHERE t.doc_id = s.doc_id AND t.ordinal < s.ordinal AND t.level < s.level) AS parent, s.a AS start_char, s.z AS end_char FROM sx s",
     "pages_in_sections": f"WITH {_MARKS} SELECT po.doc_id, po.page, (SELECT max(ordinal) FROM sx WHERE sx.doc_id = po.doc_id AND sx.a <= greatest(po.a + length(po.text) - 1, po.a)) AS section FROM po",
     "tokenize_docs": f"SELECT doc_id, len({TOK.format('text')})::BIGINT AS n_tokens, len(list_distinct({TOK.format('text')}))::BIGINT AS n_distinct, array_to_string({TOK.format('text')}[1:5], ' ') AS head FROM documents",
