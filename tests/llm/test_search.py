@@ -235,5 +235,5 @@ def test_pipeline_odd_rows(spark, odd_rows, tmp_path):
 
 def test_registry():
     names = list(registry.queries())
-    assert [n.split("_")[0] for n in sorted(names, key=lambda n: int(n[2:].split("_")[0]))] == [f"op{k}" for k in range(1, 11)]
+    assert [n.split("_")[0] for n in sorted(names, key=lambda n: int(n[2:].split("_")[0]))] == [f"op{k}" for k in range(1, 14)]
     assert set(registry.oracle_sql()) <= set(names)
