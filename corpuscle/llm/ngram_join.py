@@ -21,6 +21,8 @@ texts of any length are whole; an empty table gives no rows; further columns are
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -30,9 +32,10 @@ from .common import LOWER, NOT_SPACE, bounded_batches, discard, forget, frugal,
 from .components import components
 
 N, PERCENT = 3, 90
-#: Text bytes to a chunk and to a range of keys.
-CHUNK_BYTES, RANGE_BYTES = 1 << 20, 8 << 20
-#: While open lists make more than so many pairs for each row, their groups are compared with one more of them, in so many rounds at most.
+#: Text bytes to a chunk and to a range of keys, at least. Both grow with the root of the corpus beyond the point where a chunk has fewer
+#: than MESSAGE_BYTES for a range, so that the messages between them grow with the corpus and not with its square.
+CHUNK_BYTES, RANGE_BYTES, MESSAGE_BYTES = 1 << 20, 8 << 20, 1 << 10
+#: While open lists may make more than so many pairs for each row, their groups are compared with one more of them, in so many rounds at most.
 PAIRS_A_ROW, ROUNDS = 4, 6
 BITS = 256
 _K = np.uint64(0xD6E8FEB86659FD93)
@@ -95,8 +98,14 @@ def _restored(data: bytes, kind: str) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).view(kind).ravel()
 
 
-def chunked(docs: DataFrame) -> DataFrame:
-    """Whole texts in chunks of about CHUNK_BYTES, one row each: doc_ids, lengths and compressed texts."""
+def portions(total: int) -> tuple[int, int]:
+    """Text bytes to a chunk and to a range of keys in a corpus of so many bytes."""
+    grown = max(1.0, math.sqrt(total * MESSAGE_BYTES / (CHUNK_BYTES * RANGE_BYTES)))
+    return int(CHUNK_BYTES * grown), int(RANGE_BYTES * grown)
+
+
+def chunked(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """Whole texts in chunks of about chunk_bytes, one row each: doc_ids, lengths and compressed texts."""
     import zstandard
     from pyspark import TaskContext
 
@@ -117,13 +126,13 @@ def chunked(docs: DataFrame) -> DataFrame:
             own = b.column("doc_id").to_numpy(zero_copy_only=False)
             i = 0
             while i < len(own):
-                j = min(max(int(np.searchsorted(off, off[i] + CHUNK_BYTES - held, "right")) - 1, i + 1), len(own))
+                j = min(max(int(np.searchsorted(off, off[i] + chunk_bytes - held, "right")) - 1, i + 1), len(own))
                 ids.append(own[i:j])
                 sizes.append(np.diff(off[i : j + 1]))
                 texts.append(buf[off[i] : off[j]].tobytes())
                 held += int(off[j] - off[i])
                 i = j
-                if held >= CHUNK_BYTES - (64 << 10):
+                if held >= chunk_bytes - (64 << 10):
                     yield row()
         if ids:
             yield row()
@@ -222,7 +231,7 @@ def signatures(chunks: DataFrame, n: int = N, percent: int = PERCENT) -> DataFra
 
     total = chunks.agg(F.sum("bytes")).first()[0] or 0
     key_bits = min(58, max(32, int(total).bit_length() + 8))
-    answers = commonness(chunks, n, key_bits, max(1, -(-total // RANGE_BYTES)))
+    answers = commonness(chunks, n, key_bits, max(1, -(-total // portions(total)[1])))
 
     def run(batches):
         zipper, unzip = zstandard.ZstdCompressor(level=3), zstandard.ZstdDecompressor()
@@ -291,6 +300,37 @@ def _reaches(size_a: str, size_b: str, place_a: str, place_b: str, percent: int
     return least * (100 + percent) >= (F.col(size_a) + F.col(size_b)) * percent
 
 
+def _apart():
+    """Two groups aren't known to be one component."""
+    return (F.col("loa") != F.col("hia")) | (F.col("lob") != F.col("hib")) | (F.col("loa") != F.col("lob"))
+
+
+def _cell(size: str, percent: int):
+    """The power of the greatest ratio of similar sets' sizes that a size lies at; similar sets are in one cell or in neighbours. The ratio is taken a
+    little larger, so that rounding doesn't put them further apart."""
+    return F.floor(F.log(F.col(size)) / (max(math.log(100 / percent), 0.01) * 1.001)).cast("int")
+
+
+def pairs_bound(rest: DataFrame, percent: int = PERCENT) -> int:
+    """At least as many as the open pairs of lists (token, n, lo, hi, group): those of different components and neighbouring cells, counted from the sizes of
+    components in lists, without making a pair. Groups of several components count as one of their own."""
+    component = F.when(F.col("lo") == F.col("hi"), F.struct(F.lit(0).alias("several"), F.col("lo").alias("id"))).otherwise(F.struct(F.lit(1).alias("several"), F.col("group").alias("id")))
+    # a row lies in its own cell and in the next one, so that neighbours meet once and rows of one cell twice
+    rows = rest.select("token", component.alias("component"), F.explode(F.array(_cell("n", percent), _cell("n", percent) + 1)).alias("cell"))
+    of_component = rows.groupBy("token", "cell", "component").agg(F.count("*").cast("double").alias("m"))
+    of_list = of_component.groupBy("token", "cell").agg(((F.pow(F.sum("m"), F.lit(2.0)) - F.sum(F.col("m") * F.col("m"))) / 2).alias("pairs"))
+    return int(of_list.agg(F.sum("pairs")).first()[0] or 0)
+
+
+def open_pairs(rest: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(ga, gb): groups of one list that may be similar and aren't known to be one component. Lists meet by cells of size, of which each row visits its own
+    and its neighbours."""
+    x, y = (rest.select("token", *[F.col(c).alias(d + k) for c, d in (("group", "g"), ("n", "n"), ("place", "p"), ("lo", "lo"), ("hi", "hi"))]) for k in "ab")
+    x = x.withColumn("cell", _cell("na", percent))
+    y = y.withColumn("cell", F.explode(F.array(*[_cell("nb", percent) + k for k in (-1, 0, 1)])))
+    return x.join(y, ["token", "cell"]).where((F.col("ga") < F.col("gb")) & _apart() & _fits("na", "nb", percent) & _reaches("na", "nb", "pa", "pb", percent)).select("ga", "gb")
+
+
 def shingle_sets(texts: list[bytes], n: int) -> list[np.ndarray]:
     """The sorted distinct shingles of each text."""
     off = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
@@ -338,7 +378,8 @@ def verified(texts: DataFrame, pairs: DataFrame, n: int = N, percent: int = PERC
 def linked(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row with a doc_id."""
     bounded_batches(docs.sparkSession)
-    chunks = stored(chunked(docs), "chunks")
+    total = docs.where("doc_id IS NOT NULL").agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    chunks = stored(chunked(docs, portions(total)[0]), "chunks")
     signed = stored(signatures(chunks, n, percent), "signatures")
     discard(chunks)
     forget(docs.sparkSession)
@@ -396,19 +437,14 @@ def linked(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
         waste.append(rest)
         return placed, of_group, rest
 
-    apart_from = (F.col("loa") != F.col("hia")) | (F.col("lob") != F.col("hib")) | (F.col("loa") != F.col("lob"))
-    def open_pairs(rest: DataFrame) -> DataFrame:
-        x, y = (rest.select("token", *[F.col(c).alias(d + k) for c, d in (("group", "g"), ("n", "n"), ("place", "p"), ("lo", "lo"), ("hi", "hi"))]) for k in "ab")
-        return x.join(y, "token").where((F.col("ga") < F.col("gb")) & apart_from & _fits("na", "nb", percent) & _reaches("na", "nb", "pa", "pb", percent)).select("ga", "gb")
-
     placed, of_group, rest = opened(lists, label)
     for k in range(ROUNDS):
-        if open_pairs(rest).count() <= PAIRS_A_ROW * rest.count():
+        if pairs_bound(rest, percent) <= PAIRS_A_ROW * rest.count():
             break
         leader = rest.groupBy("token").agg(F.min(F.struct(F.xxhash64("group", F.lit(k)).alias("h"), "group", "n", "place", "lo", "hi")).alias("x"))
         leader = leader.select("token", *[F.col("x." + c).alias(d + "a") for c, d in (("group", "g"), ("n", "n"), ("place", "p"), ("lo", "lo"), ("hi", "hi"))])
         star = rest.select("token", *row, F.col("lo").alias("lob"), F.col("hi").alias("hib")).join(leader, "token")
-        star = star.where((F.col("ga") != F.col("gb")) & apart_from & _fits("na", "nb", percent) & _reaches("na", "nb", "pa", "pb", percent)).select(*ordered("ga", "gb")).distinct()
+        star = star.where((F.col("ga") != F.col("gb")) & _apart() & _fits("na", "nb", percent) & _reaches("na", "nb", "pa", "pb", percent)).select(*ordered("ga", "gb")).distinct()
         again = stored(filtered(star.join(tried, ["a", "b"], "left_anti")), "star-pairs")
         found = verified(texts, again, n, percent)
         links.append(found)
@@ -417,7 +453,7 @@ def linked(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
         placed, of_group, rest = opened(rest, label)
 
     # then whatever is still apart
-    pairs = open_pairs(rest).distinct()
+    pairs = open_pairs(rest, percent).distinct()
     inside = of_group.where("members > 1 AND lo <> hi").select(F.col("group").alias("ga"), F.col("group").alias("gb"))
     one, two = (placed.select(F.col("group").alias("g" + k), F.col("node").alias(k), F.col("component").alias("c" + k)) for k in "ab")
     expanded = pairs.unionByName(inside).join(one, "ga").join(two, "gb").where("a <> b AND ca <> cb").select(*ordered("a", "b")).distinct()

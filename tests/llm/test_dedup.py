@@ -195,3 +195,38 @@ def test_kept_text(spark):
     out = S.remove_repeats(spark.createDataFrame([(1, a), (2, "§" + a[1:])], "doc_id long, text string"))
     got = out.where("doc_id = 2").select("rep_text", F.col("rep_sha256")).first()
     assert got.rep_text == "§" and hashlib.sha256("§".encode()).hexdigest() == got.rep_sha256
+
+
+def test_op5_messages_grow_with_the_corpus(spark, monkeypatch):
+    """Twice the texts make about twice the messages between chunks and ranges of keys, not four times."""
+    monkeypatch.setattr(J, "CHUNK_BYTES", 4_000)
+    monkeypatch.setattr(J, "RANGE_BYTES", 8_000)
+    monkeypatch.setattr(J, "MESSAGE_BYTES", 400)
+    rng = random.Random(9)
+    rows = [(k, " ".join(f"{rng.randrange(10**6):x}" for _ in range(120))) for k in range(1600)]
+    seen = []
+    for n in (400, 800, 1600):
+        df = spark.createDataFrame(rows[:n], "doc_id long, text string").repartition(2)
+        total = sum(len(t) for _, t in rows[:n])
+        chunk, reach = J.portions(total)
+        assert chunk > J.CHUNK_BYTES and abs(chunk * reach / (total * J.MESSAGE_BYTES) - 1) < 0.01
+        got = J.commonness(J.chunked(df, chunk), J.N, 40, -(-total // reach))
+        seen.append(got.agg(F.sum(F.size("answers"))).first()[0])
+    assert seen[1] < 2.4 * seen[0] and seen[2] < 2.4 * seen[1]
+
+
+@pytest.mark.parametrize("percent", [80, 90, 100])
+def test_op5_pairs_are_bounded_before_they_are_made(spark, percent):
+    """The bound is never below the pairs, it doesn't count one component's pairs, and cells lose no pair of similar sizes."""
+    rng = random.Random(percent)
+    rows = [(t, g, rng.choice([1, 4, 5, 8, 9, 10, 64, 80, 100, 125, 1000, 1250]), 0, c, c if g % 7 else c + 1) for t in range(6) for g in range(60) for c in [rng.randrange(4)]]
+    rest = spark.createDataFrame(rows, "token long, group long, n long, place long, lo long, hi long")
+    want = set()
+    for t, g, n, _, lo, hi in rows:
+        for u, h, m, _, lo2, hi2 in rows:
+            if t == u and g < h and (lo != hi or lo2 != hi2 or lo != lo2) and m * percent <= n * 100 and n * percent <= m * 100:
+                want.add((t, g, h))
+    made = J.open_pairs(rest, percent).collect()
+    assert len(made) == len(want) and {tuple(r) for r in made} == {x[1:] for x in want}
+    assert len(want) <= J.pairs_bound(rest, percent)
+    assert J.pairs_bound(rest.where("lo = 1 AND hi = 1"), percent) == 0 == J.pairs_bound(rest.where("false"), percent)
