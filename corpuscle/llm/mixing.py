@@ -1,9 +1,12 @@
 """Mixing sources to target weights, with DataFrame functions only.
 
-Tokens are aggregated for each source; the targets follow by water filling; a document of a source with
-repetition rate r is emitted floor(r) times and once more if its hash under a seed, taken as a number in [0, 1), is below
-the fraction of r. What sources take under each of DRAWS seeds is summed in one aggregation, and each source uses the seed that comes nearest to its
-target (of equally near ones the first), so that a source of few or very unequal documents doesn't miss it by chance.
+Tokens are aggregated for each source; the targets follow by water filling; a document of a source with repetition rate r is emitted floor(r) times
+and once more by a hash-seeded draw of probability r - floor(r): its hash is a place on a circle of length 1, its source turns the circle by one of TURNS equal
+steps, and the copy is made if the place then lies below the fraction. What a source takes after each turn follows from sums over arcs, which one aggregation gives. A
+source looks at the turn that comes nearest to its target from below and the one from above, and a number from its own name decides between them, with such chances that the
+mean of both is the target. If no turn lies on one of the sides, as in sources of very few documents, a second hash of each document decides, which nothing was compared with.
+So a source's words come near its target, and a copy still has the fraction as its probability: the mean of what a source takes is its target, and documents of
+equal size have equal chances.
 
 Defined cases: null text has size 0; a null source is a source of its own and sorts last; a source without
 tokens has target 0 and is not emitted; equal rows are decided by their doc_id and the seed, so repeated
@@ -19,9 +22,8 @@ from .common import discard, read, stored
 
 #: Weights by position of the source, repeating; no source is repeated more than MOST times.
 WEIGHTS, MOST, SEED = (5, 2, 1), 3, "mix-1"
-#: Seeds that each source chooses from: four numbers of 32 bits from each of so many MD5 sums.
-SUMS = 8
-DRAWS = 4 * SUMS
+#: Steps that the circle of hashes can be turned by.
+TURNS = 256
 #: Up to so many sources are broadcast, so that texts needn't be shuffled by source.
 MOST_BROADCAST = 50_000
 
@@ -53,11 +55,40 @@ def targets(sizes: DataFrame, weights=WEIGHTS, most: int = MOST) -> DataFrame:
     return ranked.select("source", "source_size", F.least(F.col("cap").cast("double"), F.coalesce("level", F.lit(0.0)) * F.col("weight")).alias("target"))
 
 
-def chances(doc_id: Column, seed: str) -> Column:
-    """DRAWS numbers in [0, 1)."""
-    name = F.coalesce(doc_id.cast("string"), F.lit("null"))
-    sums = [F.md5(F.concat(name, F.lit(f":{seed}:{k}"))) for k in range(SUMS)]
-    return F.array(*[F.conv(F.substring(x, i, 8), 16, 10).cast("double") / F.lit(float(1 << 32)) for x in sums for i in (1, 9, 17, 25)])
+def _number(name: Column, at: int = 1) -> Column:
+    """A number in [0, 1) of 32 bits from the MD5 sum of a name."""
+    return F.conv(F.substring(F.md5(name), at, 8), 16, 10).cast("double") / F.lit(float(1 << 32))
+
+
+def _placed(rows: DataFrame, seed: str) -> DataFrame:
+    """Rows with the place of their doc_id on the circle (arc, and how far into it) and its second number."""
+    name = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(f":{seed}"))
+    place = _number(name) * TURNS
+    return rows.withColumn("arc", F.floor(place).cast("int")).withColumn("into", place - F.floor(place)).withColumn("second", _number(name, 9))
+
+
+def _turns(arcs: DataFrame, aims: DataFrame, seed: str) -> DataFrame:
+    """(of_source, source_size, target, rate, steps, rest, turn): a source's copies are made at places of the first `steps` arcs and of the part `rest` of the next one after a turn
+    by `turn` arcs; turn is null where the second numbers decide. arcs: of_source, arc, whole and part, its words and those in its part `rest`; at most TURNS rows for each source."""
+    sums = F.map_from_entries(F.collect_list(F.struct("arc", F.struct("whole", "part"))))
+    by_arc = arcs.groupBy(F.col("of_source").alias("by_source")).agg(sums.alias("sums"))
+    x = by_arc.join(aims, F.col("by_source").eqNullSafe(F.col("of_source")))
+    twice = F.sequence(F.lit(0), F.lit(2 * TURNS - 1))
+    of_arc = F.transform(twice, lambda k: F.coalesce(F.try_element_at("sums", (k % TURNS).cast("int"))["whole"], F.lit(0).cast("long")))
+    zero = F.array(F.lit(0).cast("long"))
+    x = x.withColumn("up_to", F.aggregate(of_arc, zero, lambda a, w: F.concat(a, F.array(F.element_at(a, -1) + w))))
+    base = F.floor("rate") * F.col("source_size")
+
+    def taken(k: Column) -> Column:
+        end = k + F.col("steps")
+        return base + F.element_at("up_to", end + 1) - F.element_at("up_to", k + 1) + F.coalesce(F.try_element_at("sums", (end % TURNS).cast("int"))["part"], F.lit(0).cast("long"))
+
+    x = x.withColumn("takes", F.transform(F.sequence(F.lit(0), F.lit(TURNS - 1)), lambda k: taken(k).cast("double")))
+    x = x.withColumn("below", F.array_max(F.filter("takes", lambda t: t <= F.col("target")))).withColumn("above", F.array_min(F.filter("takes", lambda t: t >= F.col("target"))))
+    lot = _number(F.concat(F.coalesce("of_source", F.lit("null")), F.lit(f":{seed}:source")))
+    upper = F.coalesce(lot < F.try_divide(F.col("target") - F.col("below"), F.col("above") - F.col("below")), F.lit(False))
+    turn = F.when(F.col("below").isNotNull() & F.col("above").isNotNull(), F.array_position("takes", F.when(upper, F.col("above")).otherwise(F.col("below"))) - 1)
+    return x.select(*aims.columns, turn.cast("int").alias("turn"))
 
 
 def _near(rows: DataFrame, aims: DataFrame, few: bool) -> DataFrame:
@@ -72,16 +103,17 @@ def rates(docs: DataFrame, seed: str = SEED, weights=WEIGHTS, most: int = MOST)
     few = sizes.count() <= MOST_BROADCAST
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     aims = targets(sizes, weights, most).withColumnRenamed("source", "of_source").withColumn("rate", rate)
-    whole, part = F.floor("rate"), F.col("rate") - F.floor("rate")
-    drawn = _near(docs.select(*own), aims, few).withColumn("c", chances(F.col("doc_id"), seed))
-    takes = drawn.groupBy("of_source").agg(*[F.sum(F.col("size") * F.least(whole + (F.col("c")[k] < part).cast("long"), F.lit(most).cast("long"))).alias(f"t{k}") for k in range(DRAWS)])
-    missed = F.array(*[F.abs(F.col(f"t{k}").cast("double") - F.col("target")) for k in range(DRAWS)])
-    takes = takes.withColumnRenamed("of_source", "by_source").join(aims, F.col("by_source").eqNullSafe(F.col("of_source"))).withColumn("missed", missed)
-    chosen = stored(takes.select("of_source", "source_size", "target", "rate", F.array_position("missed", F.array_min("missed")).cast("int").alias("draw")), "source-draws")
+    arc_of = (F.col("rate") - F.floor("rate")) * TURNS
+    aims = aims.withColumn("steps", F.floor(arc_of).cast("int")).withColumn("rest", arc_of - F.floor(arc_of))
+    placed = _near(_placed(docs.select(*own), seed), aims, few)
+    arcs = placed.groupBy("of_source", "arc").agg(F.sum("size").alias("whole"), F.sum(F.when(F.col("into") < F.col("rest"), F.col("size")).otherwise(F.lit(0))).cast("long").alias("part"))
+    chosen = stored(_turns(arcs, aims, seed), "source-turns")
     discard(sizes)
     sized = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("doc"), *own)
-    extra = (F.element_at(chances(F.col("doc_id"), seed), F.col("draw")) < part).cast("long")
-    out = _near(sized, chosen, few).withColumn("copies", F.least(whole + extra, F.lit(most).cast("long")))
+    at = F.pmod(F.col("arc") - F.col("turn"), F.lit(TURNS))
+    turned = (at < F.col("steps")) | (at == F.col("steps")) & (F.col("into") < F.col("rest"))
+    extra = F.when(F.col("turn").isNull(), F.col("second") < F.col("rate") - F.floor("rate")).otherwise(turned).cast("long")
+    out = _near(_placed(sized, seed), chosen, few).withColumn("copies", F.least(F.floor("rate") + extra, F.lit(most).cast("long")))
     out._work_path = chosen._work_path
     return out
 
@@ -111,12 +143,18 @@ leveled AS (SELECT *, max(CASE WHEN (total - gone)::DOUBLE / weight_left <= cap_
 aims AS (SELECT source AS of_source, source_size, least(cap::DOUBLE, coalesce(level, 0.0::DOUBLE) * weight) AS target FROM leveled),
 rated AS (SELECT s.*, a.source_size, a.target, CASE WHEN a.source_size > 0 THEN a.target / a.source_size ELSE 0.0::DOUBLE END AS rate
   FROM sized s JOIN aims a ON s.source IS NOT DISTINCT FROM a.of_source),
-drawn AS (SELECT source, size, rate, target, doc_id, d, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null') || ':{seed}:' || (d // 4)::VARCHAR), 1 + 8 * (d % 4)::BIGINT, 8))::BIGINT / {1 << 32}.0::DOUBLE AS c
-  FROM rated, range({DRAWS}) AS t(d)),
-takes AS (SELECT source, d, any_value(target) AS target, sum(size * least(floor(rate)::BIGINT + (CASE WHEN c < rate - floor(rate) THEN 1 ELSE 0 END), {most})) AS takes FROM drawn GROUP BY source, d),
-chosen AS (SELECT source AS by_source, d FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY abs(takes::DOUBLE - target), d) AS i FROM takes) WHERE i = 1),
-mixed AS (SELECT r.*, least(floor(rate)::BIGINT + (CASE WHEN ('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null') || ':{seed}:' || (d // 4)::VARCHAR), 1 + 8 * (d % 4)::BIGINT, 8))::BIGINT / {1 << 32}.0::DOUBLE < rate - floor(rate) THEN 1 ELSE 0 END), {most}) AS copies
-  FROM rated r JOIN chosen ON r.source IS NOT DISTINCT FROM by_source)"""
+hashed AS (SELECT *, rate - floor(rate) AS fraction, floor((rate - floor(rate)) * {TURNS})::BIGINT AS steps, (rate - floor(rate)) * {TURNS} - floor((rate - floor(rate)) * {TURNS}) AS rest,
+  md5(coalesce(doc_id::VARCHAR, 'null') || ':{seed}') AS h FROM rated),
+placed AS (SELECT *, ('0x' || substr(h, 1, 8))::BIGINT // {(1 << 32) // TURNS} AS arc, ('0x' || substr(h, 1, 8))::BIGINT % {(1 << 32) // TURNS} / {(1 << 32) // TURNS}.0::DOUBLE AS into_arc, ('0x' || substr(h, 9, 8))::BIGINT / {1 << 32}.0::DOUBLE AS second_number FROM hashed),
+arcs AS (SELECT source, arc, any_value(target) AS target, any_value(floor(rate)::BIGINT * source_size) AS base, any_value(steps) AS steps, sum(size)::BIGINT AS whole, coalesce(sum(size) FILTER (into_arc < rest), 0)::BIGINT AS part FROM placed GROUP BY source, arc),
+takes AS (SELECT source, turn, any_value(target) AS target, (any_value(base) + sum(CASE WHEN (arc - turn + {TURNS}) % {TURNS} < steps THEN whole WHEN (arc - turn + {TURNS}) % {TURNS} = steps THEN part ELSE 0 END))::DOUBLE AS takes
+  FROM arcs, range({TURNS}) AS t(turn) GROUP BY source, turn),
+sides AS (SELECT source, any_value(target) AS target, max(takes) FILTER (takes <= target) AS below, min(takes) FILTER (takes >= target) AS above FROM takes GROUP BY source),
+lots AS (SELECT *, ('0x' || substr(md5(coalesce(source, 'null') || ':{seed}:source'), 1, 8))::BIGINT / {1 << 32}.0::DOUBLE AS lot FROM sides WHERE below IS NOT NULL AND above IS NOT NULL),
+sided AS (SELECT source, CASE WHEN below < above AND lot < (target - below) / (above - below) THEN above ELSE below END AS side FROM lots),
+chosen AS (SELECT t.source AS by_source, min(turn) AS turn FROM takes t JOIN sided s ON t.source IS NOT DISTINCT FROM s.source WHERE t.takes = side GROUP BY t.source),
+turned AS (SELECT p.*, turn, (arc - turn + {TURNS}) % {TURNS} AS turned_arc FROM placed p LEFT JOIN chosen ON p.source IS NOT DISTINCT FROM by_source),
+mixed AS (SELECT *, least(floor(rate)::BIGINT + (CASE WHEN turn IS NULL THEN second_number < fraction ELSE turned_arc < steps OR turned_arc = steps AND into_arc < rest END)::BIGINT, {most}) AS copies FROM turned)"""
 
 
 SQL = {"op7_mix": f"WITH {mixing_sql()} SELECT doc_id, size, source_size, target, (size * copies)::BIGINT AS taken FROM mixed"}

@@ -96,20 +96,31 @@ def targets(sizes, weights=(5, 2, 1), most=3):
         capped |= over
 
 
-def copies(rows, aims, sizes, seed, draws):
-    """How often each (doc_id, size, source) is taken: floor of the rate, and once more if its number under its source's nearest seed is below the fraction."""
+def copies(rows, aims, sizes, seed, turns):
+    """How often each (doc_id, size, source) is taken: floor of the rate, and once more if its place on the circle lies below the fraction after its source's turn."""
     import hashlib
 
-    def number(doc_id, d):
-        name = "null" if doc_id is None else str(doc_id)
-        return int(hashlib.md5(f"{name}:{seed}:{d // 4}".encode()).hexdigest()[8 * (d % 4) : 8 * (d % 4) + 8], 16) / (1 << 32)
+    def number(name, at=0):
+        return int(hashlib.md5(name.encode()).hexdigest()[at : at + 8], 16) / (1 << 32)
 
-    def taken(doc_id, source, d):
+    def name(x):
+        return "null" if x is None else str(x)
+
+    def taken(doc_id, source, turn):
         rate = aims[source] / sizes[source] if sizes[source] else 0.0
-        return min(int(rate) + (number(doc_id, d) < rate - int(rate)), 3)
+        fraction = rate - int(rate)
+        if turn is None:
+            return min(int(rate) + (number(f"{name(doc_id)}:{seed}", 8) < fraction), 3)
+        return min(int(rate) + ((number(f"{name(doc_id)}:{seed}") - turn / turns) % 1 < fraction), 3)
 
-    nearest = {}
+    chosen = {}
     for source in sizes:
         own = [r for r in rows if r[2] == source]
-        nearest[source] = min(range(draws), key=lambda d: (abs(sum(taken(r[0], source, d) * r[1] for r in own) - aims[source]), d))
-    return [taken(r[0], r[2], nearest[r[2]]) for r in rows]
+        takes = [sum(taken(r[0], source, k) * r[1] for r in own) for k in range(turns)]
+        below, above = [t for t in takes if t <= aims[source]], [t for t in takes if t >= aims[source]]
+        chosen[source] = None
+        if below and above:
+            low, high = max(below), min(above)
+            up = low < high and number(f"{name(source)}:{seed}:source") < (aims[source] - low) / (high - low)
+            chosen[source] = takes.index(high if up else low)
+    return [taken(r[0], r[2], chosen[r[2]]) for r in rows]

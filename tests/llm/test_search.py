@@ -173,6 +173,24 @@ def test_op7_near_targets(spark, sf):
     assert all(abs(n / t - 1) < 0.04 for t, n in by.values())
 
 
+def test_op7_copies_have_the_fraction_as_probability(spark):
+    """Sources of one document: nothing is rounded. Three classes of weight, of rates 1.875, 0.75 and 0.375."""
+    rows = [(k, "w w w w", f"s{k:03d}") for k in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    took = {}
+    for r in mixing.rates(df, "mix-test").collect():
+        took.setdefault(r.target / 4, []).append(r.copies)
+    assert sorted(took) == [0.375, 0.75, 1.875]
+    for rate, copies in took.items():
+        assert len(copies) == 200 and set(copies) == {int(rate), int(rate) + 1}
+        # four standard deviations of 200 draws
+        assert abs(sum(copies) / 200 - rate) < 4 * ((rate % 1) * (1 - rate % 1) / 200) ** 0.5
+    sizes = {r[2]: 4 for r in rows}
+    aims = brute.targets(sizes)
+    want = brute.copies([(r[0], 4, r[2]) for r in rows], aims, sizes, "mix-test", mixing.TURNS)
+    assert [r.copies for r in mixing.rates(df, "mix-test").orderBy("doc_id").collect()] == want
+
+
 def test_pipeline(spark, sf):
     """Each stage on its predecessor's output, against brute force."""
     docs = spark.read.parquet(f"{sf}/documents.parquet")
@@ -200,7 +218,7 @@ def test_pipeline(spark, sf):
     for r in clean:
         sizes[r[3]] = sizes.get(r[3], 0) + len(r[1].split())
     aims = brute.targets(sizes)
-    times = brute.copies([(r[0], len(r[1].split()), r[3]) for r in clean], aims, sizes, mixing.SEED, mixing.DRAWS)
+    times = brute.copies([(r[0], len(r[1].split()), r[3]) for r in clean], aims, sizes, mixing.SEED, mixing.TURNS)
     assert mixed == sorted(r for r, n in zip(clean, times) for _ in range(n))
     assert sorted(tuple(r) for r in corpus_pipeline.run(spark, sf).collect()) == mixed
 
