@@ -93,16 +93,65 @@ def _stepped(state: Column, rating: Column, ts: Column) -> Column:
     return F.struct(F.greatest(stable, F.lit(0.001)).alias("s"), F.when(s.isNull(), first_difficulty).otherwise(clamp(w[7] * easy + (1 - w[7]) * moved)).alias("d"), ts.alias("last"))
 
 
-def scheduled(ratings: DataFrame) -> DataFrame:
-    """Each card's state after all its ratings in order of time, as a fold over the card's sorted history (a time and a number for each rating). ratings: card, rating, ts (epoch seconds)."""
+def _histories(ratings: DataFrame) -> DataFrame:
+    """Each card's known ratings in order of time."""
     number = F.element_at(F.create_map(*[F.lit(x) for r in RATINGS.items() for x in r]), F.col("rating"))
     known = ratings.where(F.col("rating").isin(*RATINGS)).select(F.col("card").cast("string").alias("card"), F.struct(F.col("ts").cast("double").alias("ts"), "rating", number.alias("number")).alias("one"))
+    return known.groupBy("card").agg(F.array_sort(F.collect_list("one")).alias("history"))
+
+
+def _days(stability: Column) -> Column:
+    """`interval_days` as an expression."""
+    return F.greatest(F.bround(stability / FACTOR * (RETENTION ** (1 / DECAY) - 1)), F.lit(1.0))
+
+
+def scheduled(ratings: DataFrame) -> DataFrame:
+    """Each card's state after all its ratings in order of time, as a fold over the card's sorted history (a time and a number for each rating). ratings: card, rating, ts (epoch seconds)."""
     none = F.lit(None).cast("double")
     start = F.struct(none.alias("s"), none.alias("d"), none.alias("last"))
-    cards = known.groupBy("card").agg(F.array_sort(F.collect_list("one")).alias("history"))
-    x = cards.select("card", F.size("history").cast("long").alias("reviews"), F.aggregate("history", start, lambda a, r: _stepped(a, r["number"], r["ts"])).alias("now"))
-    days = F.greatest(F.bround(F.col("now.s") / FACTOR * (RETENTION ** (1 / DECAY) - 1)), F.lit(1.0))
-    return x.select("card", F.col("now.s").alias("stability"), F.col("now.d").alias("difficulty"), F.col("now.last").alias("last"), (F.col("now.last") + 86400 * days).alias("due"), "reviews")
+    x = _histories(ratings).select("card", F.size("history").cast("long").alias("reviews"), F.aggregate("history", start, lambda a, r: _stepped(a, r["number"], r["ts"])).alias("now"))
+    return x.select("card", F.col("now.s").alias("stability"), F.col("now.d").alias("difficulty"), F.col("now.last").alias("last"), (F.col("now.last") + 86400 * _days(F.col("now.s"))).alias("due"), "reviews")
+
+
+# The scheduler's short steps before a new card, and one that was forgotten, is reviewed in days. In seconds.
+LEARNING, RELEARNING = (60, 600), (600,)
+#: Where a card stands, by number: each step of learning, each of learning anew, and review.
+STANDS = [("learning", k) for k in range(len(LEARNING))] + [("relearning", k) for k in range(len(RELEARNING))] + [("review", 0)]
+
+
+def next_stand(stand: tuple[str, int], rating: int) -> tuple[tuple[str, int], float]:
+    """Where a card stands after a rating, and the seconds until it is due; 0 where its interval in days decides."""
+    phase, k = stand
+    if phase == "review":
+        return (("relearning", 0), float(RELEARNING[0])) if rating == RATINGS["again"] else (stand, 0.0)
+    steps = LEARNING if phase == "learning" else RELEARNING
+    if rating == RATINGS["again"]:
+        return (phase, 0), float(steps[0])
+    if rating == RATINGS["hard"]:
+        between = steps[0] * 1.5 if len(steps) == 1 else (steps[0] + steps[1]) / 2
+        return stand, float(steps[k] if k else between)
+    if rating == RATINGS["good"] and k + 1 < len(steps):
+        return (phase, k + 1), float(steps[k + 1])
+    return ("review", 0), 0.0
+
+
+def scheduled_in_steps(ratings: DataFrame) -> DataFrame:
+    """Each card's state after all its ratings, with short steps: card, phase, step (null in review), stability, difficulty, last, due and reviews. A card begins
+    at the first step of learning. Ratings that aren't known are left out, as are cards without any; equal times go by name of the rating; null cards are one card."""
+    table = [next_stand(x, r) for x in STANDS for r in RATINGS.values()]
+    places, waits = F.array(*[F.lit(STANDS.index(x)) for x, _ in table]), F.array(*[F.lit(w) for _, w in table])
+    none = F.lit(None).cast("double")
+    start = F.struct(F.struct(none.alias("s"), none.alias("d"), none.alias("last")).alias("memory"), F.lit(0).alias("place"), F.lit(0.0).alias("wait"))
+
+    def rated(a: Column, r: Column) -> Column:
+        cell = a["place"] * len(RATINGS) + r["number"]
+        return F.struct(_stepped(a["memory"], r["number"], r["ts"]).alias("memory"), F.element_at(places, cell).alias("place"), F.element_at(waits, cell).alias("wait"))
+
+    x = _histories(ratings).select("card", F.size("history").cast("long").alias("reviews"), F.aggregate("history", start, rated).alias("now"))
+    m = F.col("now.memory")
+    wait = F.when(F.col("now.wait") > 0, F.col("now.wait")).otherwise(86400 * _days(m["s"]))
+    name, step = (F.element_at(F.array(*[F.lit(v) for v in column]), F.col("now.place") + 1) for column in zip(*STANDS))
+    return x.select("card", name.alias("phase"), F.when(name != "review", step).alias("step"), m["s"].alias("stability"), m["d"].alias("difficulty"), m["last"].alias("last"), (m["last"] + wait).alias("due"), "reviews")
 
 
 def enrolled(cards: DataFrame, new: DataFrame) -> DataFrame:

@@ -125,6 +125,16 @@ def scheduled_cards(spark, d):
     return x.select("card", F.round("stability", 4).alias("stability"), F.round("difficulty", 4).alias("difficulty"), "due", "reviews")
 
 
+def stepped_cards(spark, d):
+    """Cards with their short steps. Every rating is followed half a minute later by the one of the event's kind."""
+    names = F.array(*map(F.lit, review.RATINGS))
+    e = table(spark, d, "events")
+    at = F.unix_timestamp(F.col("ts").cast("timestamp"))
+    pair = F.array(F.struct(F.element_at(names, (F.floor("value") % 4 + 1).cast("int")).alias("rating"), at.alias("ts")), F.struct(F.element_at(names, (F.length("event_type") % 4 + 1).cast("int")).alias("rating"), (at + 30).alias("ts")))
+    x = review.scheduled_in_steps(e.select(F.col("user_id").alias("card"), F.inline(pair)))
+    return x.select("card", "phase", "step", F.round("stability", 4).alias("stability"), F.round("difficulty", 4).alias("difficulty"), "due", "reviews")
+
+
 def conv_summary(spark, d):
     return talk.summaries(table(spark, d, "conversations")).select("conv_id", "messages", "last_turn", "title", F.sha2("last_answer", 256).alias("answer_sha"))
 
@@ -144,7 +154,7 @@ def answer_letters(spark, d):
     return p.select("p_partkey", X.answer_letter(raw).alias("answer"), X.choice_letter(raw).alias("choice"), X.truth(F.element_at(F.array(*map(F.lit, ("Yes", "f", "maybe"))), (F.col("p_partkey") % 3 + 1).cast("int"))).alias("truth"), F.array_join(labels, "|").alias("labels"), X.titles_agree(F.col("p_name"), F.concat(F.lit("the "), F.col("p_name"))).alias("agree"))
 
 
-QUERIES = {f.__name__: f for f in (structure_faults, fault_counts, grade_answers, accuracy_sets, weakness_weights, allocate_budget, grounding_contains, grounding_faults, duplicate_questions, stripped_answers, exports, due_queue, due_per_quiz, review_stats, strength_over_time, scheduled_cards, conv_summary, history_budget, history_budget_recent, answer_letters)}
+QUERIES = {f.__name__: f for f in (structure_faults, fault_counts, grade_answers, accuracy_sets, weakness_weights, allocate_budget, grounding_contains, grounding_faults, duplicate_questions, stripped_answers, exports, due_queue, due_per_quiz, review_stats, strength_over_time, scheduled_cards, stepped_cards, conv_summary, history_budget, history_budget_recent, answer_letters)}
 
 _Q = r"""q AS (SELECT *, p_partkey AS qid, p_brand AS unit, ['mcq', 'true_false', 'fill_blank', 'short_answer'][p_partkey % 4 + 1] AS type, CASE WHEN p_partkey % 11 = 0 THEN 'Why?' ELSE 'What is ' || p_type END AS q,
  CASE p_partkey % 4 WHEN 0 THEN CASE WHEN p_partkey % 3 = 0 THEN 'b) x' ELSE 'B) ' || p_brand END WHEN 1 THEN CASE WHEN p_size % 2 = 0 THEN 'True' WHEN p_size % 3 = 0 THEN 'maybe' ELSE 'false' END ELSE CASE WHEN p_size % 7 = 0 THEN '' ELSE p_name END END AS answer FROM part),

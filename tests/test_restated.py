@@ -263,3 +263,28 @@ def test_two_hops(spark, docs):
         want = sorted([(-x, 0, i) for x, i in first] + [(-x, 1, i) for x, i in second])
         assert sorted(got[q]) == [(n, h, i) for n, (_, h, i) in enumerate(want, 1)]
     assert any(h == 1 for rows in got.values() for _, h, _ in rows)
+
+
+def test_stepped_cards(spark):
+    """Steps of a minute and ten minutes, learning anew of ten minutes; the steps by hand, then all cards by the rule for one rating."""
+    again, hard, good, easy = review.RATINGS.values()
+    learning, relearning, known = ("learning", 0), ("relearning", 0), ("review", 0)
+    assert [review.next_stand(learning, r) for r in (again, hard, good, easy)] == [(learning, 60), (learning, 330), (("learning", 1), 600), (known, 0)]
+    assert [review.next_stand(("learning", 1), r) for r in (again, hard, good, easy)] == [(learning, 60), (("learning", 1), 600), (known, 0), (known, 0)]
+    assert [review.next_stand(relearning, r) for r in (again, hard, good, easy)] == [(relearning, 600), (relearning, 900), (known, 0), (known, 0)]
+    assert [review.next_stand(known, r) for r in (again, hard, good, easy)] == [(relearning, 600), (known, 0), (known, 0), (known, 0)]
+    got = {r.card: r for r in study.stepped_cards(spark, SF).collect()}
+    names, history = list(review.RATINGS), {}
+    for e in spark.read.parquet(f"{SF}/events.parquet").collect():
+        t = math.floor(e.ts.timestamp())
+        history.setdefault(str(e.user_id), []).extend([(t, names[math.floor(e.value) % 4]), (t + 30, names[len(e.event_type) % 4])])
+    assert set(got) == set(history)
+    for card, rows in history.items():
+        state, stand, wait = None, learning, 0
+        for t, r in sorted(rows):
+            state, (stand, wait) = review.next_state(state, review.RATINGS[r], float(t)), review.next_stand(stand, review.RATINGS[r])
+        x = got[card]
+        assert (x.phase, x.step, x.reviews) == (stand[0], None if stand == known else stand[1], len(rows))
+        assert x.stability == pytest.approx(state[0], abs=1e-4) and x.due == pytest.approx(state[2] + (wait or 86_400 * review.interval_days(state[0])))
+    nothing = spark.createDataFrame([("a", "unknown", 1.0)], "card string, rating string, ts double")
+    assert review.scheduled_in_steps(nothing).count() == 0
