@@ -6,6 +6,7 @@ import zipfile
 from pyspark.sql import functions as F
 
 from corpuscle.sources import files, sinks
+from corpuscle.operators import review as cards
 from corpuscle.streaming import ingest, review, windows
 
 
@@ -97,3 +98,22 @@ def test_event_windows_on_a_stream(spark, tmp_path):
     q = s.writeStream.format("memory").queryName("counted").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.table("counted").first().events == 2
+
+
+def test_cards_fall_due_on_a_stream(spark, tmp_path):
+    """Timers by event time, with a restart between; what the stream tells last equals the batch."""
+    schema = "card string, rating string, at timestamp"
+
+    def feed(rows):
+        spark.createDataFrame(rows, "card string, rating string, ts double").selectExpr("card", "rating", "timestamp_seconds(ts) AS at").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        s = review.due_stream(spark.readStream.schema(schema).parquet(str(tmp_path / "in")))
+        q = s.writeStream.format("parquet").option("path", str(tmp_path / "out")).outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+        q.awaitTermination()
+        return sorted((r.card, r.due, r.reviews) for r in spark.read.parquet(str(tmp_path / "out")).where("told = 'due'").collect())
+
+    first = [("a", "good", 1000.0), ("b", "easy", 1000.0), ("z", "again", 1700.0), ("c", "no such rating", 1005.0)]
+    assert feed(first) == [("a", 1600.0, 1)]
+    second = [("a", "good", 1800.0), ("z", "withdrawn", 1750.0), ("clock", "withdrawn", 40 * 86400.0)]
+    told = feed(second)
+    batch = cards.scheduled_in_steps(spark.createDataFrame([r for r in first + second if r[0] in "ab"], "card string, rating string, ts double")).collect()
+    assert told == sorted([("a", 1600.0, 1), *((r.card, r.due, r.reviews) for r in batch)]) and {r.phase for r in batch} == {"review"}
