@@ -17,7 +17,7 @@ from corpuscle.plans import composites, retrieval, study, texts
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 #: Those of test_grounding.py included.
-RESTATED = {"proper_names", "sentence_counts", "parent_child_chunks", "parent_text", "stripped_answers", "scheduled_cards", "duplicate_questions", "catalogue_requests", "grounded_answers", "pool_warnings", "two_hops", "grounding_faults"}
+RESTATED = {"proper_names", "sentence_counts", "parent_child_chunks", "parent_text", "stripped_answers", "scheduled_cards", "stepped_cards", "duplicate_questions", "catalogue_requests", "grounded_answers", "pool_warnings", "two_hops", "grounding_faults"}
 
 
 def test_every_query_is_compared():
