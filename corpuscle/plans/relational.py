@@ -41,12 +41,25 @@ def anti_join(spark, d):
     return c.join(o, c.c_custkey == o.o_custkey, "left_anti").select("c_custkey", "c_mktsegment")
 
 
+def _pairs_within_one(counts, *by):
+    """(by, pairs): how many pairs of rows lie within one size of one another. counts: by, p_size, n; each pair is counted at its smaller size."""
+    cell = F.floor(F.col("p_size") / 5)
+    above = counts.select(*by, F.col("p_size").alias("s"), F.col("n").alias("m"), F.explode(F.array_distinct(F.array(cell, F.floor((F.col("p_size") - 1) / 5)))).alias("cell"))
+    near = counts.withColumn("cell", cell).join(above, [*by, "cell"]).where((F.col("s") >= F.col("p_size")) & (F.col("s") - F.col("p_size") <= 1))
+    same = F.col("s") == F.col("p_size")
+    return near.groupBy(*by).agg(F.sum(F.when(same, F.expr("n * (n - 1) div 2")).otherwise(F.col("n") * F.col("m"))).alias("pairs"))
+
+
 def range_join(spark, d):
-    """Parts of a brand within one size of one another, by cells of the size, so that only neighbouring cells meet."""
-    p = table(spark, d, "part").select("p_partkey", "p_brand", "p_size")
-    b = p.select(F.col("p_partkey").alias("other"), F.col("p_brand").alias("b"), F.col("p_size").alias("s"), F.explode(F.sequence(F.floor((F.col("p_size") - 1) / 5), F.floor((F.col("p_size") + 1) / 5))).alias("cell"))
-    x = p.withColumn("cell", F.floor(F.col("p_size") / 5)).join(b, "cell").where((F.col("p_brand") == F.col("b")) & (F.abs(F.col("p_size") - F.col("s")) <= 1) & (F.col("p_partkey") < F.col("other")))
-    return x.groupBy("p_brand").agg(F.count("*").alias("pairs"))
+    """Pairs of parts of a brand within one size of one another. Parts are counted by brand and size, and sizes meet by cells, so that only neighbouring cells
+    do and no pair of parts is made. Rows that share a key are no pair; they are counted alike and taken off."""
+    p = table(spark, d, "part").where("p_partkey IS NOT NULL AND p_brand IS NOT NULL AND p_size IS NOT NULL")
+    every = _pairs_within_one(p.groupBy("p_brand", "p_size").agg(F.count("*").alias("n")), "p_brand")
+    twice = p.groupBy("p_brand", "p_partkey").agg(F.count("*").alias("rows")).where("rows > 1").select("p_brand", "p_partkey")
+    keyed = p.join(twice, ["p_brand", "p_partkey"]).groupBy("p_brand", "p_partkey", "p_size").agg(F.count("*").alias("n"))
+    own = _pairs_within_one(keyed, "p_brand", "p_partkey").groupBy("p_brand").agg(F.sum("pairs").alias("own"))
+    x = every.join(own, "p_brand", "left").select("p_brand", (F.col("pairs") - F.coalesce("own", F.lit(0))).alias("pairs"))
+    return x.where("pairs > 0")
 
 
 def rollup_sales(spark, d):
