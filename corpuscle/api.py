@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .functions import intent, sql
 from .functions import text as X
-from .operators import answering, chunks, evaluation, index, library, rank, review, scopes, study, talk
+from .operators import answering, best, chunks, evaluation, index, library, rank, review, scopes, study, talk
 
 
 class Engine:
@@ -34,7 +34,7 @@ class Engine:
             docs = docs.where(F.col("kind") == kind)
         if titles:
             docs = docs.where(F.col("title").isin(*titles))
-        leg = index.top_k(index.bm25_scores(docs, queries, statistics=None if kind or titles else self.statistics), 3 * top)
+        leg = best.bm25_top(docs, queries, 3 * top, statistics=None if kind or titles else self.statistics)
         if vectors is not None and self.vectors is not None:
             own = self.vectors.join(docs.select(F.col("doc_id").alias("vec_id")), "vec_id", "left_semi")
             dense = rank.cosine_knn(own, vectors, 3 * top).withColumnRenamed("vec_id", "doc_id")
@@ -96,7 +96,7 @@ class Engine:
 
     def find_works(self, topics: DataFrame, kind: str | None = None, limit: int = 20) -> DataFrame:
         books = self.works() if kind is None else self.works().where(F.col("kind") == kind)
-        scores = index.bm25_scores(self.docs, topics, statistics=self.statistics).join(self.docs.select("doc_id", "title"), "doc_id")
+        scores = best.bm25_sums(self.docs, topics, statistics=self.statistics)
         return library.find_works([library.lexical_leg(topics, books), library.bm25_leg(scores)], books, limit)
 
     def sections(self) -> DataFrame:

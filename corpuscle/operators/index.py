@@ -100,7 +100,7 @@ def top_k(scores: DataFrame, k: int, key: str = "doc_id", per: str = "query_id")
 def zero_filled(scores: DataFrame, docs: DataFrame, queries: DataFrame, n: int, key: str = "doc_id") -> DataFrame:
     """The n best of all documents, those of score 0 included, in order of key. A query with fewer than n scored documents finds the
     rest among the first 2n documents, so no pair of a query and every document is made."""
-    best = top_k(scores, n, key).select("query_id", key, "score")
+    best = stored(top_k(scores, n, key).select("query_id", key, "score"), "scored")
     first = [r[0] for r in docs.select(key).orderBy(key).limit(2 * n).collect()]
     few = queries.select("query_id").join(best.groupBy("query_id").count(), "query_id", "left").where(F.coalesce("count", F.lit(0)) < n).select("query_id")
     zeros = few.select("query_id", F.explode(F.lit(first)).alias(key)).join(best.select("query_id", key), ["query_id", key], "left_anti").withColumn("score", F.lit(0.0))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import sql
 from ..functions import text as X
-from ..operators import chunks, evaluation, index, library, postings, rank, study
+from ..operators import best, chunks, evaluation, index, library, postings, rank, study
 from ..session import register, table, work_path
 from .texts import _CHUNKS, _KIND, _TF, TOK, WS
 
@@ -20,20 +20,19 @@ def _asks(spark, d):
 
 
 def bm25_topk(spark, d):
-    s = index.top_k(index.bm25_scores(_docs(spark, d), _asks(spark, d)), 10)
+    s = best.bm25_top(_docs(spark, d), _asks(spark, d), 10)
     return s.select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
 
 
 def bm25_zero_fill(spark, d):
     docs = _docs(spark, d)
     asks = _asks(spark, d)
-    s = index.zero_filled(index.bm25_scores(docs, asks), docs, asks, 25)
+    s = index.zero_filled(best.bm25_top(docs, asks, 25), docs, asks, 25)
     return s.select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
 
 
 def bm25_per_title(spark, d):
-    docs = _docs(spark, d)
-    s = index.bm25_scores(docs, _asks(spark, d)).join(docs.select("doc_id", F.col("source").alias("title")), "doc_id")
+    s = best.bm25_sums(_docs(spark, d).select(F.col("source").alias("title"), "text"), _asks(spark, d))
     return library.bm25_leg(s).select("query_id", "title", F.round("score", 4).alias("score"), "rank")
 
 
@@ -132,7 +131,7 @@ def cosine_pairs(spark, d):
 def _legs(spark, d):
     """A dense leg over vectors and a lexical one over documents with the same ids, for queries known by number."""
     dense = _knn(spark, d, 24).select((F.col("query_id") / 20).cast("long").alias("query_id"), F.col("vec_id").alias("id"), "rank")
-    lexical = index.top_k(index.bm25_scores(_docs(spark, d), _asks(spark, d)), 24).select("query_id", F.col("doc_id").alias("id"), "rank")
+    lexical = best.bm25_top(_docs(spark, d), _asks(spark, d), 24).select("query_id", F.col("doc_id").alias("id"), "rank")
     return dense, lexical
 
 
@@ -148,7 +147,7 @@ def rrf_overlapping(spark, d):
 
 def _hits(spark, d, k=60):
     docs = _docs(spark, d).select("doc_id", F.col("source").alias("title"), F.col("text").alias("document"))
-    return index.top_k(index.bm25_scores(_docs(spark, d), _asks(spark, d)), k).join(docs, "doc_id")
+    return best.bm25_top(_docs(spark, d), _asks(spark, d), k).join(docs, "doc_id")
 
 
 def rerank(spark, d):
@@ -239,8 +238,7 @@ def _books(spark, d):
 def find_works(spark, d):
     books = _books(spark, d)
     topics = books.select(F.regexp_extract("source", r"\d+", 0).cast("long").alias("query_id"), F.concat(F.lit("work "), F.col("source")).alias("text")).distinct()
-    docs = _docs(spark, d)
-    scores = index.bm25_scores(docs, _asks(spark, d)).join(docs.select("doc_id", F.concat(F.lit("Work "), F.col("source")).alias("title")), "doc_id")
+    scores = best.bm25_sums(_docs(spark, d).select(F.concat(F.lit("Work "), F.col("source")).alias("title"), "text"), _asks(spark, d))
     legs = [library.lexical_leg(topics, books), library.bm25_leg(scores)]
     out = library.find_works(legs, books.where("source <> 'src7'"), 10)
     return out.select("query_id", "title", F.round("fused", 9).alias("fused"), "rank")
@@ -253,7 +251,7 @@ def catalog_markdown(spark, d):
 def hit_metrics(spark, d):
     """Whether benchmark items find the documents that hold them word for word; items that no document holds are left out."""
     docs, asks = _docs(spark, d), _asks(spark, d)
-    hits = index.top_k(index.bm25_scores(docs, asks), 10).select("query_id", F.col("doc_id").alias("item"), "rank")
+    hits = best.bm25_top(docs, asks, 10).select("query_id", F.col("doc_id").alias("item"), "rank")
     texts = docs.select("doc_id", X.collapsed(F.col("text")).alias("t"))
     wanted = study.holders(texts, asks.select(F.col("query_id").alias("item_id"), X.collapsed(F.col("text")).alias("x")))
     m = evaluation.query_metrics(hits, wanted.select(F.col("item_id").alias("query_id"), F.col("doc_id").alias("item")), 5)

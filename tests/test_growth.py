@@ -1,7 +1,13 @@
 """Steps whose work must not grow faster than their input: results against brute force, and rows that joins make."""
 
+import random
+
+import numpy as np
+import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
+from corpuscle.operators import best, index
 from corpuscle.plans import relational
 
 
@@ -37,3 +43,79 @@ def test_range_join_makes_no_pairs_of_parts(spark, tmp_path):
     out = relational.range_join(spark, str(tmp_path))
     assert {r.p_brand: r.pairs for r in out.collect()} == want
     assert made_by_joins(relational.range_join(spark, str(tmp_path))) < 600
+
+
+def _texts(spark, n=400, seed=3):
+    r = random.Random(seed)
+    words = [f"w{i}" for i in range(60)]
+    rows = [(i, f"t{i % 7}" if i % 31 else None, None if i % 97 == 5 else " ".join(r.choice(words[: r.choice((4, 20, 60))]) for _ in range(r.choice((0, 3, 40))))) for i in range(n)]
+    rows += [(n + i, "t1", "w1 w2 w3") for i in range(50)]  # copies: equal scores go by key
+    docs = spark.createDataFrame(rows, "doc_id long, title string, text string").repartition(5)
+    asks = spark.createDataFrame([(i, " ".join(r.choice(words) for _ in range(8)) + (" w1 w1" if i % 2 else "")) for i in range(30)] + [(90, "none"), (91, None)], "query_id long, text string")
+    return docs, asks
+
+
+def _plain(rows):
+    return sorted(tuple(round(x, 6) if isinstance(x, float) else x for x in r) for r in rows)
+
+
+@pytest.mark.parametrize("terms", [1 << 18, 40])
+def test_best_by_blocks_equal_all_pairs(spark, monkeypatch, terms):
+    monkeypatch.setattr(best, "TERMS", terms)
+    docs, asks = _texts(spark)
+
+
+    scores = index.bm25_scores(docs, asks)
+    want = _plain(index.top_k(scores, 7).select("query_id", "doc_id", "score", "rank").collect())
+    assert _plain(best.bm25_top(docs, asks, 7).select("query_id", "doc_id", "score", "rank").collect()) == want and len(want) == 210
+    by = scores.join(docs.select("doc_id", "title"), "doc_id").groupBy("query_id", "title").agg(F.sum("score").alias("score"))
+    key = lambda r: (r.query_id, r.title or "", round(r.score, 6))
+    assert sorted(map(key, best.bm25_sums(docs, asks).collect())) == sorted(map(key, by.select("query_id", "title", "score").collect()))
+    only = spark.createDataFrame([(i, f"t{i % 5 + k}") for i in range(0, 30, 2) for k in (0, 3)] + [(3, "no such title")], "query_id long, title string")
+    some = scores.join(docs.select("doc_id", "title"), "doc_id").join(only, ["query_id", "title"], "left_semi")
+    asked = asks.join(only.select("query_id").distinct(), "query_id", "left_semi")
+    assert _plain(best.bm25_top(docs, asked, 7, only=only).select("query_id", "doc_id", "score").collect()) == _plain(index.top_k(some, 7).select("query_id", "doc_id", "score").collect())
+
+
+@pytest.mark.parametrize("piece", [1, 50, 700])
+def test_pieces_of_a_batch_add_up(piece, monkeypatch):
+    monkeypatch.setattr(best, "PIECE", piece)
+    r = random.Random(9)
+    terms = pa.table({"query_id": [q for q in range(9) for _ in range(5)], "token": [f"w{(q * 7 + i * 3) % 20}" for q in range(9) for i in range(5)], "weight": [r.random() for _ in range(45)]})
+    ts = [[f"w{r.randrange(30)}" for _ in range(r.choice((0, 2, 40)))] for _ in range(60)]
+    b = pa.RecordBatch.from_pydict({"doc_id": list(range(60)), "ts": ts})
+    block, want = best._Block(terms, None), {}
+    for i, words in enumerate(ts):
+        for q, w, weight in zip(*(terms.column(c).to_pylist() for c in terms.column_names)):
+            if tf := words.count(w):
+                want[i, q] = want.get((i, q), 0) + weight * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len(words) / 11))
+    got = {(int(i), block.ids[q].as_py()): s[k, q] for own, s, m in block.scores(b, 11.0) for k, i in enumerate(own) for q in range(9) if m[k, q]}
+    assert got == pytest.approx(want)
+    kept = best._Best(block, 4, ["query_id", "doc_id", "score"])
+    for own, s, m in block.scores(b, 11.0):
+        kept.add(b.column("doc_id"), own, s, m)
+        kept.shrink()
+    rows = sorted((q, d) for x in kept.batches() for q, d, _ in zip(*(c.to_pylist() for c in x.columns)))
+    assert rows == sorted((q, i) for q in range(9) for i, _ in sorted(((i, s) for (i, p), s in want.items() if p == q), key=lambda x: (-round(x[1], 6), x[0]))[:4])
+    group = np.arange(60) % 3
+    total = {}
+    for own, s, m in block.scores(b, 11.0, group):
+        for k, g in enumerate(own):
+            for q in range(9):
+                if m[k, q]:
+                    total[int(g), block.ids[q].as_py()] = total.get((int(g), block.ids[q].as_py()), 0) + s[k, q]
+    sums = {}
+    for (i, q), s in want.items():
+        sums[i % 3, q] = sums.get((i % 3, q), 0) + s
+    assert total == pytest.approx(sums)
+
+
+def test_search_shuffles_no_pairs(spark):
+    """What leaves the tasks is k rows of each query and task, not a row of each pair."""
+    docs, asks = _texts(spark, 3000)
+    pairs = index.bm25_scores(docs, asks).count()
+    found = best.bm25_top(docs, asks, 5)
+    stored = found._jdf.queryExecution().optimizedPlan().collectLeaves()
+    assert stored.size() == 1 and pairs > 20_000
+    rows = spark.read.parquet(*found.inputFiles()).count()
+    assert rows <= 5 * 5 * 30 * 2
