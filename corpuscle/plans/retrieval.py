@@ -56,7 +56,7 @@ def frequencies_after_changes(spark, d):
 
 
 def bm25_after_changes(spark, d):
-    s = index.top_k(_changed_store(spark, d).scores(_asks(spark, d)), 10)
+    s = _changed_store(spark, d).top(_asks(spark, d), 10)
     return s.select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
 
 

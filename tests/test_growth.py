@@ -7,8 +7,9 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from corpuscle.operators import best, index
+from corpuscle.operators import best, index, postings
 from corpuscle.plans import relational
+from corpuscle.session import work_path
 
 
 def made_by_joins(df) -> int:
@@ -119,3 +120,14 @@ def test_search_shuffles_no_pairs(spark):
     assert stored.size() == 1 and pairs > 20_000
     rows = spark.read.parquet(*found.inputFiles()).count()
     assert rows <= 5 * 5 * 30 * 2
+
+
+def test_best_of_a_changed_store(spark):
+    docs, asks = _texts(spark)
+    store = postings.PostingStore.create(docs, work_path(spark, "store"))
+    gone = docs.where("doc_id % 5 = 0").select("doc_id", F.lit(None).cast("string").alias("text"), F.lit(None).cast("long").alias("to"))
+    new = docs.where("doc_id % 5 = 1").select("doc_id", F.lit("w1 w2 w2 w3").alias("text"), (F.col("doc_id") + 10_000).alias("to"))
+    store = store.apply(gone.unionByName(new), renamed="to").apply(docs.where("doc_id % 10 = 0").select("doc_id", "text"))
+    columns = ["query_id", "doc_id", "score", "rank"]
+    want = _plain(index.top_k(store.scores(asks), 6).select(columns).collect())
+    assert _plain(store.top(asks, 6).select(columns).collect()) == want and len(want) == 180
