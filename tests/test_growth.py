@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from corpuscle.operators import best, index, postings
+from corpuscle.operators import answering, best, index, library, postings
 from corpuscle.plans import relational
 from corpuscle.session import work_path
 
@@ -131,3 +131,18 @@ def test_best_of_a_changed_store(spark):
     columns = ["query_id", "doc_id", "score", "rank"]
     want = _plain(index.top_k(store.scores(asks), 6).select(columns).collect())
     assert _plain(store.top(asks, 6).select(columns).collect()) == want and len(want) == 180
+
+
+def test_a_topic_meets_the_works_once(spark, monkeypatch):
+    """Messages of one topic are ranked together, each still gets its own rows."""
+    seen = []
+    leg = library.lexical_leg
+    monkeypatch.setattr(library, "lexical_leg", lambda topics, books: seen.append(topics.count()) or leg(topics, books))
+    asks = spark.createDataFrame([(i, f"List books about {'red' if i % 2 else 'blue'} boats in my library?") for i in range(40)] + [(99, "how many fiction works on red boats")], "query_id long, text string")
+    books = spark.createDataFrame([("red boats", "s", "fiction", ["x"]), ("blue boats", "s", "nonfiction", ["x"]), ("red", "s", "nonfiction", ["x"])], "title string, source string, kind string, tags array<string>")
+    got = {}
+    for r in answering.catalogue_answers(asks, books).orderBy("rank").collect():
+        got.setdefault(r.query_id, []).append(r.title)
+    assert len(got) == 41 and got[99] == ["red boats"]
+    assert all(got[i] == (["red boats", "blue boats", "red"] if i % 2 else ["blue boats", "red boats"]) for i in range(40))
+    assert seen == [2]
