@@ -35,8 +35,9 @@ N, PERCENT = 3, 90
 #: Text bytes to a chunk and to a range of keys, at least. Both grow with the root of the corpus beyond the point where a chunk has fewer
 #: than MESSAGE_BYTES for a range, so that the messages between them grow with the corpus and not with its square.
 CHUNK_BYTES, RANGE_BYTES, MESSAGE_BYTES = 1 << 20, 8 << 20, 1 << 10
-#: While open lists may make more than so many pairs for each row, their groups are compared with one more of them, in so many rounds at most.
-PAIRS_A_ROW, ROUNDS = 4, 6
+#: While open lists may make more than so many pairs for each row, their groups are compared with one more of them, in so many rounds at most,
+#: as long as each brings that bound to this share of what it was.
+PAIRS_A_ROW, ROUNDS, PROGRESS = 4, 6, 0.9
 BITS = 256
 _K = np.uint64(0xD6E8FEB86659FD93)
 
@@ -438,9 +439,13 @@ def linked(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
         return placed, of_group, rest
 
     placed, of_group, rest = opened(lists, label)
+    before = math.inf
     for k in range(ROUNDS):
-        if pairs_bound(rest, percent) <= PAIRS_A_ROW * rest.count():
+        bound = pairs_bound(rest, percent)
+        # a round that merged next to nothing leaves the lists as they were, and another leader would do the same
+        if bound <= PAIRS_A_ROW * rest.count() or bound > PROGRESS * before:
             break
+        before = bound
         leader = rest.groupBy("token").agg(F.min(F.struct(F.xxhash64("group", F.lit(k)).alias("h"), "group", "n", "place", "lo", "hi")).alias("x"))
         leader = leader.select("token", *[F.col("x." + c).alias(d + "a") for c, d in (("group", "g"), ("n", "n"), ("place", "p"), ("lo", "lo"), ("hi", "hi"))])
         star = rest.select("token", *row, F.col("lo").alias("lob"), F.col("hi").alias("hib")).join(leader, "token")

@@ -230,3 +230,37 @@ def test_op5_pairs_are_bounded_before_they_are_made(spark, percent):
     assert len(made) == len(want) and {tuple(r) for r in made} == {x[1:] for x in want}
     assert len(want) <= J.pairs_bound(rest, percent)
     assert J.pairs_bound(rest.where("lo = 1 AND hi = 1"), percent) == 0 == J.pairs_bound(rest.where("false"), percent)
+
+
+@pytest.mark.parametrize("share", [1, 7, 50, 1 << 18])
+def test_components_of_shares(spark, share):
+    """Trees of several shares are joined by rounds; links that one share holds need no round."""
+    rng = random.Random(share)
+    links = [(k, k + 1) for k in range(40)] + [(rng.randrange(100, 160), rng.randrange(100, 160)) for _ in range(50)] + [(300, k) for k in range(301, 340)] + [(-5, 40)] + [(7, 7)]
+    df = spark.createDataFrame(links, "a long, b long").repartition(5)
+    root = {x: x for pair in links for x in pair}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in links:
+        x, y = find(a), find(b)
+        root[max(x, y)] = min(x, y)
+    rounds = 60 if share < len(links) else 1
+    got = C.components(df, rounds, share).collect()
+    assert len(got) == len({r.node for r in got}) and {r.node: r.component for r in got} == {x: find(x) for pair in links if pair[0] != pair[1] for x in pair}
+
+
+def test_op5_rounds_end_without_progress(spark, monkeypatch):
+    """Texts of common passages in many combinations: their lists stay open whatever leads them, so no more than one round is spent on them."""
+    rng = random.Random(21)
+    passages = [" ".join(f"p{k}w{j}" for j in range(12)) for k in range(12)]
+    rows = [(k, " ".join(rng.sample(passages, 6))) for k in range(90)] + [(90 + k, " ".join(passages[:6]) + f" tail{k}") for k in range(6)]
+    calls = []
+    monkeypatch.setattr(J, "components", lambda *a, f=C.components: calls.append(1) or f(*a))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = sorted(tuple(r) for r in J.linked(df, 3, 80).collect())
+    assert got == brute.components(rows, 3, 80)
+    assert 2 < len(calls) < 5  # after the stars, after each round, and at the end
