@@ -177,3 +177,22 @@ def test_near_copies_make_no_pairs(spark, monkeypatch):
     monkeypatch.setattr(similar, "_similar", lambda pairs, *a: seen.append(pairs.count()) or whole(pairs, *a))
     similar.earliest_similar(_word_sets(spark)[1], 0.75, "qid", "batch").count()
     assert len(seen) == 2 and seen[1] < 300 * 300 / 8
+
+
+def test_only_asked_vectors_are_searched_and_meet_texts(spark, monkeypatch):
+    """Vectors whose number no item has aren't queries of the dense leg, and their hits don't come into the pool."""
+    from corpuscle.operators import answering, rank
+    from corpuscle.plans import composites, retrieval
+
+    asked, legs = [], []
+    monkeypatch.setattr(rank, "cosine_knn", lambda v, q, *a, f=rank.cosine_knn: asked.append({r[0] for r in q.select("query_id").collect()}) or f(v, q, *a))
+    monkeypatch.setattr(rank, "hybrid", lambda d, *a, f=rank.hybrid: legs.append({r[0] for r in d.select("query_id").collect()}) or f(d, *a))
+    monkeypatch.setattr(retrieval, "_asks", lambda spark, d, f=retrieval._asks: f(spark, d).where("query_id % 2 = 0"))
+    d = "/root/testdata/sf0.001"
+    items = {r[0] for r in retrieval._asks(spark, d).select("query_id").collect()}
+    got = {r.query_id for r in composites.grounded_answers(spark, d).collect()}
+    assert got == items and asked[0] and asked[0] <= items and legs[0] <= items
+    docs, _ = composites._grounded(spark, d)
+    dense = spark.createDataFrame([(q, 1, 0.5, 1) for q in (*items, 10**6)], "query_id long, doc_id long, score double, rank int")
+    assert {r.query_id for r in answering.pool(retrieval._asks(spark, d), docs, dense=dense).collect()} == items
+    assert 10**6 not in legs[1]
