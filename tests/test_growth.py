@@ -148,6 +148,22 @@ def test_a_topic_meets_the_works_once(spark, monkeypatch):
     assert seen == [2]
 
 
+def test_catalogue_lists_hold_all_works(spark):
+    """Lists of more works than any page: by title, by topic, of one kind; a title of two kinds or sources stands once."""
+    asks = spark.createDataFrame([(1, "list all books in my library"), (2, "list books about boats"), (3, "how many fiction works on boats"), (4, "hello"), (5, "show my novels")], "query_id long, text string")
+    rows = [(f"{'Boats' if i % 2 else 'cars'} {i:03}", "s", "fiction" if i % 3 else "nonfiction", ["x"]) for i in range(500)]
+    rows += [("Boats 001", "t", "nonfiction", ["x"])]
+    books = spark.createDataFrame(rows, "title string, source string, kind string, tags array<string>").repartition(5)
+    got = {}
+    for r in answering.catalogue_answers(asks, books).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.title))
+    titles = sorted({r[0] for r in rows}, key=lambda t: (t.lower(), t))
+    boats = [t for t in titles if t.startswith("Boats")]
+    fiction = {r[0] for r in rows if r[2] == "fiction"}
+    want = {1: titles, 2: boats, 3: [t for t in boats if t in fiction], 5: titles}
+    assert got == {k: list(enumerate(v, 1)) for k, v in want.items()}
+
+
 def _word_sets(spark):
     """Sets of random words, a group of near copies whose copies are all different, exact copies, rows without batch or words, and two rows of one key."""
     r = random.Random(4)
