@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import sql
 from ..functions import text as X
 from ..operators import best, chunks, evaluation, index, library, postings, rank, study
-from ..session import register, table, work_path
+from ..session import register, stored, table, work_path
 from .texts import _CHUNKS, _KIND, _TF, TOK, WS
 
 
@@ -67,19 +67,26 @@ def _sql_session(spark, d):
 
 
 def sql_search(spark, d):
-    """Ingestion and search in SQL alone: postings, statistics and BM25 over views, the best by a table function."""
+    """Ingestion and search by SQL: statistics and weights of what is asked over views, each task's best by table functions that hold a block of queries, the best of all by another."""
     _sql_session(spark, d)
-    return spark.sql("""
-        WITH texts AS (SELECT doc_id, corpus_tokens(text) AS ts FROM documents),
-        lens AS (SELECT doc_id, size(ts) AS len FROM texts WHERE size(ts) > 0),
-        totals AS (SELECT count(*) AS n, avg(len) AS mean_len FROM lens),
-        postings AS (SELECT doc_id, token, count(*) AS tf FROM (SELECT doc_id, explode(ts) AS token FROM texts) GROUP BY doc_id, token),
-        raw AS (SELECT token, ln(n - df + 0.5D) - ln(df + 0.5D) AS raw FROM (SELECT token, count(*) AS df FROM postings GROUP BY token) CROSS JOIN totals),
+    # the empty token stands for the document itself and brings its length along
+    counts = spark.sql("""
+        WITH texts AS (SELECT corpus_tokens(text) AS ts FROM documents),
+        each AS (SELECT size(ts) AS len, explode(concat(array(''), array_distinct(ts))) AS token FROM texts WHERE size(ts) > 0)
+        SELECT token, count(*) AS df, sum(IF(token = '', len, 0)) AS len FROM each GROUP BY token""")
+    stored(counts, "token-counts").createOrReplaceTempView("token_counts")
+    asked = spark.sql("""
+        WITH raw AS (SELECT token, ln(n - df + 0.5D) - ln(df + 0.5D) AS raw FROM token_counts CROSS JOIN (SELECT df AS n FROM token_counts WHERE token = '') WHERE token <> ''),
         idf AS (SELECT token, IF(raw < 0, 0.25D * (SELECT avg(raw) FROM raw), raw) AS idf FROM raw),
-        asked AS (SELECT item_id AS query_id, token, count(*) AS times FROM (SELECT item_id, explode(ts) AS token FROM (SELECT item_id, corpus_tokens(text) AS ts FROM benchmark)) GROUP BY item_id, token),
-        scores AS (SELECT query_id, doc_id, round(sum(times * idf * tf * 2.5D / (tf + 1.5D * (0.25D + 0.75D * len / mean_len))), 6) AS score
-            FROM asked JOIN idf USING (token) JOIN postings USING (token) JOIN lens USING (doc_id) CROSS JOIN totals GROUP BY query_id, doc_id)
-        SELECT query_id, doc_id, score, rank FROM corpus_top(TABLE(SELECT * FROM scores) PARTITION BY query_id ORDER BY (score DESC, doc_id), 10)""")
+        asked AS (SELECT item_id AS query_id, token, count(*) AS times FROM (SELECT item_id, explode(ts) AS token FROM (SELECT item_id, corpus_tokens(text) AS ts FROM benchmark)) GROUP BY item_id, token)
+        SELECT query_id, token, times * idf AS weight FROM asked JOIN idf USING (token)""")
+    mean_len = spark.sql("SELECT coalesce(sum(len) / sum(df), 0D) AS mean_len FROM token_counts WHERE token = ''").first()["mean_len"]
+    functions = best.best_functions(stored(asked, "asked-tokens"), mean_len, 10)
+    hits = " UNION ALL ".join(f"SELECT query_id, doc_id, round(score, 6) AS score FROM {f}(TABLE(SELECT doc_id, ts FROM texts))" for f in functions)
+    return spark.sql(f"""
+        WITH texts AS (SELECT doc_id, ts FROM (SELECT doc_id, corpus_tokens(text) AS ts FROM documents) WHERE size(ts) > 0),
+        hits AS ({hits})
+        SELECT query_id, doc_id, score, rank FROM corpus_top(TABLE(SELECT * FROM hits) PARTITION BY query_id ORDER BY (score DESC, doc_id), 10)""")
 
 
 def sql_packed_chunks(spark, d):

@@ -8,9 +8,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpuscle.operators import answering, best, index, library, postings, similar
-from corpuscle.plans import relational
+from corpuscle.plans import relational, retrieval
 from corpuscle.session import work_path
 
+SF = "/root/testdata/sf0.001"
+
 
 def made_by_joins(df) -> int:
     """Most rows that one join of a plan put out; collects df."""
@@ -148,6 +150,24 @@ def test_a_topic_meets_the_works_once(spark, monkeypatch):
     assert seen == [2]
 
 
+@pytest.mark.parametrize("terms", [1 << 18, 40])
+def test_best_by_table_functions_equal_all_pairs(spark, monkeypatch, terms):
+    monkeypatch.setattr(best, "TERMS", terms)
+    docs, asks = _texts(spark)
+    statistics = index.Statistics(docs)
+    best.listed(docs, "doc_id", "text").createOrReplaceTempView("listed_texts")
+    want = _plain(index.top_k(index.bm25_scores(docs, asks), 7).select("query_id", "doc_id", "score", "rank").collect())
+    for some, rows in ((asks, want), (asks.limit(0), [])):
+        names = best.best_functions(index.weighted_terms(some, statistics), statistics.average, 7)
+        found = spark.sql(" UNION ALL ".join(f"SELECT * FROM {f}(TABLE(SELECT doc_id, ts FROM listed_texts))" for f in names))
+        assert (len(names) > 1) == (terms == 40 and bool(rows))
+        assert _plain(index.top_k(found, 7).select("query_id", "doc_id", "score", "rank").collect()) == rows and found.count() <= 7 * 30 * 5
+
+
+def test_sql_search_makes_no_row_for_each_pair(spark):
+    assert made_by_joins(retrieval.sql_search(spark, SF)) < 1000
+
+
 def test_catalogue_lists_hold_all_works(spark):
     """Lists of more works than any page: by title, by topic, of one kind; a title of two kinds or sources stands once."""
     asks = spark.createDataFrame([(1, "list all books in my library"), (2, "list books about boats"), (3, "how many fiction works on boats"), (4, "hello"), (5, "show my novels")], "query_id long, text string")
