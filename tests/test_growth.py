@@ -150,13 +150,17 @@ def test_a_topic_meets_the_works_once(spark, monkeypatch):
     assert seen == [2]
 
 
-def shuffled_rows(spark) -> int:
-    """Rows that all stages so far wrote for shuffles, skipped ones left out."""
+def shuffled_bytes(spark) -> int:
+    return shuffled_rows(spark, "shuffleWriteBytes")
+
+
+def shuffled_rows(spark, what: str = "shuffleWriteRecords") -> int:
+    """What all stages so far wrote for shuffles, skipped ones left out."""
     store = spark.sparkContext._jsc.sc().statusStore()
     none = spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0)
     empty = spark.sparkContext._jvm.java.util.ArrayList()
     stages = store.stageList(empty, False, False, none, empty)
-    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+    return sum(getattr(stages.apply(i), what)() for i in range(stages.size()))
 
 
 def test_a_store_shuffles_what_changes(spark):
@@ -217,6 +221,37 @@ def _word_sets(spark):
     return rows, spark.createDataFrame([(k, b, sorted(x * 7919 for x in s)) for k, b, s in rows], "qid long, batch int, hs array<long>").repartition(4)
 
 
+def test_sets_stay_where_they_are_stored(spark):
+    """Most sets are in no pair and occur once: these are neither shuffled nor are words in lists that no other set has."""
+    r = random.Random(8)
+    rows = [(i, i % 4, r.sample(range(10**9), 300)) for i in range(300)] + [(1000 + i, i % 4, list(range(20))) for i in range(9)]
+    sets = spark.createDataFrame([(k, b, sorted(x * 7919 for x in s)) for k, b, s in rows], "qid long, batch int, hs array<long>").repartition(4)
+    before = shuffled_bytes(spark)
+    got = {x.qid: x.earliest for x in similar.earliest_similar(sets, 0.75, "qid", "batch").collect()}
+    assert got == {1000 + i: 1000 for i in range(9) if i % 4}
+    assert shuffled_bytes(spark) - before < 4 * 300 * 300 * 8
+
+
+@pytest.mark.parametrize("least", [0.5, 0.75, 0.9])
+def test_similar_sets_of_all_sizes(spark, least):
+    """Sizes for which lists carry bitmaps of every width, and none."""
+    r = random.Random(5)
+    rows = []
+    for n in (1, 2, 9, 40, 90, 170, 300, 420, 640, 800, 1100):
+        core = r.sample(range(20000), n)
+        for i in range(6):
+            gone = r.randrange(0, max(1, int(n * 0.4)))
+            rows.append((len(rows), r.randrange(5), sorted({*core[gone:], *r.sample(range(20000), r.randrange(0, n // 12 + 1))})))
+    rows = [x for x in rows if x[2]]
+    sets = spark.createDataFrame([(k, b, sorted(x * 7919 for x in s)) for k, b, s in rows], "qid long, batch int, hs array<long>").repartition(3)
+    want = {}
+    for k, b, s in rows:
+        old = [j for j, c, t in rows if c < b and len({*s} & {*t}) / len({*s} | {*t}) >= least]
+        if old:
+            want[k] = min(old)
+    assert {x.qid: x.earliest for x in similar.earliest_similar(sets, least, "qid", "batch").collect()} == want and want
+
+
 def test_earliest_similar_equals_all_pairs(spark):
     rows, sets = _word_sets(spark)
     want = {}
